@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 
 
 def queries():
-    return {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+    return {
+        "op5_bpe": bpe.op5_bpe,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    }
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+    }
