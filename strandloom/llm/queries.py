@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, decontaminate, exact_dedup
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op5_bpe": bpe.op5_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
@@ -14,5 +15,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
