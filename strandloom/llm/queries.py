@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup
+from . import bpe, decontaminate, exact_dedup, quality
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_quality": quality.op2_quality,
         "op5_bpe": bpe.op5_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
