@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, quality
+from . import bpe, chat, decontaminate, exact_dedup, quality
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_quality": quality.op2_quality,
         "op5_bpe": bpe.op5_bpe,
+        "op7_chat": chat.op7_chat,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
@@ -17,5 +18,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_decontaminate": decontaminate.OP1_SQL,
+        "op7_chat": chat.OP7_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
