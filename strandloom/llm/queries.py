@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, quality
+from . import bpe, chat, decontaminate, exact_dedup, language, quality, urls
 
 
 def queries():
@@ -11,7 +11,9 @@ def queries():
         "op2_quality": quality.op2_quality,
         "op5_bpe": bpe.op5_bpe,
         "op7_chat": chat.op7_chat,
+        "op8_urls": urls.op8_urls,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_language": language.op10_language,
     }
 
 
