@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, licenses, quality, urls
+from . import bpe, chat, decontaminate, exact_dedup, language, licenses, ngram_join, quality, urls
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_quality": quality.op2_quality,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_licenses": licenses.op4_licenses,
         "op5_bpe": bpe.op5_bpe,
         "op7_chat": chat.op7_chat,
@@ -21,6 +22,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_decontaminate": decontaminate.OP1_SQL,
+        "op3_ngram_join": ngram_join.OP3_SQL,
         "op4_licenses": licenses.OP4_SQL,
         "op7_chat": chat.OP7_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
