@@ -84,3 +84,27 @@ def in_bitmap(bitmap_: np.ndarray, values: np.ndarray) -> np.ndarray:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder; smaller than a checkpoint for many narrow rows.
+
+    The table is removed when the driver's Python ends.
+    """
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+    folder = f"{context._jsc.sc().getCheckpointDir().get()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+
+    def remove() -> None:
+        if context._jsc is not None:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, licenses, ngram_join, quality, urls
+from . import bpe, chat, decontaminate, exact_dedup, language, licenses, ngram_join, quality, repeats, urls
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_licenses": licenses.op4_licenses,
         "op5_bpe": bpe.op5_bpe,
+        "op6_repeats": repeats.op6_repeats,
         "op7_chat": chat.op7_chat,
         "op8_urls": urls.op8_urls,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -24,6 +25,7 @@ def oracle_sql():
         "op1_decontaminate": decontaminate.OP1_SQL,
         "op3_ngram_join": ngram_join.OP3_SQL,
         "op4_licenses": licenses.OP4_SQL,
+        "op6_repeats": repeats.OP6_SQL,
         "op7_chat": chat.OP7_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
