@@ -194,6 +194,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, token_ids array<int>")
 
 
+def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, token_ids and round_trip: whether decoding gives the text back."""
+    shared = _shared(docs, path)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder, bodies = shared.value, texts(batch)
+        ids = [encoder.encode(t.decode()) for t in bodies]
+        same = [encoder.decode(i) == t for i, t in zip(ids, bodies, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
+
+    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+
+
 def decode_documents(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """doc_id and text; null token_ids decode to an empty text, ids that the vocabulary lacks are an error."""
     shared = _shared(tokens, path)
