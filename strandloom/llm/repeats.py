@@ -37,7 +37,7 @@ from .common import ID, TEXT, bitmap, checkpoint, id_and_text, in_bitmap, map_ba
 LEAST, GRAM = 100, 32
 REACH = LEAST - GRAM
 #: Different contexts of one anchor that one task may hold; bytes of contexts in one suffix array.
-HOT, ARRAY = 100_000, 4 << 20
+HOT, ARRAY = 100_000, 1 << 20
 _NO_ID = -(1 << 63)
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -221,15 +221,18 @@ def _sift(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], ["key", "doc", "at", "stop"])
 
 
+def dense(values: np.ndarray) -> np.ndarray:
+    """Ranks without gaps; equal values get equal ranks."""
+    order = np.argsort(values)
+    ordered = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    return out
+
+
 def ranks(data: np.ndarray, starts: np.ndarray, depth: int = LEAST) -> np.ndarray:
     """Ranks of the strings of ``depth`` bytes from each start, by prefix doubling; equal strings, equal ranks."""
 
-    def dense(values: np.ndarray) -> np.ndarray:
-        order = np.argsort(values, kind="stable")
-        out = np.empty(len(values), np.int64)
-        out[order] = np.cumsum(np.concatenate([[0], values[order][1:] != values[order][:-1]]))
-        return out
-
     n = len(data)
     rank, width = np.zeros(n, np.uint64), 8
     wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -258,16 +261,16 @@ def earlier(contexts: list[bytes], docs: np.ndarray, begins: np.ndarray, marks:
     if not len(owner):
         return owner, inside
     rank = ranks(data, offset[owner] + inside)
-    place = begins[owner] + inside
-    order = np.lexsort((place, marks[owner], docs[owner], rank))  # the suffix array, ties in text order
-    o = owner[order]
-    same = rank[order][1:] == rank[order][:-1]
-    differs = (docs[o][1:] != docs[o][:-1]) | (marks[o][1:] != marks[o][:-1]) | (place[order][1:] != place[order][:-1])
-    # a neighbour at the same place is the same place: what holds for the first of these holds for all
-    run = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
-    first = order[run]
-    moved = (docs[o] != docs[owner[first]]) | (marks[o] != marks[owner[first]]) | (place[order] != place[first])
-    found = order[moved & np.concatenate([[False], same | ~differs])]
+    # places in text order, as dense numbers: documents first, then bytes; one byte in two contexts is one place
+    text_order = np.lexsort((begins, marks, docs))
+    new_doc = np.concatenate([[0], (docs[text_order][1:] != docs[text_order][:-1]) | (marks[text_order][1:] != marks[text_order][:-1])])
+    doc_rank = np.empty(len(docs), np.int64)
+    doc_rank[text_order] = np.cumsum(new_doc)
+    place = dense(doc_rank[owner] << 32 | (begins[owner] + inside))
+    order = np.argsort(rank << 31 | place)  # the suffix array, ties in text order
+    new_rank = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
+    first = order[np.maximum.accumulate(np.where(new_rank, np.arange(len(order)), 0))]
+    found = order[place[order] > place[first]]  # the previous smaller position shares LEAST bytes
     return owner[found], inside[found]
 
 
