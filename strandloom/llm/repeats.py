@@ -411,7 +411,8 @@ def op6_repeats(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM d, unnest(generate_series(0, CAST(length(h) / 2 AS BIGINT) - 100)) AS u(i) WHERE length(h) >= 200),
+u AS (SELECT doc_id, h, unnest(generate_series(0, CAST(length(h) / 2 AS BIGINT) - 100)) AS i FROM d WHERE length(h) >= 200),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM u),
 f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM s),
 c AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM f WHERE again),
 g AS (SELECT doc_id, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
