@@ -9,10 +9,11 @@ finds. Across the cluster this is done so:
 1. Equal sets become one record (``fingerprints``). Shingles are ordered by how many documents have their
    bucket, counted over all documents in an array of a fixed size; a set of n must share one of its
    n - ceil(0.8 n) + 1 rarest shingles with any partner. Only these short lists are shuffled.
-2. Of each short list the record with the smallest key is its head. A record is compared with the head it shares
-   most lists with; links found so make clusters, of which the distance of each record to its root is known.
+2. Of each short list the record that shares the largest part of its shingles is the head. A record is compared
+   with the head it shares most lists with; links found so make clusters, of which the distance of each record to its root is known.
    A group of thousands of near copies is one cluster after this, at one comparison for each copy.
-3. Records in different clusters that share a short list are still to be compared. Jaccard distance is a metric,
+3. Records in different clusters that share a short list are still to be compared, unless too few elements are
+   left from there on. Jaccard distance is a metric,
    so the comparison of two roots settles most pairs of clusters at once; the members of the others are compared
    one by one, unless the distances to their roots rule a link out.
 4. Comparisons run in blocks: the records to be compared with one query form inverted lists; the short ones are
@@ -38,42 +39,97 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, LOWER, TEXT, bitmap, checkpoint, id_and_text, in_bitmap, map_batches, texts
+from .common import ID, LOWER, TEXT, bitmap, checkpoint, id_and_text, in_bitmap, map_batches, staged, texts
 
 WIDTH = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
-#: Buckets of the frequency array, in so many slots; words whose hash a worker remembers; records in a block.
-BUCKET_BITS, SLOTS, REMEMBERED, BLOCK = 20, 16, 500_000, 64
+#: Buckets of the frequency array, in so many slots; bytes whose words are hashed at once; records in a block.
+BUCKET_BITS, SLOTS, PIECE, BLOCK = 20, 16, 1 << 17, 64
+BASE = 0xD1342543DE82EF95
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_ODD = np.random.default_rng(9).integers(0, 1 << 63, 5, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+def _powers(base: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    with np.errstate(over="ignore"):
+        step = np.array([base], np.uint64)
+        while len(out) < PIECE:
+            out = np.concatenate([out, out * step])
+            step = step * step
+    return out[:PIECE]
+
+
+class WordHashes:
+    """Hashes of all words of a text at once: sums of random numbers of the bytes times powers of an odd base.
+
+    A word's sum is the difference of two running sums, moved to the word's start by the base's inverse. Texts are
+    taken in pieces that end at white space, so the tables of powers have a fixed length.
+    """
+
+    def __init__(self):
+        self.letters = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.space = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+        self.up, self.down = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+    def _piece(self, data: np.ndarray) -> np.ndarray:
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~self.space[data]
+        edge = np.diff(inside)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letters[data] * self.up[: len(data)], out=sums[1:])
+        out = (sums[ends] - sums[starts]) * self.down[starts]
+        out ^= (ends - starts).astype(np.uint64) * _P
+        out *= _MIX[0]
+        out ^= out >> np.uint64(32)
         return out
 
+    def __call__(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        if len(data) <= PIECE:
+            return self._piece(data)
+        out, at = [], 0
+        while at < len(data):
+            piece = data[at : at + PIECE]
+            if at + PIECE < len(data):
+                last = np.flatnonzero(self.space[piece])
+                if not len(last):  # a word longer than a piece: hashed by itself
+                    rest = np.flatnonzero(self.space[data[at:]])
+                    piece = data[at : at + (rest[0] if len(rest) else len(data) - at)]
+                    out.append(np.array([xxhash.xxh3_64_intdigest(piece.tobytes())], np.uint64))
+                    at += len(piece)
+                    continue
+                piece = piece[: last[-1] + 1]
+            out.append(self._piece(piece))
+            at += len(piece)
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
 
 def shingles(text: bytes, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes (uint64) of a whole text."""
-    found = text.translate(LOWER).split()
-    if len(hashes) > REMEMBERED:
-        hashes.clear()
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, n)
-    k = min(n, width)
-    out = np.full(n - k + 1, k, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = (out ^ h[i : n - k + 1 + i]) * _P
-            out ^= out >> np.uint64(29)
-        for m in _MIX:
-            out *= m
-            out ^= out >> np.uint64(32)
-    return np.unique(out)
+        h = hashes(text.translate(LOWER))
+        n = len(h)
+        if not n:
+            return h
+        k = min(n, width)
+        out = h[: n - k + 1] * _ODD[0]
+        for i in range(1, k):
+            out += h[i : n - k + 1 + i] * _ODD[i]
+        out += np.uint64(k)
+        out ^= out >> np.uint64(32)
+        out *= _MIX[1]
+        out ^= out >> np.uint64(29)
+    out.sort()
+    if len(out) > 1:
+        new = np.empty(len(out), bool)
+        new[0] = True
+        np.not_equal(out[1:], out[:-1], out=new[1:])
+        out = out[new]
+    return out
 
 
 def key_of(found: np.ndarray) -> tuple[int, int]:
@@ -182,7 +238,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(token, key, n): the short lists; equal sets within a batch are posted once."""
+    """(token, key, n, room): the short lists; equal sets within a batch are posted once.
+
+    ``room`` is how many elements a set has from the token on, in the order of frequency: if the token is the first
+    one that two sets share, they share no more than the smaller room.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** BUCKET_BITS bytes
 
     def run(batches):
@@ -198,18 +258,18 @@ def _postings(docs: DataFrame, classes: np.ndarray, id_col: str, text_col: str)
                 rank = shared.value[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
                 ranked = (rank << np.uint64(56)) | (found & np.uint64((1 << 56) - 1))
                 p = prefix_length(len(found))
-                tokens.append(np.partition(ranked, p - 1)[:p])
+                tokens.append(np.sort(np.partition(ranked, p - 1)[:p]))
                 keys.append(key[0])
                 sizes.append(len(found))
             if tokens:
                 lengths = [len(x) for x in tokens]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))],
-                    ["token", "key", "n"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate([np.arange(n, n - k, -1, dtype=np.int32) for n, k in zip(sizes, lengths, strict=True)]))],
+                    ["token", "key", "n", "room"],
                 )
 
     rows = id_and_text(docs, id_col, text_col).where(F.col(ID).isNotNull())
-    return rows.mapInArrow(run, "token long, key long, n int")
+    return rows.mapInArrow(run, "token long, key long, n int, room int")
 
 
 def _record_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -264,12 +324,17 @@ def _linked() -> Column:
     return F.expr(f"100 * shared >= {SIMILARITY} * (n_a + n_b - shared)")
 
 
+def _reachable(a: Column, b: Column, room: Column) -> Column:
+    """Whether sets of a and b elements can still link if they share no more than ``room``."""
+    return room * (100 + SIMILARITY) >= SIMILARITY * (a + b)
+
+
 def _distance() -> Column:
     return F.expr("1.0D - shared / (n_a + n_b - shared)")
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(key, root, distance) from (key, parent, distance) with parent < key, by pointer jumping."""
+    """(key, root, distance) from (key, parent, distance), a forest, by pointer jumping."""
     done = parents.select("key", F.col("parent").alias("root"), "distance")
     while True:
         up = done.select(F.col("key").alias("root"), F.col("root").alias("next"), F.col("distance").alias("more"))
@@ -301,21 +366,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     records = checkpoint(sets.groupBy("n", "key", "key2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key", "n"))
 
     by_token = Window.partitionBy("token")
-    lists = _postings(docs, classes, id_col, text_col).repartition("token").withColumns({"head": F.min("key").over(by_token), "last": F.max("key").over(by_token)})
-    lists = checkpoint(lists.where("head <> last").select("token", "key", "n", "head"))
-
-    best = lists.where("key <> head").groupBy("key", "head").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", F.col("head"))).alias("x"))
+    lists = _postings(docs, classes, id_col, text_col).repartition("token").withColumns({"low": F.min("key").over(by_token), "last": F.max("key").over(by_token)})
+    lists = staged(lists.where("low <> last").select("token", "key", "n", "room"))
+
+    # the head of a list is the record with the largest share of its rarest shingles on lists of several records:
+    # what others were copied from, rather than a copy with changes of its own
+    shares = lists.groupBy("key", "n").agg((F.count("*") / F.col("n")).alias("share"))
+    led = lists.join(shares, ["key", "n"]).withColumn("head", F.max(F.struct("share", "key", "n", "room")).over(by_token))
+    led = led.where((F.col("key") != F.col("head.key")) & _reachable(F.col("n"), F.col("head.n"), F.least("room", "head.room")))
+    led = led.where(F.struct("share", "key") < F.struct("head.share", "head.key"))
+    best = led.groupBy("key", F.col("head.key").alias("head")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "head")).alias("x"))
     tries = best.select(F.col("x.head").alias("a"), F.col("key").alias("b"), F.lit(SIMILARITY / 100).alias("floor"))
     first = checkpoint(compare(docs, records, checkpoint(tries), id_col, text_col).where(_linked()).select(F.col("b").alias("key"), F.col("a").alias("parent"), _distance().alias("distance")).distinct())
     clusters = roots(first)
 
-    placed = lists.join(clusters, "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    units = placed.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    placed = lists.join(clusters, "key", "left").select("token", "key", "n", "room", F.coalesce("root", "key").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    units = placed.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"))
     mixed = units.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    units = checkpoint(units.join(mixed, "token").select("token", "root", "low", "high"))
+    units = checkpoint(units.join(mixed, "token").select("token", "root", "low", "high", "room"))
     ratio = SIMILARITY / 100
     a, b = units.alias("a"), units.alias("b")
-    close = (F.col("a.low") * ratio <= F.col("b.high")) & (F.col("b.low") * ratio <= F.col("a.high"))
+    close = (F.col("a.low") * ratio <= F.col("b.high")) & (F.col("b.low") * ratio <= F.col("a.high")) & _reachable(F.col("a.low"), F.col("b.low"), F.least("a.room", "b.room"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & close).select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
     radius = clusters.groupBy("root").agg(F.max("distance").alias("radius"))
     reach = lambda c: radius.select(F.col("root").alias(c), F.col("radius").alias(f"radius_{c}"))
@@ -332,7 +403,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         side = lambda c, o: placed.join(open_.select(F.col(c).alias("root"), F.col(o).alias("other"), "apart"), "root")
         x, y = side("a", "b").alias("x"), side("b", "a").alias("y")
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.root")) & (F.col("x.root") == F.col("y.other"))
-        possible = (F.col("x.n") * ratio <= F.col("y.n")) & (F.col("y.n") * ratio <= F.col("x.n")) & (F.col("x.distance") + F.col("y.distance") + (1 - ratio) + 1e-9 >= F.col("x.apart"))
+        possible = (F.col("x.n") * ratio <= F.col("y.n")) & (F.col("y.n") * ratio <= F.col("x.n")) & _reachable(F.col("x.n"), F.col("y.n"), F.least("x.room", "y.room")) & (F.col("x.distance") + F.col("y.distance") + (1 - ratio) + 1e-9 >= F.col("x.apart"))
         members = checkpoint(x.join(y, same & possible).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct())
         again = compare(docs, records, members.select("a", "b", F.lit(ratio).alias("floor")), id_col, text_col).where(_linked()).select("a", "b")
         edges = edges.union(members.join(again, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
