@@ -1,16 +1,640 @@
-"""The queries of the genomic operators, with their SQL."""
+"""The queries of the genomic operators over the supplied tables, each with its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    """Rows per haplotype-like class of the reads; the flagship until the profile plan exists."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from strandloom.functions import contigs as ct
+from strandloom.functions import intervals as iv
+from strandloom.functions import scalar as sc
+from strandloom.operators import breakpoints as bp
+from strandloom.operators import copynumber as cn
+from strandloom.operators import coverage as cov
+from strandloom.operators import loh, phase, profile, reads, segments, snps, sync
+from strandloom.plans import views as v
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+B = v.BIN
+CENTERS = [0.0, 20.0, 40.0, 60.0, 80.0]
 
 
-def oracle_sql():
-    return {}
+def query(sql: str | None = None, recursive: bool = False):
+    """Registers a query under its function's name; the SQL sees the views of plans/views.py."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{v.SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {v.SQL.strip()}\n{sql}"
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: copy-number profile of all contigs."""
+    return _QUERIES["cna_profile"](spark, sf_dir)
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(F.col(c), digits).alias(c)
+
+
+# --- bins, coverage -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT chr, pos // {B} AS bin_idx, round(avg(value), 6) AS mean_value, round(median(value), 6) AS median_value, count(*) AS n FROM snp GROUP BY 1, 2")
+def bin_mean_median(spark, sf_dir):
+    return v.snp(spark, sf_dir).groupBy("chr", sc.bin_index(F.col("pos"), B).alias("bin_idx")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.median("value"), 6).alias("median_value"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT chr, b AS bin_idx, CASE WHEN b = 0 THEN 0 ELSE b * {B} + 1 END AS "start", (b + 1) * {B} AS "end", round(coalesce(avg(value), 0), 6) AS value
+FROM contigs CROSS JOIN range(0, {v.LENGTH // B}) g(b) LEFT JOIN snp USING (chr) WHERE FALSE GROUP BY ALL
+UNION ALL SELECT c.chr, b, CASE WHEN b = 0 THEN 0 ELSE b * {B} + 1 END, (b + 1) * {B}, round(coalesce(m, 0), 6) FROM contigs c CROSS JOIN range(0, {v.LENGTH // B}) g(b)
+LEFT JOIN (SELECT chr, greatest(pos - 1, 0) // {B} AS b, avg(value) AS m FROM snp GROUP BY 1, 2) x USING (chr, b)""")
+def snp_bin_mean(spark, sf_dir):
+    bins = iv.fixed_bins(v.contigs(spark, sf_dir), B)
+    return cov.snp_bin_mean(v.snp(spark, sf_dir), bins, B, ("value",)).select("chr", "bin_idx", "start", "end", _r("value"))
+
+
+@query("SELECT hp, chr, win, count(*) AS depth FROM read, unnest(generate_series(\"start\" // 500, \"end\" // 500)) AS u(win) GROUP BY 1, 2, 3")
+def coverage_hist(spark, sf_dir):
+    return cov.histogram(v.read(spark, sf_dir), ("hp", "chr")).select("hp", "chr", "win", F.col("depth").cast("long").alias("depth"))
+
+
+@query(f""", h AS (SELECT hp, chr, win, count(*) AS depth FROM read, unnest(generate_series("start" // 500, "end" // 500)) AS u(win) GROUP BY 1, 2, 3),
+w AS (SELECT c.chr, CASE WHEN b = 0 THEN 0 ELSE b * {B} + 1 END AS s, least((b + 1) * {B}, len) AS e FROM contigs c CROSS JOIN range(0, {v.LENGTH // B}) g(b)),
+x AS (SELECT w.chr, s, e, hp, sum(depth) AS d FROM w JOIN h ON w.chr = h.chr AND h.win BETWEEN s // 500 AND e // 500 GROUP BY 1, 2, 3, 4)
+SELECT w.chr, w.s AS "start", w.e AS "end", {", ".join(f"round_even(CAST(coalesce(max(CASE WHEN hp = {k} THEN d END), 0) AS DOUBLE) / (w.e // 500 - w.s // 500 + 1), 2) AS {c}" for k, c in ((1, "hp1"), (2, "hp2"), (0, "hp3")))}
+FROM w LEFT JOIN x ON w.chr = x.chr AND w.s = x.s GROUP BY 1, 2, 3""")
+def bin_coverage(spark, sf_dir):
+    hist = cov.histogram(v.read(spark, sf_dir), ("hp", "chr"))
+    return cov.bin_coverage(hist, iv.fixed_bins(v.contigs(spark, sf_dir), B))
+
+
+@query("""SELECT rid, count(*) AS kept, CAST(sum("end" - "start") AS BIGINT) AS aligned FROM (SELECT *, row_number() OVER (PARTITION BY rid, "start" ORDER BY chr, "end", hp) AS k FROM read) WHERE k = 1 GROUP BY rid HAVING count(*) <= 10""")
+def read_dedup(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("rid", "start").orderBy("chr", "end", "hp"))
+    rows = v.read(spark, sf_dir).repartition("rid").withColumn("k", place).where("k = 1")
+    return rows.groupBy("rid").agg(F.count("*").alias("kept"), F.sum(F.col("end") - F.col("start")).alias("aligned")).where("kept <= 10")
+
+
+@query(f""", seg AS (SELECT rid AS read_id, chr AS ref_id, "start" AS ref_start, "end" - "start" AS len, "start" % 7 AS mapq, hp, row_number() OVER () AS u FROM read),
+good AS (SELECT *, row_number() OVER (PARTITION BY read_id, ref_start ORDER BY ref_id, len, hp) AS k, count(*) OVER (PARTITION BY read_id) AS raw FROM seg QUALIFY TRUE),
+pass AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id, ref_start ORDER BY ref_id, ref_start, len) AS j FROM good WHERE mapq > 1 AND len > 100) WHERE j = 1)
+SELECT read_id, count(*) AS segments, CAST(sum(len) AS BIGINT) AS aligned FROM pass GROUP BY read_id, raw HAVING sum(len) >= 1000 AND sum(len) / 20000.0 >= 0.5 AND raw <= 10""")
+def filter_reads(spark, sf_dir):
+    r = v.read(spark, sf_dir)
+    length = F.col("end") - F.col("start")
+    rows = r.select(
+        F.col("start").alias("read_start"), F.col("start").alias("ref_start"), (F.col("start") + length).alias("ref_end"), F.col("rid").alias("read_id"), F.col("chr").alias("ref_id"),
+        F.lit(20000).cast("long").alias("read_length"), length.alias("segment_length"), (F.col("start") % 7).alias("mapq"), F.lit(0.01).alias("mismatch_rate"), F.lit(False).alias("is_insertion"),
+    )
+    kept = reads.without_insertions(reads.filter_reads(rows, min_mapq=1))
+    return kept.groupBy("read_id").agg(F.count("*").alias("segments"), F.sum("segment_length").alias("aligned"))
+
+
+@query(f""", n AS (SELECT *, lag(hp1) OVER w AS l, lead(hp1) OVER w AS r FROM bins WINDOW w AS (PARTITION BY chr ORDER BY "start"))
+SELECT chr, "start", round(CASE WHEN (coalesce(l, r) + coalesce(r, l)) / 2 > 0 AND hp1 > 1.5 * (coalesce(l, r) + coalesce(r, l)) / 2 THEN (coalesce(l, r) + coalesce(r, l)) / 2 ELSE hp1 END, 6) AS hp1 FROM n""")
+def tame_outliers(spark, sf_dir):
+    return cov.tame_outliers(v.bins(spark, sf_dir), "hp1", 1.5).select("chr", "start", _r("hp1"))
+
+
+@query(f""", i AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY "start") - 1 AS i FROM bins),
+m AS (SELECT a.chr, a.i - 5 AS j, sum(b.hp1 * (5 - abs(b.i - a.i - 5))) / 25.0 AS m FROM i a JOIN i b ON a.chr = b.chr AND b.i BETWEEN a.i AND a.i + 10 GROUP BY 1, 2)
+SELECT i.chr, "start", round(m, 6) AS hp1 FROM i JOIN m ON i.chr = m.chr AND m.j = greatest(0, least(i.i - 7, {v.LENGTH // B} - 16))""")
+def smooth(spark, sf_dir):
+    return cov.smooth(v.bins(spark, sf_dir), "hp1").select("chr", "start", _r("hp1"))
+
+
+@query("""SELECT chr, k AS part, round(avg(hp1), 6) AS hp1 FROM (SELECT chr, hp1, (row_number() OVER (PARTITION BY chr ORDER BY "start") - 1) // 20 AS k FROM bins) GROUP BY 1, 2""")
+def mean_of_every(spark, sf_dir):
+    return cov.mean_of_every(v.bins(spark, sf_dir), "hp1").select("chr", "part", _r("hp1"))
+
+
+@query("SELECT round(avg(hp1 + hp2), 6) AS mean_depth, count(*) AS n FROM bins")
+def mean_depth(spark, sf_dir):
+    return v.bins(spark, sf_dir).agg(F.round(F.avg(F.col("hp1") + F.col("hp2")), 6).alias("mean_depth"), F.count("*").alias("n"))
+
+
+# --- SNPs ---------------------------------------------------------------------------------------------------
+
+
+def _genotyped(spark, sf_dir):
+    gt = F.when(F.col("et") == "purchase", "1/1").when(F.col("et") == "click", "0|1").otherwise("1|0")
+    return v.snp(spark, sf_dir).select("chr", "pos", "value", gt.alias("gt"))
+
+
+_ZYG = """, z AS (SELECT chr, (pos - 1) // 200000 * 200000 + 1 AS "start", count(*) FILTER (WHERE et <> 'purchase') AS hets, count(*) FILTER (WHERE et = 'purchase') AS homs FROM snp WHERE pos > 1 AND (pos - 1) % 200000 <> 0 GROUP BY 1, 2)"""
+
+
+@query(_ZYG + """ SELECT chr, "start", hets, homs, round(hets / (hets + homs), 6) AS hets_ratio, round(homs / (hets + homs), 6) AS homs_ratio FROM z""")
+def zygosity(spark, sf_dir):
+    counts = snps.zygosity_counts(_genotyped(spark, sf_dir))
+    return counts.join(snps.zygosity_ratios(counts), ["chr", "start"]).select("chr", "start", "hets", "homs", _r("hets_ratio"), _r("homs_ratio"))
+
+
+@query(_ZYG + """, f AS (SELECT chr, "start", "start" - lag("start") OVER (PARTITION BY chr ORDER BY "start") AS gap FROM z WHERE hets / (hets + homs) < 0.8),
+g AS (SELECT chr, "start", sum(CASE WHEN gap <= 400000 THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY "start") AS run FROM f)
+SELECT chr, min("start") + 200000 AS "start", max("start") + 199999 AS "end" FROM g GROUP BY chr, run""")
+def loh_islands(spark, sf_dir):
+    return snps.loh_regions(snps.zygosity_counts(_genotyped(spark, sf_dir)), het_ratio=0.8)
+
+
+@query(_ZYG + """, f AS (SELECT c.chr, b * 200000 + 1 AS "start" FROM contigs c CROSS JOIN range(0, 15) g(b) WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.chr = c.chr AND z."start" = b * 200000 + 1)),
+l AS (SELECT chr, "start", "start" - lag("start") OVER (PARTITION BY chr ORDER BY "start") AS gap FROM f),
+g AS (SELECT chr, "start", sum(CASE WHEN gap <= 400000 THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY "start") AS run FROM l)
+SELECT chr, min("start") + 200000 AS "start", max("start") + 199999 AS "end" FROM g GROUP BY chr, run""")
+def empty_regions(spark, sf_dir):
+    bins = v.contigs(spark, sf_dir).select("chr", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2_800_001).cast("long"), F.lit(200_000).cast("long"))).alias("start"))
+    return snps.empty_regions(snps.zygosity_counts(_genotyped(spark, sf_dir)), bins)
+
+
+@query(f""", p AS (SELECT chr, pos, round_even(least(floor(value), floor(value * 0.6)) / (floor(value) + floor(value * 0.6) + 1e-7), 3) AS vaf FROM snp),
+b AS (SELECT chr, "start" AS pos FROM bins)
+SELECT b.chr, b.pos, round(CASE WHEN count(p.vaf) >= 5 THEN avg(p.vaf) ELSE 3300 END + 1e-9, 5) AS vaf FROM b LEFT JOIN p ON p.chr = b.chr AND p.pos > b.pos AND p.pos < b.pos + {B} GROUP BY 1, 2""")
+def baf_bins(spark, sf_dir):
+    freqs = v.snp(spark, sf_dir).select("chr", "pos", F.floor("value").alias("freq_value_a"), F.floor(F.col("value") * 0.6).alias("freq_value_b"))
+    return snps.baf_from_depths(freqs, v.bins(spark, sf_dir).select("chr", F.col("start").alias("pos")), B).select("chr", "pos", F.round(F.col("vaf") + 1e-9, 5).alias("vaf"))
+
+
+@query(f""", b AS (SELECT chr, "start" AS pos FROM bins)
+SELECT b.chr, b.pos, round(CASE WHEN count(p.x) >= 5 THEN avg(p.x) ELSE 3300 END, 6) AS vaf FROM b LEFT JOIN (SELECT chr, pos, CASE WHEN value / 100 > 0.5 THEN 1 - value / 100 ELSE value / 100 END AS x FROM snp WHERE et <> 'purchase') p ON p.chr = b.chr AND p.pos > b.pos AND p.pos < b.pos + {B} GROUP BY 1, 2""")
+def baf_from_vcf(spark, sf_dir):
+    rows = _genotyped(spark, sf_dir).withColumn("vaf", F.col("value") / 100)
+    return snps.baf_from_vcf(rows, v.bins(spark, sf_dir).select("chr", F.col("start").alias("pos")), B).select("chr", "pos", _r("vaf"))
+
+
+@query("""SELECT g.chr, g."start", g."end", count(*) FILTER (WHERE s.et <> 'purchase' AND s.pos IS NOT NULL) AS hets_count, count(*) FILTER (WHERE s.et = 'purchase') AS homos_count FROM (SELECT DISTINCT chr, "start", "end" FROM gene) g
+LEFT JOIN snp s ON s.chr = g.chr AND s.pos > g."start" AND s.pos < g."end" GROUP BY 1, 2, 3""")
+def region_counts(spark, sf_dir):
+    return snps.region_counts(_genotyped(spark, sf_dir), v.gene(spark, sf_dir).select("chr", "start", "end").distinct())
+
+
+@query("""SELECT chr, pos, CASE WHEN et = 'click' THEN a2 ELSE a1 END AS freq_value_a, CASE WHEN et = 'click' THEN a1 ELSE a2 END AS freq_value_b FROM
+(SELECT chr, pos, et, CAST(floor(value) AS BIGINT) AS a1, CAST(floor(value * 2) AS BIGINT) AS a2 FROM snp WHERE et <> 'purchase')""")
+def allele_depths(spark, sf_dir):
+    rows = _genotyped(spark, sf_dir).where("gt <> '1/1'")
+    counts = {"A": F.floor("value").cast("long"), "C": F.floor(F.col("value") * 2).cast("long"), "G": F.lit(0), "T": F.lit(0)}
+    one, two = sc.allele_depths(F.col("gt"), F.lit("A"), F.lit("C"), counts)
+    return rows.select("chr", "pos", one.cast("long").alias("freq_value_a"), two.cast("long").alias("freq_value_b"))
+
+
+@query("""SELECT chr, pos, count(*) FILTER (WHERE b = 'A') AS a, count(*) FILTER (WHERE b = 'C') AS c, count(*) FILTER (WHERE b = 'G') AS g, count(*) FILTER (WHERE b = 'T') AS t
+FROM (SELECT chr, pos // 1000 AS pos, CASE et WHEN 'view' THEN 'A' WHEN 'click' THEN 'C' WHEN 'purchase' THEN 'G' ELSE 'T' END AS b FROM snp WHERE value >= 5) GROUP BY 1, 2""")
+def base_counts(spark, sf_dir):
+    base = F.when(F.col("et") == "view", "A").when(F.col("et") == "click", "C").when(F.col("et") == "purchase", "G").otherwise("T")
+    rows = v.snp(spark, sf_dir).select("chr", F.floor(F.col("pos") / 1000).alias("start"), base.alias("base"), F.floor("value").alias("mapq"), F.lit(30).alias("baseq"))
+    return snps.count_bases(rows).select("chr", F.col("start").alias("pos"), *(F.col(x).cast("long").alias(x) for x in "acgt"))
+
+
+# --- intervals ----------------------------------------------------------------------------------------------
+
+
+@query(""", s AS (SELECT DISTINCT chr, pos FROM snp), d AS (SELECT b.chr, b.ps, b."start" AS pos, s.pos AS near, row_number() OVER (PARTITION BY b.chr, b.ps ORDER BY abs(s.pos - b."start"), s.pos) AS k FROM blk b JOIN s ON s.chr = b.chr)
+SELECT chr, ps, pos, near FROM d WHERE k = 1""")
+def nearest_asof(spark, sf_dir):
+    return iv.nearest(v.blk(spark, sf_dir).select("chr", "ps", F.col("start").alias("pos")), v.snp(spark, sf_dir)).where("near IS NOT NULL").select("chr", "ps", "pos", "near")
+
+
+_RANKED = """, r AS (SELECT chr, pos, value, row_number() OVER (PARTITION BY chr ORDER BY pos, value) AS rank FROM snp QUALIFY row_number() OVER (PARTITION BY chr, pos ORDER BY value) = 1),
+rr AS (SELECT chr, pos, value, row_number() OVER (PARTITION BY chr ORDER BY pos) AS rank FROM r),
+n1 AS (SELECT t.chr, t.key, arg_min(rr.rank, abs(rr.pos - t."start") * 10000000 + rr.pos) AS a, arg_min(rr.rank, abs(rr.pos - t."end") * 10000000 + rr.pos) AS b FROM {t} t JOIN rr ON rr.chr = t.chr GROUP BY 1, 2)
+SELECT t.chr, t.key AS {key}, round(coalesce({agg}, 0), 6) AS value FROM {t} t LEFT JOIN n1 ON n1.chr = t.chr AND n1.key = t.key LEFT JOIN rr ON rr.chr = t.chr AND rr.rank >= n1.a AND rr.rank < n1.b GROUP BY 1, 2"""
+
+
+def _one_per_place(spark, sf_dir):
+    return v.snp(spark, sf_dir).groupBy("chr", "pos").agg(F.min("value").alias("value"))
+
+
+@query(_RANKED.format(t="(SELECT *, gene AS key FROM gene)", key="gene", agg="avg(rr.value)"))
+def gene_snp_mean(spark, sf_dir):
+    return cov.snp_interval_values(_one_per_place(spark, sf_dir), v.gene(spark, sf_dir), "gene", ("value",), True).select("chr", "gene", _r("value"))
+
+
+@query(_RANKED.format(t="(SELECT chr, ps AS key, \"start\", \"start\" + 100000 AS \"end\" FROM blk)", key="ps", agg="median(CASE WHEN rr.value <> 0 THEN rr.value END)"))
+def block_snp_median(spark, sf_dir):
+    blocks = v.blk(spark, sf_dir).select("chr", "ps", "start", (F.col("start") + 100_000).alias("end"))
+    return cov.snp_interval_values(_one_per_place(spark, sf_dir), blocks, "ps", ("value",), False).select("chr", "ps", _r("value"))
+
+
+@query(""", a AS (SELECT chr, "start", "end" FROM blk WHERE ps % 2 = 0), b AS (SELECT chr, "start", "end" FROM blk WHERE ps % 2 = 1),
+p AS (SELECT DISTINCT chr, x FROM (SELECT chr, "start" AS x FROM blk UNION ALL SELECT chr, "end" FROM blk)),
+f AS (SELECT chr, x AS s, lead(x) OVER (PARTITION BY chr ORDER BY x) AS e FROM p)
+SELECT chr, s AS "start", e AS "end" FROM f WHERE e IS NOT NULL AND EXISTS (SELECT 1 FROM a WHERE a.chr = f.chr AND a."start" <= s AND a."end" >= e) AND NOT EXISTS (SELECT 1 FROM b WHERE b.chr = f.chr AND b."start" <= s AND b."end" >= e)""")
+def interval_subtract(spark, sf_dir):
+    blocks = v.blk(spark, sf_dir).select("chr", "start", "end", "ps")
+    return iv.subtract(blocks.where("ps % 2 = 0"), blocks.where("ps % 2 = 1"))
+
+
+@query("""SELECT g.chr, g.gene, g."start", g."end" FROM gene g WHERE NOT EXISTS (SELECT 1 FROM blk b WHERE b.chr = g.chr AND b."end" >= g."start" AND b."start" <= g."end")
+UNION ALL SELECT chr, 'blk' || CAST(ps AS VARCHAR), "start", "end" FROM blk""")
+def add_missing(spark, sf_dir):
+    blocks = v.blk(spark, sf_dir).select("chr", F.concat(F.lit("blk"), F.col("ps").cast("string")).alias("gene"), "start", "end")
+    lonely = iv.overlap_join(v.gene(spark, sf_dir).select("chr", "gene", "start", "end"), blocks.select("chr", "start", "end"), how="left_anti", bucket=100_000)
+    return blocks.unionByName(lonely)
+
+
+@query("""SELECT g.chr, g.gene, g."start", g."end" FROM gene g WHERE EXISTS (SELECT 1 FROM blk b WHERE b.chr = g.chr AND b."end" > g."start" AND b."start" < g."end" AND ps % 10 = 0)""")
+def overlap_semi(spark, sf_dir):
+    return iv.overlap_join(v.gene(spark, sf_dir).select("chr", "gene", "start", "end"), v.blk(spark, sf_dir).where("ps % 10 = 0").select("chr", "start", "end"), closed=False, how="left_semi", bucket=100_000)
+
+
+@query("""SELECT g.chr, g.gene, count(*) AS n, CAST(sum(least(g."end", b."end") - greatest(g."start", b."start")) AS BIGINT) AS shared FROM gene g JOIN blk b ON b.chr = g.chr AND b."end" >= g."start" AND b."start" <= g."end" GROUP BY 1, 2""")
+def overlap_length(spark, sf_dir):
+    pairs = iv.overlap_join(v.gene(spark, sf_dir), v.blk(spark, sf_dir).select("chr", "start", "end"), bucket=100_000)
+    return pairs.groupBy("chr", "gene").agg(F.count("*").alias("n"), F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("shared"))
+
+
+@query("""SELECT s.chr, s.pos, min(g."start") AS "start" FROM (SELECT DISTINCT chr, pos FROM snp) s JOIN gene g ON g.chr = s.chr AND s.pos BETWEEN g."start" AND g."end" GROUP BY 1, 2""")
+def first_containing(spark, sf_dir):
+    hit = iv.first_containing(v.snp(spark, sf_dir).select("chr", "pos").distinct(), v.gene(spark, sf_dir).select("chr", "start", "end", "gene"), ["chr", "pos"])
+    return hit.select("chr", "pos", F.col("hit.r_start").alias("start"))
+
+
+@query(""", p AS (SELECT chr, "start" AS x FROM cen UNION SELECT chr, "end" FROM cen), e AS (SELECT g.gene, g.chr, x FROM gene g JOIN p ON p.chr = g.chr AND x > g."start" AND x < g."end" UNION SELECT gene, chr, "start" FROM gene UNION SELECT gene, chr, "end" FROM gene),
+l AS (SELECT chr, gene, x AS "start", lead(x) OVER (PARTITION BY gene ORDER BY x) AS "end" FROM e)
+SELECT chr, gene, "start", "end" FROM l WHERE "end" IS NOT NULL""")
+def split_at(spark, sf_dir):
+    points = v.centromeres(spark, sf_dir).select("chr", F.explode(F.array("start", "end")).alias("pos"))
+    return iv.split_at(v.gene(spark, sf_dir).where("end > start"), points).select("chr", "gene", "start", "end")
+
+
+@query(""", l AS (SELECT chr, "start", "end", "start" - lag("end") OVER (PARTITION BY chr ORDER BY "start") AS gap FROM bins WHERE hp1 > 30),
+g AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY "start") AS run FROM l) SELECT chr, min("start") AS "start", max("end") AS "end" FROM g GROUP BY chr, run""")
+def merge_touching(spark, sf_dir):
+    return iv.merge_touching(v.bins(spark, sf_dir).where("hp1 > 30"))
+
+
+@query(""", s AS (SELECT chr, "start", "end", floor(hp1 / 25) AS state, hp1 AS depth FROM bins), l AS (SELECT *, lag(state) OVER (PARTITION BY chr ORDER BY "start") AS p FROM s),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> state THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY "start") AS run FROM l)
+SELECT chr, min("start") AS "start", max("end") AS "end", round(median(depth), 6) AS depth, CAST(min(state) AS DOUBLE) AS state FROM g GROUP BY chr, run""")
+def run_merge(spark, sf_dir):
+    rows = v.bins(spark, sf_dir).select("chr", "start", "end", F.floor(F.col("hp1") / 25).cast("double").alias("state"), F.col("hp1").alias("depth"))
+    return segments.merge_runs(rows).select("chr", "start", "end", _r("depth"), "state")
+
+
+@query("""SELECT chr, ord, len, (ord - 1) * len AS "offset" FROM contigs""")
+def contig_offsets(spark, sf_dir):
+    return ct.with_offsets(v.contigs(spark, sf_dir)).select("chr", F.col("chr_ord").cast("long").alias("ord"), "len", "offset")
+
+
+# --- segments -----------------------------------------------------------------------------------------------
+
+
+@query(""", p AS (SELECT DISTINCT chr, "start" // 1000 AS pos FROM blk WHERE ps % 5 = 0), l AS (SELECT chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos) AS gap FROM p) SELECT chr, pos FROM l WHERE gap IS NULL OR gap <> 1""")
+def thin_points(spark, sf_dir):
+    return segments.thin(v.blk(spark, sf_dir).where("ps % 5 = 0").select("chr", F.floor(F.col("start") / 1000).alias("pos")).distinct())
+
+
+@query(f""", p AS (SELECT chr, "start" AS pos FROM blk), t AS (SELECT chr, pos, pos // {B} AS b FROM p UNION ALL SELECT chr, pos, pos // {B} - 1 FROM p WHERE pos % {B} = 0) SELECT DISTINCT chr, min(pos) AS pos FROM t GROUP BY chr, b""")
+def first_in_bin(spark, sf_dir):
+    return segments.first_in_bin(v.blk(spark, sf_dir).select("chr", F.col("start").alias("pos")), B)
+
+
+_CUTS = f""", p AS (SELECT chr, min("start") AS pos FROM blk WHERE ps % 20 = 0 AND "start" NOT BETWEEN 1000000 AND 1199999 GROUP BY chr, "start" // 300000 UNION SELECT chr, {v.LENGTH} FROM contigs UNION SELECT chr, "start" FROM cen UNION SELECT chr, "end" FROM cen),
+q AS (SELECT chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos) AS gap FROM p),
+c AS (SELECT chr, coalesce(lag(pos) OVER (PARTITION BY chr ORDER BY pos), 0) AS f, pos AS e FROM q WHERE (gap IS NULL OR gap <> 1) AND pos >= 2),
+seg AS (SELECT c.chr, CASE WHEN f = 0 THEN 0 ELSE f + 1 END AS "start", e AS "end", CASE WHEN e = 1199999 THEN 0 ELSE coalesce(median(CASE WHEN hp1 <> 0 THEN hp1 END), 0) END AS state
+  FROM c LEFT JOIN bins ON bins.chr = c.chr AND bins."start" // {B} >= f // {B} AND bins."start" // {B} < e // {B} GROUP BY c.chr, f, e)"""
+
+
+def _segments(spark, sf_dir, value="hp1"):
+    points = v.blk(spark, sf_dir).where("ps % 20 = 0 AND start NOT BETWEEN 1000000 AND 1199999").groupBy("chr", F.floor(F.col("start") / 300_000)).agg(F.min("start").alias("pos")).select("chr", "pos")
+    cen = v.centromeres(spark, sf_dir)
+    points = points.union(v.contigs(spark, sf_dir).select("chr", F.col("len").alias("pos"))).union(cen.select("chr", F.explode(F.array("start", "end"))))
+    return segments.cut_segments(v.bins(spark, sf_dir).select("chr", "start", F.col(value).alias("value")), points, B, cen.select("chr", "end"))
+
+
+@query(_CUTS + ' SELECT chr, "start", "end", round(state, 6) AS state FROM seg')
+def cut_segments(spark, sf_dir):
+    return _segments(spark, sf_dir).select("chr", "start", "end", _r("state"))
+
+
+@query(f""", e AS (SELECT chr, 0 AS x FROM contigs UNION SELECT chr, len FROM contigs UNION SELECT chr, "start" FROM gene WHERE gene LIKE '%7' UNION SELECT chr, "end" FROM gene WHERE gene LIKE '%7'),
+l AS (SELECT chr, x AS f, lead(x) OVER (PARTITION BY chr ORDER BY x) AS t FROM e WHERE x <= {v.LENGTH}),
+k AS (SELECT chr, CASE WHEN f + k * {B} = 0 THEN 0 ELSE f + k * {B} + 1 END AS "start", least(f + (k + 1) * {B}, t) AS "end" FROM l, range(0, {v.LENGTH // B + 1}) g(k) WHERE t > f AND k < ceil((t - f) / {B}))
+SELECT chr, "start", "end" FROM k GROUP BY ALL HAVING count(*) = 1""")
+def variable_bins(spark, sf_dir):
+    junctions = v.gene(spark, sf_dir).where("gene LIKE '%7'").select("chr", "start", "end")
+    return segments.variable_bins(v.contigs(spark, sf_dir), junctions, spark.createDataFrame([], "chr STRING, pos BIGINT"), B)
+
+
+@query()
+def change_points(spark, sf_dir):
+    bins = v.bins(spark, sf_dir)
+    return segments.change_points(bins.select("chr", F.lit(1).alias("hp"), "start", F.col("hp1").alias("value")), B, penalty=3.0, jump=5)
+
+
+@query()
+def coverage_segments(spark, sf_dir):
+    return segments.coverage_segments(v.bins(spark, sf_dir), B, 500_000, 100_000)
+
+
+@query()
+def keep_first_disjoint(spark, sf_dir):
+    return segments.keep_first_disjoint(v.gene(spark, sf_dir).select("chr", "start", "end"))
+
+
+@query()
+def window_medians(spark, sf_dir):
+    return cov.window_medians(v.bins(spark, sf_dir), "hp1", 10)
+
+
+# --- phase --------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT chr, ps % 40 AS phasesets, min("start") AS "start", max("start") AS "end" FROM blk GROUP BY 1, 2 HAVING max("start") - min("start") >= 300000""")
+def phaseset_minmax(spark, sf_dir):
+    positions = v.blk(spark, sf_dir).select("chr", F.col("start").alias("position"), (F.col("ps") % 40).alias("phasesets"))
+    return phase.long_enough(phase.block_extents(positions))
+
+
+@query()
+def keep_longer(spark, sf_dir):
+    return phase.keep_longer(v.blk(spark, sf_dir).select("chr", F.col("ps").alias("phasesets"), "start", "end"))
+
+
+_BLOCKS = """, g AS (SELECT chr, ps % 25 AS k, CAST(floor(avg(hp1)) AS DOUBLE) AS hp1, CAST(floor(avg(hp2)) AS DOUBLE) AS hp2 FROM blk GROUP BY 1, 2),
+b AS (SELECT chr, k * 100000 AS "start", k * 100000 + 80000 AS "end", hp1, hp2 FROM g)"""
+
+
+def _blocks(spark, sf_dir):
+    """Blocks side by side, one for each of 25 places of a contig."""
+    k = F.col("ps") % 25
+    rows = v.blk(spark, sf_dir).groupBy("chr", k.alias("k")).agg(F.floor(F.avg("hp1")).cast("double").alias("hp1"), F.floor(F.avg("hp2")).cast("double").alias("hp2"))
+    return rows.select("chr", (F.col("k") * 100_000).alias("start"), (F.col("k") * 100_000 + 80_000).alias("end"), "hp1", "hp2")
+
+
+_FLIP = _BLOCKS + """, o AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY "start") AS i FROM b),
+f(chr, i, "start", "end", hp1, hp2, flip) AS (SELECT chr, i, "start", "end", hp1, hp2, FALSE FROM o WHERE i = 1
+  UNION ALL SELECT o.chr, o.i, o."start", o."end", CASE WHEN t < c THEN o.hp2 ELSE o.hp1 END, CASE WHEN t < c THEN o.hp1 ELSE o.hp2 END, t < c
+  FROM (SELECT f.chr, f.i, least(abs(f.hp1 - o.hp1), abs(f.hp2 - o.hp2)) AS c, least(abs(f.hp1 - o.hp2), abs(f.hp2 - o.hp1)) AS t FROM f JOIN o ON o.chr = f.chr AND o.i = f.i + 1) x JOIN o ON o.chr = x.chr AND o.i = x.i + 1)"""
+
+
+@query(_FLIP + ' SELECT chr, "start", "end", flip FROM f', recursive=True)
+def flip_parity(spark, sf_dir):
+    return phase.flips(_blocks(spark, sf_dir)).select("chr", "start", "end", "flip")
+
+
+@query(_FLIP + """ SELECT bins.chr, bins."start", CASE WHEN f.flip THEN bins.hp2 ELSE bins.hp1 END AS hp1, CASE WHEN f.flip THEN bins.hp1 ELSE bins.hp2 END AS hp2, coalesce(f.flip, FALSE) AS flip
+FROM bins LEFT JOIN f ON f.chr = bins.chr AND f.flip AND bins."start" BETWEEN f."start" AND f."end\"""", recursive=True)
+def flipped_bins(spark, sf_dir):
+    return phase.apply_flips(v.bins(spark, sf_dir), phase.flips(_blocks(spark, sf_dir))).select("chr", "start", "hp1", "hp2", "flip")
+
+
+_GAPS = _BLOCKS + """, l AS (SELECT chr, "end" + 1 AS s, lead("start") OVER w - 1 AS e, CASE WHEN hp1 > hp2 THEN 1 WHEN hp1 < hp2 THEN 2 ELSE 0 END AS d, lead(CASE WHEN hp1 > hp2 THEN 1 WHEN hp1 < hp2 THEN 2 ELSE 0 END) OVER w AS n FROM b WINDOW w AS (PARTITION BY chr ORDER BY "start")),
+gap AS (SELECT chr, s AS "start", e AS "end", d AS hp FROM l WHERE d = n AND d <> 0 AND e >= s)"""
+
+
+@query(_GAPS + ' SELECT chr, "start", "end", hp FROM gap')
+def phase_gaps(spark, sf_dir):
+    return phase.gaps(_blocks(spark, sf_dir))
+
+
+@query(_GAPS + """ SELECT bins.chr, bins."start", CASE WHEN (hp = 1 AND hp1 < hp2) OR (hp = 2 AND hp1 > hp2) THEN hp2 ELSE hp1 END AS hp1, CASE WHEN (hp = 1 AND hp1 < hp2) OR (hp = 2 AND hp1 > hp2) THEN hp1 ELSE hp2 END AS hp2
+FROM bins LEFT JOIN gap ON gap.chr = bins.chr AND bins."start" BETWEEN gap."start" AND gap."end\"""")
+def fill_gaps(spark, sf_dir):
+    return phase.fill_gaps(v.bins(spark, sf_dir), _blocks(spark, sf_dir)).select("chr", "start", "hp1", "hp2")
+
+
+@query(_BLOCKS + """, l AS (SELECT *, lag(hp1) OVER w AS p1, lag(hp2) OVER w AS p2, lag("start") OVER w AS ps, lag("end") OVER w AS pe FROM b WINDOW w AS (PARTITION BY chr ORDER BY "start")),
+m AS (SELECT *, sum(CASE WHEN p1 IS NOT NULL AND (p1 < p2) = (hp1 < hp2) AND abs(p1 - p2) > least(0.3 * least(p1, p2), 10) AND abs(hp1 - hp2) > least(0.3 * least(hp1, hp2), 10) AND "start" - pe < (pe - ps + "end" - "start") / 2 THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY "start") AS run FROM l)
+SELECT chr, min("start") AS "start", max("end") AS "end", round(avg(hp1), 6) AS hp1, round(avg(hp2), 6) AS hp2 FROM m GROUP BY chr, run
+HAVING count(*) > 1 OR (abs(avg(hp1) - avg(hp2)) > least(0.3 * least(avg(hp1), avg(hp2)), 10) AND max("end") - min("start") > 50000)""")
+def merge_groups(spark, sf_dir):
+    return phase.merge_groups(_blocks(spark, sf_dir), 50_000).select("chr", "start", "end", _r("hp1"), _r("hp2"))
+
+
+@query(_BLOCKS + """ SELECT b.chr, CASE WHEN b."start" < cen."end" AND cen."end" < b."end" AND NOT (b."start" < cen."start" AND cen."start" < b."end") THEN cen."end" ELSE b."start" END AS "start",
+CASE WHEN b."start" < cen."start" AND cen."start" < b."end" THEN cen."start" ELSE b."end" END AS "end", hp1, hp2 FROM b LEFT JOIN (SELECT chr, "start" + 30000 AS "start", "end" FROM cen) cen ON cen.chr = b.chr WHERE NOT coalesce(cen."start" < b."start" AND b."end" < cen."end", FALSE)""")
+def clip_centromeres(spark, sf_dir):
+    cen = v.centromeres(spark, sf_dir).withColumn("start", F.col("start") + 30_000)
+    return phase.clip_centromeres(_blocks(spark, sf_dir), cen).select("chr", "start", "end", "hp1", "hp2")
+
+
+@query(""", t AS (SELECT CAST("end" - "start" AS BIGINT) AS length FROM blk), c AS (SELECT length, sum(length) OVER (ORDER BY length DESC ROWS UNBOUNDED PRECEDING) AS s, sum(length) OVER () AS t FROM t) SELECT max(length) AS n50 FROM c WHERE s > t * 0.5""")
+def n50(spark, sf_dir):
+    return phase.n50(v.blk(spark, sf_dir).select((F.col("end") - F.col("start")).alias("length")))
+
+
+@query("""SELECT chr, "start", "end", greatest(hp1, hp2) AS hp1, least(hp1, hp2) AS hp2 FROM bins""")
+def larger_first(spark, sf_dir):
+    return phase.larger_first(v.bins(spark, sf_dir), v.contigs(spark, sf_dir))
+
+
+@query()
+def switches_inside(spark, sf_dir):
+    return phase.switches_inside(v.bins(spark, sf_dir), _blocks(spark, sf_dir).withColumn("end", F.col("start") + 600_000), stable=2, deviation=50.0)
+
+
+@query()
+def rephase(spark, sf_dir):
+    variants = _genotyped(spark, sf_dir).dropDuplicates(["chr", "pos"]).select("chr", "pos", "gt", F.lit(1).cast("long").alias("ps"))
+    blocks = _blocks(spark, sf_dir).select("chr", "start", "end")
+    flips = phase.apply_flips(v.bins(spark, sf_dir), phase.flips(_blocks(spark, sf_dir))).where("flip").select("chr", "start")
+    lost = v.centromeres(spark, sf_dir).withColumn("hp", F.lit(1))
+    return phase.rephase(variants, flips, blocks, blocks, lost, B, 50_000)
+
+
+# --- copy number --------------------------------------------------------------------------------------------
+
+_SNAP = "CASE WHEN x < 0 THEN 0 WHEN x <= 80 THEN round_even(x / 20, {d}) ELSE round_even(4 + (x - 80) / 20, {d}) END"
+
+
+@query(f""", m AS (SELECT chr, pos // {B} AS bin_idx, round(avg(value), 4) AS x FROM snp GROUP BY 1, 2) SELECT chr, bin_idx, CAST({_SNAP.format(d=0)} AS DOUBLE) AS cn, CAST({_SNAP.format(d=2)} AS DOUBLE) AS fraction, CAST(20 * {_SNAP.format(d=0)} AS DOUBLE) AS center FROM m""")
+def cn_snap(spark, sf_dir):
+    rows = v.snp(spark, sf_dir).groupBy("chr", sc.bin_index(F.col("pos"), B).alias("bin_idx")).agg(F.round(F.avg("value"), 4).alias("x"))
+    x = F.col("x")
+    return rows.select("chr", "bin_idx", sc.snap(x, CENTERS).alias("cn"), sc.snap(x, CENTERS, 2).alias("fraction"), sc.center_of(x, CENTERS).alias("center"))
+
+
+@query("""SELECT chr, round(CASE WHEN sum("end" - "start") = 0 THEN 0 ELSE sum(round_even(hp1 * ("end" - "start"), 3)) / sum("end" - "start") END, 6) AS mean FROM bins GROUP BY chr""")
+def weighted_mean(spark, sf_dir):
+    return v.bins(spark, sf_dir).groupBy("chr").agg(F.round(sc.weighted_mean(F.col("hp1"), F.col("end") - F.col("start")), 6).alias("mean"))
+
+
+@query(f""", q AS (SELECT chr, quantile_cont(hp2, 0.25) AS a, quantile_cont(hp2, 0.75) AS b FROM bins GROUP BY chr) SELECT bins.chr, "start", hp2 FROM bins JOIN q ON q.chr = bins.chr WHERE hp2 BETWEEN a - 0.5 * (b - a) AND b + 0.5 * (b - a)""")
+def without_outliers(spark, sf_dir):
+    return cn.without_outliers(v.bins(spark, sf_dir), "hp2", ["chr"], 0.5).select("chr", "start", "hp2")
+
+
+@query(_CUTS + ' SELECT chr, "start", "end", CASE WHEN "end" = 1199999 THEN 3300 ELSE round(state, 6) END AS state FROM seg')
+def mask_centromeres(spark, sf_dir):
+    return cn.mask_centromeres(_segments(spark, sf_dir), v.centromeres(spark, sf_dir)).select("chr", "start", "end", _r("state"))
+
+
+@query(_CUTS + f""", x AS (SELECT round(state + 1e-9, 4) AS x, seg.* FROM seg), s AS (SELECT g.gene, g.chr, arg_min(x.x, x."start") AS x FROM gene g LEFT JOIN x ON x.chr = g.chr AND g."start" BETWEEN x."start" AND x."end" GROUP BY 1, 2)
+SELECT chr, gene, coalesce(x, 0) AS coverage, CAST(CASE WHEN x IS NULL THEN 0 ELSE {_SNAP.format(d=0)} END AS DOUBLE) AS cn FROM s""")
+def gene_states(spark, sf_dir):
+    segs = _segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
+    return cn.gene_states(v.gene(spark, sf_dir), segs, segs, CENTERS).select("chr", "gene", F.col("adjusted_coverage_hp1").alias("coverage"), F.col("copynumber_hp2_state").alias("cn"))
+
+
+@query(f"""SELECT bins.chr, bins."start", CASE WHEN cen.chr IS NULL THEN hp1 ELSE greatest(hp1 - 5, 0) END AS hp1, CASE WHEN cen.chr IS NULL THEN hp2 ELSE hp2 + 5 END AS hp2 FROM bins LEFT JOIN cen ON cen.chr = bins.chr AND bins."start" // {B} >= cen."start" // {B} AND bins."start" // {B} < cen."end" // {B}""")
+def move_normal(spark, sf_dir):
+    return cn.move_normal(v.bins(spark, sf_dir), v.centromeres(spark, sf_dir).withColumn("hp", F.lit(1)), 5.0, B).select("chr", "start", "hp1", "hp2")
+
+
+_WEIGHTED = "CASE WHEN sum(w) = 0 THEN 0 ELSE sum(round_even(cn * w, 3)) / sum(w) END"
+
+
+@query(_CUTS + f""", n AS (SELECT k * 0.5 AS normal FROM range(1, 20) g(k)), gc AS (SELECT normal, "end" - "start" AS w, CASE WHEN st < normal THEN 0 ELSE round_even((st - normal) / 20, 0) END AS cn FROM n CROSS JOIN (SELECT *, round(state + 1e-9, 4) AS st FROM seg))
+SELECT CAST(normal AS DOUBLE) AS normal, round(2 * {_WEIGHTED}, 6) AS ploidy FROM gc GROUP BY normal HAVING 2 * {_WEIGHTED} >= 0.1""")
+def ploidy_grid(spark, sf_dir):
+    segs = _segments(spark, sf_dir).select("chr", "start", "end", F.round(F.col("state") + 1e-9, 4).alias("depth"))
+    both = segs.withColumn("hp", F.explode(F.array(F.lit(1), F.lit(2))))
+    return cn.purity_grid(both, cn.grid(spark, 10.0, 0.5), 20.0, 5, 100.0).select("normal", _r("ploidy"))
+
+
+@query()
+def purity_grid(spark, sf_dir):
+    rows = [_segments(spark, sf_dir, f"hp{h}").select("chr", "start", "end", F.col("state").alias("depth"), F.lit(h).alias("hp")) for h in (1, 2)]
+    return cn.purity_grid(rows[0].union(rows[1]), cn.grid(spark, 30.0), 20.0, 6, 100.0, 200_000)
+
+
+@query(_CUTS + """, s AS (SELECT chr, CAST(replace(chr, 'chr', '') AS INTEGER) AS o, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN round_even(c * ("end" - "start"), 3) ELSE 0 END) AS p, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN "end" - "start" ELSE 0 END) AS w FROM (SELECT *, least(1, round(state + 1e-9, 2) / 100) AS c FROM seg) GROUP BY 1, 2),
+r AS (SELECT sum(p) OVER (ORDER BY o) AS p, sum(w) OVER (ORDER BY o) AS w FROM s) SELECT round(avg(CASE WHEN w = 0 THEN 0 ELSE p / w END), 6) AS confidence FROM r""")
+def genome_score(spark, sf_dir):
+    rows = _segments(spark, sf_dir).withColumn("confidence", F.least(F.lit(1.0), F.round(F.col("state") + 1e-9, 2) / 100))
+    return cn.genome_score(rows, 200_000).select(_r("confidence"))
+
+
+@query("""SELECT o_orderkey, round(2 * (1 - p) / (2 * (1 - p) + l * p) + 1e-9, 6) AS normal_share, round(c * (1 - p) / (2 * (1 - p) + l * p) + 1e-9, 6) AS per_haplotype, round(2 * p / (l + 2 * p - p * l) + 1e-9, 6) AS cell_purity FROM (SELECT o_orderkey, (o_orderkey % 100) / 100.0 AS p, o_orderkey % 5 + 1.0 AS l, o_totalprice / 1000 AS c FROM orders)""")
+def purity_arithmetic(spark, sf_dir):
+    p, pl = F.col("o_orderkey") % 100 / 100.0, F.col("o_orderkey") % 5 + 1.0
+    parts = sc.normal_parts(p, pl, F.col("o_totalprice") / 1000)
+    return v.table(spark, sf_dir, "orders").select("o_orderkey", F.round(parts["normal_share"] + 1e-9, 6).alias("normal_share"), F.round(parts["per_haplotype"] + 1e-9, 6).alias("per_haplotype"), F.round(sc.cell_purity(p, pl) + 1e-9, 6).alias("cell_purity"))
+
+
+@query("""SELECT chr, bin_start, kind, alt, gt FROM (SELECT chr, "start" AS bin_start, round_even(hp1 / 20, 0) AS a, round_even(hp2 / 20, 0) AS b,
+CASE WHEN (a = 0 AND b > 1) OR (b = 0 AND a > 1) THEN 'CNLOH' WHEN (a > 1 AND b > 0) OR (a > 0 AND b > 1) THEN 'GAIN' WHEN a = 1 AND b = 1 THEN 'REF' ELSE 'LOSS' END AS kind,
+CASE kind WHEN 'LOSS' THEN '<DEL>' WHEN 'GAIN' THEN '<DUP>' WHEN 'REF' THEN '.' ELSE CASE WHEN a = 0 AND b > 1 THEN '<DEL>,<DUP>' ELSE '<DUP>,<DEL>' END END AS alt,
+CASE WHEN a = 1 AND b = 1 THEN '0/0' WHEN a = 1 OR b = 1 THEN '0/1' WHEN (a > 1 AND b > 1) OR (a = 0 AND b = 0) THEN '1/1' ELSE '1/2' END AS gt FROM bins)""")
+def vcf_class(spark, sf_dir):
+    a, b = F.bround(F.col("hp1") / 20, 0), F.bround(F.col("hp2") / 20, 0)
+    return v.bins(spark, sf_dir).select("chr", F.col("start").alias("bin_start"), sc.cna_type(a, b).alias("kind"), sc.cna_alt(a, b).alias("alt"), sc.cna_genotype(a, b).alias("gt"))
+
+
+@query("""SELECT chr, ps, confidence, CAST(row_number() OVER (ORDER BY confidence DESC, ps) AS BIGINT) AS solution_rank FROM (SELECT chr, ps, hp1 AS confidence FROM blk WHERE ps < 100)""")
+def rank_first(spark, sf_dir):
+    rows = v.blk(spark, sf_dir).where("ps < 100").select("chr", "ps", F.col("hp1").alias("confidence"), F.col("ps").alias("ord"))
+    return cn.ranked(rows).select("chr", "ps", "confidence", F.col("solution_rank").cast("long").alias("solution_rank"))
+
+
+@query()
+def segment_scores(spark, sf_dir):
+    return cn.segment_scores(_segments(spark, sf_dir).withColumn("depth", F.col("state")), CENTERS)
+
+
+@query()
+def subclonal_states(spark, sf_dir):
+    return cn.subclonal(_segments(spark, sf_dir).withColumn("depth", F.col("state")), CENTERS)
+
+
+@query()
+def single_copy(spark, sf_dir):
+    rows = _segments(spark, sf_dir).select(F.col("state").alias("coverage"), (F.col("end") - F.col("start")).alias("length")).where("coverage > 0")
+    one, other = cn.single_copy_coverage(*cn.coverage_histogram(rows))
+    return spark.createDataFrame([(one, other)], "cn_one DOUBLE, cn_one_alt DOUBLE")
+
+
+# --- profiles, breakpoints, synchronisation -----------------------------------------------------------------
+
+
+def _track(spark, sf_dir, hp, step):
+    """Segments of ``step`` bins with the rounded mean of a haplotype."""
+    part = F.floor(F.col("start") / (step * B))
+    rows = v.bins(spark, sf_dir).groupBy("chr", part.alias("k")).agg(F.round(F.avg(hp), 2).alias("coverage"))
+    start = F.col("k") * step * B
+    return rows.where("k % 4 <> 3").select("chr", start.alias("start"), (start + step * B).alias("end"), "coverage", sc.snap(F.col("coverage"), CENTERS).alias("copynumber_state"), F.lit(1.0).alias("confidence"))
+
+
+@query(f""", a AS (SELECT chr, k * 7 * {B} AS s, (k + 1) * 7 * {B} AS e, c FROM (SELECT chr, "start" // (7 * {B}) AS k, round(avg(hp1), 2) AS c FROM bins GROUP BY 1, 2) WHERE k % 4 <> 3),
+b AS (SELECT chr, k * 5 * {B} AS s, (k + 1) * 5 * {B} AS e, c FROM (SELECT chr, "start" // (5 * {B}) AS k, round(avg(hp2), 2) AS c FROM bins GROUP BY 1, 2) WHERE k % 4 <> 3),
+p AS (SELECT chr, s AS x FROM a UNION SELECT chr, e FROM a UNION SELECT chr, s FROM b UNION SELECT chr, e FROM b), f AS (SELECT chr, x AS s, lead(x) OVER (PARTITION BY chr ORDER BY x) AS e FROM p)
+SELECT f.chr, f.s AS "start", f.e AS "end", coalesce(a.c, 0) AS hp1_coverage, coalesce(b.c, 0) AS hp2_coverage FROM f LEFT JOIN a ON a.chr = f.chr AND a.s <= f.s AND a.e > f.s LEFT JOIN b ON b.chr = f.chr AND b.s <= f.s AND b.e > f.s WHERE f.e IS NOT NULL AND (a.c IS NOT NULL OR b.c IS NOT NULL)""")
+def boundary_fragments(spark, sf_dir):
+    return profile.align(_track(spark, sf_dir, "hp1", 7), _track(spark, sf_dir, "hp2", 5)).select("chr", "start", "end", "hp1_coverage", "hp2_coverage")
+
+
+@query("""SELECT g.chr, g."start", g."end", coalesce(string_agg(DISTINCT CAST(b.ps AS VARCHAR), ';' ORDER BY CAST(b.ps AS VARCHAR)), '') AS ids FROM (SELECT DISTINCT chr, "start", "end" FROM gene) g LEFT JOIN blk b ON b.chr = g.chr AND b."start" BETWEEN g."start" AND g."end" GROUP BY 1, 2, 3""")
+def breakpoint_ids(spark, sf_dir):
+    points = v.blk(spark, sf_dir).select("chr", F.col("start").alias("pos"), F.col("ps").cast("string").alias("id"))
+    rows = profile.with_breakpoint_ids(v.gene(spark, sf_dir).select("chr", "start", "end").distinct(), points)
+    return rows.select("chr", "start", "end", F.array_join("svs_breakpoints_ids", ";").alias("ids"))
+
+
+@query("""SELECT id, svtype, chr1, pos1, CASE WHEN svtype = 'BND' THEN 'chr' || CAST(k % 22 + 1 AS VARCHAR) ELSE chr1 END AS chr2, CASE WHEN svtype = 'BND' THEN k * 10 ELSE pos1 + l END AS pos2, CAST(dv AS BIGINT) AS dv FROM
+(SELECT 'sv' || CAST(ps AS VARCHAR) AS id, ['DEL', 'DUP', 'INV', 'BND', 'INS'][ps % 5 + 1] AS svtype, chr AS chr1, "start" AS pos1, ("end" - "start") * 100 AS l, ps AS k, ps % 13 AS dv FROM blk)
+WHERE svtype <> 'INS' AND dv >= 3 AND (svtype <> 'DEL' OR l > 10000)""")
+def sv_junctions(spark, sf_dir):
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("DEL", "DUP", "INV", "BND", "INS"))), (F.col("ps") % 5 + 1).cast("int"))
+    length = ((F.col("end") - F.col("start")) * 100).cast("string")
+    alt = F.concat(F.lit("N[chr"), (F.col("ps") % 22 + 1).cast("string"), F.lit(":"), (F.col("ps") * 10).cast("string"), F.lit("["))
+    rows = v.blk(spark, sf_dir).select(
+        "chr", F.col("start").alias("pos"), F.concat(F.lit("sv"), F.col("ps").cast("string")).alias("id"), F.lit("N").alias("ref"), F.when(kind == "BND", alt).otherwise(kind).alias("alt"), F.lit(1.0).alias("qual"), F.lit("PASS").alias("filter"),
+        F.concat(F.lit("SVTYPE="), kind, F.lit(";SVLEN=-"), length).alias("info"), F.lit("GT:DV").alias("format"), F.concat(F.lit("0/1:"), (F.col("ps") % 13).cast("string")).alias("sample"),
+    )
+    out = bp.junctions(rows, ct.expand("chr1-22"))
+    return out.select("id", "svtype", "chr1", "pos1", "chr2", "pos2", F.col("dv").cast("long").alias("dv"))
+
+
+_SYNC = f""", snv AS (SELECT chr, pos, max(CASE WHEN et = 'view' THEN 10 ELSE 20 END) AS d1, 15 AS d2, pos // 200000 AS ps FROM snp GROUP BY chr, pos),
+blo AS (SELECT chr, ps, min(pos) AS s, max(pos) + 1 AS e FROM snv GROUP BY 1, 2),
+pro AS (SELECT chr, "start" AS s, "start" + {B} AS e, sign(hp1 - hp2) AS g FROM bins WHERE hp1 <> hp2),
+pc AS (SELECT b.chr, b.ps, greatest(b.s, p.s) AS s, least(b.e, p.e) AS e, g FROM blo b JOIN pro p ON p.chr = b.chr AND p.s < b.e AND p.e > b.s),
+vo AS (SELECT pc.chr, pc.ps, pc.s, g, count(*) AS w, sum(sign(d1 - d2)) AS t FROM pc JOIN snv ON snv.chr = pc.chr AND snv.ps = pc.ps AND snv.pos >= pc.s AND snv.pos < pc.e GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND sum(sign(d1 - d2)) <> 0),
+su AS (SELECT chr, ps, sum(CASE WHEN sign(t) = g THEN w ELSE 0 END) AS k, sum(CASE WHEN sign(t) <> g THEN w ELSE 0 END) AS f FROM vo GROUP BY 1, 2),
+al AS (SELECT b.*, (SELECT count(*) FROM snv WHERE snv.chr = b.chr AND snv.ps = b.ps) AS n, coalesce(k, 0) AS k, coalesce(f, 0) AS f FROM blo b LEFT JOIN su ON su.chr = b.chr AND su.ps = b.ps),
+re AS (SELECT *, CASE WHEN n < 3 THEN 'too_few_snvs' WHEN k + f = 0 THEN 'no_profile_data' WHEN (k + f) / n < 0.5 THEN 'insufficient_evaluable_evidence' WHEN least(k, f) / (k + f) > 0.15 THEN 'mixed_direction' END AS reason FROM al)"""
+
+
+@query(_SYNC + """ SELECT chr AS chrom, ps AS orig_ps, s AS "start", e AS "end", n AS n_snvs, CASE WHEN reason IS NULL AND f > k THEN 'flip' ELSE 'keep' END AS decision, coalesce(reason, '') AS reason FROM re""")
+def sync_decisions(spark, sf_dir):
+    snvs, prof = _sync_inputs(spark, sf_dir)
+    out = sync.decisions(sync.blocks_of(snvs), prof, snvs)
+    return out.select("chrom", "orig_ps", "start", "end", "n_snvs", "decision", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def _sync_inputs(spark, sf_dir):
+    depth = F.max(F.when(F.col("et") == "view", 10).otherwise(20))
+    snvs = v.snp(spark, sf_dir).groupBy("chr", "pos").agg(depth.alias("hp1_depth")).withColumns({"hp2_depth": F.lit(15), "ps": F.floor(F.col("pos") / 200_000)})
+    return snvs, v.bins(spark, sf_dir).select("chr", "start", (F.col("start") + B).alias("end"), "hp1", "hp2")
+
+
+@query()
+def sync_cut_blocks(spark, sf_dir):
+    snvs, prof = _sync_inputs(spark, sf_dir)
+    return sync.cut_mixed(sync.blocks_of(snvs), prof, snvs)
+
+
+@query()
+def cna_profile(spark, sf_dir):
+    """Segments of both haplotypes, snapped, scored, masked and aligned."""
+    from strandloom.plans.cna import integer_profile
+
+    return integer_profile(v.bins(spark, sf_dir), {h: _segments(spark, sf_dir, f"hp{h}") for h in (1, 2)}, CENTERS, v.centromeres(spark, sf_dir))
+
+
+@query()
+def cna_vcf(spark, sf_dir):
+    return profile.vcf_records(cna_profile(spark, sf_dir))
+
+
+@query()
+def loh_collect(spark, sf_dir):
+    rows = {h: _segments(spark, sf_dir, f"hp{h}").select("chr", "start", "end", sc.snap(F.col("state"), CENTERS).alias("cn")) for h in (1, 2)}
+    return loh.collect_regions(rows[1], rows[2], 150_000)
