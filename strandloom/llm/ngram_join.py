@@ -14,8 +14,8 @@ finds. Across the cluster this is done so:
    A group of thousands of near copies is one cluster after this, at one comparison for each copy.
 3. Records in different clusters that share a short list are still to be compared, unless too few elements are
    left from there on. Jaccard distance is a metric,
-   so the comparison of two roots settles most pairs of clusters at once; the members of the others are compared
-   one by one, unless the distances to their roots rule a link out.
+   so the comparison of two roots settles most pairs of clusters at once; of the others the members of one are
+   queries to the members of the other, unless the distances to their roots rule a link out.
 4. Comparisons run in blocks: the records to be compared with one query form inverted lists; the short ones are
    heap-merged, the long ones binary-probed (``divide_skip``).
 
@@ -44,8 +44,9 @@ from .common import ID, LOWER, TEXT, bitmap, checkpoint, id_and_text, in_bitmap,
 WIDTH = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
-#: Buckets of the frequency array, in so many slots; bytes whose words are hashed at once; records in a block.
-BUCKET_BITS, SLOTS, PIECE, BLOCK = 20, 16, 1 << 17, 64
+#: Buckets of the frequency array, in so many slots; bytes whose words are hashed at once; records compared
+#: with one query at once, and in one block of a cluster's index.
+BUCKET_BITS, SLOTS, PIECE, BLOCK, INDEX = 20, 16, 1 << 17, 64, 256
 BASE = 0xD1342543DE82EF95
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -359,6 +360,50 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _search_clusters(docs: DataFrame, records: DataFrame, clusters: DataFrame, open_: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): pairs of clusters (a, b, apart) of which any members link.
+
+    The members of the smaller cluster are queries to the larger one, whose members are an index, in blocks that
+    tasks share out. A record is shipped once as part of an index, and once for each block that it is asked against.
+    """
+    roots_ = open_.select(F.col("a").alias("root")).union(open_.select("b")).distinct()
+    members = clusters.join(roots_, "root", "left_semi").select("key", "root", "distance").union(roots_.select(F.col("root").alias("key"), "root", F.lit(0.0)))
+    members = checkpoint(members)
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.max("distance").alias("radius"))
+    side = lambda c: sizes.select(F.col("root").alias(c), F.struct("size", F.col("root").alias("root"), "radius").alias(f"side_{c}"))
+    asked = open_.join(side("a"), "a").join(side("b"), "b").select(F.greatest("side_a", "side_b").alias("index"), F.least("side_a", "side_b").alias("query"), "apart")
+    asked = checkpoint(asked.select(F.col("index.root").alias("root"), F.ceil(F.col("index.size") / INDEX).cast("int").alias("blocks"), F.col("index.radius").alias("radius"), F.col("query.root").alias("other"), "apart"))
+    parts = asked.select("root", "blocks").distinct()
+    index = members.join(parts, "root").select("root", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "key", F.col("root").alias("other"))
+    reach = F.col("distance") + F.col("radius") + (100 - SIMILARITY) / 100 + 1e-9 >= F.col("apart")
+    queries = members.withColumnRenamed("root", "other").join(asked, "other").where(reach)
+    queries = queries.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "key", "other")
+    rows = checkpoint(index.union(queries))
+    wanted = checkpoint(records.join(rows.select("key").distinct(), "key", "left_semi").select("doc_id", "key"))
+    bodies = _record_texts(docs, wanted, id_col, text_col)
+    placed = rows.join(bodies, "key").select("root", "block", "kind", "other", "body").repartition("root", "block").sortWithinPartitions("root", "block", "kind")
+
+    def run(batches):
+        hashes = WordHashes()
+        at, held = None, []
+        for batch in batches:
+            found = []
+            for root, block, kind, other, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (root, block):
+                    at, held = (root, block), []
+                here = shingles(body, hashes)
+                if kind == 0:
+                    held.append(here)
+                    continue
+                fit = [s for s in held if 100 * min(len(s), len(here)) >= SIMILARITY * max(len(s), len(here))]
+                if any(divide_skip(here, fit, [need(len(here), len(s)) for s in fit])):
+                    found.append((root, other))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     prints, classes = fingerprints(docs, id_col, text_col)
@@ -399,14 +444,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     far = pairs.where("floor <= 0").select("a", "b").join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("apart", F.lit(1.0))
     open_ = checkpoint(met.where(~_linked()).select("a", "b", _distance().alias("apart")).union(far))
     if not open_.isEmpty():
-        # tokens of these clusters only; both sides of a pair meet at a token
-        side = lambda c, o: placed.join(open_.select(F.col(c).alias("root"), F.col(o).alias("other"), "apart"), "root")
-        x, y = side("a", "b").alias("x"), side("b", "a").alias("y")
-        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.root")) & (F.col("x.root") == F.col("y.other"))
-        possible = (F.col("x.n") * ratio <= F.col("y.n")) & (F.col("y.n") * ratio <= F.col("x.n")) & _reachable(F.col("x.n"), F.col("y.n"), F.least("x.room", "y.room")) & (F.col("x.distance") + F.col("y.distance") + (1 - ratio) + 1e-9 >= F.col("x.apart"))
-        members = checkpoint(x.join(y, same & possible).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct())
-        again = compare(docs, records, members.select("a", "b", F.lit(ratio).alias("floor")), id_col, text_col).where(_linked()).select("a", "b")
-        edges = edges.union(members.join(again, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        edges = edges.union(_search_clusters(docs, records, clusters, open_, id_col, text_col))
 
     labels = connected(edges)
     rooted = clusters.select("key", "root").union(clusters.select(F.col("root").alias("key"), "root").distinct())
