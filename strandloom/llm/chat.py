@@ -48,7 +48,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     log = events.select("conv_id", "turn", F.struct("seq", text("kind").alias("kind"), text("role").alias("role"), text("text").alias("text")).alias("event"))
 
     def step(done: Column, event: Column) -> Column:
-        last = F.coalesce(F.element_at(done, -1), F.struct(event["role"].alias("role"), F.lit("").alias("text")))
+        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.struct(event["role"].alias("role"), F.lit("").alias("text")))
         before = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         new = F.when(event["kind"] == "delta", F.concat(last["text"], event["text"])).when(event["kind"] == "edit", event["text"]).otherwise("")
         changed = F.concat(before, F.array(F.struct(last["role"].alias("role"), new.alias("text"))))
