@@ -27,7 +27,7 @@ from .common import id_and_text, map_batches, texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 NONE = 1 << 62
 #: Pretokens at once, pretokens remembered by a worker, and characters of the longest one remembered.
-BLOCK, REMEMBERED, LONGEST = 200_000, 400_000, 48
+BLOCK, REMEMBERED, LONGEST = 200_000, 600_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,8 +69,10 @@ class Encoder:
         self.rank, self.made = {}, []
         for n, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[vocab[left] << 20 | vocab[right]] = n
+            self.rank[vocab[left] << 20 | vocab[right]] = n << 32
             self.made.append(vocab[left + right])
+        # leaves of the pairs of two bytes
+        self.first = [self.rank.get(a << 20 | b, NONE) for a in self.byte_ids for b in self.byte_ids]
         self.decimal = [str(n) for n in range(len(self.bytes_of))]
         self._start()
 
@@ -93,49 +95,50 @@ class Encoder:
 
     def merge(self, pretoken: bytes) -> list[int]:
         """The token ids of one pretoken."""
+        n = len(pretoken)
         ids = [self.byte_ids[b] for b in pretoken]
-        n = len(ids)
         if n < 2:
             return ids
-        rank = self.rank
+        get, made, first = self.rank.get, self.made, self.first
         width = 1 << (n - 2).bit_length()
         tree = [NONE] * (2 * width)
-        for i in range(n - 1):
-            if (r := rank.get(ids[i] << 20 | ids[i + 1])) is not None:
-                tree[width + i] = r << 32 | i
+        for i, (a, b) in enumerate(zip(pretoken, pretoken[1:], strict=False), width):
+            tree[i] = first[a << 8 | b] | i - width
         for k in range(width - 1, 0, -1):
             a, b = tree[2 * k], tree[2 * k + 1]
             tree[k] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, value: int) -> None:
-            k = width + i
-            tree[k] = value
-            while k > 1:
-                other = tree[k ^ 1]
-                k >>= 1
-                if other < value:
-                    value = other
-                if tree[k] == value:
-                    return
-                tree[k] = value
-
-        while (best := tree[1]) != NONE:
+        while (best := tree[1]) < NONE:
             i = best & 0xFFFFFFFF
             j = after[i]
-            ids[i] = self.made[best >> 32]
+            ids[i] = new = made[best >> 32]
             ids[j] = -1
             after[i] = k = after[j]
-            if j < n - 1 or width > j:
-                put(j, NONE)
-            r = None
+            tree[width + i] = NONE
+            if j < width:
+                tree[width + j] = NONE
             if k < n:
                 before[k] = i
-                r = rank.get(ids[i] << 20 | ids[k])
-            put(i, NONE if r is None else r << 32 | i)
-            if (p := before[i]) >= 0:
-                r = rank.get(ids[p] << 20 | ids[i])
-                put(p, NONE if r is None else r << 32 | p)
+                tree[width + i] = get(new << 20 | ids[k], NONE) | i
+            p = before[i]
+            if p >= 0:
+                tree[width + p] = get(ids[p] << 20 | new, NONE) | p
+            else:
+                p = i
+            low, high = width + p >> 1, width + min(j, width - 1) >> 1
+            if high - low < 8:  # the paths of neighbouring leaves, level by level
+                while low:
+                    for x in range(low, high + 1):
+                        a, b = tree[2 * x], tree[2 * x + 1]
+                        tree[x] = a if a < b else b
+                    low >>= 1
+                    high >>= 1
+            else:
+                for x in (width + p >> 1, width + i >> 1, high):
+                    while x:
+                        a, b = tree[2 * x], tree[2 * x + 1]
+                        tree[x] = a if a < b else b
+                        x >>= 1
         return [x for x in ids if x >= 0]
 
     def _pieces(self, text: str) -> Iterator[str | int]:
