@@ -274,7 +274,7 @@ def _postings(docs: DataFrame, classes: np.ndarray, id_col: str, text_col: str)
 
 
 def _record_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, body) for the wanted (doc_id, key). A bitmap of the ids keeps other texts where they are."""
+    """(doc_id, key, body) of the wanted doc_ids, and of some others: a bitmap of the ids keeps most texts in place."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id", 24))
 
     def run(batches):
@@ -286,19 +286,20 @@ def _record_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
                 keys = [key_of(shingles(t, hashes))[0] for t in texts(some)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), some.column(1).cast(pa.binary())], ["doc_id", "key", "body"])
 
-    rows = id_and_text(docs, id_col, text_col).where(F.col(ID).isNotNull()).mapInArrow(run, "doc_id long, key long, body binary")
-    return rows.join(wanted, ["doc_id", "key"], "left_semi").select("key", "body")
+    return id_and_text(docs, id_col, text_col).where(F.col(ID).isNotNull()).mapInArrow(run, "doc_id long, key long, body binary")
 
 
 def compare(docs: DataFrame, records: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b, n_a, n_b, shared) for pairs of keys (a, b, floor), where the similarity reaches the floor.
 
-    Many b may come for one a: they are compared with it in blocks.
+    Many b may come for one a: they are compared with it in blocks. Texts are shuffled once, by key and id, and both
+    joins read the same exchange.
     """
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = checkpoint(records.join(wanted, "key", "left_semi").select("doc_id", "key"))
-    bodies = _record_texts(docs, wanted, id_col, text_col)
-    joined = pairs.join(bodies.select(F.col("key").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("key").alias("a"), F.col("body").alias("body_a")), "a")
+    side = lambda c: records.select(F.col("key").alias(c), F.col("doc_id").alias(f"doc_{c}"))
+    pairs = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "doc_a", "b", "doc_b", "floor"))
+    bodies = _record_texts(docs, pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")), id_col, text_col)
+    body = lambda c: bodies.select(F.col("key").alias(c), F.col("doc_id").alias(f"doc_{c}"), F.col("body").alias(f"body_{c}"))
+    joined = pairs.join(body("b"), ["b", "doc_b"]).join(body("a"), ["a", "doc_a"])
 
     def run(batches):
         hashes = WordHashes()
@@ -378,10 +379,9 @@ def _search_clusters(docs: DataFrame, records: DataFrame, clusters: DataFrame, o
     reach = F.col("distance") + F.col("radius") + (100 - SIMILARITY) / 100 + 1e-9 >= F.col("apart")
     queries = members.withColumnRenamed("root", "other").join(asked, "other").where(reach)
     queries = queries.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "key", "other")
-    rows = checkpoint(index.union(queries))
-    wanted = checkpoint(records.join(rows.select("key").distinct(), "key", "left_semi").select("doc_id", "key"))
-    bodies = _record_texts(docs, wanted, id_col, text_col)
-    placed = rows.join(bodies, "key").select("root", "block", "kind", "other", "body").repartition("root", "block").sortWithinPartitions("root", "block", "kind")
+    rows = checkpoint(index.union(queries).join(records.select("key", "doc_id"), "key"))
+    bodies = _record_texts(docs, rows.select("doc_id"), id_col, text_col)
+    placed = rows.join(bodies, ["key", "doc_id"]).select("root", "block", "kind", "other", "body").repartition("root", "block").sortWithinPartitions("root", "block", "kind")
 
     def run(batches):
         hashes = WordHashes()
