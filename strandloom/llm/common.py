@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes A-Z lower-cased, others as they are.
@@ -81,6 +81,20 @@ def in_bitmap(bitmap_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap_[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def smallest_hashes(df: DataFrame, column: str, n: int, by: str) -> DataFrame:
+    """The rows with the n smallest hashes of a column for each value of ``by``, or about as many.
+
+    Rows are counted first, so that only a little more than n of each value go to the window that cuts them; the
+    table of counts has a row for each value, which must be few.
+    """
+    space = 1 << 40
+    place = F.pmod(F.xxhash64(column), F.lit(space))
+    counts = df.groupBy(by).agg(F.count("*").alias("__rows"))
+    near = df.join(F.broadcast(counts), by).where(place < F.lit(float(space)) * F.least(F.lit(1.0), F.lit(1.25 * n) / F.col("__rows"))).drop("__rows")
+    order = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(column), column))
+    return near.withColumn("__place", order).where(F.col("__place") <= n).drop("__place")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,10 +20,10 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, id_and_text, map_batches, texts
+from .common import ID, TEXT, id_and_text, map_batches, smallest_hashes, texts
 from .quality import held_out
 
 MAX_DOCS, MAX_WORDS = 5_000, 50_000
@@ -116,9 +116,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     The ids chosen are at most ``max_docs`` for each language, so they can be broadcast.
     """
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(ID), ID))
     ids = docs.select(docs[id_col].cast("long").alias(ID), docs[lang_col].cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col(ID).isNotNull())
-    chosen = ids.withColumn("place", place).where(F.col("place") <= max_docs).select(F.col(ID).alias("chosen"), "lang").distinct()
+    chosen = smallest_hashes(ids, ID, max_docs, "lang").select(F.col(ID).alias("chosen"), "lang").distinct()
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.join(F.broadcast(chosen), rows[ID] == F.col("chosen")).select(TEXT, "lang")
 
