@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, id_and_text, map_batches, texts
+from .common import ID, TEXT, id_and_text, map_batches, smallest_hashes, texts
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_LABELS = 20_000
@@ -174,10 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The rows chosen are at most ``max_labels`` pairs of numbers, so they can be broadcast to the documents; what
     comes back are their features.
     """
-    chosen = (
-        labels.select(labels[id_col].cast("long").alias("label_id"), labels[label_col].cast("int").alias("y")).where("label_id IS NOT NULL AND y IN (0, 1)")
-        .orderBy(F.xxhash64("label_id"), "label_id", "y").limit(max_labels)
-    )
+    known = labels.select(labels[id_col].cast("long").alias("label_id"), labels[label_col].cast("int").alias("y")).where("label_id IS NOT NULL AND y IN (0, 1)")
+    chosen = smallest_hashes(known.withColumn("all", F.lit(1)), "label_id", max_labels, "all").drop("all")
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.join(F.broadcast(chosen), rows[ID] == chosen["label_id"]).select(ID, TEXT, "y")
 
