@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Fixed value: the number that stands for "masked" in files.
 SENTINEL = 3300
@@ -50,8 +51,9 @@ def center_of(x: Column, centers: list[float]) -> Column:
     """Coverage moved to the nearest center, by the same interpolation and extrapolation."""
     step = centers[-1] - centers[-2] if len(centers) > 1 else 0.0
     cn = snap(x, centers)
-    inside = F.element_at(F.array(*(F.lit(float(c)) for c in centers)), (F.least(cn, F.lit(float(len(centers) - 1))) + 1).cast("int"))
-    return F.when(cn < len(centers), inside).otherwise(F.lit(centers[-1]) + (cn - (len(centers) - 1)) * F.lit(step))
+    place = F.least(F.abs(cn), F.lit(float(len(centers) - 1))) + 1
+    inside = F.element_at(F.array(*(F.lit(float(c)) for c in centers)), place.cast("int"))
+    return F.when(is_masked(x), x.cast("double")).when(cn < len(centers), inside).otherwise(F.lit(centers[-1]) + (cn - (len(centers) - 1)) * F.lit(step))
 
 
 def nearest_center(x: Column, centers: Column) -> Column:
@@ -59,7 +61,7 @@ def nearest_center(x: Column, centers: Column) -> Column:
     return F.array_min(F.transform(centers, lambda c, i: F.struct(F.abs(c - x).alias("d"), i.alias("i"), c.alias("c"))))["c"]
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(v) if v == v else None)
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from strandloom.functions import intervals as iv
 from strandloom.functions.scalar import SENTINEL, allele_depths, bin_index, fold_vaf, is_hom
@@ -26,12 +27,13 @@ def plain_bases(text: str, ref: str) -> str:
         elif m := _INDEL.match(text, at):
             at = m.end() + int(m[1])
         else:
-            out.append(ref if c in ".," else c)
+            if c != "$":
+                out.append(ref if c in ".," else c)
             at += 1
     return "".join(out).upper()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _plain(text: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([plain_bases(t or "", r or "N") for t, r in zip(text, ref, strict=True)])
 

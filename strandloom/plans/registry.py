@@ -454,9 +454,9 @@ def rephase(spark, sf_dir):
 _SNAP = "CASE WHEN x < 0 THEN 0 WHEN x <= 80 THEN round_even(x / 20, {d}) ELSE round_even(4 + (x - 80) / 20, {d}) END"
 
 
-@query(f""", m AS (SELECT chr, pos // {B} AS bin_idx, round(avg(value), 4) AS x FROM snp GROUP BY 1, 2) SELECT chr, bin_idx, CAST({_SNAP.format(d=0)} AS DOUBLE) AS cn, CAST({_SNAP.format(d=2)} AS DOUBLE) AS fraction, CAST(20 * {_SNAP.format(d=0)} AS DOUBLE) AS center FROM m""")
+@query(f""", m AS (SELECT chr, pos // {B} AS bin_idx, round(avg(value), 4) + 0.00001 AS x FROM snp GROUP BY 1, 2) SELECT chr, bin_idx, CAST({_SNAP.format(d=0)} AS DOUBLE) AS cn, CAST({_SNAP.format(d=2)} AS DOUBLE) AS fraction, CAST(20 * {_SNAP.format(d=0)} AS DOUBLE) AS center FROM m""")
 def cn_snap(spark, sf_dir):
-    rows = v.snp(spark, sf_dir).groupBy("chr", sc.bin_index(F.col("pos"), B).alias("bin_idx")).agg(F.round(F.avg("value"), 4).alias("x"))
+    rows = v.snp(spark, sf_dir).groupBy("chr", sc.bin_index(F.col("pos"), B).alias("bin_idx")).agg((F.round(F.avg("value"), 4) + 0.00001).alias("x"))
     x = F.col("x")
     return rows.select("chr", "bin_idx", sc.snap(x, CENTERS).alias("cn"), sc.snap(x, CENTERS, 2).alias("fraction"), sc.center_of(x, CENTERS).alias("center"))
 
