@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.lineage import checkpoint
 from strandloom.functions.scalar import is_masked, snap, weighted_mean
 from strandloom.operators import copynumber as cn
 from strandloom.operators import profile, segments
@@ -56,7 +57,7 @@ def tracks_of(bins: DataFrame, points: DataFrame, centromeres: DataFrame, size:
         own = points.where(F.col("hp").isNull() | (F.col("hp") == hp)).select("chr", "pos")
         outside = own.join(F.broadcast(centromeres.select("chr", F.col("start").alias("__s"), F.col("end").alias("__e"))), "chr", "left").where("__s IS NULL OR pos NOT BETWEEN __s AND __e").select("chr", "pos")
         cuts = segments.first_in_bin(outside, size).union(fixed)
-        out[hp] = segments.cut_segments(bins.select("chr", "start", F.col(f"hp{hp}").alias("value")), cuts, size, centromeres.select("chr", "end"))
+        out[hp] = checkpoint(segments.cut_segments(bins.select("chr", "start", F.col(f"hp{hp}").alias("value")), cuts, size, centromeres.select("chr", "end")))
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
+from strandloom.functions.lineage import checkpoint
 from strandloom.operators import coverage, loh, phase, snps
 
 
@@ -46,32 +47,33 @@ def run(frequencies: DataFrame, positions: DataFrame, contigs: DataFrame, centro
     """
     size = settings.bin_size
     snp = frequencies.select("chr", "pos", F.col("freq_value_a").cast("double").alias("hp1"), F.col("freq_value_b").cast("double").alias("hp2"))
-    bins = coverage.snp_bin_mean(snp, iv.fixed_bins(contigs, size), size).select("chr", "start", "end", "hp1", "hp2", F.lit(0.0).alias("hp3"))
-    original = blocks_of(positions, settings)
+    # each step reads bins and blocks more than once, so both are cut from their lineage as they change
+    bins = checkpoint(coverage.snp_bin_mean(snp, iv.fixed_bins(contigs, size), size).select("chr", "start", "end", "hp1", "hp2", F.lit(0.0).alias("hp3")))
+    original = checkpoint(blocks_of(positions, settings))
     keyed = original.withColumn("block", F.col("start"))
     values = coverage.snp_interval_values(snp, keyed, "block", ("hp1", "hp2"), False).select("chr", "start", "end", "hp1", "hp2")
     lost = contigs.select("chr", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(1).alias("hp")).where("false")
     if zygosity is not None:
         found = snps.loh_regions(snps.zygosity_counts(zygosity, settings.snp_bin_size), settings.snp_bin_size, settings.het_ratio)
-        lost = loh.assign_haplotype(loh.long_regions(found, settings.min_loh), bins, size)
-        bins = loh.give_to_first(bins, depth if depth is not None else bins, lost)
+        lost = checkpoint(loh.assign_haplotype(loh.long_regions(found, settings.min_loh), bins, size))
+        bins = checkpoint(loh.give_to_first(bins, depth if depth is not None else bins, lost))
         values = phase.cut_at_regions(values, lost.select("chr", "start", "end")).na.fill(0.0, ["hp1", "hp2"])
-    values = phase.clip_centromeres(values, centromeres)
+    values = checkpoint(phase.clip_centromeres(values, centromeres))
     # switches inside a block break it up before neighbours are compared
     inside = phase.switches_inside(bins, values)
     broken = inside.where("broken").select("chr", F.col("start").alias("pos"))
-    values = iv.split_at(values, broken)
-    bins = phase.align_inside(bins, values)
-    first = phase.flips(values)
-    bins = phase.apply_flips(bins, first)
+    values = checkpoint(iv.split_at(values, broken))
+    bins = checkpoint(phase.align_inside(bins, values))
+    first = checkpoint(phase.flips(values))
+    bins = checkpoint(phase.apply_flips(bins, first))
     events = bins.where("flip").select("chr", "start", "end")
     values = first.withColumns(phase.swap(F.col("flip"))).drop("flip")
-    bins = phase.fill_gaps(bins.drop("flip"), values)
-    merged = phase.merge_groups(values)
-    second = phase.flips(merged, product=True)
-    bins = phase.apply_flips(bins, second)
+    bins = checkpoint(phase.fill_gaps(bins.drop("flip"), values))
+    merged = checkpoint(phase.merge_groups(values))
+    second = checkpoint(phase.flips(merged, product=True))
+    bins = checkpoint(phase.apply_flips(bins, second))
     events = events.unionByName(bins.where("flip").select("chr", "start", "end"))
-    bins = phase.align_blockless(bins.drop("flip"), second.withColumns(phase.swap(F.col("flip"))).drop("flip"), size)
+    bins = checkpoint(phase.align_blockless(bins.drop("flip"), second.withColumns(phase.swap(F.col("flip"))).drop("flip"), size))
     bare = contigs.join(original.select("chr").distinct(), "chr", "left_anti")
     bins = phase.larger_first(bins, bare)
     blocks = phase.add_missing(merged.select("chr", "start", "end"), original)
