@@ -26,8 +26,8 @@ from .common import id_and_text, map_batches, texts
 #: Fixed value: the pattern that byte-level vocabularies split text by; white space by its Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 NONE = 1 << 62
-#: Pretokens at once, pretokens remembered by a worker, and characters of the longest one remembered.
-BLOCK, REMEMBERED, LONGEST = 200_000, 600_000, 48
+#: Pretokens at once, pretokens of a generation that a worker remembers, and characters of the longest one remembered.
+BLOCK, REMEMBERED, LONGEST = 200_000, 500_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -38,16 +38,20 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Memory(dict):
-    """Token ids of short pretokens, of a bounded number."""
+    """Token ids of short pretokens, of a bounded number: a full generation becomes the old one, from which what is
+    used again is taken over."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, pretoken: str) -> list[int]:
-        ids = self.encoder.merge(pretoken.encode())
+        ids = self.old.get(pretoken)
+        if ids is None:
+            ids = self.encoder.merge(pretoken.encode())
         if len(pretoken) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[pretoken] = ids
         return ids
