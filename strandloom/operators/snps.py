@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,6 +16,7 @@ from strandloom.functions import intervals as iv
 from strandloom.functions.scalar import SENTINEL, allele_depths, bin_index, fold_vaf, is_hom
 
 MIN_SNPS, SNP_BIN, HET_RATIO = 5, 200_000, 0.15
+_CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 _INDEL = re.compile(r"[+-](\d+)")
 
 
@@ -50,6 +53,40 @@ def count_bases(observed: DataFrame) -> DataFrame:
     return good.groupBy("chr", "start").agg(*(F.count_if(F.col("base") == x).cast("int").alias(x.lower()) for x in "ACGT"))
 
 
+def pileup(alignments: DataFrame, positions: DataFrame, bucket: int = 100_000) -> DataFrame:
+    """One row per read base at the given positions: chr, start, base, mapq, baseq; for ``count_bases``.
+
+    alignments: ref_id, pos (from 0), cigar, seq, qual, mapq, flag. positions: chr, start (from 1). Reads meet
+    positions by an equi-join on (contig, bucket), so a read is copied once for each bucket that it touches, and a
+    row holds at most ``bucket`` positions.
+    """
+    wanted = positions.groupBy(F.col("chr").alias("ref_id"), bin_index(F.col("start") - 1, bucket).alias("__bucket")).agg(F.sort_array(F.collect_set(F.col("start") - 1)).alias("places"))
+    used = alignments.where(F.expr("(flag & 1796) = 0")).select("ref_id", "pos", "cigar", "seq", "qual", "mapq")
+    span = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+    spread = used.withColumn("__bucket", F.explode(F.sequence(bin_index(F.col("pos"), bucket), bin_index(F.col("pos") + F.greatest(span - 1, F.lit(0)), bucket))))
+    joined = spread.join(wanted, ["ref_id", "__bucket"]).select("ref_id", "pos", "cigar", "seq", "qual", "mapq", "places")
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                at, q, places = r["pos"], 0, r["places"]
+                for n, op in ((int(n), op) for n, op in _CIGAR.findall(r["cigar"])):
+                    if op in "M=X":
+                        for p in places[bisect_left(places, at) : bisect_left(places, at + n)]:
+                            i = q + p - at
+                            out.append((r["ref_id"], p + 1, r["seq"][i], r["mapq"], r["qual"][i]))
+                        at, q = at + n, q + n
+                    elif op in "DN":
+                        at += n
+                    elif op in "IS":
+                        q += n
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["chr", "start", "base", "mapq", "baseq"])
+
+    return joined.mapInArrow(run, "chr string, start long, base string, mapq int, baseq int")
+
+
 def frequencies(het_snps: DataFrame, counts: DataFrame, unphased: bool = False) -> DataFrame:
     """Depth of each haplotype at heterozygous SNPs: an inner equi-join of positions and base counts."""
     both = het_snps.join(counts, ["chr", "start"])

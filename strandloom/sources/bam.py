@@ -14,7 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "read_id STRING, ref_id STRING, pos BIGINT, cigar STRING, is_reverse BOOLEAN, mapq INT, haplotype TINYINT, genome_id STRING, flag INT"
+#: With the option ``bases``: the read's bases and their qualities.
+BASES_SCHEMA = SCHEMA + ", seq STRING, qual BINARY"
 _OPS = "MIDNSHP=X"
+_PAIRS = [a + b for a in "=ACMGRSVTWYHKDBN" for b in "=ACMGRSVTWYHKDBN"]
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 
 
@@ -112,6 +115,7 @@ class BamReader(DataSourceReader):
         self.paths = options["path"].split(",")
         self.step = int(options.get("rangebytes", 32 << 20))
         self.genome = options.get("genome_id")
+        self.bases = options.get("bases", "false").lower() == "true"
 
     def partitions(self) -> list[Range]:
         import os
@@ -179,14 +183,17 @@ class BamReader(DataSourceReader):
         ref, pos, name, mapq, _, ops, flag, bases = struct.unpack_from("<iiBBHHHi", r, 0)
         at = 32 + name
         cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{ops}I", r, at))
-        tags = r[at + 4 * ops + (bases + 1) // 2 + bases :]
-        return (r[32 : 31 + name].decode(), names[ref] if ref >= 0 else None, pos, cigar, bool(flag & 16), mapq, haplotype(tags), self.genome or path.rsplit("/", 1)[-1], flag)
+        packed = at + 4 * ops
+        quality = packed + (bases + 1) // 2
+        tags = r[quality + bases :]
+        more = ("".join(map(_PAIRS.__getitem__, r[packed:quality]))[:bases], r[quality : quality + bases]) if self.bases else ()
+        return (r[32 : 31 + name].decode(), names[ref] if ref >= 0 else None, pos, cigar, bool(flag & 16), mapq, haplotype(tags), self.genome or path.rsplit("/", 1)[-1], flag, *more)
 
 
 class BamSource(DataSource):
     """``spark.dataSource.register(BamSource)``; then ``spark.read.format("bam").load("a.bam,b.bam")``.
 
-    Options: rangebytes, genome_id. Files must be readable as files by every executor.
+    Options: rangebytes, genome_id, bases. Files must be readable as files by every executor.
     """
 
     @classmethod
@@ -194,7 +201,7 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return SCHEMA
+        return BASES_SCHEMA if dict(self.options).get("bases", "false").lower() == "true" else SCHEMA
 
     def reader(self, schema) -> BamReader:
         return BamReader(dict(self.options))

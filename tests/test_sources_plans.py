@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import cli, schemas
-from strandloom.operators import coverage, reads
+from strandloom.operators import coverage, reads, snps
 from strandloom.plans import cna, hapcorrect
 from strandloom.sources import bam, sinks, tables
 from strandloom.streaming import coverage as streams
@@ -60,6 +60,22 @@ def test_bam_ranges_read_every_record_once(spark, tmp_path, step):
     assert hist.agg(F.sum("depth")).first()[0] > 300
 
 
+def test_bases_at_positions(spark, tmp_path):
+    path = str(tmp_path / "b.bam")
+    write_bam(path, [record("a", 0, 99, [(2, "S"), (10, "M"), (3, "D"), (5, "I"), (10, "M")]), record("b", 0, 104, [(20, "M")], 1024), record("c", 1, 99_995, [(10, "M")])])
+    spark.dataSource.register(bam.BamSource)
+    df = spark.read.format("bam").option("bases", "true").load(path)
+    assert [len(r.seq) for r in df.orderBy("read_id").collect()] == [27, 20, 10] and df.first().qual[0] == 30
+    rng = random.Random(1)
+    letters = "".join(rng.choice("ACGT") for _ in range(27))
+    df = df.withColumn("seq", F.lit(letters))
+    places = [("chr1", p) for p in (99, 100, 109, 110, 112, 113, 122, 123)] + [("chr2", 99_996), ("chr2", 100_001), ("chr2", 100_006)]
+    got = {(r.chr, r.start): r.base for r in snps.pileup(df, spark.createDataFrame(places, "chr STRING, start BIGINT")).collect()}
+    assert got == {("chr1", 100): letters[2], ("chr1", 109): letters[11], ("chr1", 113): letters[17], ("chr1", 122): letters[26], ("chr2", 99_996): letters[0], ("chr2", 100_001): letters[5]}
+    counts = snps.count_bases(snps.pileup(df, spark.createDataFrame(places, "chr STRING, start BIGINT")))
+    assert counts.count() == 6 and counts.agg(F.sum(F.col("a") + F.col("c") + F.col("g") + F.col("t"))).first()[0] == 6
+
+
 VCF = """##fileformat=VCFv4.2
 ##FORMAT=<ID=VAF,Number=1,Type=Float,Description="x">
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS
