@@ -638,3 +638,95 @@ def cna_vcf(spark, sf_dir):
 def loh_collect(spark, sf_dir):
     rows = {h: _segments(spark, sf_dir, f"hp{h}").select("chr", "start", "end", sc.snap(F.col("state"), CENTERS).alias("cn")) for h in (1, 2)}
     return loh.collect_regions(rows[1], rows[2], 150_000)
+
+
+# --- further operators ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT bins.chr, bins."start", CASE WHEN cen.chr IS NULL THEN hp1 ELSE 3300 END AS hp1 FROM bins LEFT JOIN cen ON cen.chr = bins.chr AND bins."start" BETWEEN cen."start" AND cen."end\"""")
+def mask_bins(spark, sf_dir):
+    return cn.mask_bins(v.bins(spark, sf_dir), v.centromeres(spark, sf_dir).withColumn("state", F.lit(3300.0)), "hp1").select("chr", "start", "hp1")
+
+
+@query(_CUTS + f""", x AS (SELECT chr, "start" AS s, "end" AS e, round(state + 1e-9, 4) AS x FROM seg), f AS (SELECT bins.chr, bins."start", arg_min(x, s) AS x FROM bins LEFT JOIN x ON x.chr = bins.chr AND bins."start" BETWEEN s AND e GROUP BY 1, 2)
+SELECT chr, "start", CAST(CASE WHEN x IS NULL THEN 0 ELSE {_SNAP.format(d=0)} END AS DOUBLE) AS cn FROM f""")
+def bin_states(spark, sf_dir):
+    segs = _segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
+    return cn.bin_states(v.bins(spark, sf_dir), segs, CENTERS).select("chr", "start", "cn")
+
+
+@query(_BLOCKS + """ SELECT b.chr, b."start", b."end", round(coalesce(median(CASE WHEN bins.hp1 <> 0 THEN bins.hp1 END), 0), 6) AS hp1, round(coalesce(median(CASE WHEN bins.hp2 <> 0 THEN bins.hp2 END), 0), 6) AS hp2
+FROM (SELECT chr, "start", "start" + 250000 AS "end" FROM b) b LEFT JOIN bins ON bins.chr = b.chr AND bins."start" BETWEEN b."start" AND b."end" GROUP BY 1, 2, 3""")
+def interval_bin_median(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).select("chr", "start", (F.col("start") + 250_000).alias("end"))
+    return cov.interval_bin_median(v.bins(spark, sf_dir), blocks).select("chr", "start", "end", _r("hp1"), _r("hp2"))
+
+
+@query(f"""SELECT cen.chr, cen."start", cen."end", CASE WHEN avg(hp2) > 0.0001 THEN 2 ELSE 1 END AS hp FROM cen LEFT JOIN bins ON bins.chr = cen.chr AND bins."start" // {B} BETWEEN cen."start" // {B} + 1 AND cen."end" // {B} - 2 GROUP BY 1, 2, 3""")
+def loh_haplotype(spark, sf_dir):
+    return loh.assign_haplotype(v.centromeres(spark, sf_dir).withColumn("hp", F.lit(1)), v.bins(spark, sf_dir), B)
+
+
+@query("""SELECT bins.chr, bins."start", CASE WHEN cen.chr IS NULL THEN hp1 ELSE round(hp1 + hp2, 6) END AS hp1, CASE WHEN cen.chr IS NULL THEN hp2 ELSE 0.0001 END AS hp2 FROM bins LEFT JOIN cen ON cen.chr = bins.chr AND bins."start" BETWEEN cen."start" AND cen."end\"""")
+def loh_coverage(spark, sf_dir):
+    bins = v.bins(spark, sf_dir).withColumn("hp3", F.lit(0.0))
+    return loh.give_to_first(bins, bins, v.centromeres(spark, sf_dir)).select("chr", "start", _r("hp1"), "hp2")
+
+
+@query("""SELECT bins.chr, "start", hp1, (ord - 1) * len + "start" AS start_overall FROM bins JOIN contigs ON contigs.chr = bins.chr""")
+def genome_track(spark, sf_dir):
+    return snps.with_genome_position(v.bins(spark, sf_dir), ct.with_offsets(v.contigs(spark, sf_dir))).select("chr", "start", "hp1", "start_overall")
+
+
+@query("""SELECT chr, ps % 40 AS phasesets, max("start") - min("start") AS length FROM blk GROUP BY 1, 2 HAVING max("start") - min("start") > 10000 AND count(*) >= 10""")
+def block_lengths(spark, sf_dir):
+    return phase.block_lengths(v.blk(spark, sf_dir).select("chr", F.col("start").alias("position"), (F.col("ps") % 40).alias("phasesets")))
+
+
+@query(_BLOCKS + """ SELECT chr, "start", "end" FROM b WHERE NOT EXISTS (SELECT 1 FROM cen WHERE cen.chr = b.chr AND cen."end" >= b."start" AND cen."start" <= b."end") UNION ALL SELECT chr, "start", "end" FROM cen""")
+def blocks_without_loh(spark, sf_dir):
+    return phase.without_loh(_blocks(spark, sf_dir).select("chr", "start", "end"), v.centromeres(spark, sf_dir))
+
+
+@query(_BLOCKS + """, s AS (SELECT * FROM b WHERE ("start" // 100000) % 3 = 0), l AS (SELECT chr, "end" + 1 AS f, lead("start") OVER w - 1 AS t, "end" AS e, lead("start") OVER w AS n, hp1 AS a1, hp2 AS a2, lead(hp1) OVER w AS b1, lead(hp2) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY chr ORDER BY "start")),
+gg AS (SELECT * FROM l WHERE n - e > 100000)
+SELECT bins.chr, bins."start", CASE WHEN gg.chr IS NULL THEN hp1 ELSE hp2 END AS hp1, CASE WHEN gg.chr IS NULL THEN hp2 ELSE hp1 END AS hp2 FROM bins LEFT JOIN gg ON gg.chr = bins.chr AND bins."start" BETWEEN f AND t
+AND abs(hp2 - a1) + abs(hp1 - a2) < abs(hp1 - a1) + abs(hp2 - a2) AND abs(hp2 - b1) + abs(hp1 - b2) < abs(hp1 - b1) + abs(hp2 - b2)""")
+def align_blockless(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).where("floor(start / 100000) % 3 = 0")
+    return phase.align_blockless(v.bins(spark, sf_dir), blocks, B).select("chr", "start", "hp1", "hp2")
+
+
+@query(_SYNC + """ SELECT snv.chr, snv.pos, CASE WHEN re.reason IS NULL AND re.f > re.k THEN '1|0' ELSE '0|1' END AS gt, snv.ps FROM snv JOIN re ON re.chr = snv.chr AND re.ps = snv.ps""")
+def sync_variants(spark, sf_dir):
+    data, prof = _sync_inputs(spark, sf_dir)
+    variants = data.select("chr", "pos", F.lit("0|1").alias("gt"), "ps")
+    return sync.apply_decisions(variants, sync.decisions(sync.blocks_of(data), prof, data)).select("chr", "pos", "gt", "ps")
+
+
+@query("""SELECT id, CASE WHEN (o1, p1) <= (o2, p2) THEN c1 ELSE c2 END AS chr1, least((o1, p1), (o2, p2))[2] AS pos1, CASE WHEN (o1, p1) <= (o2, p2) THEN c2 ELSE c1 END AS chr2, greatest((o1, p1), (o2, p2))[2] AS pos2 FROM
+(SELECT 'sv' || CAST(ps AS VARCHAR) AS id, chr AS c1, "start" AS p1, CAST(replace(chr, 'chr', '') AS BIGINT) AS o1, 'chr' || CAST(ps % 22 + 1 AS VARCHAR) AS c2, ps * 10 AS p2, ps % 22 + 1 AS o2 FROM blk)""")
+def sv_arcs(spark, sf_dir):
+    pairs = v.blk(spark, sf_dir).select(
+        F.concat(F.lit("sv"), F.col("ps").cast("string")).alias("id"), F.lit("BND").alias("svtype"), F.col("chr").alias("chr1"), F.col("start").alias("pos1"),
+        F.concat(F.lit("chr"), (F.col("ps") % 22 + 1).cast("string")).alias("chr2"), (F.col("ps") * 10).alias("pos2"), F.lit("0|0").alias("hp"), F.lit(9).alias("dv"),
+    )
+    return bp.arcs(pairs).select("id", "chr1", "pos1", "chr2", "pos2")
+
+
+@query()
+def cut_at_regions(spark, sf_dir):
+    return phase.cut_at_regions(_blocks(spark, sf_dir).select("chr", "start", "end"), v.centromeres(spark, sf_dir))
+
+
+@query()
+def subclonal_profile(spark, sf_dir):
+    from strandloom.plans.cna import subclonal_profile as make
+
+    return make({h: _segments(spark, sf_dir, f"hp{h}") for h in (1, 2)}, CENTERS)
+
+
+@query()
+def center_pools(spark, sf_dir):
+    segs = _segments(spark, sf_dir)
+    return cn.center_pools(v.bins(spark, sf_dir), segs.withColumn("state", sc.snap(F.col("state"), CENTERS)), "hp1")

@@ -81,6 +81,6 @@ blk AS (SELECT 'chr' || CAST(o_custkey % 22 + 1 AS VARCHAR) AS chr, o_orderkey A
   CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) * 1000 + floor(o_totalprice / 1000) + 1 AS BIGINT) AS "end", floor(o_totalprice / 10000) AS hp1, CAST(o_orderkey % 50 AS DOUBLE) AS hp2 FROM orders),
 gene AS (SELECT 'chr' || CAST(p_partkey % 22 + 1 AS VARCHAR) AS chr, (p_partkey * 7919) % 2900000 AS "start", CAST((p_partkey * 7919) % 2900000 + p_size * 1000 AS BIGINT) AS "end", 'G' || CAST(p_partkey AS VARCHAR) AS gene FROM part),
 contigs AS (SELECT 'chr' || CAST(i AS VARCHAR) AS chr, CAST({LENGTH} AS BIGINT) AS len, i AS ord FROM range(1, 23) r(i)),
-cen AS (SELECT chr, 1000000 AS "start", 1199999 AS "end" FROM contigs),
+cen AS (SELECT chr, CAST(1000000 AS BIGINT) AS "start", CAST(1199999 AS BIGINT) AS "end" FROM contigs),
 bins AS (SELECT c.chr, b * {BIN} AS "start", (b + 1) * {BIN} - 1 AS "end", round(coalesce(hp1, 0) + 1e-9, 4) AS hp1, round(coalesce(hp2, 0) + 1e-9, 4) AS hp2
   FROM contigs c CROSS JOIN range(0, {LENGTH // BIN}) g(b) LEFT JOIN (SELECT chr, pos // {BIN} AS b, avg(CASE WHEN et = 'view' THEN value END) AS hp1, avg(CASE WHEN et <> 'view' THEN value END) AS hp2 FROM snp GROUP BY 1, 2) m USING (chr, b))"""
