@@ -11,7 +11,7 @@ from strandloom import schemas
 from strandloom.functions import contigs as ct
 from strandloom.operators import breakpoints, profile, snps, sync
 from strandloom.plans import cna, hapcorrect
-from strandloom.sources import sinks, tables
+from strandloom.sources import bam, sinks, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--centromeres", help="BED: contig, start, end")
     p.add_argument("--vcf", help="phased variants (plain or gzip)")
     p.add_argument("--base-counts", help="table of chr, start, a, c, g, t at heterozygous SNPs, comma separated")
+    p.add_argument("--bam", help="alignments to count bases in, instead of --base-counts; comma separated")
     p.add_argument("--tumor-only", action="store_true", help="the variants are the tumor's: look for lost heterozygosity")
     p.add_argument("--breakpoints", help="VCF of structural variants")
     p.add_argument("--profile", help="copy-number profile for sync")
@@ -56,10 +57,19 @@ def _centromeres(spark: SparkSession, args) -> DataFrame:
     return tables.read_centromeres(spark, args.centromeres) if args.centromeres else spark.createDataFrame([], schemas.CENTROMERES)
 
 
+def base_counts(spark: SparkSession, args, positions: DataFrame) -> DataFrame:
+    """Base counts at positions (chr, start): from a table, or from the alignments."""
+    if args.base_counts:
+        return tables.read_table(spark, args.base_counts, schemas.ACGT_COUNTS, ",")
+    spark.dataSource.register(bam.BamSource)
+    reads = spark.read.format("bam").option("bases", "true").load(args.bam)
+    return snps.count_bases(snps.pileup(reads, positions))
+
+
 def run_hapcorrect(spark: SparkSession, args) -> None:
     variants = tables.read_vcf(spark, args.vcf)
-    counts = tables.read_table(spark, args.base_counts, schemas.ACGT_COUNTS, ",")
-    freqs = snps.frequencies(tables.het_snps(variants), counts)
+    het = tables.het_snps(variants)
+    freqs = snps.frequencies(het, base_counts(spark, args, het.select("chr", "start")))
     field = tables.frequency_field(tables.vcf_header(spark, args.vcf)) if args.tumor_only else None
     zygosity = tables.loh_snps(variants, field) if args.tumor_only else None
     settings = hapcorrect.Settings(args.bin_size, args.bin_size_snps, args.min_phaseblock, args.hets_ratio, args.hets_loh_seg_size)
@@ -93,7 +103,7 @@ def run_cna(spark: SparkSession, args) -> None:
 def run_sync(spark: SparkSession, args) -> None:
     variants = tables.read_vcf(spark, args.vcf).withColumns({"gt": tables.format_value("GT"), "ps": tables.format_value("PS").try_cast("bigint")})
     usable = sync.exclusion_reason(variants).where("reason IS NULL")
-    counts = tables.read_table(spark, args.base_counts, schemas.ACGT_COUNTS, ",")
+    counts = base_counts(spark, args, usable.select("chr", F.col("pos").alias("start")))
     snvs = sync.haplotype_depths(usable, counts).where("reason IS NULL")
     prof = tables.read_profile(spark, args.profile).withColumnsRenamed({"hp1_copynumber_state": "hp1", "hp2_copynumber_state": "hp2"})
     blocks = sync.blocks_of(snvs)
@@ -107,8 +117,10 @@ def run_sync(spark: SparkSession, args) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
-    need = {"hapcorrect": ("vcf", "base_counts"), "all": ("vcf", "base_counts"), "cna": (), "sync": ("vcf", "base_counts", "profile")}[args.command]
+    need = {"hapcorrect": ("vcf",), "all": ("vcf",), "cna": (), "sync": ("vcf", "profile")}[args.command]
     missing = [n for n in need if not getattr(args, n)]
+    if args.command != "cna" and not (args.base_counts or args.bam):
+        missing.append("base_counts (or --bam)")
     if missing:
         raise SystemExit(f"{args.command} needs --" + ", --".join(n.replace("_", "-") for n in missing))
     spark = spark or SparkSession.builder.appName("strandloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()

@@ -53,9 +53,11 @@ def snp_interval_values(snps: DataFrame, intervals: DataFrame, key: str, values:
     ends = intervals.select("chr", key, F.col("start").alias("at"), F.lit(0).alias("side")).union(intervals.select("chr", key, F.col("end").alias("at"), F.lit(1).alias("side")))
     found = iv.nearest(ends, snps, "at", "pos").join(ranked.select("chr", F.col("pos").alias("near"), "rank"), ["chr", "near"])
     spans = found.groupBy("chr", key).agg(F.min(F.when(F.col("side") == 0, F.col("rank"))).cast("long").alias("start"), (F.min(F.when(F.col("side") == 1, F.col("rank"))) - 1).cast("long").alias("end"))
-    pairs = iv.point_join(ranked, spans.where("end >= start"), "rank", bucket=1024)
+    # intervals between the same SNPs share one computation
+    pairs = iv.point_join(ranked, spans.where("end >= start").select("chr", "start", "end").distinct(), "rank", bucket=1024)
     how = (lambda v: F.avg(v)) if zeros else (lambda v: median_nonzero(F.col(v)))
-    out = pairs.groupBy(F.col("chr"), F.col(f"r_{key}").alias(key)).agg(*(how(v).alias(v) for v in values))
+    found = pairs.groupBy("chr", F.col("r_start").alias("start"), F.col("r_end").alias("end")).agg(*(how(v).alias(v) for v in values))
+    out = spans.join(found, ["chr", "start", "end"]).select("chr", key, *values)
     return intervals.join(out, ["chr", key], "left").na.fill(0.0, list(values))
 
 

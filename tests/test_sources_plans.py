@@ -73,6 +73,8 @@ def test_bases_at_positions(spark, tmp_path):
     got = {(r.chr, r.start): r.base for r in snps.pileup(df, spark.createDataFrame(places, "chr STRING, start BIGINT")).collect()}
     assert got == {("chr1", 100): letters[2], ("chr1", 109): letters[11], ("chr1", 113): letters[17], ("chr1", 122): letters[26], ("chr2", 99_996): letters[0], ("chr2", 100_001): letters[5]}
     counts = snps.count_bases(snps.pileup(df, spark.createDataFrame(places, "chr STRING, start BIGINT")))
+    args = cli.parser().parse_args(["hapcorrect", "--out", "x", "--contig-lengths", "y", "--bam", path])
+    assert cli.base_counts(spark, args, spark.createDataFrame(places, "chr STRING, start BIGINT")).count() == 6
     assert counts.count() == 6 and counts.agg(F.sum(F.col("a") + F.col("c") + F.col("g") + F.col("t"))).first()[0] == 6
 
 
