@@ -37,7 +37,7 @@ from .common import ID, TEXT, bitmap, checkpoint, id_and_text, in_bitmap, map_ba
 LEAST, GRAM = 100, 32
 REACH = LEAST - GRAM
 #: Different contexts of one anchor that one task may hold; bytes of contexts in one suffix array.
-HOT, ARRAY = 100_000, 1 << 20
+HOT, ARRAY = 20_000, 1 << 20
 _NO_ID = -(1 << 63)
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
