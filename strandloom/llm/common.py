@@ -35,13 +35,14 @@ def texts(batch: pa.RecordBatch, name: str = TEXT) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int | None = 1000) -> DataFrame:
+    """mapInArrow with a function of one batch, of at most ``rows`` rows: what it makes of them is held at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows or batch.num_rows):
+                if (out := function(batch.slice(at, rows) if rows else batch)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -169,7 +169,7 @@ class Benchmark:
     """Items in blocks, and the automaton of the block in use."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, block: int = BLOCK):
-        self.window, self.blocks, room = window, [], 0
+        self.window, self.blocks, room = window, [], 0  # without items there is one empty block
         for name, text in items:
             room -= (size := len(text.encode()))
             if room < 0:
@@ -184,7 +184,7 @@ class Benchmark:
     def block(self, k: int) -> Automaton:
         if self.at != k:
             self.at, self.automaton = k, None
-            self.automaton = Automaton([(name, words(text.encode())) for name, text in self.blocks[k]], self.window)
+            self.automaton = Automaton([(name, words(text.encode())) for name, text in (self.blocks[k] if self.blocks else ())], self.window)
         return self.automaton
 
 
@@ -251,13 +251,16 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WIND
         columns = carry if k == len(benches) - 1 else [*dict.fromkeys([*carry, text_col])]
 
         def run(batch: pa.RecordBatch, bench=bench, columns=columns) -> pa.RecordBatch:
-            cut_up = [words(t or b"") for t in texts(batch, text_col)]
+            bodies = [t or b"" for t in texts(batch, text_col)]
+            counts = [0] * len(bodies)
             of = lambda name: batch.column(batch.schema.get_field_index(name))
             spans = [[(x["start"], x["end"]) for x in s] for s in of("__spans").to_pylist()]
             names, longest = [set(x) for x in of("__items").to_pylist()], of("__longest").to_pylist()
-            for block in range(len(bench.value.blocks)):
+            for block in range(len(bench.value.blocks) or 1):
                 automaton = bench.value.block(block)
-                for i, w in enumerate(cut_up):
+                for i, t in enumerate(bodies):
+                    w = words(t)
+                    counts[i] = len(w)
                     new, found, n = automaton.match(w)
                     if new:
                         spans[i] = merged(spans[i] + new)
@@ -265,7 +268,7 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WIND
                     longest[i] = max(longest[i], n)
             return pa.RecordBatch.from_arrays(
                 [
-                    *map(of, columns), pa.array(map(len, cut_up), pa.int64()), pa.array(longest, pa.int64()),
+                    *map(of, columns), pa.array(counts, pa.int64()), pa.array(longest, pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _ARROW_SPAN),
                     pa.array([sorted(x) for x in names], pa.list_(pa.string())),
                 ],

@@ -153,7 +153,7 @@ def _places(docs: DataFrame) -> DataFrame:
         p = a >> 32
         return _spans(d, p - (a >> 8 & 0xFF), p + (a & 0xFF), a >> 16 & 0xFFFF)
 
-    return map_batches(docs, run, _SCHEMA)
+    return map_batches(docs, run, _SCHEMA, rows=None)  # copies collapse within a batch
 
 
 _FOUND = "key long, doc long, at long, stop long"
