@@ -311,16 +311,22 @@ seg AS (SELECT c.chr, CASE WHEN f = 0 THEN 0 ELSE f + 1 END AS "start", e AS "en
   FROM c LEFT JOIN bins ON bins.chr = c.chr AND bins."start" // {B} >= f // {B} AND bins."start" // {B} < e // {B} GROUP BY c.chr, f, e)"""
 
 
-def _segments(spark, sf_dir, value="hp1"):
-    points = v.blk(spark, sf_dir).where("ps % 20 = 0 AND start NOT BETWEEN 1000000 AND 1199999").groupBy("chr", F.floor(F.col("start") / 300_000)).agg(F.min("start").alias("pos")).select("chr", "pos")
+def _segments(spark, sf_dir, value="hp1", blocks="TRUE"):
+    """Segments between the first block start of every 300 kb; ``blocks`` narrows the blocks."""
+    points = v.blk(spark, sf_dir).where(f"{blocks} AND start NOT BETWEEN 1000000 AND 1199999").groupBy("chr", F.floor(F.col("start") / 300_000)).agg(F.min("start").alias("pos")).select("chr", "pos")
     cen = v.centromeres(spark, sf_dir)
     points = points.union(v.contigs(spark, sf_dir).select("chr", F.col("len").alias("pos"))).union(cen.select("chr", F.explode(F.array("start", "end"))))
     return segments.cut_segments(v.bins(spark, sf_dir).select("chr", "start", F.col(value).alias("value")), points, B, cen.select("chr", "end"))
 
 
+def _sql_segments(spark, sf_dir):
+    """The segments of _CUTS, whose SQL reads only every twentieth block."""
+    return _segments(spark, sf_dir, blocks="ps % 20 = 0")
+
+
 @query(_CUTS + ' SELECT chr, "start", "end", round(state, 6) AS state FROM seg')
 def cut_segments(spark, sf_dir):
-    return _segments(spark, sf_dir).select("chr", "start", "end", _r("state"))
+    return _sql_segments(spark, sf_dir).select("chr", "start", "end", _r("state"))
 
 
 @query(f""", e AS (SELECT chr, 0 AS x FROM contigs UNION SELECT chr, len FROM contigs UNION SELECT chr, "start" FROM gene WHERE gene LIKE '%7' UNION SELECT chr, "end" FROM gene WHERE gene LIKE '%7'),
@@ -473,13 +479,13 @@ def without_outliers(spark, sf_dir):
 
 @query(_CUTS + ' SELECT chr, "start", "end", CASE WHEN "end" = 1199999 THEN 3300 ELSE round(state, 6) END AS state FROM seg')
 def mask_centromeres(spark, sf_dir):
-    return cn.mask_centromeres(_segments(spark, sf_dir), v.centromeres(spark, sf_dir)).select("chr", "start", "end", _r("state"))
+    return cn.mask_centromeres(_sql_segments(spark, sf_dir), v.centromeres(spark, sf_dir)).select("chr", "start", "end", _r("state"))
 
 
 @query(_CUTS + f""", x AS (SELECT round(state + 1e-9, 4) AS x, seg.* FROM seg), s AS (SELECT g.gene, g.chr, arg_min(x.x, x."start") AS x FROM gene g LEFT JOIN x ON x.chr = g.chr AND g."start" BETWEEN x."start" AND x."end" GROUP BY 1, 2)
 SELECT chr, gene, coalesce(x, 0) AS coverage, CAST(CASE WHEN x IS NULL THEN 0 ELSE {_SNAP.format(d=0)} END AS DOUBLE) AS cn FROM s""")
 def gene_states(spark, sf_dir):
-    segs = _segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
+    segs = _sql_segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
     return cn.gene_states(v.gene(spark, sf_dir), segs, segs, CENTERS).select("chr", "gene", F.col("adjusted_coverage_hp1").alias("coverage"), F.col("copynumber_hp2_state").alias("cn"))
 
 
@@ -494,7 +500,7 @@ _WEIGHTED = "CASE WHEN sum(w) = 0 THEN 0 ELSE sum(round_even(cn * w, 3)) / sum(w
 @query(_CUTS + f""", n AS (SELECT k * 0.5 AS normal FROM range(1, 20) g(k)), gc AS (SELECT normal, "end" - "start" AS w, CASE WHEN st < normal THEN 0 ELSE round_even((st - normal) / 20, 0) END AS cn FROM n CROSS JOIN (SELECT *, round(state + 1e-9, 4) AS st FROM seg))
 SELECT CAST(normal AS DOUBLE) AS normal, round(2 * {_WEIGHTED}, 6) AS ploidy FROM gc GROUP BY normal HAVING 2 * {_WEIGHTED} >= 0.1""")
 def ploidy_grid(spark, sf_dir):
-    segs = _segments(spark, sf_dir).select("chr", "start", "end", F.round(F.col("state") + 1e-9, 4).alias("depth"))
+    segs = _sql_segments(spark, sf_dir).select("chr", "start", "end", F.round(F.col("state") + 1e-9, 4).alias("depth"))
     both = segs.withColumn("hp", F.explode(F.array(F.lit(1), F.lit(2))))
     return cn.purity_grid(both, cn.grid(spark, 10.0, 0.5), 20.0, 5, 100.0).select("normal", _r("ploidy"))
 
@@ -508,7 +514,7 @@ def purity_grid(spark, sf_dir):
 @query(_CUTS + """, s AS (SELECT chr, CAST(replace(chr, 'chr', '') AS INTEGER) AS o, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN round_even(c * ("end" - "start"), 3) ELSE 0 END) AS p, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN "end" - "start" ELSE 0 END) AS w FROM (SELECT *, least(1, round(state + 1e-9, 2) / 100) AS c FROM seg) GROUP BY 1, 2),
 r AS (SELECT sum(p) OVER (ORDER BY o) AS p, sum(w) OVER (ORDER BY o) AS w FROM s) SELECT round(avg(CASE WHEN w = 0 THEN 0 ELSE p / w END), 6) AS confidence FROM r""")
 def genome_score(spark, sf_dir):
-    rows = _segments(spark, sf_dir).withColumn("confidence", F.least(F.lit(1.0), F.round(F.col("state") + 1e-9, 2) / 100))
+    rows = _sql_segments(spark, sf_dir).withColumn("confidence", F.least(F.lit(1.0), F.round(F.col("state") + 1e-9, 2) / 100))
     return cn.genome_score(rows, 200_000).select(_r("confidence"))
 
 
@@ -651,7 +657,7 @@ def mask_bins(spark, sf_dir):
 @query(_CUTS + f""", x AS (SELECT chr, "start" AS s, "end" AS e, round(state + 1e-9, 4) AS x FROM seg), f AS (SELECT bins.chr, bins."start", arg_min(x, s) AS x FROM bins LEFT JOIN x ON x.chr = bins.chr AND bins."start" BETWEEN s AND e GROUP BY 1, 2)
 SELECT chr, "start", CAST(CASE WHEN x IS NULL THEN 0 ELSE {_SNAP.format(d=0)} END AS DOUBLE) AS cn FROM f""")
 def bin_states(spark, sf_dir):
-    segs = _segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
+    segs = _sql_segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
     return cn.bin_states(v.bins(spark, sf_dir), segs, CENTERS).select("chr", "start", "cn")
 
 
