@@ -73,8 +73,12 @@ FORMS = (
     ("", " licen[sc]e", 4, 0.7),
     ("licen[sc]e (?:is )?", "", 3, 0.6),
 )
+#: Second keywords of the families whose patterns can match without the first; a rule is tried where either occurs.
+ALSO = {"python-2": "psf", "odbl-1": "odbl", "cc-by": "attribution"}
+#: The keywords of the SQL, which has one for each family: narrower than GATE where a blank is written as ``_``.
+SQL_GATE = r"(?i)licen[sc]e|spdx|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|rights[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+reserved|\bunder\b|\bsubject\b|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 #: Keywords one of which a text must hold for any rule or base phrase to fit (tried without regard to A-Z case).
-GATE = r"(?i)licen[sc]e|spdx|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|rights[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+reserved|\bunder\b|\bsubject\b|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+GATE = SQL_GATE.replace(r"\bunder\b|\bsubject\b", f"(?<!{WORD_CHARS})(?:under|subject)(?!{WORD_CHARS})")
 
 
 def rules() -> list[dict]:
@@ -113,8 +117,8 @@ def _last(norm: Column, phrase: str) -> Column:
 
 def detections(norm: Column) -> Column:
     """All places where a rule fits: array of (start, stop, priority, label, confidence), before suppression."""
-    every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in rules()))
-    admitted = F.filter(every, lambda r: F.contains(norm, r["keyword"]))
+    every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items()), F.lit(ALSO.get(r["label"])).cast("string").alias("also")) for r in rules()))
+    admitted = F.filter(every, lambda r: F.contains(norm, r["keyword"]) | F.contains(norm, r["also"]))
 
     def places(r: Column) -> Column:
         gaps = F.split(norm, r["pattern"], -1)
@@ -193,7 +197,7 @@ def _sql() -> str:
     base = ", ".join(f"({quoted(p)}, {quoted(label)})" for p, label in BASE.items())
     return rf"""
 WITH RECURSIVE n AS (SELECT doc_id, regexp_replace(' ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') AS s,
-  regexp_matches(coalesce(text, ''), '{GATE}') AS gated FROM documents),
+  regexp_matches(coalesce(text, ''), '{SQL_GATE}') AS gated FROM documents),
 rule(label, keyword, pattern, priority, confidence) AS (VALUES {values}),
 base(phrase, label) AS (VALUES {base}),
 w AS (SELECT doc_id, s, gated, CASE WHEN trim(s) = '' THEN [] ELSE string_split(trim(s), ' ') END AS w FROM n),

@@ -63,6 +63,18 @@ def test_suppression_matches_brute_force(make_docs):
     assert found == {i: brute_rules(t) for i, t in enumerate(some)}
 
 
+def test_keywords_admit_all_that_rules_fit(make_docs, monkeypatch):
+    some = [
+        "licensed under the ODbL", "released under the PSF license", "released_under_the_zlib", "available_under_the_terms_of_the_isc", "subject_to_the_terms_of_the_zlib",
+        "licensed under Creative Commons Attribution 4.0", "public_domain", "all_rights_reserved", "cc_by_nc", "an éunder text", "licensed under the open database license", "thunder_the_zlib",
+    ]
+    assert all(brute_rules(t) for t in some[:9])
+    found = {r.doc_id: r for r in licenses.scan(make_docs(some)).collect()}
+    assert {i: r.labels for i, r in found.items()} == {i: brute_rules(t) for i, t in enumerate(some)}
+    monkeypatch.setattr(licenses, "GATE", "")
+    assert {r.doc_id: r for r in licenses.scan(make_docs(some)).collect()} == found
+
+
 def test_scan_is_native_and_takes_odd_rows(odd_docs, make_docs):
     assert "Python" not in plan_of(licenses.scan(odd_docs)) and "Arrow" not in plan_of(licenses.scan(odd_docs))
     assert licenses.scan(odd_docs).count() == odd_docs.count()
