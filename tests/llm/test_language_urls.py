@@ -96,6 +96,13 @@ def test_segmentation_is_best(spark):
     assert "".join(s("q" * 200)) == "q" * 200
 
 
+def test_long_words_are_found(spark):
+    word = "internationalisationally"
+    s = urls.Segmenter({word: 3, "international": 5, "isation": 5, "ally": 5, "buy": 9})
+    assert s("buy" + word) == ["buy", word] and s("buy" * 19 + word) == ["buy"] * 19 + [word]
+    assert s("y" * urls.LONGEST) == ["y" * urls.LONGEST]
+
+
 def test_empty_pages(spark):
     table = pages(spark, [])
     assert urls.judge(table, *urls.train(table)).count() == 0
