@@ -103,6 +103,14 @@ def test_long_words_are_found(spark):
     assert s("y" * urls.LONGEST) == ["y" * urls.LONGEST]
 
 
+def test_prior_is_learned(spark):
+    blocked, allowed = ["http://spam.example.net/"] * 8, ["http://news.example.net/"]
+    for some, prior in ((blocked + allowed, 9 / 11), (blocked[:1] + allowed * 98, 2 / 101)):
+        table = pages(spark, [*some, None])
+        rows = {r.page_id: r for r in urls.judge(table, *urls.train(table)).collect()}
+        assert abs(rows[len(some)].p_block - prior) < 1e-9 and rows[len(some)].verdict == "allow"
+
+
 def test_empty_pages(spark):
     table = pages(spark, [])
     assert urls.judge(table, *urls.train(table)).count() == 0
