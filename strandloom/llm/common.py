@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,27 +36,54 @@ def texts(batch: pa.RecordBatch, name: str = TEXT) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int | None = 1000) -> DataFrame:
-    """mapInArrow with a function of one batch, of at most ``rows`` rows: what it makes of them is held at once."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int | None = 1000, size: int = 64 << 20) -> DataFrame:
+    """mapInArrow with a function of one batch, of at most ``rows`` rows and about ``size`` bytes, as what it makes of
+    them is held at once; a row that is larger comes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows or batch.num_rows):
-                if (out := function(batch.slice(at, rows) if rows else batch)) is not None:
+            for piece in pieces(batch, rows or batch.num_rows, size):
+                if (out := function(piece)) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by files in the shared folder that spark.checkpoint.dir names.
-
-    A folder of this machine is used only where the setting is absent, as in tests on one machine.
+def pieces(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch."""
+    if batch.num_rows <= rows and batch.nbytes <= size:
+        if batch.num_rows:
+            yield batch
+        return
+    lengths = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    so_far, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        before = so_far[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(so_far, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors see.
+
+    A folder of this machine stands in only where the setting is absent and all work is on this machine, as in tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -71,11 +99,19 @@ def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
         .groupBy("w").agg(F.bit_or("b").alias("b"))
     )
     out = np.zeros(1 << (bits - 6), np.uint64)
-    for row in words_.toLocalIterator():
-        out[row.w] = row.b & 0xFFFFFFFFFFFFFFFF
+    for batch in words_.toArrow().to_batches():
+        out[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
     return out
 
 
+def bitmap_for(df: DataFrame, column: str) -> np.ndarray:
+    """The same for the rows of a table at hand, with 16 bits for each of them, from 2**16 to 2**27 bits (16 MB).
+
+    Beyond eight million rows more and more of the others pass as well: that costs shuffled rows, not results.
+    """
+    return bitmap(df, column, max(16, min(27, (16 * df.count()).bit_length())))
+
+
 def in_bitmap(bitmap_: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which int64 values have their bit set."""
     slot = values.view(np.uint64) & np.uint64(len(bitmap_) * 64 - 1)
@@ -111,9 +147,7 @@ def staged(df: DataFrame) -> DataFrame:
 
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
-    folder = f"{context._jsc.sc().getCheckpointDir().get()}/staged-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(folder)
 
     def remove() -> None:
