@@ -132,6 +132,18 @@ def smallest_hashes(df: DataFrame, column: str, n: int, by: str) -> DataFrame:
     return near.withColumn("__place", order).where(F.col("__place") <= n).drop("__place")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of a table has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,6 +31,7 @@ import heapq
 import math
 import zlib
 from bisect import bisect_left
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, LOWER, TEXT, bitmap, checkpoint, id_and_text, in_bitmap, map_batches, staged, texts
+from .common import ID, LOWER, TEXT, bitmap_for, checkpoint, fresh, id_and_text, in_bitmap, map_batches, staged, texts
 
 WIDTH = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
@@ -47,6 +48,9 @@ SIMILARITY = 80
 #: Buckets of the frequency array, in so many slots; bytes whose words are hashed at once; records compared
 #: with one query at once, and in one block of a cluster's index.
 BUCKET_BITS, SLOTS, PIECE, BLOCK, INDEX = 20, 16, 1 << 17, 64, 256
+#: Bytes of texts of which a worker holds the sets at once; queries that one task asks of a block; rings of distances
+#: from a root; clashes of 64 bits, of which 10 ** 12 different sets have some 30,000.
+TEXTS, QUERIES, RINGS, MAX_CLASHES = 16 << 20, 1024, 50, 100_000
 BASE = 0xD1342543DE82EF95
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -67,13 +71,21 @@ class WordHashes:
     """Hashes of all words of a text at once: sums of random numbers of the bytes times powers of an odd base.
 
     A word's sum is the difference of two running sums, moved to the word's start by the base's inverse. Texts are
-    taken in pieces that end at white space, so the tables of powers have a fixed length.
+    taken in pieces that end at white space, so the tables of powers have a fixed length; the sum of a word that is
+    longer than a piece is put together from those of its pieces.
     """
 
     def __init__(self):
         self.letters = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.space = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-        self.up, self.down = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+        self.up, self.down, self.whole = _powers(BASE), _powers(pow(BASE, -1, 1 << 64)), pow(BASE, PIECE, 1 << 64)
+
+    @staticmethod
+    def _finish(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out = sums ^ lengths.astype(np.uint64) * _P
+        out *= _MIX[0]
+        out ^= out >> np.uint64(32)
+        return out
 
     def _piece(self, data: np.ndarray) -> np.ndarray:
         inside = np.zeros(len(data) + 2, np.int8)
@@ -82,11 +94,16 @@ class WordHashes:
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.letters[data] * self.up[: len(data)], out=sums[1:])
-        out = (sums[ends] - sums[starts]) * self.down[starts]
-        out ^= (ends - starts).astype(np.uint64) * _P
-        out *= _MIX[0]
-        out ^= out >> np.uint64(32)
-        return out
+        return self._finish((sums[ends] - sums[starts]) * self.down[starts], ends - starts)
+
+    def _long(self, word: np.ndarray) -> np.ndarray:
+        """The hash of one word of any length."""
+        total, shift = 0, 1
+        for at in range(0, len(word), PIECE):
+            part = word[at : at + PIECE]
+            total += int((self.letters[part] * self.up[: len(part)]).sum(dtype=np.uint64)) * shift
+            shift = shift * self.whole % (1 << 64)
+        return self._finish(np.array([total % (1 << 64)], np.uint64), np.array([len(word)]))
 
     def __call__(self, text: bytes) -> np.ndarray:
         data = np.frombuffer(text, np.uint8)
@@ -97,10 +114,10 @@ class WordHashes:
             piece = data[at : at + PIECE]
             if at + PIECE < len(data):
                 last = np.flatnonzero(self.space[piece])
-                if not len(last):  # a word longer than a piece: hashed by itself
-                    rest = np.flatnonzero(self.space[data[at:]])
-                    piece = data[at : at + (rest[0] if len(rest) else len(data) - at)]
-                    out.append(np.array([xxhash.xxh3_64_intdigest(piece.tobytes())], np.uint64))
+                if not len(last):
+                    rest = np.flatnonzero(self.space[data[at + PIECE :]])
+                    piece = data[at : at + PIECE + rest[0]] if len(rest) else data[at:]
+                    out.append(self._long(piece))
                     at += len(piece)
                     continue
                 piece = piece[: last[-1] + 1]
@@ -109,6 +126,12 @@ class WordHashes:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+@cache
+def _hashes() -> WordHashes:
+    """A worker's tables of powers."""
+    return WordHashes()
+
+
 def shingles(text: bytes, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes (uint64) of a whole text."""
     with np.errstate(over="ignore"):
@@ -133,12 +156,18 @@ def shingles(text: bytes, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def key_of(found: np.ndarray) -> tuple[int, int]:
-    """A set's fingerprint as two signed 64-bit numbers; the first is its key."""
+def prints_of(found: np.ndarray) -> tuple[int, int]:
+    """A set's fingerprint as two signed 64-bit numbers."""
     digest = xxhash.xxh3_128_digest(found.tobytes())
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+def key_of(found: np.ndarray, clashes: frozenset[int]) -> int:
+    """A set's key: the first half of its fingerprint, or the second where several sets have the first (``Keys``)."""
+    first, second = prints_of(found)
+    return second if first in clashes else first
+
+
 def need(a: int, b: int, similarity: float = SIMILARITY / 100) -> int:
     """The smallest intersection that sets of a and b elements need."""
     return max(1, math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9))
@@ -200,7 +229,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         part = 0
         for batch in batches:
             sets = [shingles(t, hashes) for t in texts(batch)]
-            keys = [key_of(s) for s in sets]
+            keys = [prints_of(s) for s in sets]
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
                 part = keys[0][0] % 64
@@ -238,58 +267,78 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.where("slot IS NULL").select("doc_id", "n", "key", "key2"), classes
 
 
-def _postings(docs: DataFrame, classes: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def distinct_records(sets: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """One record (doc_id, key, n) for each different set, with a key of 64 bits, and the first halves that clash.
+
+    Sets are told apart by both halves of their fingerprints. Some 2 ** 32 sets have a pair with the same first half;
+    these few are found by an aggregation and take the second half as key.
+    """
+    found = checkpoint(sets.groupBy("n", "key", "key2").agg(F.min("doc_id").alias("doc_id")))
+    several = lambda t: t.groupBy("key").count().where("count > 1").select("key")
+    clashes = frozenset(r.key for r in several(found).limit(MAX_CLASHES + 1).collect())
+    records = found.select("doc_id", F.when(F.col("key").isin(list(clashes)), F.col("key2")).otherwise(F.col("key")).alias("key"), "n")
+    if len(clashes) > MAX_CLASHES or clashes and not several(records).isEmpty():
+        raise RuntimeError("fingerprints of different sets are equal far more often than 128 random bits are")
+    return records, clashes
+
+
+def _postings(docs: DataFrame, classes: np.ndarray, clashes: frozenset[int], id_col: str, text_col: str, wanted: np.ndarray | None = None) -> DataFrame:
     """(token, key, n, room): the short lists; equal sets within a batch are posted once.
 
     ``room`` is how many elements a set has from the token on, in the order of frequency: if the token is the first
-    one that two sets share, they share no more than the smaller room.
+    one that two sets share, they share no more than the smaller room. Of the tokens a bitmap can name the wanted.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** BUCKET_BITS bytes
-
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            seen: set = set()
-            tokens, keys, sizes = [], [], []
-            for t in texts(batch):
-                found = shingles(t, hashes)
-                if not len(found) or (key := key_of(found)) in seen:
-                    continue
-                seen.add(key)
-                rank = shared.value[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
-                ranked = (rank << np.uint64(56)) | (found & np.uint64((1 << 56) - 1))
-                p = prefix_length(len(found))
-                tokens.append(np.sort(np.partition(ranked, p - 1)[:p]))
-                keys.append(key[0])
-                sizes.append(len(found))
-            if tokens:
-                lengths = [len(x) for x in tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate([np.arange(n, n - k, -1, dtype=np.int32) for n, k in zip(sizes, lengths, strict=True)]))],
-                    ["token", "key", "n", "room"],
-                )
+    shared = docs.sparkSession.sparkContext.broadcast((classes, clashes, wanted))  # bounded: 2 ** BUCKET_BITS bytes, MAX_CLASHES, a bitmap
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        classes, clashes, wanted = shared.value
+        hashes = _hashes()
+        seen: set = set()
+        tokens, keys, sizes = [], [], []
+        for t in texts(batch):
+            found = shingles(t, hashes)
+            if not len(found) or (key := key_of(found, clashes)) in seen:
+                continue
+            seen.add(key)
+            rank = classes[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+            ranked = (rank << np.uint64(56)) | (found & np.uint64((1 << 56) - 1))
+            p = prefix_length(len(found))
+            tokens.append(np.sort(np.partition(ranked, p - 1)[:p]))
+            keys.append(key)
+            sizes.append(len(found))
+        if not tokens:
+            return None
+        lengths = [len(x) for x in tokens]
+        columns = [
+            np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths),
+            np.concatenate([np.arange(n, n - k, -1, dtype=np.int32) for n, k in zip(sizes, lengths, strict=True)]),
+        ]
+        if wanted is not None:
+            some = in_bitmap(wanted, columns[0])
+            columns = [c[some] for c in columns]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["token", "key", "n", "room"])
 
     rows = id_and_text(docs, id_col, text_col).where(F.col(ID).isNotNull())
-    return rows.mapInArrow(run, "token long, key long, n int, room int")
+    return map_batches(rows, run, "token long, key long, n int, room int", rows=None, size=TEXTS)
 
 
-def _record_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _record_texts(docs: DataFrame, wanted: DataFrame, clashes: frozenset[int], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, body) of the wanted doc_ids, and of some others: a bitmap of the ids keeps most texts in place."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id", 24))
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap_for(wanted, "doc_id"), clashes))
 
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            chosen = np.flatnonzero(in_bitmap(bits.value, batch.column(0).to_numpy(zero_copy_only=False)))
-            if len(chosen):
-                some = batch.take(pa.array(chosen))
-                keys = [key_of(shingles(t, hashes))[0] for t in texts(some)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), some.column(1).cast(pa.binary())], ["doc_id", "key", "body"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        bits, clashes = shared.value
+        chosen = np.flatnonzero(in_bitmap(bits, batch.column(0).to_numpy(zero_copy_only=False)))
+        if not len(chosen):
+            return None
+        some = batch.take(pa.array(chosen))
+        keys = [key_of(shingles(t, _hashes()), clashes) for t in texts(some)]
+        return pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), some.column(1).cast(pa.binary())], ["doc_id", "key", "body"])
 
-    return id_and_text(docs, id_col, text_col).where(F.col(ID).isNotNull()).mapInArrow(run, "doc_id long, key long, body binary")
+    return map_batches(id_and_text(docs, id_col, text_col).where(F.col(ID).isNotNull()), run, "doc_id long, key long, body binary", size=TEXTS)
 
 
-def compare(docs: DataFrame, records: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def compare(docs: DataFrame, records: DataFrame, clashes: frozenset[int], pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b, n_a, n_b, shared) for pairs of keys (a, b, floor), where the similarity reaches the floor.
 
     Many b may come for one a: they are compared with it in blocks. Texts are shuffled once, by key and id, and both
@@ -297,7 +346,7 @@ def compare(docs: DataFrame, records: DataFrame, pairs: DataFrame, id_col: str,
     """
     side = lambda c: records.select(F.col("key").alias(c), F.col("doc_id").alias(f"doc_{c}"))
     pairs = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "doc_a", "b", "doc_b", "floor"))
-    bodies = _record_texts(docs, pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")), id_col, text_col)
+    bodies = _record_texts(docs, pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct(), clashes, id_col, text_col)
     body = lambda c: bodies.select(F.col("key").alias(c), F.col("doc_id").alias(f"doc_{c}"), F.col("body").alias(f"body_{c}"))
     joined = pairs.join(body("b"), ["b", "doc_b"]).join(body("a"), ["a", "doc_a"])
 
@@ -361,96 +410,126 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _search_clusters(docs: DataFrame, records: DataFrame, clusters: DataFrame, open_: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _search_clusters(docs: DataFrame, records: DataFrame, clashes: frozenset[int], clusters: DataFrame, open_: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b): pairs of clusters (a, b, apart) of which any members link.
 
-    The members of the smaller cluster are queries to the larger one, whose members are an index, in blocks that
-    tasks share out. A record is shipped once as part of an index, and once for each block that it is asked against.
+    The members of the smaller cluster are queries to the larger one. Each is first compared with the larger one's
+    root. The members of that are dealt to rings by their distance from it, and a query goes only to rings where the
+    triangle inequality leaves a link possible. A ring is an index in blocks, and so are the queries to it, so tasks
+    share out both; a record is shipped once for each block that it meets.
     """
     roots_ = open_.select(F.col("a").alias("root")).union(open_.select("b")).distinct()
     members = clusters.join(roots_, "root", "left_semi").select("key", "root", "distance").union(roots_.select(F.col("root").alias("key"), "root", F.lit(0.0)))
-    members = checkpoint(members)
+    members = checkpoint(members.withColumn("ring", F.least(F.floor(F.col("distance") * RINGS), F.lit(RINGS)).cast("int")))
     sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.max("distance").alias("radius"))
     side = lambda c: sizes.select(F.col("root").alias(c), F.struct("size", F.col("root").alias("root"), "radius").alias(f"side_{c}"))
     asked = open_.join(side("a"), "a").join(side("b"), "b").select(F.greatest("side_a", "side_b").alias("index"), F.least("side_a", "side_b").alias("query"), "apart")
-    asked = checkpoint(asked.select(F.col("index.root").alias("root"), F.ceil(F.col("index.size") / INDEX).cast("int").alias("blocks"), F.col("index.radius").alias("radius"), F.col("query.root").alias("other"), "apart"))
-    parts = asked.select("root", "blocks").distinct()
-    index = members.join(parts, "root").select("root", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "key", F.col("root").alias("other"))
-    reach = F.col("distance") + F.col("radius") + (100 - SIMILARITY) / 100 + 1e-9 >= F.col("apart")
-    queries = members.withColumnRenamed("root", "other").join(asked, "other").where(reach)
-    queries = queries.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "key", "other")
+    asked = asked.select(F.col("index.root").alias("root"), F.col("index.radius").alias("radius"), F.col("query.root").alias("other"), "apart")
+    slack = (100 - SIMILARITY) / 100 + 1e-9
+    queries = members.select("key", F.col("root").alias("other"), "distance").join(asked, "other").where(F.col("distance") + F.col("radius") + slack >= F.col("apart"))
+    queries = checkpoint(queries.select("root", "key", "other", F.greatest(F.lit(0.0), 1 - slack - F.col("radius")).alias("floor")))
+    near = compare(docs, records, clashes, queries.select(F.col("root").alias("a"), F.col("key").alias("b"), "floor"), id_col, text_col)
+    near = near.select(F.col("a").alias("root"), F.col("b").alias("key"), _distance().alias("off")).distinct()
+    # without a floor those that share nothing with the root are left as well
+    queries = queries.join(near, ["root", "key"], "left").where("off IS NOT NULL OR floor <= 0").select("root", "key", "other", F.coalesce("off", F.lit(1.0)).alias("off"))
+    rings = members.groupBy("root", "ring").agg(F.ceil(F.count("*") / INDEX).cast("int").alias("blocks"))
+    within = (F.col("ring") >= RINGS) | ((F.col("ring") + 1) / RINGS + slack >= F.col("off"))
+    queries = checkpoint(queries.join(rings, "root").where(within))
+    parts = checkpoint(queries.groupBy("root", "ring", "blocks").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("key", F.lit(1)), "parts").cast("int").alias("part")
+    block = F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = members.join(parts, ["root", "ring"]).select("root", "ring", block, numbers("parts").alias("part"), F.lit(0).alias("kind"), "key", F.col("root").alias("other"))
+    queries = queries.join(parts, ["root", "ring", "blocks"]).select("root", "ring", numbers("blocks").alias("block"), part, F.lit(1).alias("kind"), "key", "other")
     rows = checkpoint(index.union(queries).join(records.select("key", "doc_id"), "key"))
-    bodies = _record_texts(docs, rows.select("doc_id"), id_col, text_col)
-    placed = rows.join(bodies, ["key", "doc_id"]).select("root", "block", "kind", "other", "body").repartition("root", "block").sortWithinPartitions("root", "block", "kind")
+    bodies = _record_texts(docs, rows.select("doc_id").distinct(), clashes, id_col, text_col)
+    unit = ["root", "ring", "block", "part"]
+    placed = rows.join(bodies, ["key", "doc_id"]).select(*unit, "kind", "other", "body").repartition(*unit).sortWithinPartitions(*unit, "kind")
 
     def run(batches):
-        hashes = WordHashes()
         at, held = None, []
         for batch in batches:
-            found = []
-            for root, block, kind, other, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (root, block):
-                    at, held = (root, block), []
-                here = shingles(body, hashes)
+            found = set()
+            for *here, kind, other, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != here:
+                    at, held = here, []
+                own = shingles(body, _hashes())
                 if kind == 0:
-                    held.append(here)
+                    held.append(own)
+                    continue
+                if (here[0], other) in found:
                     continue
-                fit = [s for s in held if 100 * min(len(s), len(here)) >= SIMILARITY * max(len(s), len(here))]
-                if any(divide_skip(here, fit, [need(len(here), len(s)) for s in fit])):
-                    found.append((root, other))
+                fit = [s for s in held if 100 * min(len(s), len(own)) >= SIMILARITY * max(len(s), len(own))]
+                if any(divide_skip(own, fit, [need(len(own), len(s)) for s in fit])):
+                    found.add((here[0], other))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def _lists(docs: DataFrame, classes: np.ndarray, clashes: frozenset[int], id_col: str, text_col: str) -> DataFrame:
+    """The short lists of more than one record.
+
+    Which tokens these are is an aggregation, whose partial results shrink a hot list where it lies; the lists
+    themselves are then made again with a bitmap of these tokens, and the join that removes what is left of others is
+    one that can be split at a hot token.
+    """
+    ends = _postings(docs, classes, clashes, id_col, text_col).groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("last"))
+    several = staged(ends.where("low <> last").select("token"))
+    rows = _postings(docs, classes, clashes, id_col, text_col, bitmap_for(several, "token"))
+    return staged(rows.join(several, "token"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     prints, classes = fingerprints(docs, id_col, text_col)
     sets = prints.where("doc_id IS NOT NULL AND n > 0")
-    records = checkpoint(sets.groupBy("n", "key", "key2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key", "n"))
-
-    by_token = Window.partitionBy("token")
-    lists = _postings(docs, classes, id_col, text_col).repartition("token").withColumns({"low": F.min("key").over(by_token), "last": F.max("key").over(by_token)})
-    lists = staged(lists.where("low <> last").select("token", "key", "n", "room"))
+    records, clashes = distinct_records(sets)
+    lists = _lists(docs, classes, clashes, id_col, text_col)
 
     # the head of a list is the record with the largest share of its rarest shingles on lists of several records:
     # what others were copied from, rather than a copy with changes of its own
     shares = lists.groupBy("key", "n").agg((F.count("*") / F.col("n")).alias("share"))
-    led = lists.join(shares, ["key", "n"]).withColumn("head", F.max(F.struct("share", "key", "n", "room")).over(by_token))
-    led = led.where((F.col("key") != F.col("head.key")) & _reachable(F.col("n"), F.col("head.n"), F.least("room", "head.room")))
+    ranked = checkpoint(lists.join(shares, ["key", "n"]))
+    heads = ranked.groupBy("token").agg(F.max(F.struct("share", "key", "n", "room")).alias("head"))
+    led = ranked.join(heads, "token").where((F.col("key") != F.col("head.key")) & _reachable(F.col("n"), F.col("head.n"), F.least("room", "head.room")))
     led = led.where(F.struct("share", "key") < F.struct("head.share", "head.key"))
     best = led.groupBy("key", F.col("head.key").alias("head")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "head")).alias("x"))
     tries = best.select(F.col("x.head").alias("a"), F.col("key").alias("b"), F.lit(SIMILARITY / 100).alias("floor"))
-    first = checkpoint(compare(docs, records, checkpoint(tries), id_col, text_col).where(_linked()).select(F.col("b").alias("key"), F.col("a").alias("parent"), _distance().alias("distance")).distinct())
+    first = checkpoint(compare(docs, records, clashes, checkpoint(tries), id_col, text_col).where(_linked()).select(F.col("b").alias("key"), F.col("a").alias("parent"), _distance().alias("distance")).distinct())
     clusters = roots(first)
 
-    placed = lists.join(clusters, "key", "left").select("token", "key", "n", "room", F.coalesce("root", "key").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    placed = lists.join(clusters, "key", "left").select("token", "key", "n", "room", F.coalesce("root", "key").alias("root"))
     units = placed.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"))
     mixed = units.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     units = checkpoint(units.join(mixed, "token").select("token", "root", "low", "high", "room"))
     ratio = SIMILARITY / 100
-    a, b = units.alias("a"), units.alias("b")
+    # of two that can still link, the smaller one has room for a link with one of its own size: few have on a common token
+    a, b = units.where(_reachable(F.col("low"), F.col("low"), F.col("room"))).alias("a"), units.alias("b")
     close = (F.col("a.low") * ratio <= F.col("b.high")) & (F.col("b.low") * ratio <= F.col("a.high")) & _reachable(F.col("a.low"), F.col("b.low"), F.least("a.room", "b.room"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & close).select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
+    smaller = F.struct("a.low", "a.root") < F.struct(F.col("b.low").alias("low"), F.col("b.root").alias("root"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & close).select(F.least("a.root", "b.root").alias("a"), F.greatest("a.root", "b.root").alias("b")).distinct()
     radius = clusters.groupBy("root").agg(F.max("distance").alias("radius"))
     reach = lambda c: radius.select(F.col("root").alias(c), F.col("radius").alias(f"radius_{c}"))
     pairs = pairs.join(reach("a"), "a", "left").join(reach("b"), "b", "left").na.fill(0.0, ["radius_a", "radius_b"])
     pairs = checkpoint(pairs.withColumn("floor", F.greatest(F.lit(0.0), ratio - F.col("radius_a") - F.col("radius_b") - 1e-9)))
-    met = checkpoint(compare(docs, records, pairs.select("a", "b", "floor"), id_col, text_col).distinct())
+    met = checkpoint(compare(docs, records, clashes, pairs.select("a", "b", "floor"), id_col, text_col).distinct())
     edges = met.where(_linked()).select("a", "b")
 
     # Pairs of clusters whose roots do not link but whose members may; a floor of 0 asks for no shared element.
     far = pairs.where("floor <= 0").select("a", "b").join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("apart", F.lit(1.0))
     open_ = checkpoint(met.where(~_linked()).select("a", "b", _distance().alias("apart")).union(far))
     if not open_.isEmpty():
-        edges = edges.union(_search_clusters(docs, records, clusters, open_, id_col, text_col))
+        edges = edges.union(_search_clusters(docs, records, clashes, clusters, open_, id_col, text_col))
 
     labels = connected(edges)
     rooted = clusters.select("key", "root").union(clusters.select(F.col("root").alias("key"), "root").distinct())
     place = rooted.join(labels.select(F.col("node").alias("root"), "label"), "root", "left").select("key", F.coalesce("label", "root").alias("label"))
     alone = labels.join(rooted.select("key"), F.col("node") == F.col("key"), "left_anti").select(F.col("node").alias("key"), "label")
     place = place.union(alone)
+    second = F.col("key").isin(list(clashes))
+    sets = sets.select("doc_id", "n", F.when(second, F.col("key2")).otherwise(F.col("key")).alias("key"), F.when(second, F.col("key")).otherwise(F.col("key2")).alias("key2"))
     named = sets.join(place, "key", "left").select("doc_id", "n", "key", "key2", F.coalesce("label", "key").alias("label"), F.col("label").isNull().alias("single"))
     # records without links are told apart by the whole fingerprint
     group = ["label", F.when(F.col("single"), F.col("key2")).alias("rest"), F.when(F.col("single"), F.col("n")).alias("size")]
@@ -465,8 +544,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their component, with all their columns; rows without id stay."""
     found = checkpoint(components(docs, id_col, text_col))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
