@@ -121,15 +121,38 @@ def in_bitmap(bitmap_: np.ndarray, values: np.ndarray) -> np.ndarray:
 def smallest_hashes(df: DataFrame, column: str, n: int, by: str) -> DataFrame:
     """The rows with the n smallest hashes of a column for each value of ``by``, or about as many.
 
-    Rows are counted first, so that only a little more than n of each value go to the window that cuts them; the
-    table of counts has a row for each value, which must be few.
+    Rows are counted first, so that only a little more than n of each value go to the window that cuts them.
     """
+    rows, place, at = fresh(df, "rows", "place", "at")
     space = 1 << 40
-    place = F.pmod(F.xxhash64(column), F.lit(space))
-    counts = df.groupBy(by).agg(F.count("*").alias("__rows"))
-    near = df.join(F.broadcast(counts), by).where(place < F.lit(float(space)) * F.least(F.lit(1.0), F.lit(1.25 * n) / F.col("__rows"))).drop("__rows")
+    hashed = df.withColumn(at, F.pmod(F.xxhash64(column), F.lit(space)))
+    counts = df.groupBy(by).agg(F.count("*").alias(rows))
+    near = hashed.join(counts, by).where(F.col(at) < F.lit(float(space)) * F.least(F.lit(1.0), F.lit(1.25 * n) / F.col(rows))).drop(rows)
     order = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(column), column))
-    return near.withColumn("__place", order).where(F.col("__place") <= n).drop("__place")
+    return near.withColumn(place, order).where(F.col(place) <= n).drop(place, at)
+
+
+def about(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """About n of the rows, those with the smallest hashes of some columns; all rows where there are no more."""
+    space = 1 << 40
+    rows = df.count()
+    return df if rows <= n else df.where(F.pmod(F.xxhash64(*columns), F.lit(space)) < F.lit(int(space * (n / rows))))
+
+
+def only(rows: DataFrame, chosen: DataFrame, column: str) -> DataFrame:
+    """The rows (ID, TEXT) whose id is in a column of a table, once each.
+
+    A bitmap of the ids keeps most texts where they are; only the rest takes part in a join.
+    """
+    ids = checkpoint(chosen.select(F.col(column).alias("chosen")).distinct())
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap_for(ids, "chosen"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at = np.flatnonzero(in_bitmap(bits.value, batch.column(0).to_numpy(zero_copy_only=False)))
+        return batch.take(pa.array(at)) if len(at) else None
+
+    near = map_batches(rows.where(F.col(ID).isNotNull()), run, rows.schema)
+    return near.join(ids, near[ID] == ids["chosen"], "left_semi")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

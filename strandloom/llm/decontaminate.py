@@ -8,7 +8,9 @@ hit are removed as a whole.
 
 Items are held in blocks of at most ``BLOCK`` bytes of text, each with an automaton of its own (a match never
 crosses items, so blocks are independent). What is broadcast is the raw text of at most ``GROUP`` bytes of
-items; a larger benchmark takes several passes over the documents. A worker holds one automaton at a time.
+items; a larger benchmark takes several passes over the documents, one after the other, with what each has found
+written to the shared folder. A worker holds one automaton at a time; with several blocks it makes each of them
+once for ``HELD`` bytes of documents, so that making them is a small part of the work.
 
 Cases: null and empty texts have no words and are clean; items without words match nothing; repeated items and
 item ids count once in n_items. An empty table of items leaves every document clean. Items with a null id match
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, TEXT, WORDS, id_and_text, map_batches, texts, words
+from .common import ID, TEXT, WORDS, fresh, id_and_text, map_batches, pieces, staged, texts, words
 
 WINDOW = 10
 #: Bytes of items in one automaton, and in one pass over the documents.
 BLOCK, GROUP = 1 << 20, 32 << 20
+#: Bytes of documents that wait in a worker while the blocks take turns.
+HELD = 24 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -218,71 +222,92 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-FOUND = [
-    T.StructField("__n_words", T.LongType()),
-    T.StructField("__longest", T.LongType()),
-    T.StructField("__spans", SPAN),
-    T.StructField("__items", T.ArrayType(T.StringType())),
-]
-ADDED = [f.name for f in FOUND]
+#: What a scan adds: words, longest match, spans of hit words, names of the items found.
+FOUND = {"n_words": T.LongType(), "longest": T.LongType(), "spans": SPAN, "items": T.ArrayType(T.StringType())}
 _ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _passes(items: DataFrame, window: int, item_col: str, group: int) -> Iterator[Benchmark]:
+def _passes(items: DataFrame, window: int, item_col: str, group: int, block: int) -> Iterator[Benchmark]:
     """The items of each pass; the driver holds those of one pass at a time."""
     part, room = [], group
     for row in items.select(F.coalesce(items[item_col].cast("string"), F.lit("")).alias("name"), F.coalesce(items["text"], F.lit("")).alias("text")).toLocalIterator():
         if (room := room - len(row.text.encode())) < 0 and part:
-            yield Benchmark(part, window)
+            yield Benchmark(part, window, block)
             part, room = [], group - len(row.text.encode())
         part.append((row.name, row.text))
-    yield Benchmark(part, window)
+    yield Benchmark(part, window, block)
 
 
-def scan(docs: DataFrame, items: DataFrame, carry: list[str], window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", group: int = GROUP) -> DataFrame:
-    """The columns ``carry`` of every document, and beside them __n_words, __longest (match), __spans (of hit
-    words) and __items (sorted names of the items found). Nothing is shuffled: each pass adds to what the pass
-    before it has found in the same row.
+def scan(docs: DataFrame, items: DataFrame, carry: list[str], names: list[str], window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """The columns ``carry`` of every document, and beside them under ``names`` what FOUND says and the number of hit
+    words. Nothing is shuffled: each pass adds to what the pass before it has found in the same row.
     """
-    benches = [docs.sparkSession.sparkContext.broadcast(b) for b in _passes(items, window, item_col, group)]
-    none = {"__n_words": F.lit(0).cast("long"), "__longest": F.lit(0).cast("long"), "__spans": F.array().cast(SPAN), "__items": F.array().cast("array<string>")}
-    out = docs.select(*dict.fromkeys([*carry, text_col])).withColumns(none)
-    for k, bench in enumerate(benches):
-        columns = carry if k == len(benches) - 1 else [*dict.fromkeys([*carry, text_col])]
-
-        def run(batch: pa.RecordBatch, bench=bench, columns=columns) -> pa.RecordBatch:
-            bodies = [t or b"" for t in texts(batch, text_col)]
-            counts = [0] * len(bodies)
-            of = lambda name: batch.column(batch.schema.get_field_index(name))
-            spans = [[(x["start"], x["end"]) for x in s] for s in of("__spans").to_pylist()]
-            names, longest = [set(x) for x in of("__items").to_pylist()], of("__longest").to_pylist()
-            for block in range(len(bench.value.blocks) or 1):
-                automaton = bench.value.block(block)
-                for i, t in enumerate(bodies):
-                    w = words(t)
-                    counts[i] = len(w)
-                    new, found, n = automaton.match(w)
-                    if new:
-                        spans[i] = merged(spans[i] + new)
-                        names[i] |= found
-                    longest[i] = max(longest[i], n)
-            return pa.RecordBatch.from_arrays(
-                [
-                    *map(of, columns), pa.array(counts, pa.int64()), pa.array(longest, pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _ARROW_SPAN),
-                    pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                ],
-                [*columns, *ADDED],
-            )
-
-        out = map_batches(out, run, T.StructType([*docs.select(*columns).schema.fields, *FOUND]))
-    return out.withColumn("__n_hit", F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
-
-
-def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", group: int = GROUP) -> DataFrame:
+    *added, n_hit = names
+    none = dict(zip(added, (F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast(SPAN), F.array().cast("array<string>")), strict=True))
+    out, before = docs.select(*dict.fromkeys([*carry, text_col])).withColumns(none), None
+    passes = _passes(items, window, item_col, group, block)
+    bench = next(passes)
+    while bench is not None:
+        following = next(passes, None)
+        columns = carry if following is None else [*dict.fromkeys([*carry, text_col])]
+        shared = docs.sparkSession.sparkContext.broadcast(bench)
+        out = _scan_pass(out, shared, len(bench.blocks) > 1, columns, added, T.StructType([*docs.select(*columns).schema.fields, *(T.StructField(n, t) for n, t in zip(added, FOUND.values(), strict=True))]), text_col)
+        if following is not None:
+            out = staged(out)
+            shared.destroy()
+        bench = following
+    return out.withColumn(n_hit, F.aggregate(added[2], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
+
+
+def _scan_pass(rows: DataFrame, shared, several: bool, columns: list[str], added: list[str], schema: T.StructType, text_col: str) -> DataFrame:
+    """One pass over the documents."""
+
+    def look(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = shared.value
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+        of = lambda name: batch.column(batch.schema.get_field_index(name))
+        n_words, longest_, spans_, items_ = added
+        split = [t or b"" for t in texts(batch, text_col)]
+        counts, longest = [0] * len(split), of(longest_).to_pylist()
+        spans = [[(x["start"], x["end"]) for x in s] for s in of(spans_).to_pylist()]
+        names = [set(x) for x in of(items_).to_pylist()]
+        for block in range(len(bench.blocks) or 1):
+            automaton = bench.block(block)
+            for i, t in enumerate(split):
+                w = words(t)
+                counts[i] = len(w)
+                new, found, n = automaton.match(w)
+                if new:
+                    spans[i] = merged(spans[i] + new)
+                    names[i] |= found
+                longest[i] = max(longest[i], n)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *map(of, columns), pa.array(counts, pa.int64()), pa.array(longest, pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _ARROW_SPAN),
+                pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+            ],
+            [*columns, *added],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for piece in pieces(batch, 1000, HELD):
+                held.append(piece)
+                if not several or sum(p.nbytes for p in held) >= HELD:
+                    yield from look(held)
+                    held = []
+        if held:
+            yield from look(held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_words, longest, spans, item_ids, n_hit."""
-    found = scan(id_and_text(docs, id_col, text_col), items, [ID], window, TEXT, item_col, group)
-    return found.select(F.col(ID).alias("doc_id"), *(F.col(f"__{c}").alias(c) for c in ("n_words", "longest", "spans", "n_hit")), F.col("__items").alias("item_ids"))
+    found = scan(id_and_text(docs, id_col, text_col), items, [ID], [*FOUND, "n_hit"], window, TEXT, item_col, group, block)
+    return found.select(F.col(ID).alias("doc_id"), "n_words", "longest", "spans", "n_hit", F.col("items").alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_words: int = 0, max_coverage: float = 1.0, window: int = WINDOW, text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -290,8 +315,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_words: int = 0, max_cov
     words more than the share ``max_coverage`` is hit. All columns stay; the text is rewritten where it is cut.
     """
     columns = docs.columns
-    found = scan(docs, items, columns, window, text_col, group=group)
-    kept = found.where(F.col("__n_hit") <= F.col("__n_words") * F.lit(float(max_coverage)))
+    names = fresh(docs, *FOUND, "n_hit")
+    n_words, _, spans, _, n_hit = names
+    found = scan(docs, items, columns, names, window, text_col, group=group)
+    kept = found.where(F.col(n_hit) <= F.col(n_words) * F.lit(float(max_coverage)))
     if max_coverage <= 0:
         return kept.select(*columns)
 
@@ -303,7 +330,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_words: int = 0, max_cov
             out.append(cut(t.encode(), gone).decode() if gone else t)
         return pa.RecordBatch.from_arrays([pa.array(out, c.type) if i == at else c for i, c in enumerate(batch.columns[: len(columns)])], columns)
 
-    return map_batches(kept.select(*columns, "__spans"), run, docs.schema)
+    return map_batches(kept.select(*columns, spans), run, docs.schema)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

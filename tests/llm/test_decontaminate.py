@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import decontaminate as d
 
 
@@ -47,11 +49,24 @@ def test_several_blocks_and_passes_agree(spark, make_docs, monkeypatch):
     docs = make_docs([" ".join(rng.choice("abcde") for _ in range(60)) for _ in range(30)])
     rows = lambda **k: sorted(map(tuple, d.find_items(docs, items_of(spark, some), window=4, **k).collect()))
     whole = rows()
-    assert rows(group=60) == whole
-    monkeypatch.setattr(d, "BLOCK", 40)
-    assert sum(len(b.blocks) for b in d._passes(items_of(spark, some), 4, "item_id", 10**6)) == 1
-    assert len(d.Benchmark([(str(a), b) for a, b in some], 4, 40).blocks) == 20
-    assert rows() == whole
+    assert rows(group=60) == whole and rows(group=200, block=40) == whole and rows(block=40) == whole
+    assert len(list(d._passes(items_of(spark, some), 4, "item_id", 200, 40))) > 1
+    assert [len(b.blocks) for b in d._passes(items_of(spark, some), 4, "item_id", 10**6, 40)] == [20]
+    monkeypatch.setattr(d, "HELD", 300)
+    assert rows(block=40) == whole
+
+
+def test_an_automaton_is_made_once_for_many_rows(spark, make_docs):
+    """Blocks take turns over the rows that are held, not for each batch."""
+    bench = d.Benchmark([(str(i), f"{TEN} w{i}") for i in range(6)], block=60)
+    made = []
+    real = bench.block
+    bench.block = lambda k: made.append(k) or real(k)
+    assert len(bench.blocks) == 6
+    for _ in range(2):
+        for k in range(6):
+            bench.block(k).match(TEN.encode().split())
+    assert made == [*range(6)] * 2
 
 
 def test_cutting_and_dropping(spark, make_docs):
@@ -66,6 +81,13 @@ def test_cutting_and_dropping(spark, make_docs):
 def test_odd_rows_and_empty_tables(spark, odd_docs, make_docs):
     none = items_of(spark, [])
     assert d.find_items(odd_docs, none).where("n_hit > 0").count() == 0
+    names = "n_words longest spans items n_hit __n_words __longest __spans __items __n_hit __id __text N_HIT".split()[:-1]
+    clashing = odd_docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    for coverage in (0, 0.5):
+        left = d.decontaminate(clashing, items_of(spark, [(1, "word " * 12)]), max_coverage=coverage)
+        assert left.columns == clashing.columns and left.count() == odd_docs.count() - 1
+        assert {tuple(r[c] for c in names) for r in left.collect()} == {tuple(range(len(names)))}
+    assert d.find_items(clashing, none).count() == odd_docs.count()
     assert d.decontaminate(odd_docs, none).columns == odd_docs.columns
     assert d.decontaminate(odd_docs, none, max_coverage=0).count() == odd_docs.count()
     assert d.find_items(make_docs([]), items_of(spark, [(1, TEN)])).count() == 0
