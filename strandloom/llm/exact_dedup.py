@@ -1,10 +1,10 @@
 """Exact dedup by composable polynomial fingerprints.
 
 A text (A-Z lower-cased, null as empty) has the fingerprint sum(byte[i] * base ** (n - 1 - i)) modulo two
-primes. Fingerprints of chunks combine by length-shifted arithmetic: h(ab) = h(a) * base ** len(b) + h(b), so
-chunks of a huge document can be hashed anywhere in any order and combined later (``combine_parts``). Rows with
-equal fingerprints and lengths are then compared chunk by chunk with the row that stays; groups in which a
-comparison fails are split by digest.
+primes. Fingerprints of chunks combine by length-shifted arithmetic: h(ab) = h(a) * base ** len(b) + h(b). Texts of
+more than ``HUGE`` bytes are dealt out in parts, so that tasks share out their hashing, and the parts' fingerprints
+are combined (``combined``). Rows with equal fingerprints and lengths are then compared part by part with the row
+that stays: parts are rows, so no task holds two whole texts; groups in which a comparison fails are split by digest.
 
 Cases: null and empty texts equal each other. Null ids count as smaller than all others. Rows that repeat an
 id and its text are one document stored twice: they share one decision and ``drop_copies`` keeps one of them.
@@ -14,18 +14,21 @@ An empty table gives an empty result; further columns are ignored, or carried al
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, LOWER, TEXT, bitmap, checkpoint, id_and_text, in_bitmap, map_batches, texts
+from .common import ID, LOWER, TEXT, bitmap_for, checkpoint, fresh, id_and_text, in_bitmap, map_batches, staged, texts
 
 #: Two primes below 2**31, so that byte * power sums over a chunk stay within 63 bits.
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 CHUNK = 1 << 16
+#: Bytes of a text that is hashed in parts, and of a part; parts that one task combines.
+HUGE, PART, FOLDED = 8 << 20, 1 << 20, 1024
 
 
 def _powers(base: int, modulus: int) -> np.ndarray:
@@ -68,100 +71,96 @@ def pack(pair: tuple[int, int]) -> int:
     return pair[0] << 31 | pair[1]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", polynomial: Polynomial | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", polynomial: Polynomial | None = None, huge: int = HUGE, part: int = PART) -> DataFrame:
     """doc_id, fp (long), n_bytes, digest (SHA-256 in hex) of each normalised text."""
     poly = polynomial or Polynomial()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        low = [t.translate(LOWER) for t in texts(batch)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([pack(poly(t)) for t in low], pa.int64()), pa.array(map(len, low), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in low])],
-            ["doc_id", "fp", "n_bytes", "digest"],
-        )
-
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long, n_bytes long, digest string")
-
-
-def combine_parts(parts: DataFrame, polynomial: Polynomial | None = None) -> DataFrame:
-    """Fingerprints of documents stored in several rows: (doc_id, part, text) -> (doc_id, fp, n_bytes).
-
-    Parts are hashed where they lie; only 24 bytes of each travel to the row that combines them. Lower-casing
-    A-Z works byte by byte, so a part may begin anywhere between two characters.
-    """
-    poly = polynomial or Polynomial()
+        rows = []
+        for i, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            low = t.translate(LOWER)
+            digest = hashlib.sha256(low).hexdigest()
+            rows.append((i, pack(poly(low)) if len(low) <= huge else None, len(low), digest, None, None))
+            if len(low) > huge:
+                rows += [(None, None, None, digest, at // part, low[at : at + part]) for at in range(0, len(low), part)]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "fp", "n_bytes", "digest", "part", "body"])
+
+    found = checkpoint(map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long, n_bytes long, digest string, part long, body binary"))
+    whole = found.where("part IS NULL").select("doc_id", "fp", "n_bytes", "digest")
+    parts = found.where("part IS NOT NULL").select("digest", "part", "body")
+    if parts.isEmpty():
+        return whole
+    late = combined(hashed(parts.repartition("digest", "part").dropDuplicates(["digest", "part"]), poly), poly)
+    return whole.join(late.withColumnsRenamed({"fp": "late"}).drop("n_bytes"), "digest", "left").select("doc_id", F.coalesce("fp", "late").alias("fp"), "n_bytes", "digest")
+
+
+def hashed(parts: DataFrame, poly: Polynomial) -> DataFrame:
+    """(digest, part, body) as (digest, part, a, b, n): the pair and length of each part, where it lies."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        low = [t.translate(LOWER) for t in texts(batch, "text")]
-        pairs = [poly(t) for t in low]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(map(len, low), pa.int64())],
-            ["doc_id", "part", "a", "b", "n"],
-        )
+        bodies = batch.column(2).to_pylist()
+        pairs = [poly(t) for t in bodies]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(map(len, bodies), pa.int64())], ["digest", "part", "a", "b", "n"])
 
-    hashed = map_batches(parts.select("doc_id", F.col("part").cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text")), run, f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, part long, a long, b long, n long")
+    return map_batches(parts.select("digest", "part", "body"), run, "digest string, part long, a long, b long, n long")
 
-    def fold(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, lengths = [], []
-        for row in batch.column(1).to_pylist():
-            pair, n = (0, 0), 0
-            for x in sorted(row, key=lambda x: x["part"]):
-                pair, n = poly.combine(pair, (x["a"], x["b"]), x["n"]), n + x["n"]
-            out.append(pack(pair))
-            lengths.append(n)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "fp", "n_bytes"])
 
-    return map_batches(hashed.groupBy("doc_id").agg(F.collect_list(F.struct("part", "a", "b", "n")).alias("parts")), fold, f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, fp long, n_bytes long")
+def combined(parts: DataFrame, poly: Polynomial) -> DataFrame:
+    """(digest, fp, n_bytes) from the pairs of parts; runs of FOLDED parts are combined first, then their results."""
+    schema = "digest string, part long, a long, b long, n long"
 
+    def fold(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for digest, run, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            pair, n = reduce(lambda x, y: (poly.combine(x[0], (y["a"], y["b"]), y["n"]), x[1] + y["n"]), sorted(some, key=lambda y: y["part"]), ((0, 0), 0))
+            out.append((digest, run, *pair, n))
+        kinds = [pa.string()] + [pa.int64()] * 4
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["digest", "part", "a", "b", "n"])
 
-def same_bytes(a: bytes, b: bytes) -> bool:
-    """Compares chunk by chunk and stops at the first chunk that differs."""
-    x, y = memoryview(a), memoryview(b)
-    return len(x) == len(y) and all(x[i : i + CHUNK] == y[i : i + CHUNK] for i in range(0, len(x), CHUNK))
+    for width in (FOLDED, 1 << 62):
+        runs = parts.groupBy("digest", F.floor(F.col("part") / width).cast("long").alias("run")).agg(F.collect_list(F.struct("part", "a", "b", "n")).alias("some"))
+        parts = map_batches(runs, fold, schema)
+    return parts.select("digest", (F.shiftleft("a", 31).bitwiseOR(F.col("b"))).alias("fp"), F.col("n").alias("n_bytes"))
 
 
-def _false_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, poly: Polynomial) -> DataFrame:
+def _false_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, poly: Polynomial, part: int) -> DataFrame:
     """fp, n_bytes of the groups that hold a text other than that of the row that stays.
 
-    Only texts of groups of two and more are shuffled: a bitmap of their fingerprints, of a fixed size, keeps
-    most of the others in place. Both joins read plain exchanges, so a hot group can be split among tasks.
+    Only texts of groups of two and more are taken up, in parts: a bitmap of their fingerprints keeps most others in
+    place. Both joins read plain exchanges, so a hot group can be split among tasks.
     """
-    shared = groups.where("n > 1").select("fp", "n_bytes", "keeper")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "fp", 23))
+    shared = checkpoint(groups.where("n > 1").select("fp", "n_bytes", "keeper"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_for(shared, "fp"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        low = [t.translate(LOWER) for t in texts(batch)]
-        prints = np.fromiter((pack(poly(t)) for t in low), np.int64, len(low))
-        chosen = np.flatnonzero(in_bitmap(bits.value, prints))
-        if not len(chosen):
-            return None
-        low = [low[i] for i in chosen]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(chosen)), pa.array(prints[chosen]), pa.array(map(len, low), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in low]), pa.array(low, pa.binary())],
-            ["doc_id", "fp", "n_bytes", "digest", "body"],
-        )
-
-    members = map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long, n_bytes long, digest string, body binary")
+        rows = []
+        for i, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            low = t.translate(LOWER)
+            fp = pack(poly(low))
+            if in_bitmap(bits.value, np.array([fp], np.int64))[0]:
+                digest = hashlib.sha256(low).hexdigest()
+                rows += [(i, fp, len(low), digest, at // part, low[at : at + part]) for at in range(0, max(1, len(low)), part)]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "fp", "n_bytes", "digest", "part", "body"]) if rows else None
+
+    members = staged(map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long, n_bytes long, digest string, part long, body binary"))
     keepers = (
         members.join(shared, ["fp", "n_bytes"])
         .where(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest")))
-        .groupBy("fp", "n_bytes").agg(F.first("body").alias("kept_body"))
+        .groupBy("fp", "n_bytes", "part").agg(F.first("body").alias("kept_body"))
     )
-    pairs = members.select("fp", "n_bytes", "body").join(checkpoint(keepers), ["fp", "n_bytes"])
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        other = [i for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if not same_bytes(a, b)]
-        return pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(other)) for k in (0, 1)], ["fp", "n_bytes"]) if other else None
-
-    return map_batches(pairs.select("fp", "n_bytes", "body", "kept_body"), compare, "fp long, n_bytes long").distinct()
+    pairs = members.select("fp", "n_bytes", "part", "body").join(checkpoint(keepers), ["fp", "n_bytes", "part"])
+    return pairs.where("body <> kept_body").select("fp", "n_bytes").distinct()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", polynomial: Polynomial | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", polynomial: Polynomial | None = None, huge: int = HUGE, part: int = PART) -> DataFrame:
     """One row per document: doc_id, fp, n_bytes, digest, keep_id (largest id of its text), group_size, kept."""
     poly = polynomial or Polynomial()
-    prints = checkpoint(fingerprints(docs, id_col, text_col, poly))
+    prints = checkpoint(fingerprints(docs, id_col, text_col, poly, huge, part))
     keeper = F.max(F.struct("doc_id", "digest")).alias("keeper")
     groups = checkpoint(prints.groupBy("fp", "n_bytes").agg(keeper, F.count("*").alias("n")))
-    split = checkpoint(_false_groups(docs, groups, id_col, text_col, poly))
+    split = checkpoint(_false_groups(docs, groups, id_col, text_col, poly, part))
     if split.isEmpty():
         found = prints.join(groups, ["fp", "n_bytes"])
     else:
@@ -178,18 +177,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     found = checkpoint(exact_groups(docs, id_col, text_col))
-    dropped = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"))
-    repeated = found.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
-    stay = found.where("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    out = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__stay")), "left_semi")
-    clashing = found.groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).where("n > 1")
-    if clashing.isEmpty() and repeated.isEmpty():
+    here, same, sha, number = fresh(docs, "here", "same", "sha", "number")
+    kept = found.where("kept")
+    out = docs.join(kept.select(F.col("doc_id").alias(here)).distinct(), docs[id_col].cast("long").eqNullSafe(F.col(here)), "left_semi")
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
         return out
-    # ids that stand for several rows: tell these apart by digest
-    low = F.translate(F.coalesce(docs[text_col], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = out.withColumn("__sha", F.sha2(low.cast("binary"), 256))
-    out = out.join(dropped, out[id_col].cast("long").eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__digest")), "left_anti")
-    return out.withColumn("__n", F.col(id_col).cast("long")).dropDuplicates(["__n", "__sha"]).drop("__n", "__sha")
+    # ids that stand for several rows: tell these apart by digest, and keep one of those that are stored twice
+    low = F.translate(F.coalesce(docs[text_col].cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = out.withColumns({sha: F.sha2(low.cast("binary"), 256), number: F.col(id_col).cast("long")})
+    stay = kept.select(F.col("doc_id").alias(here), F.col("digest").alias(same)).distinct()
+    out = out.join(stay, F.col(number).eqNullSafe(F.col(here)) & (F.col(sha) == F.col(same)), "left_semi")
+    return out.dropDuplicates([number, sha]).select(*docs.columns)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import exact_dedup as x
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,17 +41,22 @@ def test_fingerprints_compose():
     assert poly(data[:500])[0] == value
 
 
-def test_parts_of_a_document_combine(spark, make_docs):
-    text = "Some Text " * 20_000
-    parts = spark.createDataFrame([(1, k, text[a : a + 30_001]) for k, a in enumerate(range(0, len(text), 30_001))][::-1], "doc_id BIGINT, part INT, text STRING")
-    whole = x.fingerprints(make_docs([(1, text)])).first()
-    row = x.combine_parts(parts).first()
-    assert (row.fp, row.n_bytes) == (whole.fp, whole.n_bytes)
+def test_huge_texts_are_hashed_and_compared_in_parts(make_docs, monkeypatch):
+    """Parts of any length give the fingerprints of whole texts, and the same groups."""
+    monkeypatch.setattr(x, "FOLDED", 2)
+    long = "Some Text É " * 2_000
+    rows = [(1, long), (2, long.upper().replace("É", "é")), (3, long[:-1] + "!"), (4, long), (4, long), (5, "short"), (6, ""), (7, None), (8, long.lower())]
+    whole = {(r.doc_id, r.digest, r.fp, r.n_bytes) for r in x.fingerprints(make_docs(rows)).collect()}
+    groups = sorted(map(tuple, x.exact_groups(make_docs(rows)).collect()))
+    for part in (1000, 4096, 30_000):
+        assert {(r.doc_id, r.digest, r.fp, r.n_bytes) for r in x.fingerprints(make_docs(rows), huge=100, part=part).collect()} == whole
+        assert sorted(map(tuple, x.exact_groups(make_docs(rows), huge=100, part=part).collect())) == groups
 
 
-def test_comparison_goes_chunk_by_chunk():
-    a = b"x" * (3 * x.CHUNK)
-    assert x.same_bytes(a, bytes(a)) and not x.same_bytes(a, a[:-1] + b"y") and not x.same_bytes(a, a[:-1])
+def test_collisions_of_huge_texts_are_split(make_docs):
+    rows = [(i, t * 300) for i, t in enumerate(["ab", "ba", "ab", "AB", "bb", "xy", "ba"])]
+    weak = x.Polynomial((1, 1))
+    assert rows_of(x.exact_groups(make_docs(rows), polynomial=weak, huge=10, part=64)) == {i: v for (i, _), v in brute(rows).items()}
 
 
 def test_odd_rows(odd_docs):
@@ -62,6 +69,16 @@ def test_odd_rows(odd_docs):
     assert len(left) == len(set(left)) == 8 and (1, "") not in left
 
 
+def test_clashing_names(odd_docs, make_docs):
+    names = "here same sha number stay gone digest fp n_bytes part body kept keeper n __stay __gone __digest __sha __n __id __text".split()
+    clashing = odd_docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    want = sorted(map(str, x.drop_copies(odd_docs).select("doc_id", "text").collect()))
+    for docs in (clashing, clashing.where("doc_id IN (1, 2, 3, 5)")):  # with ids of several rows and without
+        left = x.drop_copies(docs)
+        assert left.columns == clashing.columns and {tuple(r[c] for c in names) for r in left.collect()} == {tuple(range(len(names)))}
+    assert sorted(map(str, x.drop_copies(clashing).select("doc_id", "text").collect())) == want
+
+
 def test_empty_table(make_docs):
     assert x.exact_groups(make_docs([])).count() == 0
     assert x.drop_copies(make_docs([])).count() == 0
