@@ -9,7 +9,8 @@ from rows of the training fold only; at most ``MAX_LABELS`` of them are used, th
 their id, and no other document's text is read for training.
 
 Cases: null and empty texts have features (zeros) and thus a score. Null labels and labels without a document
-teach nothing; repeated labels count as often as they stand. Without labels, or with labels of one class only,
+teach nothing; repeated labels count as often as they stand; of several documents under one id the one with the
+smallest features teaches. Without labels, or with labels of one class only,
 every score is the smoothed share of label 1. Rows are scored one by one; further columns are ignored.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, id_and_text, map_batches, smallest_hashes, texts
+from .common import checkpoint, id_and_text, map_batches, only, smallest_hashes, texts
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_LABELS = 20_000
@@ -171,18 +172,17 @@ def held_out(id_col, parts: int, held: int):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS) -> AdditiveModel:
     """Fits on the labelled rows given, or on ``max_labels`` of them by hash of their id.
 
-    The rows chosen are at most ``max_labels`` pairs of numbers, so they can be broadcast to the documents; what
-    comes back are their features.
+    What reaches the driver are at most ``max_labels`` rows of features and labels.
     """
     known = labels.select(labels[id_col].cast("long").alias("label_id"), labels[label_col].cast("int").alias("y")).where("label_id IS NOT NULL AND y IN (0, 1)")
-    chosen = smallest_hashes(known.withColumn("all", F.lit(1)), "label_id", max_labels, "all").drop("all")
-    rows = id_and_text(docs, id_col, text_col)
-    rows = rows.join(F.broadcast(chosen), rows[ID] == chosen["label_id"]).select(ID, TEXT, "y")
+    chosen = checkpoint(smallest_hashes(known.withColumn("all", F.lit(1)), "label_id", max_labels, "all").drop("all"))
+    rows = only(id_and_text(docs, id_col, text_col), chosen, "label_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(matrix(texts(batch)).tolist(), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "y"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(matrix(texts(batch)).tolist(), pa.list_(pa.float64()))], ["label_id", "x"])
 
-    found = sorted((r.id, r.y, r.x) for r in map_batches(rows, run, "id long, x array<double>, y int").collect())
+    described = map_batches(rows, run, "label_id long, x array<double>").groupBy("label_id").agg(F.min("x").alias("x"))
+    found = sorted((r.label_id, r.y, r.x) for r in described.join(chosen, "label_id").collect())
     x = np.array([r[2] for r in found], np.float64).reshape(len(found), len(FEATURES))
     return AdditiveModel().fit(x, np.array([r[1] for r in found], np.float64))
 
