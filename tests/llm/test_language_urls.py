@@ -1,4 +1,11 @@
+import math
 import random
+import re
+import zlib
+from collections import Counter
+
+import regex
+from pyspark.sql import functions as F
 
 from strandloom.llm import language, urls
 from strandloom.llm.quality import held_out
@@ -23,22 +30,91 @@ def test_held_out_accuracy(make_docs):
 
 
 def test_unseen_words_back_off():
-    model = language.Backoff({"kato": {"aa": 5}, "schein": {"bb": 5}, "x": {"aa": 1, "bb": 1}})
+    model = language.Backoff(["aa", "bb"], {"kato": {"aa": 5}, "schein": {"bb": 5}, "x": {"aa": 1, "bb": 1}})
     assert model.predict("katokato")[0] == "aa" and model.predict("scheinschein")[0] == "bb"
-    assert (model.vector("ato") == model.parts[4]["ato$"]).all() and language.ORDER == 5
+    assert (model.vector("ato") == model.part_logs[4][model.parts[4]["ato$"]]).all() and language.ORDER == 5
     assert model.vector("ωωω").tolist() == [0.0, 0.0] or model.predict("ωωω")[0] == "aa"
 
 
 def test_blocks_and_memory_change_nothing(monkeypatch):
     counts = {"kato": {"aa": 5}, "schein": {"bb": 3}}
     text = "kato schein unseen katoka " * 400
-    want = language.Backoff(counts).predict(text)
+    want = language.Backoff(["aa", "bb"], counts).predict(text)
     monkeypatch.setattr(language, "BLOCK", 10)
     monkeypatch.setattr(language, "REMEMBERED", 1)
-    got = language.Backoff(counts).predict(text)
+    got = language.Backoff(["aa", "bb"], counts).predict(text)
     assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-6
 
 
+def brute_language(texts, langs, text):
+    """Language and score by counting in plain dictionaries, word by word."""
+    words_of = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    names = sorted({x for t, x in zip(texts, langs, strict=True) if x is not None and words_of(t)})
+    known = {x: Counter(w for t, y in zip(texts, langs, strict=True) if y == x for w in words_of(t)) for x in names}
+    vocabulary = {w for c in known.values() for w in c}
+    parts = {n: {x: Counter() for x in names} for n in range(1, 6)}
+    for x in names:
+        for w, k in known[x].items():
+            marked = f"^{w}$"
+            for n in range(1, 6):
+                for i in range(len(marked) - n + 1):
+                    parts[n][x][marked[i : i + n]] += k
+
+    def log(counts, total, size):
+        return math.log((counts + 0.5) / (total + 0.5 * size))
+
+    sums, found = dict.fromkeys(names, 0.0), words_of(text)
+    for w in found:
+        if w in vocabulary:
+            for x in names:
+                sums[x] += log(known[x][w], sum(known[x].values()), len(vocabulary))
+            continue
+        marked = f"^{w}$"
+        for n in range(min(5, len(marked)), 0, -1):
+            every = {g for x in names for g in parts[n][x]}
+            if some := [g for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in every]:
+                for x in names:
+                    sums[x] += sum(log(parts[n][x][g], sum(parts[n][x].values()), len(every)) for g in some) / len(some)
+                break
+    if not found or not names:
+        return "und", 0.0
+    best = max(names, key=lambda x: (sums[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp((s - sums[best]) / math.sqrt(len(found))) for s in sums.values())
+
+
+def test_query_matches_brute_force(spark, tmp_path, make_docs):
+    """op10 over a small table, held-out rows and all, against plain counting."""
+    texts, langs = corpus(90)
+    texts += ["katoka unseen", "ungsch mi", "", None, "123 !", "to to", "Łódź été", "KA ka Ka", "\u0301ka"]
+    langs += [None] * 5 + ["aa", "bb", None, "cc"]
+    docs = make_docs(texts, langs).withColumn("lang_pred", F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in language.op10_language(spark, str(tmp_path)).collect()}
+    taught = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2 and langs[i] is not None]
+    for i, t in enumerate(texts):
+        want = brute_language([texts[k] for k in taught], [langs[k] for k in taught], t)
+        assert rows[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert rows[i].lang_pred == want[0] and abs(rows[i].score - want[1]) < 1e-4, (t, rows[i], want)
+
+
+def test_ties_between_languages_and_very_long_texts(make_docs):
+    model = language.Backoff(["bb", "aa"], {"kato": {"aa": 5, "bb": 5}, "mi": {"aa": 2, "bb": 2}})
+    assert model.predict("kato mi ato") == ("aa", 0.5)
+    text = "kato mi " * 110_000  # beyond 800,000 characters
+    assert model.predict(text)[0] == "aa" and abs(model.predict(text)[1] - 0.5) < 1e-6
+    model = language.Backoff(["aa", "bb"], {"kato": {"aa": 5}, "schein": {"bb": 5}})
+    assert model.predict("schein " * 130_000 + "kato " * 1000)[0] == "bb"
+    long = "k" * 300_000
+    assert {r.lang_pred for r in language.identify(make_docs([long, text]), model).collect()} == {"aa"}
+
+
+def test_rows_that_teach_are_bounded(make_docs):
+    texts, langs = corpus(200)
+    docs = make_docs([(k % 150, t) for k, t in enumerate(texts)], langs)  # some ids stand for two texts
+    model = language.train(docs, max_docs=5)
+    assert model.languages == sorted(SYLLABLES) and len(model.known) <= 3 * 5 * 20 * 2
+
+
 def test_language_of_odd_rows(odd_docs, make_docs):
     model = language.train(odd_docs)
     found = {(r.doc_id, r.lang_pred) for r in language.identify(odd_docs, model).collect()}
@@ -72,8 +148,6 @@ def test_rules_and_verdicts(spark):
         if u is None or "://" not in u:
             assert (r.host, r.path, r.rule) == ("", "", None)
             continue
-        import re
-
         rest = u.split("://", 1)[1]
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
@@ -100,7 +174,84 @@ def test_long_words_are_found(spark):
     word = "internationalisationally"
     s = urls.Segmenter({word: 3, "international": 5, "isation": 5, "ally": 5, "buy": 9})
     assert s("buy" + word) == ["buy", word] and s("buy" * 19 + word) == ["buy"] * 19 + [word]
-    assert s("y" * urls.LONGEST) == ["y" * urls.LONGEST]
+    assert s("y" * 300) == ["y" * 300]
+
+
+def test_long_names_are_segmented_whole(spark):
+    s = urls.Segmenter({"newspaper": 5, "cheap": 5, "pills": 5})
+    assert s("newspaper" * 7 + "cheappills") == ["newspaper"] * 7 + ["cheap", "pills"]
+    long = "pills" * 30
+    s = urls.Segmenter({long: 5, "pills": 1, "cheap": 2})
+    assert s("cheap" + long) == ["cheap", long]
+    table = pages(spark, ["http://" + "newspaper" * 7 + "cheappills.example.net/"] + ["http://cheap-pills.example.net/newspaper"] * 3 + ["http://" + "casino" * 4000 + ".net/" + "a/" * 20_000])
+    rows = {r.page_id: r for r in urls.judge(table, *urls.train(table)).collect()}
+    assert rows[0].words[-3:] == ["newspaper", "cheap", "pills"] and rows[4].verdict == "block" and len(rows[4].words) == 24_000
+
+
+def brute_bayes(some):
+    """Probability of block of each url, by naive Bayes with counts in plain dictionaries."""
+    lexicon = Counter()
+    for u in some:
+        host, path = urls.split_url(u)
+        for label in host.split("."):
+            parts = re.findall(r"[a-z\u0080-\U0010ffff]+", label)
+            lexicon.update(parts if len(parts) > 1 else [])
+        lexicon.update(re.findall(r"[a-z\u0080-\U0010ffff]+", path.lower()))
+    kinds = {w: k for k, words in urls.SEEDS.items() for w in words}
+    share = max(1, sum(lexicon.values()) // 1000)
+    for w in kinds:
+        lexicon[w] += share
+    total = sum(lexicon.values()) + 1
+
+    def cut(name):
+        cost = lambda w: math.log(total / lexicon[w]) if w in lexicon else math.log(total) + 2.5 * len(w)
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            best.append(min(((best[a][0] + cost(name[a:end]), best[a][1] + [name[a:end]]) for a in range(end)), key=lambda x: x[0]))
+        return best[-1][1]
+
+    def words(u):
+        host, path = urls.split_url(u)
+        out = [w for name in re.findall(r"[a-z\u0080-\U0010ffff]+", host) if name not in urls.COMMON for w in cut(name)]
+        return out + [w for w in re.findall(r"[a-z\u0080-\U0010ffff]+", path.lower()) if w not in urls.COMMON]
+
+    counts, n = {k: Counter({w: 1 for w in words_}) for k, words_ in urls.SEEDS.items()}, Counter()
+    for u in some:
+        votes = Counter(kinds[w] for w in words(u) if w in kinds)
+        if votes["block"] != votes["allow"]:
+            kind = "block" if votes["block"] > votes["allow"] else "allow"
+            n[kind] += 1
+            counts[kind].update(words(u))
+    vocabulary = set(counts["block"]) | set(counts["allow"])
+    out = []
+    for u in some:
+        p = {k: (n[k] + 1) / (n["block"] + n["allow"] + 2) for k in counts}
+        log = {k: math.log(p[k]) for k in counts}
+        for w in words(u):
+            if w in vocabulary:
+                for k in counts:
+                    log[k] += math.log((counts[k][w] + 1) / (sum(counts[k].values()) + len(vocabulary) + 1))
+        out.append((1 / (1 + math.exp(log["allow"] - log["block"])), bool(words(u))))
+    return out
+
+
+def test_query_matches_brute_force_bayes(spark, tmp_path):
+    rng = random.Random(4)
+    pool = "cheap pills casino bonus news paper school garden river lamp spam farm track museum gold".split()
+    some = URLS + ["http://" + "".join(rng.sample(pool, rng.randint(1, 3))) + rng.choice([".example.net", ".net", "-shop.org", ".com"]) + "/" + "/".join(rng.sample(pool, rng.randint(0, 3))) for _ in range(120)]
+    some += [f"http://{a}-{b}.net/" for a in pool for b in pool[:4]]
+    pages(spark, some).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r.page_id: r for r in urls.op8_urls(spark, str(tmp_path)).collect()}
+    for i, (u, (p, any_)) in enumerate(zip(some, brute_bayes(some), strict=True)):
+        rule = brute_rule(rows[i].host, rows[i].path) if u and "://" in u else None
+        assert abs(rows[i].p_block - p) < 1e-9, u
+        assert rows[i].verdict == (rule[1] if rule else "block" if any_ and p > 0.5 else "allow")
+
+
+def test_fit_on_a_sample(spark):
+    table = pages(spark, [f"http://cheap-w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}.net/" for k in range(1000)])
+    segmenter, _ = urls.train(table, max_urls=50)
+    assert 30 < sum(w.startswith("w") for w in segmenter.counts) < 70
 
 
 def test_prior_is_learned(spark):
