@@ -1,6 +1,9 @@
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandloom.llm import bpe
 
@@ -55,3 +58,16 @@ def test_round_trip_of_tables(spark, odd_docs, make_docs):
     assert bpe.encode_documents(make_docs([])).count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id BIGINT, token_ids ARRAY<INT>")
     assert bpe.decode_documents(nothing).first().text == ""
+
+
+def test_query_digests_match_the_library(spark, odd_docs, tmp_path):
+    """op5 over a small table against the tokenizers library, row by row."""
+    texts = [None, "", "a<|endoftext|> b", "It's 2024, naïve café\u0301s; 日本語 🎉\n\n  tabs\t", "ab" * 3000, " " * 900 + "x", "\ufffd \x00\x01", "The quick brown fox. " * 2000]
+    rows = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING"))
+    rows.withColumn("n_tokens", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for r in rows.collect():
+        ids = LIBRARY.encode(r.text or "", add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want.append((str(r.doc_id), len(ids), digest(",".join(map(str, ids))), digest(LIBRARY.decode(ids, skip_special_tokens=False))))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op5_bpe(spark, str(tmp_path)).collect()) == sorted(want)
