@@ -2,7 +2,8 @@
 
 A pretoken's symbols lie in a linked list. Leaf i of the tree holds the rank of the pair that begins at symbol
 i, so the root names the leftmost pair of lowest rank; each merge changes three leaves and their paths to the
-root, until the root says that no pair can be merged.
+root, until the root says that no pair can be merged. Nodes have ``WAYS`` children, so that the tree of a usual word
+is its root.
 
 Cases: a null text is an empty one and has no tokens. Special tokens of the vocabulary file are found in the
 text as the tokenizers library finds them. Rows are judged one by one, so repeated rows get equal results and an
@@ -25,9 +26,9 @@ from .common import id_and_text, map_batches, texts
 
 #: Fixed value: the pattern that byte-level vocabularies split text by; white space by its Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-NONE = 1 << 62
+NONE, WAYS = 1 << 62, 16
 #: Pretokens at once, pretokens of a generation that a worker remembers, and characters of the longest one remembered.
-BLOCK, REMEMBERED, LONGEST = 200_000, 200_000, 48
+BLOCK, REMEMBERED, LONGEST = 200_000, 350_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,6 +38,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _levels(leaves: list[int]) -> list[list[int]]:
+    """A segment tree of WAYS children a node: the leaves, then the smallest of each node's children, up to one node."""
+    levels = [leaves]
+    while len(levels[-1]) > WAYS:
+        below = levels[-1]
+        levels.append([min(below[x : x + WAYS]) for x in range(0, len(below), WAYS)])
+    return levels
+
+
+def _update(levels: list[list[int]], x: int) -> None:
+    """Carries a changed leaf up to the children of the root."""
+    for below, above in zip(levels, levels[1:], strict=False):
+        x //= WAYS
+        if x < len(above):
+            above[x] = min(below[x * WAYS : x * WAYS + WAYS])
+
+
 class _Memory(dict):
     """Token ids of short pretokens, of a bounded number: a full generation becomes the old one, from which what is
     used again is taken over."""
@@ -104,45 +122,29 @@ class Encoder:
         if n < 2:
             return ids
         get, made, first = self.rank.get, self.made, self.first
-        width = 1 << (n - 2).bit_length()
-        tree = [NONE] * (2 * width)
-        for i, (a, b) in enumerate(zip(pretoken, pretoken[1:], strict=False), width):
-            tree[i] = first[a << 8 | b] | i - width
-        for k in range(width - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+        leaves = [first[a << 8 | b] | i for i, (a, b) in enumerate(zip(pretoken, pretoken[1:], strict=False))]
+        levels = _levels(leaves)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (best := tree[1]) < NONE:
+        while (best := min(levels[-1])) < NONE:
             i = best & 0xFFFFFFFF
             j = after[i]
             ids[i] = new = made[best >> 32]
             ids[j] = -1
             after[i] = k = after[j]
-            tree[width + i] = NONE
-            if j < width:
-                tree[width + j] = NONE
             if k < n:
                 before[k] = i
-                tree[width + i] = get(new << 20 | ids[k], NONE) | i
+                leaves[i] = get(new << 20 | ids[k], NONE) | i
+                leaves[j] = NONE
+            else:
+                leaves[i] = NONE
+                if j < n - 1:
+                    leaves[j] = NONE
             p = before[i]
             if p >= 0:
-                tree[width + p] = get(ids[p] << 20 | new, NONE) | p
-            else:
-                p = i
-            low, high = width + p >> 1, width + min(j, width - 1) >> 1
-            if high - low < 8:  # the paths of neighbouring leaves, level by level
-                while low:
-                    for x in range(low, high + 1):
-                        a, b = tree[2 * x], tree[2 * x + 1]
-                        tree[x] = a if a < b else b
-                    low >>= 1
-                    high >>= 1
-            else:
-                for x in (width + p >> 1, width + i >> 1, high):
-                    while x:
-                        a, b = tree[2 * x], tree[2 * x + 1]
-                        tree[x] = a if a < b else b
-                        x >>= 1
+                leaves[p] = get(ids[p] << 20 | new, NONE) | p
+            if len(levels) > 1:
+                for x in {p, i, j} if p >= 0 else {i, j}:
+                    _update(levels, x)
         return [x for x in ids if x >= 0]
 
     def _pieces(self, text: str) -> Iterator[str | int]:
