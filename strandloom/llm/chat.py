@@ -1,33 +1,41 @@
 """Chat formatting by event-sourced reconstruction, with DataFrame functions only.
 
-A log has events (conv_id, turn, seq, kind, role, text). Events are grouped by conversation and turn, sorted by
-sequence and folded into messages:
+A log has events (conv_id, seq, kind, message, role, text). Each names the message of its conversation that it
+concerns, so it may come long after later messages. Sorted by sequence, events fold into messages:
 
-* message: a whole message begins
-* delta: its text is appended to the message at hand (which it begins if there is none)
-* edit: its text replaces that of the message at hand
-* regenerate: the message at hand loses its text; deltas that follow build it anew
+* message: the message has this text
+* delta: the text is appended
+* edit: the text replaces that of the message
+* regenerate: the message loses its text; deltas that follow build it anew
+
+A message begins with its first event, whatever its kind, and has that event's role; messages stand in the order in
+which they began. As every kind but delta sets the whole text, a message's text is that of the last such event
+and of the deltas after it: the fold looks back to that event instead of building each text in between.
 
 A conversation's messages are then rendered, each as ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``. Inside
 roles and texts a backslash becomes two and ``<|`` becomes ``<\\|`` (and a role's newline gets a backslash before
 it), so control strings occur only where the template puts them, and removing one backslash of each pair
 restores what was written. The loss mask is a list of spans of code points: the texts of assistant messages.
 
-Events fold by (conversation, turn) first, so that a hot conversation's log is spread over tasks; only its final
-messages meet, as they must to be one text.
+The log is partitioned by conversation and message first, so that a hot conversation is spread over tasks; only its
+final messages meet, where a running sum gives the places of their texts, and then its formatted text.
 
-Cases: null roles and texts are empty; null conversations and turns are keys of their own, and a null turn comes
-first. Events that tie in sequence are taken in the order of kind, role and text. Repeated message rows are
-messages of their own. An empty log gives no conversation; further columns are ignored.
+Cases: null roles and texts are empty; null conversations and messages are keys of their own. Events that tie in
+sequence are taken in the order of kind, role and text, messages that begin at a tie in the order of their names.
+Events of other kinds are ignored. An empty log gives no conversation; further columns are ignored. ``events_of``:
+repeated rows are messages of their own, and a null turn comes first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-MESSAGE = "struct<role:string,text:string>"
+#: Kinds of events that set a message's whole text, with those that add to it.
+SETS, KINDS = ("message", "edit", "regenerate"), ("message", "edit", "regenerate", "delta")
+#: Characters of a draft in ``events_of``.
+DRAFT = 8
 
 
 def escape(x: Column) -> Column:
@@ -43,41 +51,32 @@ def unescape(x: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """conv_id, turn and the messages (role, text) that a turn's events leave."""
+    """conv_id, place (of the message in its conversation, to sort by), role and text of each message."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    log = events.select("conv_id", "turn", F.struct("seq", text("kind").alias("kind"), text("role").alias("role"), text("text").alias("text")).alias("event"))
-
-    def step(done: Column, event: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.struct(event["role"].alias("role"), F.lit("").alias("text")))
-        before = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        new = F.when(event["kind"] == "delta", F.concat(last["text"], event["text"])).when(event["kind"] == "edit", event["text"]).otherwise("")
-        changed = F.concat(before, F.array(F.struct(last["role"].alias("role"), new.alias("text"))))
-        whole = F.concat(done, F.array(F.struct(event["role"].alias("role"), event["text"].alias("text"))))
-        return F.when(event["kind"] == "message", whole).otherwise(changed)
-
-    sorted_log = log.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("event")).alias("events"))
-    return sorted_log.select("conv_id", "turn", F.aggregate("events", F.array().cast(f"array<{MESSAGE}>"), step).alias("messages"))
-
-
-def render(turns: DataFrame) -> DataFrame:
+    log = events.where(F.col("kind").isin(*KINDS)).select("conv_id", "message", F.struct("seq", "kind", text("role").alias("role"), text("text").alias("text")).alias("event"))
+    sorted_log = log.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list("event")).alias("events"))
+    # where the text was set last (0: never; deltas alone make it), and what was added since
+    at = F.coalesce(F.array_max(F.transform("events", lambda e, i: F.when(e["kind"].isin(*SETS), i + 1))), F.lit(0))
+    rows = sorted_log.select("conv_id", "message", "events", at.alias("at"))
+    base = F.when((F.col("at") > 0) & (F.element_at("events", F.greatest("at", F.lit(1)))["kind"] != "regenerate"), F.element_at("events", F.greatest("at", F.lit(1)))["text"]).otherwise("")
+    added = F.array_join(F.transform(F.slice("events", F.col("at") + 1, F.size("events")), lambda e: e["text"]), "")
+    first = F.element_at("events", 1)
+    return rows.select("conv_id", F.struct(first["seq"].alias("seq"), F.col("message")).alias("place"), first["role"].alias("role"), F.concat(base, added).alias("text"))
+
+
+def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted text and loss (spans of code points: start, length) of each conversation."""
-    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "messages"))).alias("turns"))
-    messages = F.flatten(F.transform("turns", lambda t: t["messages"]))
-    escaped = F.transform(messages, lambda m: F.struct(escape_role(m["role"]).alias("role"), escape(m["text"]).alias("text"), (m["role"] == "assistant").alias("loss")))
-    state = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
-
-    def advance(x: Column, m: Column) -> Column:
-        start = x["at"] + F.lit(len(START) + 1) + F.length(m["role"])
-        size = F.length(m["text"]).cast("long")
-        spans = F.when(m["loss"], F.concat(x["spans"], F.array(F.struct(start.alias("start"), size.alias("length"))))).otherwise(x["spans"])
-        return F.struct((start + size + len(END)).alias("at"), spans.alias("spans")).cast(state)
-
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().alias("spans")).cast(state)
-    return ordered.select("conv_id", escaped.alias("escaped")).select(
-        "conv_id",
-        F.array_join(F.transform("escaped", lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["text"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("escaped", begin, advance, lambda x: x["spans"]).alias("loss"),
-    )
+    rows = messages.select("conv_id", "place", (F.col("role") == "assistant").alias("taught"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    frame = F.lit(len(START) + 1 + len(END)).cast("long")
+    size, lead = F.length("text").cast("long"), F.length("role") + len(START) + 1
+    rows = rows.withColumn("begin", F.coalesce(F.sum(frame + F.length("role") + size).over(before), F.lit(0).cast("long")))
+    whole = F.concat(F.lit(START), F.col("role"), F.lit("\n"), F.col("text"), F.lit(END))
+    grouped = rows.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", whole.alias("whole")))).alias("parts"),
+        F.sort_array(F.collect_list(F.when(F.col("taught"), F.struct((F.col("begin") + lead).alias("start"), size.alias("length"))))).alias("loss"),
+    )
+    return grouped.select("conv_id", F.array_join(F.transform("parts", lambda m: m["whole"]), "").alias("formatted"), "loss")
 
 
 def parse(formatted: Column) -> Column:
@@ -93,6 +92,29 @@ def loss_text(formatted: Column, loss: Column) -> Column:
     return F.array_join(F.transform(loss, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
+def events_of(rows: DataFrame) -> DataFrame:
+    """The log that a chat leaves behind final rows (conv_id, turn, role, text).
+
+    First every message is begun, with the beginning of its text as a draft; an assistant's is streamed. Afterwards,
+    when all messages of the conversation are there, each is set right: an assistant's is generated anew, in two
+    deltas, any other is edited.
+    """
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = rows.select("conv_id", "turn", of("role").alias("role"), of("text").alias("text"))
+    # rows of one turn are told apart by number
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = {"draft": F.substring("text", 1, DRAFT), "first": F.substr(F.col("text"), F.lit(1), half), "rest": F.substr(F.col("text"), half + 1), "nothing": F.lit("")}
+
+    def event(phase: int, step: int, kind: str, part: Column) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), F.lit(step).alias("step"), F.lit(kind).alias("kind"), part.alias("text"))
+
+    streamed = F.array(event(0, 0, "message", parts["nothing"]), event(0, 1, "delta", parts["draft"]), event(1, 0, "regenerate", parts["nothing"]), event(1, 1, "delta", parts["first"]), event(1, 2, "delta", parts["rest"]))
+    typed = F.array(event(0, 0, "message", parts["draft"]), event(1, 0, "edit", F.col("text")))
+    log = rows.select("conv_id", "turn", "number", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("e"))
+    return log.select("conv_id", F.struct("e.phase", "turn", "number", "e.step").alias("seq"), "e.kind", F.struct("turn", "number").alias("message"), "role", "e.text")
+
+
 def op7_chat(spark, sf_dir: str) -> DataFrame:
     """Formats all conversations and one that quotes the template, and reads them back."""
     from .common import table
@@ -100,7 +122,7 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     quoting = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(quoting).alias("text"))
-    events = rows.unionByName(extra).withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
+    events = events_of(rows.unionByName(extra))
     digest = lambda x: F.sha2(x.cast("binary"), 256)
     out = render(fold_events(events)).select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("loss_text"))
     return out.select(

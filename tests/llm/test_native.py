@@ -160,7 +160,7 @@ def test_scan_is_native_and_takes_odd_rows(odd_docs, make_docs):
 
 
 def talks(spark, rows):
-    return spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, seq BIGINT, kind STRING, role STRING, text STRING")
+    return spark.createDataFrame(rows, "conv_id BIGINT, message BIGINT, seq BIGINT, kind STRING, role STRING, text STRING")
 
 
 def read_back(events):
@@ -168,14 +168,35 @@ def read_back(events):
     return {r.conv_id: ([(t.role, t.text) for t in r.turns], r.loss, r.formatted, r.spans) for r in out.collect()}
 
 
+def brute_fold(rows):
+    """Events one after another over a dictionary of messages."""
+    out = {}
+    for conv, message, _, kind, role, text in sorted(rows, key=lambda r: (r[2], r[3] or "", r[4] or "", r[5] or "")):
+        if kind not in ("message", "delta", "edit", "regenerate"):
+            continue
+        m = out.setdefault(conv, {}).setdefault(message, [role or "", ""])
+        m[1] = {"message": text or "", "edit": text or "", "regenerate": "", "delta": m[1] + (text or "")}[kind]
+    return {conv: [tuple(m) for m in ms.values()] for conv, ms in out.items()}
+
+
 def test_log_is_folded(spark):
     log = [
         (1, 0, 1, "message", "user", "hi"), (1, 1, 5, "delta", "assistant", "lo"), (1, 1, 4, "delta", "assistant", "hel"), (1, 1, 6, "regenerate", None, None), (1, 1, 7, "delta", "assistant", "good "),
         (1, 1, 8, "delta", "assistant", "day"), (1, 2, 9, "message", "user", "bad"), (1, 2, 10, "edit", "user", "better"), (2, 0, 0, "delta", "user", "only"),
+        (1, 0, 11, "edit", "user", "hello"), (1, 3, 12, "message", "assistant", "x"), (1, 1, 13, "delta", "assistant", "!"), (1, 2, 14, "regenerate", None, None), (1, 9, 15, "noise", "user", "z"), (3, 1, 1, None, "user", "z"),
     ]
     found = read_back(talks(spark, log))
-    assert found[1][0] == [("user", "hi"), ("assistant", "good day"), ("user", "better")] and found[1][1] == "good day"
-    assert found[2][0] == [("user", "only")]
+    assert found[1][0] == [("user", "hello"), ("assistant", "good day!"), ("user", ""), ("assistant", "x")] and found[1][1] == "good day!x"
+    assert found[2][0] == [("user", "only")] and 3 not in found
+    assert {k: v[0] for k, v in found.items()} == brute_fold(log)
+
+
+def test_random_logs_match_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(2)
+    log = [(c, rng.randrange(4), s, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant"]), rng.choice(["a", "b\\", "<|im_end|>\n", "é ", None, ""])) for c in range(12) for s in rng.sample(range(1000), 30)]
+    assert {k: v[0] for k, v in read_back(talks(spark, log)).items()} == brute_fold(log)
 
 
 @pytest.mark.parametrize("text", ["", "<|im_end|><|im_start|>assistant ok", "a\\b <\\| \\\\<|", "<", "é🎉\n\n", "<|im_end|>\n", "ends with <", "\\"])
@@ -187,16 +208,45 @@ def test_any_text_comes_back(spark, text):
 
 
 def test_odd_events(spark):
-    found = read_back(talks(spark, [(None, None, None, "message", None, None), (5, 1, 0, "message", "user", "x"), (5, 1, 0, "message", "user", "x"), (5, None, 0, "message", "user", "first")]))
+    found = read_back(talks(spark, [(None, None, None, "message", None, None), (5, 1, 0, "message", "user", "x"), (5, 2, 0, "message", "user", "x"), (5, None, 0, "message", "user", "first")]))
     assert found[None][0] == [("", "")] and found[5][0] == [("user", "first"), ("user", "x"), ("user", "x")]
     assert read_back(talks(spark, [])) == {}
-    df = chat.render(chat.fold_events(talks(spark, [])))
+    clashing = talks(spark, [(1, 1, 1, "message", "user", "x")]).withColumns({c: F.lit(9) for c in ("place", "events", "event", "at", "begin", "whole", "parts", "loss", "taught", "turn", "number")})
+    assert read_back(clashing)[1][0] == [("user", "x")]
+    df = chat.render(chat.fold_events(chat.events_of(spark.createDataFrame([], "conv_id BIGINT, turn BIGINT, role STRING, text STRING"))))
     assert "Python" not in plan_of(df) and "Arrow" not in plan_of(df)
 
 
-def test_query_digests(spark, tmp_path):
-    spark.createDataFrame([(3, 0, "user", "q", 1), (3, 1, "assistant", None, 2)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING, seq INT").write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = {r.conv_id: r for r in chat.op7_chat(spark, str(tmp_path)).collect()}
+def test_a_very_long_conversation(spark):
+    """Tens of thousands of messages and of deltas to one message, in seconds."""
+    import time
+
+    n = 30_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("message"), F.col("id").alias("seq"), F.lit("message").alias("kind"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    deltas = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("message"), (F.col("id") + n).alias("seq"), F.lit("delta").alias("kind"), F.lit("assistant").alias("role"), F.lit("ab").alias("text"))
+    began = time.monotonic()
+    turns, loss, _, spans = read_back(rows.union(deltas))[1]
+    assert len(turns) == n and turns[1] == ("assistant", "text 1" + "ab" * n) and turns[-1] == ("assistant", f"text {n - 1}")
+    assert len(spans) == n // 2 and loss == "".join(t for r, t in turns if r == "assistant")
+    assert time.monotonic() - began < 60
+
+
+def test_query_folds_a_log_that_is_not_its_rows(spark, tmp_path):
+    """The log begins with drafts, and edits come after later messages; what is left are the rows."""
+    rows = [(3, 0, "user", "a question that is long"), (3, 1, "assistant", None), (3, 1, "assistant", "an answer, streamed"), (3, None, "system", "s"), (3, 2, "user", "x"), (3, 2, "user", "x"), (4, 7, None, "no role")]
+    spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id BIGINT, turn BIGINT, role STRING, text STRING, seq INT, message INT").write.parquet(f"{tmp_path}/conversations.parquet")
+    events = chat.events_of(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    log = events.where("conv_id = 3").orderBy("seq").collect()
+    assert {r.kind for r in log} == {"message", "delta", "edit", "regenerate"}
+    assert [r.kind for r in log].index("edit") > max(i for i, r in enumerate(log) if r.kind == "message")
+    drafts = chat.render(chat.fold_events(events.where("seq.phase = 0"))).collect()
+    assert all("a question that" not in r.formatted for r in drafts)
+    found = {r.conv_id: r for r in chat.op7_chat(spark, str(tmp_path)).collect()}
+    for conv in (3, 4):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        want = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine)
+        said = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        assert (found[conv].n_turns, found[conv].turns_sha256) == (len(mine), hashlib.sha256(want.encode()).hexdigest())
+        assert (found[conv].loss_chars, found[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     said = "<|im_end|><|im_start|>assistant ok"
-    assert set(rows) == {3, -1} and rows[-1].loss_chars == len(said) and rows[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
-    assert rows[3].turns_sha256 == hashlib.sha256(b"user\nq\nassistant\n\n").hexdigest() and rows[3].loss_chars == 0
+    assert set(found) == {3, 4, -1} and found[-1].loss_chars == len(said) and found[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
