@@ -1,4 +1,4 @@
-"""Command line: ``python -m strandloom.cli hapcorrect|cna|all|sync --help``."""
+"""Command line: ``python -m strandloom.cli hapcorrect|cna|all|sync|migrate --help``."""
 
 from __future__ import annotations
 
@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from strandloom import schemas
 from strandloom.functions import contigs as ct
-from strandloom.operators import breakpoints, profile, snps, sync
+from strandloom.functions import scalar
+from strandloom.operators import breakpoints, loh, profile, snps, sync
+from strandloom.operators import copynumber as cn
 from strandloom.plans import cna, hapcorrect
 from strandloom.sources import bam, sinks, tables
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandloom")
-    p.add_argument("command", choices=("all", "hapcorrect", "cna", "sync"))
+    p.add_argument("command", choices=("all", "hapcorrect", "cna", "sync", "migrate"))
     p.add_argument("--out", required=True, help="folder for results")
-    p.add_argument("--contig-lengths", required=True, help="headerless table: contig, length")
+    p.add_argument("--contig-lengths", help="headerless table: contig, length")
     p.add_argument("--contigs", default="chr1-22,chrX")
     p.add_argument("--centromeres", help="BED: contig, start, end")
     p.add_argument("--vcf", help="phased variants (plain or gzip)")
@@ -33,7 +35,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--hets-ratio", type=float, default=0.15)
     p.add_argument("--hets-loh-seg-size", type=int, default=1_000_000)
     p.add_argument("--breakpoints-min-length", type=int, default=10_000)
-    p.add_argument("--sv-support", type=float, default=3.0)
+    p.add_argument("--sv-support", type=float, default=3.0, help="least support of a structural variant")
+    p.add_argument("--sv-support-rate", type=float, default=0.2, help="least support as a share of one copy's depth")
+    p.add_argument("--use-sv-haplotypes", action="store_true", help="a phased variant cuts its own haplotype where blocks are imbalanced")
+    p.add_argument("--change-point-detection-for-cna", action="store_true", help="cut at change points of the depth as well")
+    p.add_argument("--cancer-genes", help="headerless table: contig, start, end, gene")
+    p.add_argument("--user-input-genes", help="text with a gene's name in each line (or in the fourth column), to pick from --cancer-genes")
+    p.add_argument("--genome-name", default="Sample", help="name of the sample in VCFs")
+    p.add_argument("--without-phasing", action="store_true", help="cna on the sum of both haplotypes")
+    p.add_argument("--hp1", help="migrate: older profile of haplotype 1")
+    p.add_argument("--hp2", help="migrate: older profile of haplotype 2")
     p.add_argument("--purity-range", default="0.25-1.0")
     p.add_argument("--ploidy-range", default="1.0-5.5")
     p.add_argument("--confidence-subclonal-score", type=float, default=0.6)
@@ -66,43 +77,94 @@ def base_counts(spark: SparkSession, args, positions: DataFrame) -> DataFrame:
     return snps.count_bases(snps.pileup(reads, positions))
 
 
+def _genes(spark: SparkSession, args) -> DataFrame | None:
+    if not args.cancer_genes:
+        return None
+    names = None
+    if args.user_input_genes:  # a list that a person has written
+        names = [r.value.split("\t")[3] if "\t" in r.value else r.value.strip() for r in spark.read.text(args.user_input_genes).collect()]
+    return tables.read_genes(spark, args.cancer_genes, names)
+
+
+def _check_naming(*frames: DataFrame) -> None:
+    """Stops if some inputs name contigs with the prefix and others without."""
+    if not tables.same_naming(*frames):
+        raise SystemExit("the inputs name contigs in different ways, with and without the prefix chr")
+
+
 def run_hapcorrect(spark: SparkSession, args) -> None:
     variants = tables.read_vcf(spark, args.vcf)
+    contigs, centromeres, genes = _contigs(spark, args), _centromeres(spark, args), _genes(spark, args)
+    _check_naming(variants, tables.read_table(spark, args.contig_lengths, schemas.CONTIGS), *([centromeres] if args.centromeres else []), *([genes] if genes is not None else []))
+    header = tables.vcf_header(spark, args.vcf)
     het = tables.het_snps(variants)
     freqs = snps.frequencies(het, base_counts(spark, args, het.select("chr", "start")))
-    field = tables.frequency_field(tables.vcf_header(spark, args.vcf)) if args.tumor_only else None
-    zygosity = tables.loh_snps(variants, field) if args.tumor_only else None
+    zygosity = tables.loh_snps(variants, tables.frequency_field(header)) if args.tumor_only else None
     settings = hapcorrect.Settings(args.bin_size, args.bin_size_snps, args.min_phaseblock, args.hets_ratio, args.hets_loh_seg_size)
-    done = hapcorrect.run(freqs, tables.phaseset_positions(variants), _contigs(spark, args), _centromeres(spark, args), zygosity, settings=settings)
-    for name in ("bins", "blocks", "original_blocks", "loh", "flips"):
+    done = hapcorrect.run(freqs, tables.phaseset_positions(variants), contigs, centromeres, zygosity, settings=settings, genes=genes)
+    for name in ("bins", "blocks", "original_blocks", "loh", "flips", "raw_bins", "genes"):
         getattr(done, name).write.mode("overwrite").parquet(f"{args.out}/{name}")
+    sinks.write_table(done.bins, f"{args.out}/phase_corrected_coverage")
+    sinks.write_table(done.blocks, f"{args.out}/coverage_ps")
+    sinks.write_variants(hapcorrect.rephased(tables.read_vcf(spark, args.vcf, False), done, settings), f"{args.out}/rephased.vcf", header, args.genome_name)
+    lines = done.bins.select("chr", F.col("start").alias("pos"))
+    if args.tumor_only:
+        shares = zygosity.withColumn("vaf", scalar.parse_vaf(F.col("vaf")))
+        snps.baf_from_vcf(shares, lines, args.bin_size).write.mode("overwrite").parquet(f"{args.out}/baf")
+        ratios = snps.zygosity_ratios(snps.zygosity_counts(zygosity, args.bin_size_snps))
+        ratios.write.mode("overwrite").parquet(f"{args.out}/snp_ratios")
+        loh.region_events(done.loh, "loh").write.mode("overwrite").text(f"{args.out}/loh_events")
+    else:
+        snps.baf_from_depths(freqs, lines, args.bin_size).write.mode("overwrite").parquet(f"{args.out}/baf")
 
 
 def run_cna(spark: SparkSession, args) -> None:
     bins = spark.read.parquet(f"{args.out}/bins")
-    points = spark.createDataFrame([], "chr STRING, pos BIGINT, hp INT, id STRING")
+    centromeres = _centromeres(spark, args)
+    lost = spark.read.parquet(f"{args.out}/loh")
+    lost = None if lost.isEmpty() else lost
+    points = spark.createDataFrame([], "chr STRING, pos BIGINT, hp STRING, dv INT, id STRING")
     ids = None
+    settings = cna.Settings(
+        args.bin_size, _range(args.purity_range), _range(args.ploidy_range), args.dna_purity, args.first_copy, args.confidence_subclonal_score,
+        sv_support_rate=args.sv_support_rate, min_support=args.sv_support, change_points=args.change_point_detection_for_cna,
+    )
     if args.breakpoints:
         pairs = breakpoints.junctions(tables.read_vcf(spark, args.breakpoints), ct.expand(args.contigs), args.breakpoints_min_length, args.sv_support)
-        ends = breakpoints.ends(pairs)
-        points = ends.select("chr", "pos", F.lit(None).cast("int").alias("hp"), "id")
-        ids = ends.select("chr", "pos", "id")
-    settings = cna.Settings(args.bin_size, _range(args.purity_range), _range(args.ploidy_range), args.dna_purity, args.first_copy, args.confidence_subclonal_score)
-    found = cna.run(bins, points.select("chr", "pos", "hp"), _centromeres(spark, args), settings, ids)
-    lengths = {r.chr: r.len for r in _contigs(spark, args).collect()}
+        if args.use_sv_haplotypes:
+            pairs = breakpoints.trusted_haplotypes(pairs, spark.read.parquet(f"{args.out}/blocks"), lost)
+        else:
+            pairs = pairs.withColumn("hp", F.lit("0|0"))
+        points = breakpoints.ends(pairs)
+        ids = points.select("chr", "pos", "id")
+        arcs = breakpoints.arc_curves(breakpoints.arcs(pairs), ct.with_offsets(_contigs(spark, args)))
+        arcs.write.mode("overwrite").parquet(f"{args.out}/arcs")
+    lengths = {r.chr: r.len for r in _contigs(spark, args).collect()}  # a row for each contig
+    if args.without_phasing:
+        whole = bins.select("chr", "start", "end", (F.col("hp1") + F.col("hp2") + F.col("hp3")).alias("coverage"))
+        copy = cna.first_copies(whole.select("chr", "start", F.col("coverage").alias("hp1"), F.lit(0.0).alias("hp2")), settings)[0]
+        top = float(whole.agg(F.max("coverage").alias("m")).first()["m"] or 0)
+        sinks.write_profile(cna.unphased_profile(whole, points, centromeres, [i * copy for i in range(len(cn.centers_up_to(copy, top)))], args.bin_size), f"{args.out}/solution/integer_profile.bed")
+        return
+    genes = spark.read.parquet(f"{args.out}/genes") if args.cancer_genes else None
     rows = []
-    for solution, integer, subclonal in found:
-        folder = f"{args.out}/solution_{solution['solution_rank']}"
-        sinks.write_profile(integer, f"{folder}/integer_profile.bed")
-        sinks.write_profile(subclonal, f"{folder}/subclonal_profile.bed")
-        sinks.write_vcf(profile.vcf_records(integer), f"{folder}/cna.vcf", lengths)
-        rows.append(tuple(solution[c.split()[0]] for c in schemas.SOLUTIONS.split(", ")))
+    for found in cna.run(bins, points, centromeres, settings, ids, lost, genes):
+        numbers = found.numbers
+        folder = f"{args.out}/solution_{numbers['solution_rank']}"
+        sinks.write_profile(found.integer, f"{folder}/integer_profile.bed")
+        sinks.write_profile(found.subclonal, f"{folder}/subclonal_profile.bed")
+        sinks.write_vcf(profile.vcf_records(found.integer), f"{folder}/cna.vcf", lengths, args.genome_name)
+        sinks.write_vcf(profile.vcf_records(found.subclonal), f"{folder}/subclonal_cna.vcf", lengths, args.genome_name)
+        sinks.write_table(found.loh, f"{folder}/loh_regions")
+        if found.genes is not None:
+            sinks.write_genes(found.genes, f"{folder}/genes_copynumber_states.bed")
+        rows.append(tuple(numbers[c.split()[0]] for c in schemas.SOLUTIONS.split(", ")))
     sinks.write_solutions(spark.createDataFrame(rows, schemas.SOLUTIONS), f"{args.out}/solutions")
 
 
 def run_sync(spark: SparkSession, args) -> None:
-    variants = tables.read_vcf(spark, args.vcf).withColumns({"gt": tables.format_value("GT"), "ps": tables.format_value("PS").try_cast("bigint")})
-    usable = sync.exclusion_reason(variants).where("reason IS NULL")
+    variants = tables.read_vcf(spark, args.vcf, False).withColumns({"gt": F.coalesce(tables.format_value("GT"), F.lit(".")), "ps": tables.format_value("PS").try_cast("bigint")})
+    usable = sync.exclusion_reason(variants.where(F.col("filter").isin("PASS", "."))).where("reason IS NULL")
     counts = base_counts(spark, args, usable.select("chr", F.col("pos").alias("start")))
     snvs = sync.haplotype_depths(usable, counts).where("reason IS NULL")
     prof = tables.read_profile(spark, args.profile).withColumnsRenamed({"hp1_copynumber_state": "hp1", "hp2_copynumber_state": "hp2"})
@@ -111,15 +173,25 @@ def run_sync(spark: SparkSession, args) -> None:
         blocks = sync.cut_mixed(blocks, prof, snvs)
     decided = sync.decisions(blocks, prof, snvs)
     decided.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{args.out}/sync_report")
-    sync.apply_decisions(variants.drop("sample", "format"), decided).write.mode("overwrite").parquet(f"{args.out}/synced_variants")
-    sync.diagnostics(decided).write.mode("overwrite").parquet(f"{args.out}/sync_diagnostics")
+    synced = tables.with_genotype(sync.apply_decisions(variants, decided))
+    sinks.write_variants(synced, f"{args.out}/synced.vcf", tables.vcf_header(spark, args.vcf), args.genome_name)
+    found = sync.diagnostics(decided)
+    found.write.mode("overwrite").parquet(f"{args.out}/sync_diagnostics")
+    for r in found.orderBy("decision", "reason").collect():  # a row for each decision and reason
+        print(f"{r.decision}\t{r.reason}\t{r.blocks} blocks\t{r.snvs} variants")
+
+
+def run_migrate(spark: SparkSession, args) -> None:
+    sinks.write_profile(profile.merged_old(tables.read_profile(spark, args.hp1), tables.read_profile(spark, args.hp2)), args.out)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
-    need = {"hapcorrect": ("vcf",), "all": ("vcf",), "cna": (), "sync": ("vcf", "profile")}[args.command]
+    need = {"hapcorrect": ("vcf",), "all": ("vcf",), "cna": (), "sync": ("vcf", "profile"), "migrate": ("hp1", "hp2")}[args.command]
     missing = [n for n in need if not getattr(args, n)]
-    if args.command != "cna" and not (args.base_counts or args.bam):
+    if args.command not in ("sync", "migrate") and not args.contig_lengths:
+        missing.append("contig_lengths")
+    if args.command not in ("cna", "migrate") and not (args.base_counts or args.bam):
         missing.append("base_counts (or --bam)")
     if missing:
         raise SystemExit(f"{args.command} needs --" + ", --".join(n.replace("_", "-") for n in missing))
@@ -130,6 +202,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         run_cna(spark, args)
     if args.command == "sync":
         run_sync(spark, args)
+    if args.command == "migrate":
+        run_migrate(spark, args)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
 from strandloom.functions.contigs import chr_ord
-from strandloom.functions.scalar import SENTINEL, bin_index, dna_purity, snap, two_sided_p, weighted_mean
+from strandloom.functions.lineage import checkpoint
+from strandloom.functions.scalar import SENTINEL, bin_index, center_of, dna_purity, snap, two_sided_p, weighted_mean
 
 
 def centromere_rows(segments: DataFrame, centromeres: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -58,6 +59,12 @@ def center_pools(bins: DataFrame, segments: DataFrame, value: str) -> DataFrame:
     return trimmed.groupBy("state").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"))
 
 
+def unused_centers(pools: DataFrame, centers: list[float]) -> DataFrame:
+    """The centers (with their copy number) that no segment's pool has."""
+    every = pools.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(centers)], "cn INT, center DOUBLE")
+    return every.join(pools.select(F.col("state").cast("int").alias("cn")).distinct(), "cn", "left_anti")
+
+
 def segment_scores(segments: DataFrame, centers: list[float]) -> DataFrame:
     """Segments with the p-value of their depth's distance to the nearest center as confidence."""
     near = F.array_min(F.transform(F.array(*(F.lit(float(c)) for c in centers)), lambda c, i: F.struct(F.abs(c - F.col("depth")).alias("d"), i.alias("i"), c.alias("c"))))["c"]
@@ -91,15 +98,18 @@ def grid(spark: SparkSession, limit: float, step: float = 0.1) -> DataFrame:
     return spark.range(1, n + 1).select((F.col("id") * step).alias("normal"))
 
 
-def purity_grid(segments: DataFrame, grid_rows: DataFrame, copy: float, n_centers: int, tumor: float, least_length: int = 1_000_000) -> DataFrame:
+def purity_grid(segments: DataFrame, grid_rows: DataFrame, copy: float, n_centers: int, tumor: float, least_length: int = 1_000_000, moved: DataFrame | None = None) -> DataFrame:
     """Confidence, ploidy, DNA and cell purity for every normal coverage of a grid, in one aggregation.
 
     segments: chr, start, end, depth, hp. The grid has at most a few hundred rows of one number, known before the
     plan is made, so it is an array in each row rather than the side of a join. Snapping, p-values and the sums by
-    contig need one shuffle of (grid, contig) rows.
+    contig need one shuffle of (grid, contig) rows. moved (chr, start, hp, normal, depth): depths that depend on the
+    normal coverage, in place of a segment's own.
     """
     points = [float(r.normal) for r in grid_rows.collect()]
     rows = segments.withColumn("normal", F.explode(F.array(*(F.lit(p) for p in points)))) if points else segments.withColumn("normal", F.lit(None).cast("double")).where("false")
+    if moved is not None:
+        rows = rows.join(moved.withColumnRenamed("depth", "__moved"), ["chr", "start", "hp", "normal"], "left").withColumn("depth", F.coalesce("__moved", "depth")).drop("__moved")
     raw = (F.col("depth") - F.col("normal")) / copy
     cn = F.greatest(F.lit(0.0), F.bround(F.abs(raw))) if n_centers > 1 else F.lit(0.0)
     cn = F.when(F.col("depth") < F.col("normal"), 0.0).otherwise(cn)
@@ -126,19 +136,21 @@ def in_range(solutions: DataFrame, purity: tuple[float, float] = (0.25, 1.0), pl
     return solutions.where(F.col(column).between(*purity) & F.col("ploidy").between(*ploidy_))
 
 
-def score_peaks(scores: list[float]) -> list[int]:
-    """Places of strict local maxima after repeats are dropped, found by value; a falling start counts; of
-    neighbouring places the first stays. A few hundred numbers, so this runs on the driver."""
-    if len(scores) < 2:
-        return list(range(len(scores)))
-    plain = [x for i, x in enumerate(scores) if i == 0 or x != scores[i - 1]]
-    tops = {b for a, b, c in zip(plain, plain[1:], plain[2:], strict=False) if a < b > c}
-    places = [0] * (scores[0] > scores[1]) + [i for i, x in enumerate(scores) if x in tops]
-    out = places[:1]
-    for i in places[1:]:
-        if abs(i - out[-1]) != 1:
-            out.append(i)
-    return out
+def score_peaks(solutions: DataFrame) -> DataFrame:
+    """Of the rows of a grid (ord, confidence), the local maxima of the confidence.
+
+    Runs of equal confidence count as one row. A row is a maximum if its confidence is that of any run above both of
+    its neighbours; the first row is one if the confidence falls there. Of maxima side by side every second one
+    stays. A grid has a few hundred rows, so one window holds it.
+    """
+    along = Window.orderBy("ord")
+    rows = solutions.withColumns({"at": F.row_number().over(along), "before": F.lag("confidence").over(along), "next": F.lead("confidence").over(along)})
+    runs = rows.where("before IS NULL OR before <> confidence")
+    tops = runs.withColumns({"left": F.lag("confidence").over(along), "right": F.lead("confidence").over(along)}).where("left < confidence AND confidence > right").select(F.col("confidence").alias("top")).distinct()
+    found = rows.join(tops, F.col("confidence") == F.col("top"), "left").where("top IS NOT NULL OR (before IS NULL AND (next IS NULL OR confidence > next))")
+    side = found.withColumn("run", F.col("at") - F.row_number().over(along))
+    stays = F.row_number().over(Window.partitionBy("run").orderBy("at")) % 2 == 1
+    return side.withColumn("stays", stays).where("stays").select(*solutions.columns)
 
 
 def ranked(solutions: DataFrame) -> DataFrame:
@@ -155,20 +167,55 @@ def pivot_scores(solutions: DataFrame) -> DataFrame:
     return wide.join(F.broadcast(least)).select("purity", *(F.coalesce(F.col(f"`{c}`"), F.col("least")).alias(c) for c in names))
 
 
-def subclonal(segments: DataFrame, centers: list[float], threshold: float = 0.6, close: float = 5.0) -> DataFrame:
-    """Segments far from every center keep their own depth as state; neighbours among them with close depths (at
-    most two segments apart) share the median of theirs. Adds is_subclonal."""
-    order = Window.partitionBy("chr").orderBy("start")
-    rows = segment_scores(segments, centers).withColumn("i", F.row_number().over(order))
-    is_sub = (F.col("confidence") < threshold) & (F.col("state") != 0) & (F.abs("state") != SENTINEL)
-    rows = rows.withColumn("is_subclonal", F.coalesce(is_sub, F.lit(False)))
-    sub = rows.where("is_subclonal")
-    linked = (F.col("i") - F.lag("i").over(order) <= 2) & (F.abs(F.col("depth") - F.lag("depth").over(order)) <= close)
-    runs = iv.groups_by_gap(sub, ~linked)
-    shared = runs.groupBy("chr", "run").agg(F.median("depth").alias("shared"))
-    states = runs.join(shared, ["chr", "run"]).select("chr", "start", F.greatest("shared", F.lit(float(centers[0]))).alias("shared"))
-    out = rows.join(states, ["chr", "start"], "left").withColumn("state", F.coalesce("shared", "state"))
-    return out.drop("i", "shared")
+def segment_bins(segments: DataFrame, bins: DataFrame, value: str, size: int) -> DataFrame:
+    """(chr, start, value): the bins of each segment, from that of its start up to that of its end (excluded)."""
+    spans = segments.select("chr", bin_index(F.col("start"), size).alias("start"), (bin_index(F.col("end"), size) - 1).alias("end"), F.col("start").alias("from")).where("end >= start")
+    return iv.point_join(bins.select("chr", bin_index(F.col("start"), size).alias("pos"), F.col(value).alias("value")), spans, bucket=64).select("chr", F.col("r_from").alias("start"), "value")
+
+
+def pool_means(tracks: dict[int, DataFrame], bins: DataFrame, centers: list[float], size: int) -> list[float]:
+    """For each center the mean of the bins of both haplotypes' segments whose state it is, outliers left out; the
+    center itself where there are fewer than two. What reaches the driver is a number for each center."""
+    pooled = None
+    for hp, segments in tracks.items():
+        rows = segment_bins(segments, bins, f"hp{hp}", size).join(segments.select("chr", "start", center_of(F.col("state"), centers).alias("center")), ["chr", "start"]).select("center", "value")
+        pooled = rows if pooled is None else pooled.unionByName(rows)
+    counts = pooled.groupBy("center").agg(F.count("*").alias("n"))
+    means = without_outliers(pooled, "value", ["center"]).groupBy("center").agg(F.avg("value").alias("mean")).join(counts, "center").where(F.col("n") >= 2)
+    found = {r.center: r["mean"] for r in means.where(F.col("center").isin([float(c) for c in centers])).collect()}
+    return [found.get(float(c), float(c)) for c in centers]
+
+
+def subclonal(tracks: dict[int, DataFrame], bins: DataFrame, centers: list[float], size: int, threshold: float = 0.6, gap: float = 2.0) -> dict[int, DataFrame]:
+    """Segments (chr, start, end, state) of each haplotype with depth, state, confidence and is_subclonal.
+
+    The depth is the median of a segment's bins without outliers, the confidence the p-value of its distance to the
+    nearest pool mean. A segment below the threshold keeps its depth as state, others their center; those above the
+    last center are as they are. Neighbours that all keep their depths, none of which stands off by more than
+    ``gap`` from the next in size, share the median of all but the last of them.
+    """
+    bins, tracks = checkpoint(bins), {hp: checkpoint(t) for hp, t in tracks.items()}  # each is read several times
+    means = pool_means(tracks, bins, centers, size)
+    out = {}
+    for hp, segments in tracks.items():
+        inside = without_outliers(segment_bins(segments, bins, f"hp{hp}", size), "value", ["chr", "start"]).groupBy("chr", "start").agg(F.median("value").alias("seen"))
+        rows = segments.select("chr", "start", "end", center_of(F.col("state"), centers).alias("state")).join(inside, ["chr", "start"], "left").na.fill(0.0, ["seen"])
+        near = F.array_min(F.transform(F.array(*(F.lit(m) for m in means)), lambda m, i: F.struct(F.abs(m - F.col("seen")).alias("d"), i.alias("i"), m.alias("m"))))["m"]
+        high = F.col("state") > float(centers[-1])
+        rows = rows.withColumn("confidence", F.when(high, 1.0).otherwise(two_sided_p(F.col("seen"), near)))
+        rows = rows.withColumn("is_subclonal", ~high & (F.col("confidence") < threshold)).withColumn("depth", F.when(high, F.col("state")).otherwise(F.col("seen")))
+        rows = rows.withColumn("state", F.when(F.col("is_subclonal"), F.col("seen")).otherwise(F.col("state")))
+        rows = rows.withColumn("own", F.col("is_subclonal") & ~F.col("state").isin([float(c) for c in centers]) & (F.col("state") <= float(centers[-1])))
+        numbered = iv.runs(rows, "own")
+        run = Window.partitionBy("chr", "run")
+        off = F.col("depth") - F.lag("depth").over(run.orderBy("depth", "start")) > gap
+        own = numbered.where("own").withColumns({"n": F.count("*").over(run), "last": F.max("start").over(run), "off": F.coalesce(off, F.lit(False))})
+        own = own.withColumn("apart", F.max("off").over(run)).where("n > 1 AND NOT apart")
+        shared = without_outliers(own.where("start < last").select("chr", "run", "state"), "state", ["chr", "run"]).groupBy("chr", "run").agg(F.median("state").alias("shared"))
+        rows = numbered.join(shared, ["chr", "run"], "left").withColumn("shared", F.when(F.col("own"), F.col("shared")))
+        state, depth = F.coalesce("shared", "state"), F.coalesce("shared", "depth")
+        out[hp] = rows.select("chr", "start", "end", F.bround(depth, 2).alias("depth"), F.greatest(F.signum(state) * F.floor(F.abs(state)), F.lit(float(int(centers[0])))).alias("state"), "confidence", "is_subclonal")
+    return out
 
 
 def move_normal(bins: DataFrame, loh: DataFrame, normal: float, size: int) -> DataFrame:
@@ -183,11 +230,9 @@ def move_normal(bins: DataFrame, loh: DataFrame, normal: float, size: int) -> Da
     return rows.withColumns({"hp1": hp1, "hp2": hp2}).drop("one", "two")
 
 
-def segment_medians(segments: DataFrame, bins: DataFrame, value: str, size: int, least: float = 0.0) -> DataFrame:
-    """Segments with the median of their bins (from start // B to end // B, excluded) as state."""
-    spans = segments.select("chr", bin_index(F.col("start"), size).alias("start"), (bin_index(F.col("end"), size) - 1).alias("end"), F.col("start").alias("from")).where("end >= start")
-    pairs = iv.point_join(bins.withColumn("pos", bin_index(F.col("start"), size)), spans, bucket=64)
-    medians = pairs.groupBy("chr", F.col("r_from").alias("start")).agg(F.coalesce(F.median(F.when(F.col(value) > least, F.col(value))), F.lit(0.0)).alias("__state"))
+def segment_medians(segments: DataFrame, bins: DataFrame, value: str, size: int, least: float = -1.0) -> DataFrame:
+    """Segments with the median of their bins (from start // B to end // B, excluded) above ``least`` as state."""
+    medians = segment_bins(segments, bins, value, size).groupBy("chr", "start").agg(F.coalesce(F.median(F.when(F.col("value") > least, F.col("value"))), F.lit(0.0)).alias("__state"))
     return segments.join(medians, ["chr", "start"], "left").withColumn("state", F.coalesce("__state", F.lit(0.0))).drop("__state").select(segments.columns)
 
 
@@ -269,9 +314,3 @@ def single_copy_coverage(histogram: np.ndarray, width: float, mean: float, haplo
 
 def centers_up_to(copy: float, highest: float) -> list[float]:
     return [i * copy for i in range(int(highest // copy + 1) + 1)] if copy > 0 else [0.0]
-
-
-def subclonal_centers(copy: float, highest: float) -> list[float]:
-    return [i * copy + copy // 2 for i in range(max(1, int(highest // copy + 1)))] if copy > 0 else [0.0]
-
-

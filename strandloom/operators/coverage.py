@@ -68,6 +68,15 @@ def interval_bin_median(bins: DataFrame, intervals: DataFrame, values: tuple[str
     return intervals.select("chr", "start", "end").distinct().join(out, ["chr", "start", "end"], "left").na.fill(0.0, list(values))
 
 
+def index_medians(bins: DataFrame, intervals: DataFrame, size: int, values: tuple[str, ...] = ("hp1", "hp2")) -> DataFrame:
+    """(chr, start, end) with the median of values other than 0 over the bins from that of the start up to that of the
+    end (excluded)."""
+    spans = intervals.select("chr", bin_index(F.col("start"), size).alias("start"), (bin_index(F.col("end"), size) - 1).alias("end"), F.col("start").alias("from"), F.col("end").alias("to"))
+    pairs = iv.point_join(bins.withColumn("pos", bin_index(F.col("start"), size)).select("chr", "pos", *values), spans.where("end >= start"), bucket=64)
+    out = pairs.groupBy("chr", F.col("r_from").alias("start"), F.col("r_to").alias("end")).agg(*(median_nonzero(F.col(v)).alias(v) for v in values))
+    return intervals.select("chr", "start", "end").distinct().join(out, ["chr", "start", "end"], "left").na.fill(0.0, list(values))
+
+
 def tame_outliers(df: DataFrame, value: str, fold: float = 10.0, order_by: str = "start") -> DataFrame:
     """A value of more than ``fold`` times the mean of its neighbours becomes that mean; ends mirror; needs 3 rows."""
     order = Window.partitionBy("chr").orderBy(order_by)

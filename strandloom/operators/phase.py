@@ -68,18 +68,20 @@ def cut_at_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return pieces.join(inside, ["chr", "start", "end"], "left_anti").unionByName(regions.select("chr", "start", "end"), allowMissingColumns=True)
 
 
-def flips(blocks: DataFrame, product: bool = False) -> DataFrame:
+def flips(blocks: DataFrame, product: bool = False, tail: tuple[str, str] = ("hp1", "hp2"), head: tuple[str, str] = ("hp1", "hp2")) -> DataFrame:
     """Blocks (chr, start, end, hp1, hp2) with ``flip`` after comparing neighbours from left to right.
 
-    Swapping a block exchanges its cis and trans distances, so a flip is the parity of the earlier places where
-    trans is less, counted anew after each tie: running sums instead of a loop.
+    The end of a block (columns ``tail``) is compared with the beginning of the next (``head``). Swapping a block
+    exchanges its cis and trans distances, so a flip is the parity of the earlier places where trans is less,
+    counted anew after each tie: running sums instead of a loop.
     """
     order = Window.partitionBy("chr").orderBy("start", "end")
-    p1, p2 = F.lag("hp1").over(order), F.lag("hp2").over(order)
+    p1, p2 = F.lag(tail[0]).over(order), F.lag(tail[1]).over(order)
+    h1, h2 = F.col(head[0]), F.col(head[1])
     if product:
-        cis, trans = F.abs(p1 - F.col("hp1")) * F.abs(p2 - F.col("hp2")), F.abs(p1 - F.col("hp2")) * F.abs(p2 - F.col("hp1"))
+        cis, trans = F.abs(p1 - h1) * F.abs(p2 - h2), F.abs(p1 - h2) * F.abs(p2 - h1)
     else:
-        cis, trans = F.least(F.abs(p1 - F.col("hp1")), F.abs(p2 - F.col("hp2"))), F.least(F.abs(p1 - F.col("hp2")), F.abs(p2 - F.col("hp1")))
+        cis, trans = F.least(F.abs(p1 - h1), F.abs(p2 - h2)), F.least(F.abs(p1 - h2), F.abs(p2 - h1))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = blocks.withColumns({"__tie": F.coalesce((cis == trans).cast("int"), F.lit(0)), "__trans": F.coalesce((trans < cis).cast("int"), F.lit(0))})
     rows = rows.withColumn("__group", F.sum("__tie").over(so_far))
@@ -87,15 +89,34 @@ def flips(blocks: DataFrame, product: bool = False) -> DataFrame:
     return rows.withColumn("flip", F.sum("__trans").over(within) % 2 == 1).drop("__tie", "__trans", "__group")
 
 
+def flanks(bins: DataFrame, blocks: DataFrame, size: int, length: int = 5_000_000) -> DataFrame:
+    """Blocks with the medians of their first (head1, head2) and last (tail1, tail2) bins, ``length`` bases at most."""
+    n = length // size
+    spans = blocks.select("chr", bin_index(F.col("start"), size).alias("start"), bin_index(F.col("end"), size).alias("end"), F.col("start").alias("from"), F.col("end").alias("to"))
+    inside = iv.point_join(bins.withColumn("pos", bin_index(F.col("start"), size)).select("chr", "pos", "hp1", "hp2"), spans, bucket=64)
+    first, last = F.col("pos") < F.col("r_start") + n, F.col("pos") > F.col("r_end") - n
+    of = lambda part, c: F.coalesce(F.median(F.when(part, F.col(c))), F.lit(0.0))
+    found = inside.groupBy("chr", F.col("r_from").alias("start"), F.col("r_to").alias("end")).agg(*(of(part, f"hp{h}").alias(f"{name}{h}") for name, part in (("head", first), ("tail", last)) for h in (1, 2)))
+    return blocks.join(found, ["chr", "start", "end"], "left").na.fill(0.0, ["head1", "head2", "tail1", "tail2"])
+
+
 def swap(condition: Column, a: str = "hp1", b: str = "hp2") -> dict[str, Column]:
     return {a: F.when(condition, F.col(b)).otherwise(F.col(a)), b: F.when(condition, F.col(a)).otherwise(F.col(b))}
 
 
+def swapped(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows with their haplotypes exchanged under a condition; a column ``swaps`` counts it."""
+    changed = swap(condition)
+    if "swaps" in rows.columns:
+        changed["swaps"] = F.col("swaps") + condition.cast("int")
+    return rows.withColumns(changed)
+
+
 def apply_flips(bins: DataFrame, flipped: DataFrame) -> DataFrame:
     """Bins with haplotypes swapped where an odd number of flipped blocks holds their start, and ``flip``."""
     hits = iv.point_join(bins.select("chr", F.col("start").alias("pos")), flipped.where("flip").select("chr", "start", "end")).groupBy("chr", F.col("pos").alias("start")).agg((F.count("*") % 2 == 1).alias("flip"))
     rows = bins.join(hits, ["chr", "start"], "left").na.fill(False, ["flip"])
-    return rows.withColumns(swap(F.col("flip")))
+    return swapped(rows, F.col("flip"))
 
 
 def dominance(a: Column, b: Column) -> Column:
@@ -115,7 +136,7 @@ def fill_gaps(bins: DataFrame, blocks: DataFrame) -> DataFrame:
     hit = iv.point_join(bins.select("chr", F.col("start").alias("pos")), gaps(blocks)).groupBy("chr", F.col("pos").alias("start")).agg(F.min("r_hp").alias("__hp"))
     rows = bins.join(hit, ["chr", "start"], "left")
     wrong = ((F.col("__hp") == 1) & (F.col("hp1") < F.col("hp2"))) | ((F.col("__hp") == 2) & (F.col("hp1") > F.col("hp2")))
-    return rows.withColumns(swap(F.coalesce(wrong, F.lit(False)))).drop("__hp")
+    return swapped(rows, F.coalesce(wrong, F.lit(False))).drop("__hp")
 
 
 def merge_groups(blocks: DataFrame, shortest: int = 1_000_000) -> DataFrame:
@@ -133,22 +154,64 @@ def merge_groups(blocks: DataFrame, shortest: int = 1_000_000) -> DataFrame:
 def larger_first(bins: DataFrame, contigs: DataFrame) -> DataFrame:
     """On contigs without blocks (chr) haplotype 1 is the larger one in every bin."""
     bare = bins.join(F.broadcast(contigs.select("chr", F.lit(True).alias("__bare"))), "chr", "left")
-    return bare.withColumns(swap(F.coalesce(F.col("__bare"), F.lit(False)) & (F.col("hp1") < F.col("hp2")))).drop("__bare")
+    return swapped(bare, F.coalesce(F.col("__bare"), F.lit(False)) & (F.col("hp1") < F.col("hp2"))).drop("__bare")
 
 
-def switches_inside(bins: DataFrame, blocks: DataFrame, stable: int = 5, deviation: float = 5.0) -> DataFrame:
-    """Per block the runs of bins with one dominance of at least ``stable`` bins: chr, block, start, end, hp, broken.
+def switches_inside(bins: DataFrame, blocks: DataFrame, stable: int = 5, deviation: float = 5.0, apart: float = 6.0) -> DataFrame:
+    """Per block that switches phase the pieces with one dominance each: chr, block, block_end, start, end, hp, hp1, hp2
+    (medians) and ``broken``.
 
-    Broken: the runs' haplotypes vary by less than ``deviation`` each, so the block switches phase there.
+    A run is of bins (of a block, without its last) of one dominance, ``stable`` of them at least; runs of one
+    dominance with less than that between them are one piece. A block has pieces only if it has runs of both kinds.
+    It is broken if the runs' medians of either kind vary by less than ``deviation`` and the larger and the
+    smaller haplotype of its bins differ by more than ``apart`` on average; then the first piece begins and the last
+    one ends with the block. If the medians of both kinds vary more, the block is not broken but to be aligned.
     """
-    inside = iv.point_join(bins.withColumn("pos", F.col("start")), blocks.select("chr", "start", "end")).select("chr", F.col("r_start").alias("block"), "start", "hp1", "hp2", dominance(F.col("hp1"), F.col("hp2")).alias("hp"))
-    order = Window.partitionBy("chr", "block").orderBy("start")
+    inside = iv.point_join(bins.withColumn("pos", F.col("start")), blocks.select("chr", "start", "end"))
+    inside = inside.select("chr", F.col("r_start").alias("block"), F.col("r_end").alias("block_end"), F.col("start").alias("at"), F.col("end").alias("to"), "hp1", "hp2", dominance(F.col("hp1"), F.col("hp2")).alias("hp"))
+    block = Window.partitionBy("chr", "block", "block_end")
+    order = block.orderBy("at")
+    rows = inside.withColumns({"i": F.row_number().over(order), "m": F.count("*").over(block)}).where("i < m")
     changed = F.coalesce((F.col("hp") != F.lag("hp").over(order)).cast("int"), F.lit(1))
-    runs = inside.withColumn("__c", changed).withColumn("run", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("chr", "block", "run", "hp").agg(F.min("start").alias("start"), F.max("start").alias("end"), F.count("*").alias("n"), F.stddev_pop("hp1").alias("s1"), F.stddev_pop("hp2").alias("s2"))
-    out = out.where(F.col("n") >= stable)
-    several = F.count("*").over(Window.partitionBy("chr", "block")) > 1
-    return out.select("chr", "block", "start", "end", "hp", (several & (F.col("s1") < deviation) & (F.col("s2") < deviation)).alias("broken"))
+    rows = rows.withColumn("__c", changed).withColumn("run", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__c")
+    key = ["chr", "block", "block_end"]
+    last = F.max("i").over(Window.partitionBy(*key, "run"))
+    inner = rows.withColumn("inner", F.col("i") < last)
+    of = lambda c: F.coalesce(F.median(F.when(F.col("inner") & (F.col(c) != 0), F.col(c))), F.lit(0.0))
+    runs = inner.groupBy(*key, "run", "hp").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n"), of("hp1").alias("m1"), of("hp2").alias("m2")).where((F.col("n") >= stable) & (F.col("hp") > 0))
+    kind = lambda h, c: F.stddev_pop(F.when(F.col("hp") == h, F.col(c)))
+    verdict = runs.groupBy(*key).agg(kind(1, "m1").alias("s1"), kind(2, "m2").alias("s2")).where("s1 IS NOT NULL AND s2 IS NOT NULL")
+    differ = rows.where("i < m - 1").groupBy(*key).agg((F.avg(F.greatest("hp1", "hp2")) - F.avg(F.least("hp1", "hp2"))).alias("differ"))
+    verdict = verdict.join(differ, key).select(*key, ((F.col("s1") < deviation) | (F.col("s2") < deviation)).alias("steady"), (F.col("differ") > apart).alias("wide"))
+    gap = F.col("first") - F.lag("last").over(Window.partitionBy(*key, "hp").orderBy("first")) >= stable
+    group = F.sum("__new").over(Window.partitionBy(*key, "hp").orderBy("first").rowsBetween(Window.unboundedPreceding, 0))
+    joined = runs.join(verdict, key).withColumn("__new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("group", group)
+    pieces = joined.groupBy(*key, "steady", "wide", "hp", "group").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    bins_of = rows.select(*key, "i", F.col("at"), F.col("to"), "hp1", "hp2")
+    within = pieces.join(bins_of, key).where("i BETWEEN first AND last")
+    open_end = lambda c: F.coalesce(F.median(F.when((F.col("i") < F.col("last")) & (F.col(c) != 0), F.col(c))), F.lit(0.0))
+    out = within.groupBy(*key, "steady", "wide", "hp", "first").agg(F.min("at").alias("start"), F.max("to").alias("end"), open_end("hp1").alias("hp1"), open_end("hp2").alias("hp2"))
+    along = Window.partitionBy(*key).orderBy("first")
+    out = out.withColumns({"n": F.count("*").over(Window.partitionBy(*key)), "k": F.row_number().over(along)})
+    broken = F.col("steady") & F.col("wide") & (F.col("n") > 1)
+    start, end = F.when(broken & (F.col("k") == 1), F.col("block")).otherwise(F.col("start")), F.when(broken & (F.col("k") == F.col("n")), F.col("block_end")).otherwise(F.col("end"))
+    return out.select(*key, start.alias("start"), end.alias("end"), "hp", "hp1", "hp2", broken.alias("broken"), (~F.col("steady")).alias("unsteady"))
+
+
+def broken_up(blocks: DataFrame, inside: DataFrame) -> DataFrame:
+    """Blocks (chr, start, end, hp1, hp2) with broken ones replaced by their pieces, which have medians of their own."""
+    pieces = inside.where("broken")
+    whole = pieces.select("chr", F.col("block").alias("start"), F.col("block_end").alias("end")).distinct()
+    return blocks.join(whole, ["chr", "start", "end"], "left_anti").select("chr", "start", "end", "hp1", "hp2").unionByName(pieces.select("chr", "start", "end", "hp1", "hp2"))
+
+
+def regrouped(blocks: DataFrame, broken: DataFrame) -> DataFrame:
+    """Blocks that lie within one broken block (chr, start, end) as one block again: chr, start, end."""
+    pairs = iv.overlap_join(blocks.select("chr", "start", "end"), broken.select("chr", "start", "end").distinct()).where("start >= r_start AND end <= r_end")
+    home = pairs.groupBy("chr", "start", "end").agg(F.min("r_start").alias("home"))
+    rows = blocks.select("chr", "start", "end").join(home, ["chr", "start", "end"], "left")
+    inner = rows.where("home IS NOT NULL").groupBy("chr", "home").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("home")
+    return rows.where("home IS NULL").select("chr", "start", "end").unionByName(inner)
 
 
 def align_inside(bins: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -156,7 +219,7 @@ def align_inside(bins: DataFrame, blocks: DataFrame) -> DataFrame:
     hit = iv.point_join(bins.select("chr", F.col("start").alias("pos")), blocks.withColumn("hp", dominance(F.col("hp1"), F.col("hp2"))).select("chr", "start", "end", "hp")).groupBy("chr", F.col("pos").alias("start")).agg(F.min("r_hp").alias("__hp"))
     rows = bins.join(hit, ["chr", "start"], "left")
     wrong = ((F.col("__hp") == 1) & (F.col("hp1") < F.col("hp2"))) | ((F.col("__hp") == 2) & (F.col("hp1") > F.col("hp2")))
-    return rows.withColumns(swap(F.coalesce(wrong, F.lit(False)))).drop("__hp")
+    return swapped(rows, F.coalesce(wrong, F.lit(False))).drop("__hp")
 
 
 def align_blockless(bins: DataFrame, blocks: DataFrame, size: int, least: int = 2) -> DataFrame:
@@ -168,7 +231,7 @@ def align_blockless(bins: DataFrame, blocks: DataFrame, size: int, least: int =
     closer = (far("left", "hp2", "hp1") < far("left", "hp1", "hp2")) & (far("right", "hp2", "hp1") < far("right", "hp1", "hp2"))
     hit = iv.point_join(bins.withColumn("pos", F.col("start")), wide).where(closer).select("chr", "start", F.lit(True).alias("__swap")).distinct()
     rows = bins.join(hit, ["chr", "start"], "left")
-    return rows.withColumns(swap(F.coalesce(F.col("__swap"), F.lit(False)))).drop("__swap")
+    return swapped(rows, F.coalesce(F.col("__swap"), F.lit(False))).drop("__swap")
 
 
 def n50(lengths: DataFrame, rate: float = 0.5) -> DataFrame:

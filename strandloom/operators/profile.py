@@ -54,6 +54,23 @@ def with_breakpoint_ids(segments: DataFrame, points: DataFrame) -> DataFrame:
     return out.withColumn("svs_breakpoints_ids", F.coalesce("svs_breakpoints_ids", F.array().cast("array<string>")))
 
 
+def merged_old(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two older files of one haplotype each (as ``read_profile`` reads them) as one profile.
+
+    Their breakpoint ids are written as a set of quoted names, their subclonal column is ``if_subclonal``.
+    """
+    if set(one.columns) != set(two.columns):
+        raise ValueError("the files of both haplotypes have different columns")
+    optional = []
+    for name, old in (("is_subclonal", "if_subclonal"), ("svs_breakpoints_ids", "svs_breakpoints_ids")):
+        if old in one.columns:
+            optional.append(name)
+    ids = F.regexp_extract_all("svs_breakpoints_ids", F.lit(r"['\"]([^'\"]*)['\"]"), F.lit(1))
+    value = {"is_subclonal": F.col("if_subclonal").alias("is_subclonal") if "if_subclonal" in one.columns else None, "svs_breakpoints_ids": F.coalesce(ids, F.array().cast("array<string>")).alias("svs_breakpoints_ids")}
+    sides = [t.select("chr", "start", "end", *TRACK, *(value[n] for n in optional)) for t in (one, two)]
+    return align(sides[0], sides[1], tuple(optional))
+
+
 def vcf_records(profile: DataFrame) -> DataFrame:
     """Profile rows whose states are not both 1, as VCF records."""
     one, two = F.col("hp1_copynumber_state"), F.col("hp2_copynumber_state")

@@ -58,24 +58,31 @@ def l2_points(values: np.ndarray, penalty: float, jump: int, min_size: int) -> l
     return pelt(len(x), lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a), penalty, max(1, jump), max(1, min_size))
 
 
-def change_points(bins: DataFrame, size: int, penalty: float = 10.0, jump: int = 25, chunk: int = 2_000) -> DataFrame:
-    """(chr, hp, pos): change points of every track (chr, hp, start, value), in pieces of ``chunk`` bins.
+def change_points(bins: DataFrame, size: int, penalty: float = 10.0, jump: int = 25, whole: int = 6_000, halo: int = 1_000) -> DataFrame:
+    """(chr, hp, pos): change points of every track (chr, hp, start, value), its end among them.
 
-    The kernel needs chunk ** 2 numbers, so tracks are cut into pieces of a fixed length that tasks share out; the
-    last piece holds the rest, and a piece's end is a point only where the track ends.
+    The kernel needs the square of a track's length, so a track is taken whole up to ``whole`` bins (a human contig
+    has at most 5,000 of 50 kb). A longer one is cut into pieces that tasks share out; each sees ``halo`` bins to
+    either side and reports the points that begin in it, so a change at a joint is found as any other. Values are
+    taken as whole numbers: the kernel's scale is a median of squared differences, which noise below one must not set.
     """
     order = Window.partitionBy("chr", "hp").orderBy("start")
     rows = bins.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("chr", "hp"))})
-    rows = rows.withColumn("part", F.floor(F.col("i") / chunk).cast("int"))
+    core = whole - 2 * halo
+    own = F.floor(F.col("i") / core).cast("int")
+    parts = F.array_distinct(F.array(own, F.floor(F.greatest(F.col("i") - halo, F.lit(0)) / core).cast("int"), F.floor(F.least(F.col("i") + halo, F.col("n") - 1) / core).cast("int")))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("n") <= whole, F.array(F.lit(0))).otherwise(parts)))
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values("i")
-        first, n = int(piece["i"].iloc[0]), int(piece["n"].iloc[0])
+        first, n, part = (int(piece[c].iloc[0]) for c in ("i", "n", "part"))
         points = [first + p for p in rbf_points(piece["value"].fillna(0).astype(int).to_numpy(), penalty, jump)]
-        points = [p for p in points if p < first + len(piece) or p == n]
+        if n > whole:
+            last = first + len(piece)
+            points = [p for p in points if p == n or (part * core <= p < part * core + core and p != last)]
         return pd.DataFrame({"chr": piece["chr"].iloc[0], "hp": piece["hp"].iloc[0], "pos": np.array(points, "int64") * size})
 
-    return rows.groupBy("chr", "hp", "part").applyInPandas(run, "chr string, hp int, pos long")
+    return rows.groupBy("chr", "hp", "part").applyInPandas(run, "chr string, hp int, pos long").distinct()
 
 
 def coverage_segments(bins: DataFrame, size: int, min_length: int = 5_000_000, jump: int = 1_000_000) -> DataFrame:
@@ -132,8 +139,8 @@ def cut_segments(bins: DataFrame, points: DataFrame, size: int, masked: DataFram
 
 def route_by_haplotype(breakpoints: DataFrame, hp: int) -> Column:
     """Whether a breakpoint with the haplotype text of its two ends concerns a haplotype; unknown ones concern both."""
-    parts = F.split(F.col("hp").cast("string"), r"\|")
-    return F.array_contains(parts, str(hp)) | F.array_contains(parts, "0") | F.col("hp").isNull()
+    parts = F.split(breakpoints["hp"].cast("string"), r"\|")
+    return F.coalesce(F.array_contains(parts, str(hp)) | F.array_contains(parts, "0"), F.lit(True))
 
 
 def merge_runs(segments: DataFrame, depth: str = "median") -> DataFrame:

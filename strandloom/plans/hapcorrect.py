@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import intervals as iv
 from strandloom.functions.lineage import checkpoint
 from strandloom.operators import coverage, loh, phase, snps
+from strandloom.sources.tables import format_value, with_genotype
 
 
 @dataclass(frozen=True)
@@ -25,13 +26,16 @@ class Settings:
 
 @dataclass(frozen=True)
 class Corrected:
-    """What the plan makes: each is a DataFrame that nothing has been collected for."""
+    """What the plan makes: corrected bins and blocks (both with hp1, hp2), blocks before, lost regions, the bins that
+    changed sides (``flips``), the depths before correction and the depths of genes."""
 
     bins: DataFrame
     blocks: DataFrame
     original_blocks: DataFrame
     loh: DataFrame
     flips: DataFrame
+    raw_bins: DataFrame
+    genes: DataFrame
 
 
 def blocks_of(positions: DataFrame, settings: Settings) -> DataFrame:
@@ -39,44 +43,60 @@ def blocks_of(positions: DataFrame, settings: Settings) -> DataFrame:
     return phase.long_enough(phase.keep_longer(phase.block_extents(positions)), settings.min_block)
 
 
-def run(frequencies: DataFrame, positions: DataFrame, contigs: DataFrame, centromeres: DataFrame, zygosity: DataFrame | None = None, depth: DataFrame | None = None, settings: Settings = Settings()) -> Corrected:
+def block_depths(snp: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks (chr, start, end) with the medians of their SNPs."""
+    keyed = blocks.select("chr", "start", "end").withColumn("block", F.struct("start", "end"))
+    return coverage.snp_interval_values(snp, keyed, "block", ("hp1", "hp2"), False).select("chr", "start", "end", "hp1", "hp2")
+
+
+def run(frequencies: DataFrame, positions: DataFrame, contigs: DataFrame, centromeres: DataFrame, zygosity: DataFrame | None = None, depth: DataFrame | None = None, settings: Settings = Settings(), genes: DataFrame | None = None) -> Corrected:
     """frequencies: chr, pos, freq_value_a, freq_value_b. positions: chr, position, phasesets. zygosity (tumor-only):
-    chr, pos, gt. depth: bins with hp1, hp2 and hp3 from alignments, for lost regions.
+    chr, pos, gt. depth: bins with hp1, hp2 and hp3 from alignments, for lost regions. genes: chr, start, end, gene.
 
-    Every step holds for all contigs at once; contigs are partitions of windows and keys of joins, never loops.
+    Every step holds for all contigs at once; contigs are partitions of windows and keys of joins, never loops. Bins
+    carry the number of their swaps, so that variants can follow them whichever step made them.
     """
     size = settings.bin_size
     snp = frequencies.select("chr", "pos", F.col("freq_value_a").cast("double").alias("hp1"), F.col("freq_value_b").cast("double").alias("hp2"))
     # each step reads bins and blocks more than once, so both are cut from their lineage as they change
-    bins = checkpoint(coverage.snp_bin_mean(snp, iv.fixed_bins(contigs, size), size).select("chr", "start", "end", "hp1", "hp2", F.lit(0.0).alias("hp3")))
+    raw = checkpoint(coverage.snp_bin_mean(snp, iv.fixed_bins(contigs, size), size).select("chr", "start", "end", "hp1", "hp2", F.lit(0.0).alias("hp3")))
+    bins = raw.withColumn("swaps", F.lit(0))
     original = checkpoint(blocks_of(positions, settings))
-    keyed = original.withColumn("block", F.col("start"))
-    values = coverage.snp_interval_values(snp, keyed, "block", ("hp1", "hp2"), False).select("chr", "start", "end", "hp1", "hp2")
+    values = block_depths(snp, original)
     lost = contigs.select("chr", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(1).alias("hp")).where("false")
     if zygosity is not None:
         found = snps.loh_regions(snps.zygosity_counts(zygosity, settings.snp_bin_size), settings.snp_bin_size, settings.het_ratio)
         lost = checkpoint(loh.assign_haplotype(loh.long_regions(found, settings.min_loh), bins, size))
         bins = checkpoint(loh.give_to_first(bins, depth if depth is not None else bins, lost))
-        values = phase.cut_at_regions(values, lost.select("chr", "start", "end")).na.fill(0.0, ["hp1", "hp2"])
+        values = coverage.index_medians(bins, phase.cut_at_regions(values.select("chr", "start", "end"), lost.select("chr", "start", "end")), size)
     values = checkpoint(phase.clip_centromeres(values, centromeres))
-    # switches inside a block break it up before neighbours are compared
-    inside = phase.switches_inside(bins, values)
-    broken = inside.where("broken").select("chr", F.col("start").alias("pos"))
-    values = checkpoint(iv.split_at(values, broken))
-    bins = checkpoint(phase.align_inside(bins, values))
-    first = checkpoint(phase.flips(values))
-    bins = checkpoint(phase.apply_flips(bins, first))
-    events = bins.where("flip").select("chr", "start", "end")
-    values = first.withColumns(phase.swap(F.col("flip"))).drop("flip")
-    bins = checkpoint(phase.fill_gaps(bins.drop("flip"), values))
-    merged = checkpoint(phase.merge_groups(values))
-    second = checkpoint(phase.flips(merged, product=True))
-    bins = checkpoint(phase.apply_flips(bins, second))
-    events = events.unionByName(bins.where("flip").select("chr", "start", "end"))
-    bins = checkpoint(phase.align_blockless(bins.drop("flip"), second.withColumns(phase.swap(F.col("flip"))).drop("flip"), size))
+    # switches inside a block break it up, into pieces with medians of their own, before neighbours are compared
+    inside = checkpoint(phase.switches_inside(bins, values))
+    unsteady = inside.where("unsteady").select("chr", F.col("block").alias("start"), F.col("block_end").alias("end")).distinct()
+    bins = checkpoint(phase.align_inside(bins, values.join(unsteady, ["chr", "start", "end"], "left_semi")))
+    bins = checkpoint(phase.apply_flips(bins, phase.flips(phase.broken_up(values, inside))).drop("flip"))
+    # from here on blocks are whole again, with medians of the bins as they now are
+    values = checkpoint(coverage.index_medians(bins, values, size))
+    bins = checkpoint(phase.fill_gaps(bins, values))
+    merged = phase.flanks(bins, checkpoint(phase.merge_groups(values)), size)
+    second = checkpoint(phase.flips(merged, True, ("tail1", "tail2"), ("head1", "head2")))
+    bins = checkpoint(phase.apply_flips(bins, second).drop("flip"))
+    broken = inside.where("broken").select("chr", F.col("block").alias("start"), F.col("block_end").alias("end"))
+    final = checkpoint(phase.regrouped(second, broken))
+    bins = checkpoint(phase.align_blockless(bins, coverage.index_medians(bins, final, size), size))
     bare = contigs.join(original.select("chr").distinct(), "chr", "left_anti")
-    bins = phase.larger_first(bins, bare)
-    blocks = phase.add_missing(merged.select("chr", "start", "end"), original)
+    bins = checkpoint(phase.larger_first(bins, bare))
     if zygosity is not None:
-        blocks = iv.overlap_join(blocks, lost.select("chr", "start", "end"), how="left_anti")
-    return Corrected(bins.select("chr", "start", "end", "hp1", "hp2", "hp3"), blocks, original, lost, events)
+        final = iv.subtract(final, lost)
+        lost = checkpoint(loh.assign_haplotype(lost, bins, size))
+    blocks = block_depths(snp, checkpoint(phase.add_missing(final, original).distinct()))
+    at_genes = coverage.snp_interval_values(snp, genes, "gene", ("hp1", "hp2"), True) if genes is not None else contigs.selectExpr("chr", "0L AS start", "0L AS end", "'' AS gene", "0D AS hp1", "0D AS hp2").where("false")
+    changed = bins.where("swaps % 2 = 1").select("chr", "start", "end")
+    return Corrected(bins.select("chr", "start", "end", "hp1", "hp2", "hp3"), blocks, original, lost, changed, raw, at_genes)
+
+
+def rephased(variants: DataFrame, done: Corrected, settings: Settings = Settings()) -> DataFrame:
+    """Variants (schema VARIANTS) with genotypes and phase sets as the corrected bins and blocks have them."""
+    rows = variants.withColumns({"gt": F.coalesce(format_value("GT"), F.lit(".")), "ps": format_value("PS").try_cast("bigint")})
+    new = phase.rephase(rows, done.flips, done.original_blocks, done.blocks.select("chr", "start", "end"), done.loh, settings.bin_size, settings.min_block)
+    return with_genotype(new)

@@ -247,9 +247,9 @@ def add_missing(spark, sf_dir):
     return blocks.unionByName(lonely)
 
 
-@query("""SELECT g.chr, g.gene, g."start", g."end" FROM gene g WHERE EXISTS (SELECT 1 FROM blk b WHERE b.chr = g.chr AND b."end" > g."start" AND b."start" < g."end" AND ps % 10 = 0)""")
+@query("""SELECT g.chr, g.gene, g."start", g."end" FROM gene g WHERE EXISTS (SELECT 1 FROM blk b WHERE b.chr = g.chr AND b."end" > g."start" AND b."start" < g."end")""")
 def overlap_semi(spark, sf_dir):
-    return iv.overlap_join(v.gene(spark, sf_dir).select("chr", "gene", "start", "end"), v.blk(spark, sf_dir).where("ps % 10 = 0").select("chr", "start", "end"), closed=False, how="left_semi", bucket=100_000)
+    return iv.overlap_join(v.gene(spark, sf_dir).select("chr", "gene", "start", "end"), v.blk(spark, sf_dir).select("chr", "start", "end"), closed=False, how="left_semi", bucket=100_000)
 
 
 @query("""SELECT g.chr, g.gene, count(*) AS n, CAST(sum(least(g."end", b."end") - greatest(g."start", b."start")) AS BIGINT) AS shared FROM gene g JOIN blk b ON b.chr = g.chr AND b."end" >= g."start" AND b."start" <= g."end" GROUP BY 1, 2""")
@@ -272,10 +272,12 @@ def split_at(spark, sf_dir):
     return iv.split_at(v.gene(spark, sf_dir).where("end > start"), points).select("chr", "gene", "start", "end")
 
 
-@query(""", l AS (SELECT chr, "start", "end", "start" - lag("end") OVER (PARTITION BY chr ORDER BY "start") AS gap FROM bins WHERE hp1 > 30),
-g AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY "start") AS run FROM l) SELECT chr, min("start") AS "start", max("end") AS "end" FROM g GROUP BY chr, run""")
+@query(""", d AS (SELECT DISTINCT chr, "start" // 1000 AS d FROM blk), l AS (SELECT chr, d, d - lag(d) OVER (PARTITION BY chr ORDER BY d) AS gap FROM d),
+g AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY chr ORDER BY d) AS run FROM l) SELECT chr, min(d) * 1000 AS "start", max(d) * 1000 + 999 AS "end" FROM g GROUP BY chr, run""")
 def merge_touching(spark, sf_dir):
-    return iv.merge_touching(v.bins(spark, sf_dir).where("hp1 > 30"))
+    """Days with a block, as intervals of 1000."""
+    days = v.blk(spark, sf_dir).select("chr", F.floor(F.col("start") / 1000).alias("d")).distinct()
+    return iv.merge_touching(days.select("chr", (F.col("d") * 1000).alias("start"), (F.col("d") * 1000 + 999).alias("end")))
 
 
 @query(""", s AS (SELECT chr, "start", "end", floor(hp1 / 25) AS state, hp1 AS depth FROM bins), l AS (SELECT *, lag(state) OVER (PARTITION BY chr ORDER BY "start") AS p FROM s),
@@ -294,9 +296,9 @@ def contig_offsets(spark, sf_dir):
 # --- segments -----------------------------------------------------------------------------------------------
 
 
-@query(""", p AS (SELECT DISTINCT chr, "start" // 1000 AS pos FROM blk WHERE ps % 5 = 0), l AS (SELECT chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos) AS gap FROM p) SELECT chr, pos FROM l WHERE gap IS NULL OR gap <> 1""")
+@query(""", p AS (SELECT DISTINCT chr, "start" // 1000 AS pos FROM blk), l AS (SELECT chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos) AS gap FROM p) SELECT chr, pos FROM l WHERE gap IS NULL OR gap <> 1""")
 def thin_points(spark, sf_dir):
-    return segments.thin(v.blk(spark, sf_dir).where("ps % 5 = 0").select("chr", F.floor(F.col("start") / 1000).alias("pos")).distinct())
+    return segments.thin(v.blk(spark, sf_dir).select("chr", F.floor(F.col("start") / 1000).alias("pos")).distinct())
 
 
 @query(f""", p AS (SELECT chr, "start" AS pos FROM blk), t AS (SELECT chr, pos, pos // {B} AS b FROM p UNION ALL SELECT chr, pos, pos // {B} - 1 FROM p WHERE pos % {B} = 0) SELECT DISTINCT chr, min(pos) AS pos FROM t GROUP BY chr, b""")
@@ -304,59 +306,119 @@ def first_in_bin(spark, sf_dir):
     return segments.first_in_bin(v.blk(spark, sf_dir).select("chr", F.col("start").alias("pos")), B)
 
 
-_CUTS = f""", p AS (SELECT chr, min("start") AS pos FROM blk WHERE ps % 20 = 0 AND "start" NOT BETWEEN 1000000 AND 1199999 GROUP BY chr, "start" // 300000 UNION SELECT chr, {v.LENGTH} FROM contigs UNION SELECT chr, "start" FROM cen UNION SELECT chr, "end" FROM cen),
+_POINTS = f""", p AS (SELECT chr, min("start") AS pos FROM blk WHERE "start" NOT BETWEEN 1000000 AND 1199999 GROUP BY chr, "start" // 300000 UNION SELECT chr, {v.LENGTH} FROM contigs UNION SELECT chr, "start" FROM cen UNION SELECT chr, "end" FROM cen),
 q AS (SELECT chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos) AS gap FROM p),
-c AS (SELECT chr, coalesce(lag(pos) OVER (PARTITION BY chr ORDER BY pos), 0) AS f, pos AS e FROM q WHERE (gap IS NULL OR gap <> 1) AND pos >= 2),
-seg AS (SELECT c.chr, CASE WHEN f = 0 THEN 0 ELSE f + 1 END AS "start", e AS "end", CASE WHEN e = 1199999 THEN 0 ELSE coalesce(median(CASE WHEN hp1 <> 0 THEN hp1 END), 0) END AS state
+c AS (SELECT chr, coalesce(lag(pos) OVER (PARTITION BY chr ORDER BY pos), 0) AS f, pos AS e FROM q WHERE (gap IS NULL OR gap <> 1) AND pos >= 2)"""
+
+
+def _seg(name: str, value: str) -> str:
+    """Segments between the cut points with the median of one haplotype."""
+    return f""",
+{name} AS (SELECT c.chr, CASE WHEN f = 0 THEN 0 ELSE f + 1 END AS "start", e AS "end", CASE WHEN e = 1199999 THEN 0 ELSE coalesce(median(CASE WHEN {value} <> 0 THEN {value} END), 0) END AS state
   FROM c LEFT JOIN bins ON bins.chr = c.chr AND bins."start" // {B} >= f // {B} AND bins."start" // {B} < e // {B} GROUP BY c.chr, f, e)"""
 
 
-def _segments(spark, sf_dir, value="hp1", blocks="TRUE"):
-    """Segments between the first block start of every 300 kb; ``blocks`` narrows the blocks."""
-    points = v.blk(spark, sf_dir).where(f"{blocks} AND start NOT BETWEEN 1000000 AND 1199999").groupBy("chr", F.floor(F.col("start") / 300_000)).agg(F.min("start").alias("pos")).select("chr", "pos")
+_CUTS = _POINTS + _seg("seg", "hp1")
+
+
+def _segments(spark, sf_dir, value="hp1"):
+    """Segments between the first block start of every 300 kb."""
+    points = v.blk(spark, sf_dir).where("start NOT BETWEEN 1000000 AND 1199999").groupBy("chr", F.floor(F.col("start") / 300_000)).agg(F.min("start").alias("pos")).select("chr", "pos")
     cen = v.centromeres(spark, sf_dir)
     points = points.union(v.contigs(spark, sf_dir).select("chr", F.col("len").alias("pos"))).union(cen.select("chr", F.explode(F.array("start", "end"))))
     return segments.cut_segments(v.bins(spark, sf_dir).select("chr", "start", F.col(value).alias("value")), points, B, cen.select("chr", "end"))
 
 
-def _sql_segments(spark, sf_dir):
-    """The segments of _CUTS, whose SQL reads only every twentieth block."""
-    return _segments(spark, sf_dir, blocks="ps % 20 = 0")
+#: A state of four digits, or a little more, so that no rounding to two digits meets a tie.
+_STEADY = "CASE WHEN state = 0 THEN 0 ELSE round(state + 1e-9, 4) + 0.00001 END"
+_BOTH = _POINTS + _seg("raw1", "hp1") + _seg("raw2", "hp2") + "".join(f""",
+s{h} AS (SELECT chr, "start", "end", {_STEADY} AS state FROM raw{h})""" for h in (1, 2))
+
+
+def _steady(spark, sf_dir, hp):
+    state = F.when(F.col("state") == 0, 0.0).otherwise(F.round(F.col("state") + 1e-9, 4) + 0.00001)
+    return _segments(spark, sf_dir, f"hp{hp}").withColumn("state", state)
+
+
+def _sql_horner(x: str, coefficients) -> str:
+    out = f"({coefficients[0]!r} * {x} + {coefficients[1]!r})"
+    for c in coefficients[2:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _sql_p(z: str) -> str:
+    """The two-sided p-value where z is the distance in deviations over the root of 2."""
+    low = f"1 - {z} * {_sql_horner(f'({z} * {z})', sc.ERFC_LOW[0])} / {_sql_horner(f'({z} * {z})', sc.ERFC_LOW[1])}"
+    middle = f"exp(-({z} * {z})) * {_sql_horner(z, sc.ERFC_MIDDLE[0])} / {_sql_horner(z, sc.ERFC_MIDDLE[1])}"
+    r = f"(1.0 / ({z} * {z}))"
+    high = f"exp(-({z} * {z})) * (0.5641895835477563 - {r} * {_sql_horner(r, sc.ERFC_HIGH[0])} / {_sql_horner(r, sc.ERFC_HIGH[1])}) / {z}"
+    return f"CAST(round_even(CASE WHEN {z} <= 0.46875 THEN {low} WHEN {z} <= 4 THEN {middle} ELSE {high} END, 7) AS DOUBLE)"
+
+
+def _sql_near(x: str) -> str:
+    return f"CASE WHEN {x} <= 10 THEN 0 WHEN {x} <= 30 THEN 20 WHEN {x} <= 50 THEN 40 WHEN {x} <= 70 THEN 60 ELSE 80 END"
 
 
 @query(_CUTS + ' SELECT chr, "start", "end", round(state, 6) AS state FROM seg')
 def cut_segments(spark, sf_dir):
-    return _sql_segments(spark, sf_dir).select("chr", "start", "end", _r("state"))
+    return _segments(spark, sf_dir).select("chr", "start", "end", _r("state"))
 
 
-@query(f""", e AS (SELECT chr, 0 AS x FROM contigs UNION SELECT chr, len FROM contigs UNION SELECT chr, "start" FROM gene WHERE gene LIKE '%7' UNION SELECT chr, "end" FROM gene WHERE gene LIKE '%7'),
+@query(f""", e AS (SELECT chr, 0 AS x FROM contigs UNION SELECT chr, len FROM contigs UNION SELECT chr, "start" FROM gene UNION SELECT chr, "end" FROM gene UNION SELECT chr, "start" FROM blk),
 l AS (SELECT chr, x AS f, lead(x) OVER (PARTITION BY chr ORDER BY x) AS t FROM e WHERE x <= {v.LENGTH}),
 k AS (SELECT chr, CASE WHEN f + k * {B} = 0 THEN 0 ELSE f + k * {B} + 1 END AS "start", least(f + (k + 1) * {B}, t) AS "end" FROM l, range(0, {v.LENGTH // B + 1}) g(k) WHERE t > f AND k < ceil((t - f) / {B}))
 SELECT chr, "start", "end" FROM k GROUP BY ALL HAVING count(*) = 1""")
 def variable_bins(spark, sf_dir):
-    junctions = v.gene(spark, sf_dir).where("gene LIKE '%7'").select("chr", "start", "end")
-    return segments.variable_bins(v.contigs(spark, sf_dir), junctions, spark.createDataFrame([], "chr STRING, pos BIGINT"), B)
-
-
-@query()
+    points = v.blk(spark, sf_dir).select("chr", F.col("start").alias("pos"))
+    return segments.variable_bins(v.contigs(spark, sf_dir), v.gene(spark, sf_dir).select("chr", "start", "end"), points, B)
+
+
+@query(f""", x AS (SELECT chr, "start" // {B} AS i, CAST(trunc(hp1) AS DOUBLE) AS x FROM bins),
+d AS (SELECT a.chr, a.i, b.i AS j, (a.x - b.x) * (a.x - b.x) AS d FROM x a JOIN x b ON a.chr = b.chr),
+gm AS (SELECT chr, CASE WHEN median(d) > 0 THEN 1 / median(d) ELSE 1 END AS gamma FROM d WHERE i < j GROUP BY chr),
+g AS (SELECT d.chr, i // 5 AS u, j // 5 AS w, sum(exp(-greatest(0.01, least(100, gamma * d)))) AS k FROM d JOIN gm USING (chr) GROUP BY 1, 2, 3),
+co AS (SELECT g.chr, e, s, (e - s) * 5 - sum(k) / ((e - s) * 5) AS cost FROM g, range(1, 13) r(e), range(0, 12) q(s) WHERE s < e AND u >= s AND u < e AND w >= s AND w < e GROUP BY g.chr, e, s),
+cl AS (SELECT chr, e, list(cost ORDER BY s) AS costs FROM co GROUP BY chr, e),
+dp(chr, k, best, origin) AS (SELECT chr, 0, [CAST(0 AS DOUBLE)], [-1] FROM gm
+  UNION ALL SELECT chr, k + 1, list_append(best, list_min(tried)), list_append(origin, list_position(tried, list_min(tried)) - 1)
+  FROM (SELECT dp.chr, k, best, origin, list_transform(costs, lambda c, i: best[i] + c + 3.0) AS tried FROM dp JOIN cl ON cl.chr = dp.chr AND cl.e = dp.k + 1)),
+bt(chr, k, origin) AS (SELECT chr, 12, origin FROM dp WHERE k = 12 UNION ALL SELECT chr, origin[k + 1], origin FROM bt WHERE origin[k + 1] > 0)
+SELECT chr, 1 AS hp, k * 5 * {B} AS pos FROM bt""", recursive=True)
 def change_points(spark, sf_dir):
     bins = v.bins(spark, sf_dir)
     return segments.change_points(bins.select("chr", F.lit(1).alias("hp"), "start", F.col("hp1").alias("value")), B, penalty=3.0, jump=5)
 
 
-@query()
+@query(f""", z AS (SELECT chr, 1 AS hp, "start", hp1 AS x FROM bins WHERE hp1 <> 0 UNION ALL SELECT chr, 2, "start", hp2 FROM bins WHERE hp2 <> 0),
+gm AS (SELECT median(x) AS m FROM z),
+y AS (SELECT chr, x, row_number() OVER (PARTITION BY chr ORDER BY hp, "start") AS i, count(*) OVER (PARTITION BY chr) AS n FROM z),
+cs AS (SELECT chr, i, n, sum(x) OVER w AS s, sum(x * x) OVER w AS q FROM y WINDOW w AS (PARTITION BY chr ORDER BY i) UNION ALL SELECT chr, 0, n, 0, 0 FROM y WHERE i = 1),
+en AS (SELECT chr, i, s, q, n, row_number() OVER (PARTITION BY chr ORDER BY i) - 1 AS k FROM cs WHERE i = 0 OR i = n OR (i % 2 = 0 AND i >= 10)),
+co AS (SELECT b.chr, b.k AS e, list(CASE WHEN b.i - a.i >= 10 OR (a.k = 0 AND b.i = b.n) THEN b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.i - a.i) ELSE 1e300 END ORDER BY a.k) AS costs FROM en b JOIN en a ON a.chr = b.chr AND a.k < b.k GROUP BY 1, 2),
+pe AS (SELECT chr, max(k) AS last, ln(greatest(2, max(n))) * max(m) * max(m) AS pen FROM en, gm GROUP BY chr),
+dp(chr, k, best, origin) AS (SELECT chr, CAST(0 AS BIGINT), [CAST(0 AS DOUBLE)], [CAST(-1 AS BIGINT)] FROM pe
+  UNION ALL SELECT chr, k + 1, list_append(best, list_min(tried)), list_append(origin, CAST(list_position(tried, list_min(tried)) - 1 AS BIGINT))
+  FROM (SELECT dp.chr, dp.k, best, origin, list_transform(costs, lambda c, j: best[j] + c + pen) AS tried FROM dp JOIN co ON co.chr = dp.chr AND co.e = dp.k + 1 JOIN pe ON pe.chr = dp.chr)),
+bt(chr, k, origin) AS (SELECT dp.chr, k, origin FROM dp JOIN pe ON pe.chr = dp.chr AND dp.k = pe.last UNION ALL SELECT chr, origin[k + 1], origin FROM bt WHERE origin[k + 1] > 0),
+pt AS (SELECT bt.chr, en.i AS e, coalesce(lag(en.i) OVER (PARTITION BY bt.chr ORDER BY en.i), 0) AS s FROM bt JOIN en ON en.chr = bt.chr AND en.k = bt.k)
+SELECT pt.chr, pt.e - pt.s AS length, round(median(y.x) + 1e-9, 5) AS coverage FROM pt JOIN y ON y.chr = pt.chr AND y.i > pt.s AND y.i <= pt.e GROUP BY pt.chr, pt.s, pt.e""", recursive=True)
 def coverage_segments(spark, sf_dir):
-    return segments.coverage_segments(v.bins(spark, sf_dir), B, 500_000, 100_000)
+    return segments.coverage_segments(v.bins(spark, sf_dir), B, 500_000, 100_000).select("chr", "length", F.round(F.col("coverage") + 1e-9, 5).alias("coverage"))
 
 
-@query()
+@query(""", o AS (SELECT chr, "start", "end", row_number() OVER (PARTITION BY chr ORDER BY "start", "end") AS i FROM gene),
+f(chr, i, "start", "end", reach, kept) AS (SELECT chr, i, "start", "end", "end", TRUE FROM o WHERE i = 1
+  UNION ALL SELECT o.chr, o.i, o."start", o."end", CASE WHEN o."start" > f.reach THEN o."end" ELSE f.reach END, o."start" > f.reach FROM f JOIN o ON o.chr = f.chr AND o.i = f.i + 1)
+SELECT chr, "start", "end" FROM f WHERE kept""", recursive=True)
 def keep_first_disjoint(spark, sf_dir):
     return segments.keep_first_disjoint(v.gene(spark, sf_dir).select("chr", "start", "end"))
 
 
-@query()
+@query(""", w AS (SELECT chr, (row_number() OVER (PARTITION BY chr ORDER BY "start") - 1) // 10 AS part, hp1 FROM bins WHERE hp1 <> 0), m AS (SELECT chr, part, median(hp1) AS m, stddev_pop(hp1) AS d FROM w GROUP BY 1, 2)
+SELECT chr, part, round(m + 1e-9, 5) AS median FROM m WHERE d <= (SELECT quantile_cont(d, 0.9) + 1e-9 FROM m)""")
 def window_medians(spark, sf_dir):
-    return cov.window_medians(v.bins(spark, sf_dir), "hp1", 10)
+    return cov.window_medians(v.bins(spark, sf_dir), "hp1", 10).select("chr", "part", F.round(F.col("median") + 1e-9, 5).alias("median"))
 
 
 # --- phase --------------------------------------------------------------------------------------------------
@@ -368,7 +430,11 @@ def phaseset_minmax(spark, sf_dir):
     return phase.long_enough(phase.block_extents(positions))
 
 
-@query()
+@query(""", o AS (SELECT chr, "start", "end", row_number() OVER (PARTITION BY chr ORDER BY "start", "end" - "start" DESC, ps) AS i FROM blk),
+f(chr, i, s, e, fresh) AS (SELECT chr, i, "start", "end", TRUE FROM o WHERE i = 1
+  UNION ALL SELECT o.chr, o.i, CASE WHEN o."start" > f.e OR o."end" - o."start" > f.e - f.s THEN o."start" ELSE f.s END, CASE WHEN o."start" > f.e OR o."end" - o."start" > f.e - f.s THEN o."end" ELSE f.e END, o."start" > f.e
+  FROM f JOIN o ON o.chr = f.chr AND o.i = f.i + 1),
+n AS (SELECT chr, s, e, lead(fresh) OVER (PARTITION BY chr ORDER BY i) AS next FROM f) SELECT chr, s AS "start", e AS "end" FROM n WHERE coalesce(next, TRUE)""", recursive=True)
 def keep_longer(spark, sf_dir):
     return phase.keep_longer(v.blk(spark, sf_dir).select("chr", F.col("ps").alias("phasesets"), "start", "end"))
 
@@ -436,23 +502,92 @@ def n50(spark, sf_dir):
     return phase.n50(v.blk(spark, sf_dir).select((F.col("end") - F.col("start")).alias("length")))
 
 
-@query("""SELECT chr, "start", "end", greatest(hp1, hp2) AS hp1, least(hp1, hp2) AS hp2 FROM bins""")
+@query(""", bare AS (SELECT chr FROM contigs WHERE chr NOT IN (SELECT chr FROM gene GROUP BY chr HAVING count(*) > (SELECT count(*) / 22 FROM gene)))
+SELECT bins.chr, "start", CASE WHEN bare.chr IS NULL THEN hp1 ELSE greatest(hp1, hp2) END AS hp1, CASE WHEN bare.chr IS NULL THEN hp2 ELSE least(hp1, hp2) END AS hp2 FROM bins LEFT JOIN bare ON bare.chr = bins.chr""")
 def larger_first(spark, sf_dir):
-    return phase.larger_first(v.bins(spark, sf_dir), v.contigs(spark, sf_dir))
+    """Contigs with more genes than the mean count as those with blocks."""
+    genes = v.gene(spark, sf_dir)
+    many = genes.groupBy("chr").count().where(F.col("count") > genes.count() / 22)
+    return phase.larger_first(v.bins(spark, sf_dir), v.contigs(spark, sf_dir).join(many, "chr", "left_anti")).select("chr", "start", "hp1", "hp2")
+
+
+_SWITCHES = _BLOCKS + f""", l AS (SELECT chr, "start", "start" + 1200000 AS "end", hp1, hp2 FROM b),
+inb AS (SELECT l.chr, l."start" AS block, l."end" AS block_end, bins."start" AS beg, bins."end" AS till, bins.hp1, bins.hp2, CASE WHEN bins.hp1 > bins.hp2 THEN 1 WHEN bins.hp1 < bins.hp2 THEN 2 ELSE 0 END AS hp,
+  row_number() OVER w AS i, count(*) OVER (PARTITION BY l.chr, l."start") AS m FROM l JOIN bins ON bins.chr = l.chr AND bins."start" BETWEEN l."start" AND l."end" WINDOW w AS (PARTITION BY l.chr, l."start" ORDER BY bins."start")),
+ch AS (SELECT *, CASE WHEN hp = lag(hp) OVER (PARTITION BY chr, block ORDER BY i) THEN 0 ELSE 1 END AS c FROM inb WHERE i < m),
+rn AS (SELECT *, sum(c) OVER (PARTITION BY chr, block ORDER BY i) AS run FROM ch),
+rl AS (SELECT *, max(i) OVER (PARTITION BY chr, block, run) AS last_i FROM rn),
+ru AS (SELECT chr, block, block_end, run, hp, min(i) AS f, max(i) AS t, coalesce(median(CASE WHEN i < last_i AND hp1 <> 0 THEN hp1 END), 0) AS m1, coalesce(median(CASE WHEN i < last_i AND hp2 <> 0 THEN hp2 END), 0) AS m2 FROM rl GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2 AND hp > 0),
+ve AS (SELECT chr, block, stddev_pop(CASE WHEN hp = 1 THEN m1 END) < 9 OR stddev_pop(CASE WHEN hp = 2 THEN m2 END) < 9 AS steady FROM ru GROUP BY 1, 2 HAVING count(DISTINCT hp) = 2),
+di AS (SELECT chr, block, avg(greatest(hp1, hp2)) - avg(least(hp1, hp2)) > 20 AS wide FROM rn WHERE i < m - 1 GROUP BY 1, 2),
+gr AS (SELECT ru.*, steady, wide, CASE WHEN f - lag(t) OVER (PARTITION BY ru.chr, ru.block, hp ORDER BY f) < 2 THEN 0 ELSE 1 END AS n FROM ru JOIN ve USING (chr, block) JOIN di USING (chr, block)),
+gs AS (SELECT *, sum(n) OVER (PARTITION BY chr, block, hp ORDER BY f) AS g FROM gr),
+pc AS (SELECT chr, block, block_end, steady, wide, hp, g, min(f) AS f, max(t) AS t FROM gs GROUP BY ALL),
+pm AS (SELECT pc.chr, pc.block, pc.block_end, steady, wide, pc.hp, f, min(beg) AS s, max(till) AS e, coalesce(median(CASE WHEN i < t AND hp1 <> 0 THEN hp1 END), 0) AS hp1, coalesce(median(CASE WHEN i < t AND hp2 <> 0 THEN hp2 END), 0) AS hp2
+  FROM pc JOIN rn ON rn.chr = pc.chr AND rn.block = pc.block AND rn.i BETWEEN f AND t GROUP BY 1, 2, 3, 4, 5, 6, 7),
+pk AS (SELECT *, count(*) OVER (PARTITION BY chr, block) AS n, row_number() OVER (PARTITION BY chr, block ORDER BY f) AS k FROM pm),
+sw AS (SELECT chr, block, CASE WHEN steady AND wide AND n > 1 AND k = 1 THEN block ELSE s END AS "start", CASE WHEN steady AND wide AND n > 1 AND k = n THEN block_end ELSE e END AS "end", hp, round(hp1 + 1e-9, 5) AS hp1, round(hp2 + 1e-9, 5) AS hp2, steady AND wide AND n > 1 AS broken, NOT steady AS unsteady FROM pk)"""
+
+
+def _switches(spark, sf_dir):
+    long = _blocks(spark, sf_dir).withColumn("end", F.col("start") + 1_200_000)
+    return long, phase.switches_inside(v.bins(spark, sf_dir), long, stable=2, deviation=9.0, apart=20.0)
+
+
+@query(_SWITCHES + " SELECT * FROM sw")
+def switches_inside(spark, sf_dir):
+    _, found = _switches(spark, sf_dir)
+    return found.select("chr", "block", "start", "end", "hp", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("hp1", "hp2")), "broken", "unsteady")
 
 
-@query()
-def switches_inside(spark, sf_dir):
-    return phase.switches_inside(v.bins(spark, sf_dir), _blocks(spark, sf_dir).withColumn("end", F.col("start") + 600_000), stable=2, deviation=50.0)
+@query(_SWITCHES + """ SELECT chr, "start", "end", hp1, hp2 FROM l WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.chr = l.chr AND sw.block = l."start" AND broken) UNION ALL SELECT chr, "start", "end", hp1, hp2 FROM sw WHERE broken""")
+def broken_up(spark, sf_dir):
+    long, found = _switches(spark, sf_dir)
+    return phase.broken_up(long, found).select("chr", "start", "end", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("hp1", "hp2")))
 
 
-@query()
+@query(_BLOCKS + """, big AS (SELECT chr, "start", "start" + 450000 AS "end" FROM b WHERE ("start" // 100000) % 5 = 0), h AS (SELECT b.chr, b."start", b."end", min(big."start") AS home FROM b LEFT JOIN big ON big.chr = b.chr AND b."start" >= big."start" AND b."end" <= big."end" GROUP BY 1, 2, 3)
+SELECT chr, "start", "end" FROM h WHERE home IS NULL UNION ALL SELECT chr, min("start"), max("end") FROM h WHERE home IS NOT NULL GROUP BY chr, home""")
+def regrouped(spark, sf_dir):
+    """All blocks, put together again inside every fifth of their places."""
+    blocks = _blocks(spark, sf_dir)
+    broken = blocks.where("floor(start / 100000) % 5 = 0").select("chr", "start", (F.col("start") + 450_000).alias("end"))
+    return phase.regrouped(blocks, broken)
+
+
+_FLANKS = _BLOCKS + f""", x AS (SELECT b.chr, b."start", b."end", bins.hp1, bins.hp2, bins."start" // {B} < b."start" // {B} + 1 AS head, bins."start" // {B} > b."end" // {B} - 1 AS tail FROM b JOIN bins ON bins.chr = b.chr AND bins."start" // {B} BETWEEN b."start" // {B} AND b."end" // {B}),
+fl AS (SELECT chr, "start", "end", coalesce(median(CASE WHEN head THEN hp1 END), 0) AS h1, coalesce(median(CASE WHEN head THEN hp2 END), 0) AS h2, coalesce(median(CASE WHEN tail THEN hp1 END), 0) AS t1, coalesce(median(CASE WHEN tail THEN hp2 END), 0) AS t2 FROM x GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY "start") AS i FROM fl),
+f(chr, i, "start", "end", t1, t2, flip) AS (SELECT chr, i, "start", "end", t1, t2, FALSE FROM o WHERE i = 1
+  UNION ALL SELECT o.chr, o.i, o."start", o."end", CASE WHEN t < c THEN o.t2 ELSE o.t1 END, CASE WHEN t < c THEN o.t1 ELSE o.t2 END, t < c
+  FROM (SELECT f.chr, f.i, abs(f.t1 - o.h1) * abs(f.t2 - o.h2) AS c, abs(f.t1 - o.h2) * abs(f.t2 - o.h1) AS t FROM f JOIN o ON o.chr = f.chr AND o.i = f.i + 1) x JOIN o ON o.chr = x.chr AND o.i = x.i + 1)"""
+
+
+@query(_FLANKS + ' SELECT chr, "start", "end", flip FROM f', recursive=True)
+def flank_flips(spark, sf_dir):
+    """Blocks flipped by the product of distances between their flanks of one bin."""
+    blocks = phase.flanks(v.bins(spark, sf_dir), _blocks(spark, sf_dir), B, B)
+    return phase.flips(blocks, True, ("tail1", "tail2"), ("head1", "head2")).select("chr", "start", "end", "flip")
+
+
+@query(_BLOCKS + f""" SELECT b.chr, b."start", b."end", round(coalesce(median(CASE WHEN bins.hp1 <> 0 THEN bins.hp1 END), 0) + 1e-9, 5) AS hp1, round(coalesce(median(CASE WHEN bins.hp2 <> 0 THEN bins.hp2 END), 0) + 1e-9, 5) AS hp2
+FROM b LEFT JOIN bins ON bins.chr = b.chr AND bins."start" // {B} >= b."start" // {B} AND bins."start" // {B} < b."end" // {B} GROUP BY 1, 2, 3""")
+def index_medians(spark, sf_dir):
+    return cov.index_medians(v.bins(spark, sf_dir), _blocks(spark, sf_dir), B).select("chr", "start", "end", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("hp1", "hp2")))
+
+
+@query(_FLIP + f""", fb AS (SELECT DISTINCT bins.chr, bins."start" // {B} AS i FROM bins JOIN f ON f.chr = bins.chr AND f.flip AND bins."start" BETWEEN f."start" AND f."end"),
+va AS (SELECT chr, pos, min(CASE et WHEN 'purchase' THEN '1/1' WHEN 'click' THEN '0|1' ELSE '1|0' END) AS gt FROM snp GROUP BY 1, 2),
+pl AS (SELECT va.chr, va.pos, gt, b."start" AS s, b."end" AS e, cen."start" AS ls FROM va LEFT JOIN b ON b.chr = va.chr AND va.pos BETWEEN b."start" AND b."end" LEFT JOIN cen ON cen.chr = va.chr AND va.pos BETWEEN cen."start" AND cen."end"),
+pr AS (SELECT *, (CASE WHEN pos < s + {B} THEN pos + {B} WHEN pos > e - {B} THEN pos - {B} ELSE pos END) // {B} AS i, ls IS NOT NULL AND s IS NULL AND gt = '1/1' AS lost FROM pl)
+SELECT pr.chr, pos, CASE WHEN lost THEN '1|0' WHEN gt LIKE '%|%' AND e - s < 50000 THEN '0/1' WHEN gt LIKE '%|%' AND fb.i IS NOT NULL THEN CASE gt WHEN '0|1' THEN '1|0' ELSE '0|1' END ELSE gt END AS gt,
+CAST(CASE WHEN lost THEN ls WHEN gt LIKE '%|%' AND e - s < 50000 THEN NULL WHEN gt LIKE '%|%' AND s IS NOT NULL THEN s ELSE 1 END AS BIGINT) AS ps FROM pr LEFT JOIN fb ON fb.chr = pr.chr AND fb.i = pr.i""", recursive=True)
 def rephase(spark, sf_dir):
-    variants = _genotyped(spark, sf_dir).dropDuplicates(["chr", "pos"]).select("chr", "pos", "gt", F.lit(1).cast("long").alias("ps"))
+    variants = _genotyped(spark, sf_dir).groupBy("chr", "pos").agg(F.min("gt").alias("gt")).withColumn("ps", F.lit(1).cast("long"))
     blocks = _blocks(spark, sf_dir).select("chr", "start", "end")
     flips = phase.apply_flips(v.bins(spark, sf_dir), phase.flips(_blocks(spark, sf_dir))).where("flip").select("chr", "start")
     lost = v.centromeres(spark, sf_dir).withColumn("hp", F.lit(1))
-    return phase.rephase(variants, flips, blocks, blocks, lost, B, 50_000)
+    return phase.rephase(variants, flips, blocks, blocks, lost, B, 50_000).select("chr", "pos", "gt", "ps")
 
 
 # --- copy number --------------------------------------------------------------------------------------------
@@ -479,13 +614,13 @@ def without_outliers(spark, sf_dir):
 
 @query(_CUTS + ' SELECT chr, "start", "end", CASE WHEN "end" = 1199999 THEN 3300 ELSE round(state, 6) END AS state FROM seg')
 def mask_centromeres(spark, sf_dir):
-    return cn.mask_centromeres(_sql_segments(spark, sf_dir), v.centromeres(spark, sf_dir)).select("chr", "start", "end", _r("state"))
+    return cn.mask_centromeres(_segments(spark, sf_dir), v.centromeres(spark, sf_dir)).select("chr", "start", "end", _r("state"))
 
 
 @query(_CUTS + f""", x AS (SELECT round(state + 1e-9, 4) AS x, seg.* FROM seg), s AS (SELECT g.gene, g.chr, arg_min(x.x, x."start") AS x FROM gene g LEFT JOIN x ON x.chr = g.chr AND g."start" BETWEEN x."start" AND x."end" GROUP BY 1, 2)
 SELECT chr, gene, coalesce(x, 0) AS coverage, CAST(CASE WHEN x IS NULL THEN 0 ELSE {_SNAP.format(d=0)} END AS DOUBLE) AS cn FROM s""")
 def gene_states(spark, sf_dir):
-    segs = _sql_segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
+    segs = _segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
     return cn.gene_states(v.gene(spark, sf_dir), segs, segs, CENTERS).select("chr", "gene", F.col("adjusted_coverage_hp1").alias("coverage"), F.col("copynumber_hp2_state").alias("cn"))
 
 
@@ -500,21 +635,30 @@ _WEIGHTED = "CASE WHEN sum(w) = 0 THEN 0 ELSE sum(round_even(cn * w, 3)) / sum(w
 @query(_CUTS + f""", n AS (SELECT k * 0.5 AS normal FROM range(1, 20) g(k)), gc AS (SELECT normal, "end" - "start" AS w, CASE WHEN st < normal THEN 0 ELSE round_even((st - normal) / 20, 0) END AS cn FROM n CROSS JOIN (SELECT *, round(state + 1e-9, 4) AS st FROM seg))
 SELECT CAST(normal AS DOUBLE) AS normal, round(2 * {_WEIGHTED}, 6) AS ploidy FROM gc GROUP BY normal HAVING 2 * {_WEIGHTED} >= 0.1""")
 def ploidy_grid(spark, sf_dir):
-    segs = _sql_segments(spark, sf_dir).select("chr", "start", "end", F.round(F.col("state") + 1e-9, 4).alias("depth"))
+    segs = _segments(spark, sf_dir).select("chr", "start", "end", F.round(F.col("state") + 1e-9, 4).alias("depth"))
     both = segs.withColumn("hp", F.explode(F.array(F.lit(1), F.lit(2))))
     return cn.purity_grid(both, cn.grid(spark, 10.0, 0.5), 20.0, 5, 100.0).select("normal", _r("ploidy"))
 
 
-@query()
+@query(_BOTH + f""", tw AS (SELECT 1 AS hp, * FROM s1 UNION ALL SELECT 2, * FROM s2), gr AS (SELECT CAST(i AS DOUBLE) * 0.1 AS normal FROM range(1, 300) r(i)),
+cn AS (SELECT normal, chr, hp, "end" - "start" AS w, state, CASE WHEN state < normal THEN 0 ELSE greatest(0, round_even(abs((state - normal) / 20.0), 0)) END AS cn FROM tw CROSS JOIN gr),
+zz AS (SELECT *, abs((state - (normal + cn * 20.0)) / 10.0) / 1.4142135623730951 AS z FROM cn),
+pp AS (SELECT *, {_sql_p("z")} AS p FROM zz),
+bc AS (SELECT normal, CAST(replace(chr, 'chr', '') AS INTEGER) AS o, sum(CASE WHEN w > 200000 AND p > 0 THEN round_even(p * w, 3) ELSE 0 END) AS pw, sum(CASE WHEN w > 200000 AND p > 0 THEN w ELSE 0 END) AS wp,
+  sum(CASE WHEN hp = 1 THEN round_even(cn * w, 3) END) AS c1, sum(CASE WHEN hp = 2 THEN round_even(cn * w, 3) END) AS c2, sum(CASE WHEN hp = 1 THEN w END) AS w1, sum(CASE WHEN hp = 2 THEN w END) AS w2 FROM pp GROUP BY 1, 2),
+ru AS (SELECT *, CASE WHEN sum(wp) OVER k = 0 THEN 0 ELSE sum(pw) OVER k / sum(wp) OVER k END AS score FROM bc WINDOW k AS (PARTITION BY normal ORDER BY o)),
+ag AS (SELECT normal, avg(score) AS confidence, coalesce(sum(c1) / nullif(sum(w1), 0), 0) + coalesce(sum(c2) / nullif(sum(w2), 0), 0) AS ploidy FROM ru GROUP BY normal)
+SELECT round(normal, 4) AS normal, round(confidence, 6) AS confidence, round(ploidy, 6) AS ploidy, round((100 - 2 * normal) / 100 + 1e-9, 6) AS dna_purity, round(((100 - 2 * normal) / ploidy) / (normal + (100 - 2 * normal) / ploidy) + 1e-9, 6) AS cell_purity FROM ag WHERE ploidy >= 0.1""")
 def purity_grid(spark, sf_dir):
-    rows = [_segments(spark, sf_dir, f"hp{h}").select("chr", "start", "end", F.col("state").alias("depth"), F.lit(h).alias("hp")) for h in (1, 2)]
-    return cn.purity_grid(rows[0].union(rows[1]), cn.grid(spark, 30.0), 20.0, 6, 100.0, 200_000)
+    rows = [_steady(spark, sf_dir, h).select("chr", "start", "end", F.col("state").alias("depth"), F.lit(h).alias("hp")) for h in (1, 2)]
+    out = cn.purity_grid(rows[0].union(rows[1]), cn.grid(spark, 30.0), 20.0, 6, 100.0, 200_000)
+    return out.select(_r("normal", 4), _r("confidence"), _r("ploidy"), *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("dna_purity", "cell_purity")))
 
 
-@query(_CUTS + """, s AS (SELECT chr, CAST(replace(chr, 'chr', '') AS INTEGER) AS o, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN round_even(c * ("end" - "start"), 3) ELSE 0 END) AS p, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN "end" - "start" ELSE 0 END) AS w FROM (SELECT *, least(1, round(state + 1e-9, 2) / 100) AS c FROM seg) GROUP BY 1, 2),
+@query(_BOTH + f""", s AS (SELECT chr, CAST(replace(chr, 'chr', '') AS INTEGER) AS o, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN round_even(c * ("end" - "start"), 3) ELSE 0 END) AS p, sum(CASE WHEN "end" - "start" > 200000 AND c > 0 THEN "end" - "start" ELSE 0 END) AS w FROM (SELECT *, {_sql_p("z")} AS c FROM (SELECT *, abs((state - ({_sql_near("state")})) / 10.0) / 1.4142135623730951 AS z FROM s1)) GROUP BY 1, 2),
 r AS (SELECT sum(p) OVER (ORDER BY o) AS p, sum(w) OVER (ORDER BY o) AS w FROM s) SELECT round(avg(CASE WHEN w = 0 THEN 0 ELSE p / w END), 6) AS confidence FROM r""")
 def genome_score(spark, sf_dir):
-    rows = _sql_segments(spark, sf_dir).withColumn("confidence", F.least(F.lit(1.0), F.round(F.col("state") + 1e-9, 2) / 100))
+    rows = cn.segment_scores(_steady(spark, sf_dir, 1).withColumn("depth", F.col("state")), CENTERS)
     return cn.genome_score(rows, 200_000).select(_r("confidence"))
 
 
@@ -534,20 +678,51 @@ def vcf_class(spark, sf_dir):
     return v.bins(spark, sf_dir).select("chr", F.col("start").alias("bin_start"), sc.cna_type(a, b).alias("kind"), sc.cna_alt(a, b).alias("alt"), sc.cna_genotype(a, b).alias("gt"))
 
 
-@query("""SELECT chr, ps, confidence, CAST(row_number() OVER (ORDER BY confidence DESC, ps) AS BIGINT) AS solution_rank FROM (SELECT chr, ps, hp1 AS confidence FROM blk WHERE ps < 100)""")
+@query("""SELECT chr, ps, confidence, CAST(row_number() OVER (ORDER BY confidence DESC, ps) AS BIGINT) AS solution_rank FROM (SELECT chr, ps, hp1 AS confidence FROM blk)""")
 def rank_first(spark, sf_dir):
-    rows = v.blk(spark, sf_dir).where("ps < 100").select("chr", "ps", F.col("hp1").alias("confidence"), F.col("ps").alias("ord"))
+    rows = v.blk(spark, sf_dir).select("chr", "ps", F.col("hp1").alias("confidence"), F.col("ps").alias("ord"))
     return cn.ranked(rows).select("chr", "ps", "confidence", F.col("solution_rank").cast("long").alias("solution_rank"))
 
 
-@query()
+@query(_BOTH + f""" SELECT chr, "start", "end", round(state, 5) AS state, {_sql_p("z")} AS confidence FROM (SELECT *, abs((state - ({_sql_near("state")})) / 10.0) / 1.4142135623730951 AS z FROM s1)""")
 def segment_scores(spark, sf_dir):
-    return cn.segment_scores(_segments(spark, sf_dir).withColumn("depth", F.col("state")), CENTERS)
+    return cn.segment_scores(_steady(spark, sf_dir, 1).withColumn("depth", F.col("state")), CENTERS).select("chr", "start", "end", _r("state", 5), "confidence")
 
 
-@query()
+def _sql_trimmed(table: str, by: str, value: str) -> str:
+    """The rows of a table within five interquartile ranges of the quartiles of their group."""
+    on = " AND ".join(f"t.{c} = k.{c}" for c in by.split(", "))
+    return f"SELECT t.* FROM {table} t JOIN (SELECT {by}, quantile_cont({value}, 0.25) AS a, quantile_cont({value}, 0.75) AS b FROM {table} GROUP BY {by}) k ON {on} WHERE t.{value} BETWEEN a - 5 * (b - a) AND b + 5 * (b - a)"
+
+
+#: The state of a segment as the center of its copy number.
+_CENTER = f"CAST(20 * {_SNAP.format(d=0).replace('x', 'state')} AS DOUBLE)"
+_SUBCLONAL = _BOTH + f""", tw AS (SELECT 1 AS hp, *, {_CENTER} AS center FROM s1 UNION ALL SELECT 2, *, {_CENTER} FROM s2),
+sb AS (SELECT hp, t.chr, t."start", center, CASE WHEN hp = 1 THEN hp1 ELSE hp2 END AS v, CASE WHEN v = 0 THEN 0 ELSE v + 0.0000123 END AS x FROM tw t JOIN bins ON bins.chr = t.chr AND bins."start" // {B} >= t."start" // {B} AND bins."start" // {B} < t."end" // {B}),
+nc AS (SELECT center, count(*) AS n FROM sb GROUP BY center), tc AS ({_sql_trimmed("sb", "center", "x")}), me AS (SELECT center, avg(x) AS m FROM tc JOIN nc USING (center) WHERE n >= 2 GROUP BY center),
+ce AS (SELECT i, coalesce(m, i * 20.0) AS m FROM range(0, 5) r(i) LEFT JOIN me ON center = i * 20.0),
+ts AS ({_sql_trimmed("sb", 'hp, chr, "start"', "x")}), se AS (SELECT hp, chr, "start", median(x) AS seen FROM ts GROUP BY 1, 2, 3),
+z AS (SELECT t.*, coalesce(seen, 0) AS seen, abs((coalesce(seen, 0) - (SELECT arg_min(m, (abs(m - coalesce(seen, 0)), i)) FROM ce)) / 10.0) / 1.4142135623730951 AS z FROM tw t LEFT JOIN se USING (hp, chr, "start")),
+pv AS (SELECT *, CASE WHEN center > 80 THEN 1.0 ELSE {_sql_p("z")} END AS confidence FROM z),
+su AS (SELECT *, center <= 80 AND confidence < 0.6 AS sub, CASE WHEN center > 80 THEN center ELSE seen END AS depth, CASE WHEN center <= 80 AND confidence < 0.6 THEN seen ELSE center END AS st FROM pv),
+ow AS (SELECT *, sub AND st NOT IN (0, 20, 40, 60, 80) AND st <= 80 AS own FROM su),
+lg AS (SELECT *, CASE WHEN own = lag(own) OVER (PARTITION BY hp, chr ORDER BY "start") THEN 0 ELSE 1 END AS n FROM ow),
+rn AS (SELECT *, sum(n) OVER (PARTITION BY hp, chr ORDER BY "start") AS run FROM lg),
+of AS (SELECT hp, chr, run, "start", st, depth - lag(depth) OVER (PARTITION BY hp, chr, run ORDER BY depth, "start") > 2 AS off, max("start") OVER (PARTITION BY hp, chr, run) AS last, count(*) OVER (PARTITION BY hp, chr, run) AS size FROM rn WHERE own),
+ok AS (SELECT hp, chr, run FROM of GROUP BY 1, 2, 3 HAVING count(*) > 1 AND NOT bool_or(coalesce(off, FALSE))),
+sh AS (SELECT of.hp, of.chr, of.run, st FROM of JOIN ok USING (hp, chr, run) WHERE "start" < last), tr AS ({_sql_trimmed("sh", "hp, chr, run", "st")}), md AS (SELECT hp, chr, run, median(st) AS m FROM tr GROUP BY 1, 2, 3),
+fin AS (SELECT rn.hp, rn.chr, "start", "end", round_even(coalesce(CASE WHEN own THEN m END, depth), 2) AS depth, greatest(CAST(trunc(coalesce(CASE WHEN own THEN m END, st)) AS DOUBLE), 0) AS state, confidence, sub AS is_subclonal FROM rn LEFT JOIN md ON md.hp = rn.hp AND md.chr = rn.chr AND md.run = rn.run)"""
+
+
+def _grained(spark, sf_dir):
+    """Bins with a little added to values other than 0, so that no median of two meets a tie in rounding."""
+    return v.bins(spark, sf_dir).select("chr", "start", "end", *(F.when(F.col(c) == 0, 0.0).otherwise(F.col(c) + 0.0000123).alias(c) for c in ("hp1", "hp2")))
+
+
+@query(_SUBCLONAL + ' SELECT hp, chr, "start", "end", depth, state, confidence, is_subclonal FROM fin')
 def subclonal_states(spark, sf_dir):
-    return cn.subclonal(_segments(spark, sf_dir).withColumn("depth", F.col("state")), CENTERS)
+    found = cn.subclonal({h: _steady(spark, sf_dir, h) for h in (1, 2)}, _grained(spark, sf_dir), CENTERS, B)
+    return found[1].withColumn("hp", F.lit(1)).unionByName(found[2].withColumn("hp", F.lit(2))).select("hp", "chr", "start", "end", "depth", "state", "confidence", "is_subclonal")
 
 
 @query()
@@ -565,11 +740,11 @@ def _track(spark, sf_dir, hp, step):
     part = F.floor(F.col("start") / (step * B))
     rows = v.bins(spark, sf_dir).groupBy("chr", part.alias("k")).agg(F.round(F.avg(hp), 2).alias("coverage"))
     start = F.col("k") * step * B
-    return rows.where("k % 4 <> 3").select("chr", start.alias("start"), (start + step * B).alias("end"), "coverage", sc.snap(F.col("coverage"), CENTERS).alias("copynumber_state"), F.lit(1.0).alias("confidence"))
+    return rows.select("chr", start.alias("start"), (start + step * B).alias("end"), "coverage", sc.snap(F.col("coverage"), CENTERS).alias("copynumber_state"), F.lit(1.0).alias("confidence"))
 
 
-@query(f""", a AS (SELECT chr, k * 7 * {B} AS s, (k + 1) * 7 * {B} AS e, c FROM (SELECT chr, "start" // (7 * {B}) AS k, round(avg(hp1), 2) AS c FROM bins GROUP BY 1, 2) WHERE k % 4 <> 3),
-b AS (SELECT chr, k * 5 * {B} AS s, (k + 1) * 5 * {B} AS e, c FROM (SELECT chr, "start" // (5 * {B}) AS k, round(avg(hp2), 2) AS c FROM bins GROUP BY 1, 2) WHERE k % 4 <> 3),
+@query(f""", a AS (SELECT chr, k * 7 * {B} AS s, (k + 1) * 7 * {B} AS e, c FROM (SELECT chr, "start" // (7 * {B}) AS k, round(avg(hp1), 2) AS c FROM bins GROUP BY 1, 2)),
+b AS (SELECT chr, k * 5 * {B} AS s, (k + 1) * 5 * {B} AS e, c FROM (SELECT chr, "start" // (5 * {B}) AS k, round(avg(hp2), 2) AS c FROM bins GROUP BY 1, 2)),
 p AS (SELECT chr, s AS x FROM a UNION SELECT chr, e FROM a UNION SELECT chr, s FROM b UNION SELECT chr, e FROM b), f AS (SELECT chr, x AS s, lead(x) OVER (PARTITION BY chr ORDER BY x) AS e FROM p)
 SELECT f.chr, f.s AS "start", f.e AS "end", coalesce(a.c, 0) AS hp1_coverage, coalesce(b.c, 0) AS hp2_coverage FROM f LEFT JOIN a ON a.chr = f.chr AND a.s <= f.s AND a.e > f.s LEFT JOIN b ON b.chr = f.chr AND b.s <= f.s AND b.e > f.s WHERE f.e IS NOT NULL AND (a.c IS NOT NULL OR b.c IS NOT NULL)""")
 def boundary_fragments(spark, sf_dir):
@@ -621,28 +796,62 @@ def _sync_inputs(spark, sf_dir):
     return snvs, v.bins(spark, sf_dir).select("chr", "start", (F.col("start") + B).alias("end"), "hp1", "hp2")
 
 
-@query()
+@query(_SYNC + """, vg AS (SELECT chr, ps, s, CASE WHEN sign(t) = g THEN 1 ELSE -1 END AS a FROM vo), vl AS (SELECT *, lag(a) OVER (PARTITION BY chr, ps ORDER BY s) AS before FROM vg),
+ct AS (SELECT vl.chr, vl.ps, vl.s AS x FROM vl JOIN re ON re.chr = vl.chr AND re.ps = vl.ps AND re.reason = 'mixed_direction' AND vl.s > re.s AND vl.s < re.e WHERE before <> a),
+ed AS (SELECT chr, ps, s AS x FROM re UNION SELECT chr, ps, e FROM re UNION SELECT * FROM ct), le AS (SELECT chr, ps, x, lead(x) OVER (PARTITION BY chr, ps ORDER BY x) AS y, row_number() OVER (PARTITION BY chr, ps ORDER BY x) AS k FROM ed)
+SELECT chr, ps, x AS "start", y AS "end", CASE WHEN k = 1 THEN ps ELSE x END AS new_ps FROM le WHERE y IS NOT NULL""")
 def sync_cut_blocks(spark, sf_dir):
     snvs, prof = _sync_inputs(spark, sf_dir)
     return sync.cut_mixed(sync.blocks_of(snvs), prof, snvs)
 
 
-@query()
+_SNAP_STATE = _SNAP.replace("x", "state")
+
+
+def _sql_sides(one: str, two: str, extra: str = "") -> str:
+    """Two tracks (chr, s, e, c, k, q) cut at each other's boundaries."""
+    more = ", ".join([*(f"coalesce({t}.c, 0) AS hp{h}_coverage, coalesce({t}.k, 0) AS hp{h}_copynumber_state, coalesce({t}.q, 0) AS hp{h}_confidence" for h, t in ((1, "a"), (2, "b")))])
+    return f""", pt AS (SELECT chr, s AS x FROM {one} WHERE e > s UNION SELECT chr, e FROM {one} WHERE e > s UNION SELECT chr, s FROM {two} WHERE e > s UNION SELECT chr, e FROM {two} WHERE e > s),
+fr AS (SELECT chr, x AS s, lead(x) OVER (PARTITION BY chr ORDER BY x) AS e FROM pt),
+profile AS (SELECT fr.chr, fr.s AS "start", fr.e AS "end", {more}{extra} FROM fr LEFT JOIN {one} a ON a.chr = fr.chr AND a.s <= fr.s AND a.e > fr.s LEFT JOIN {two} b ON b.chr = fr.chr AND b.s <= fr.s AND b.e > fr.s
+  WHERE fr.e IS NOT NULL AND (a.chr IS NOT NULL OR b.chr IS NOT NULL))"""
+
+
+def _sql_scored(h: int) -> str:
+    return f""", m{h} AS (SELECT *, "end" = 1199999 AND "start" IN (1000000, 1000001) AS cen, abs((state - ({_sql_near("state")})) / 10.0) / 1.4142135623730951 AS z FROM s{h}),
+t{h} AS (SELECT chr, "start" AS s, "end" AS e, CASE WHEN cen THEN 3300 ELSE round_even(state, 2) END AS c, CASE WHEN cen THEN 3300 ELSE {_SNAP_STATE.format(d=0)} END AS k, {_sql_p("z")} AS q FROM m{h})"""
+
+
+_PROFILE = _BOTH + _sql_scored(1) + _sql_scored(2) + _sql_sides("t1", "t2")
+
+
+@query(_PROFILE + " SELECT * FROM profile")
 def cna_profile(spark, sf_dir):
     """Segments of both haplotypes, snapped, scored, masked and aligned."""
     from strandloom.plans.cna import integer_profile
 
-    return integer_profile(v.bins(spark, sf_dir), {h: _segments(spark, sf_dir, f"hp{h}") for h in (1, 2)}, CENTERS, v.centromeres(spark, sf_dir))
+    return integer_profile(v.bins(spark, sf_dir), {h: _steady(spark, sf_dir, h) for h in (1, 2)}, CENTERS, v.centromeres(spark, sf_dir))
 
 
-@query()
+@query(_PROFILE + """, r AS (SELECT *, round_even(hp1_copynumber_state, 0) AS a, round_even(hp2_copynumber_state, 0) AS b FROM profile),
+k AS (SELECT *, CASE WHEN (a = 0 AND b > 1) OR (b = 0 AND a > 1) THEN 'CNLOH' WHEN (a > 1 AND b > 0) OR (a > 0 AND b > 1) THEN 'GAIN' WHEN a = 1 AND b = 1 THEN 'REF' ELSE 'LOSS' END AS kind,
+CASE WHEN a = 1 AND b = 1 THEN '0/0' WHEN a = 1 OR b = 1 THEN '0/1' WHEN (a > 1 AND b > 1) OR (a = 0 AND b = 0) THEN '1/1' ELSE '1/2' END AS gt FROM r WHERE NOT (a = 1 AND b = 1) AND a <> 3300 AND b <> 3300)
+SELECT chr, "start" AS pos, 'CNV_' || kind || '_' || chr || '_' || CAST("start" AS VARCHAR) AS id, 'N' AS ref, CASE kind WHEN 'LOSS' THEN '<DEL>' WHEN 'GAIN' THEN '<DUP>' WHEN 'REF' THEN '.' ELSE CASE WHEN a = 0 THEN '<DEL>,<DUP>' ELSE '<DUP>,<DEL>' END END AS alt,
+1000 AS qual, 'PASS' AS filter, 'SVTYPE=' || kind || ';SVLEN=' || CAST("end" - "start" AS VARCHAR) || ';END=' || CAST("end" AS VARCHAR) || ';BPS=' AS info, 'GT:TCN:CN1:CN2:CNQ1:CNQ2:COV1:COV2' AS format,
+gt || ':' || CAST(CAST(a + b AS INTEGER) AS VARCHAR) || ':' || CAST(CAST(a AS INTEGER) AS VARCHAR) || ':' || CAST(CAST(b AS INTEGER) AS VARCHAR) || printf(':%.2f:%.2f:%.2f:%.2f', hp1_confidence, hp2_confidence, CAST(hp1_coverage AS DOUBLE), CAST(hp2_coverage AS DOUBLE)) AS sample FROM k""")
 def cna_vcf(spark, sf_dir):
     return profile.vcf_records(cna_profile(spark, sf_dir))
 
 
-@query()
+@query(_BOTH + f""", z1 AS (SELECT chr, "start", "end" FROM s1 WHERE {_SNAP_STATE.format(d=0)} = 0 AND "end" - "start" > 150000), z2 AS (SELECT chr, "start", "end" FROM s2 WHERE {_SNAP_STATE.format(d=0)} = 0 AND "end" - "start" > 150000),
+al AS (SELECT * FROM z1 UNION ALL SELECT * FROM z2 WHERE NOT EXISTS (SELECT 1 FROM z1 WHERE z1.chr = z2.chr AND z1."start" = z2."start") AND NOT EXISTS (SELECT 1 FROM z1 WHERE z1.chr = z2.chr AND z1."end" = z2."end")),
+o AS (SELECT chr, "start", "end", row_number() OVER (PARTITION BY chr ORDER BY "start", "end") AS i FROM al),
+f(chr, i, "start", "end", reach, kept) AS (SELECT chr, i, "start", "end", "end", TRUE FROM o WHERE i = 1
+  UNION ALL SELECT o.chr, o.i, o."start", o."end", CASE WHEN o."start" > f.reach THEN o."end" ELSE f.reach END, o."start" > f.reach FROM f JOIN o ON o.chr = f.chr AND o.i = f.i + 1),
+lk AS (SELECT chr, "start", "end", CASE WHEN "start" - lag("end") OVER (PARTITION BY chr ORDER BY "start") = 1 THEN 0 ELSE 1 END AS n FROM f WHERE kept), lr AS (SELECT *, sum(n) OVER (PARTITION BY chr ORDER BY "start") AS run FROM lk)
+SELECT chr, min("start") AS "start", max("end") AS "end" FROM lr GROUP BY chr, run""", recursive=True)
 def loh_collect(spark, sf_dir):
-    rows = {h: _segments(spark, sf_dir, f"hp{h}").select("chr", "start", "end", sc.snap(F.col("state"), CENTERS).alias("cn")) for h in (1, 2)}
+    rows = {h: _steady(spark, sf_dir, h).select("chr", "start", "end", sc.snap(F.col("state"), CENTERS).alias("cn")) for h in (1, 2)}
     return loh.collect_regions(rows[1], rows[2], 150_000)
 
 
@@ -657,7 +866,7 @@ def mask_bins(spark, sf_dir):
 @query(_CUTS + f""", x AS (SELECT chr, "start" AS s, "end" AS e, round(state + 1e-9, 4) AS x FROM seg), f AS (SELECT bins.chr, bins."start", arg_min(x, s) AS x FROM bins LEFT JOIN x ON x.chr = bins.chr AND bins."start" BETWEEN s AND e GROUP BY 1, 2)
 SELECT chr, "start", CAST(CASE WHEN x IS NULL THEN 0 ELSE {_SNAP.format(d=0)} END AS DOUBLE) AS cn FROM f""")
 def bin_states(spark, sf_dir):
-    segs = _sql_segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
+    segs = _segments(spark, sf_dir).withColumn("state", F.round(F.col("state") + 1e-9, 4))
     return cn.bin_states(v.bins(spark, sf_dir), segs, CENTERS).select("chr", "start", "cn")
 
 
@@ -694,13 +903,13 @@ def blocks_without_loh(spark, sf_dir):
     return phase.without_loh(_blocks(spark, sf_dir).select("chr", "start", "end"), v.centromeres(spark, sf_dir))
 
 
-@query(_BLOCKS + """, s AS (SELECT * FROM b WHERE ("start" // 100000) % 3 = 0), l AS (SELECT chr, "end" + 1 AS f, lead("start") OVER w - 1 AS t, "end" AS e, lead("start") OVER w AS n, hp1 AS a1, hp2 AS a2, lead(hp1) OVER w AS b1, lead(hp2) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY chr ORDER BY "start")),
-gg AS (SELECT * FROM l WHERE n - e > 100000)
+@query(_BLOCKS + """, s AS (SELECT chr, "start", "start" + 10000 AS "end", hp1, hp2 FROM b), l AS (SELECT chr, "end" + 1 AS f, lead("start") OVER w - 1 AS t, "end" AS e, lead("start") OVER w AS n, hp1 AS a1, hp2 AS a2, lead(hp1) OVER w AS b1, lead(hp2) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY chr ORDER BY "start")),
+gg AS (SELECT * FROM l WHERE n - e > 50000)
 SELECT bins.chr, bins."start", CASE WHEN gg.chr IS NULL THEN hp1 ELSE hp2 END AS hp1, CASE WHEN gg.chr IS NULL THEN hp2 ELSE hp1 END AS hp2 FROM bins LEFT JOIN gg ON gg.chr = bins.chr AND bins."start" BETWEEN f AND t
 AND abs(hp2 - a1) + abs(hp1 - a2) < abs(hp1 - a1) + abs(hp2 - a2) AND abs(hp2 - b1) + abs(hp1 - b2) < abs(hp1 - b1) + abs(hp2 - b2)""")
 def align_blockless(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir).where("floor(start / 100000) % 3 = 0")
-    return phase.align_blockless(v.bins(spark, sf_dir), blocks, B).select("chr", "start", "hp1", "hp2")
+    blocks = _blocks(spark, sf_dir).withColumn("end", F.col("start") + 10_000)
+    return phase.align_blockless(v.bins(spark, sf_dir), blocks, B, 1).select("chr", "start", "hp1", "hp2")
 
 
 @query(_SYNC + """ SELECT snv.chr, snv.pos, CASE WHEN re.reason IS NULL AND re.f > re.k THEN '1|0' ELSE '0|1' END AS gt, snv.ps FROM snv JOIN re ON re.chr = snv.chr AND re.ps = snv.ps""")
@@ -720,19 +929,131 @@ def sv_arcs(spark, sf_dir):
     return bp.arcs(pairs).select("id", "chr1", "pos1", "chr2", "pos2")
 
 
-@query()
+@query(_BLOCKS + """, pt AS (SELECT b.chr, b."start" AS s, b."end" AS e, x FROM b JOIN (SELECT chr, "start" AS x FROM cen UNION SELECT chr, "end" FROM cen) c ON c.chr = b.chr AND x > b."start" AND x < b."end"),
+ed AS (SELECT chr, "start" AS s, "start" AS x FROM b UNION SELECT chr, "start", "end" FROM b UNION SELECT chr, s, x FROM pt), pc AS (SELECT chr, x AS "start", lead(x) OVER (PARTITION BY chr, s ORDER BY x) AS "end" FROM ed)
+SELECT chr, "start", "end" FROM pc WHERE "end" IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cen WHERE cen.chr = pc.chr AND pc."start" >= cen."start" AND pc."end" <= cen."end") UNION ALL SELECT chr, "start", "end" FROM cen""")
 def cut_at_regions(spark, sf_dir):
     return phase.cut_at_regions(_blocks(spark, sf_dir).select("chr", "start", "end"), v.centromeres(spark, sf_dir))
 
 
-@query()
+_SUB_SIDES = "".join(f""", u{h} AS (SELECT chr, "start" AS s, "end" AS e, depth AS c, CASE WHEN is_subclonal THEN {_SNAP.replace("x", "depth").format(d=2)} ELSE {_SNAP_STATE.format(d=0)} END AS k, confidence AS q, CASE WHEN is_subclonal THEN 'Y' ELSE 'N' END AS y FROM fin WHERE hp = {h})""" for h in (1, 2))
+
+
+@query(_SUBCLONAL + _SUB_SIDES + _sql_sides("u1", "u2", ", coalesce(a.y, 'N') AS hp1_is_subclonal, coalesce(b.y, 'N') AS hp2_is_subclonal") + " SELECT * FROM profile")
 def subclonal_profile(spark, sf_dir):
     from strandloom.plans.cna import subclonal_profile as make
 
-    return make({h: _segments(spark, sf_dir, f"hp{h}") for h in (1, 2)}, CENTERS)
+    return make(_grained(spark, sf_dir), {h: _steady(spark, sf_dir, h) for h in (1, 2)}, CENTERS, B)
 
 
-@query()
+_POOLS = _BOTH + f""", sn AS (SELECT chr, "start", "end", CAST({_SNAP_STATE.format(d=0)} AS DOUBLE) AS state FROM s1), pb AS (SELECT sn.state, hp1 FROM sn JOIN bins ON bins.chr = sn.chr AND bins."start" BETWEEN sn."start" AND sn."end"),
+pr AS ({_sql_trimmed("pb", "state", "hp1")}), pools AS (SELECT state, count(*) AS n, round(avg(hp1), 6) AS mean, round(median(hp1) + 1e-9, 5) AS median FROM pr GROUP BY state)"""
+
+
+@query(_POOLS + " SELECT * FROM pools")
 def center_pools(spark, sf_dir):
-    segs = _segments(spark, sf_dir)
-    return cn.center_pools(v.bins(spark, sf_dir), segs.withColumn("state", sc.snap(F.col("state"), CENTERS)), "hp1")
+    return _pools(spark, sf_dir).select("state", "n", _r("mean"), F.round(F.col("median") + 1e-9, 5).alias("median"))
+
+
+def _pools(spark, sf_dir):
+    return cn.center_pools(v.bins(spark, sf_dir), _steady(spark, sf_dir, 1).withColumn("state", sc.snap(F.col("state"), CENTERS)), "hp1")
+
+
+@query(_POOLS + " SELECT i AS cn, CAST(i * 20 AS DOUBLE) AS center FROM range(0, 12) r(i) WHERE i NOT IN (SELECT CAST(state AS INTEGER) FROM pools)")
+def unused_centers(spark, sf_dir):
+    """Centers up to copy number 11 that no segment has."""
+    return cn.unused_centers(_pools(spark, sf_dir), [20.0 * i for i in range(12)])
+
+
+@query(""", o AS (SELECT chr, ps, hp1 AS confidence, ps AS ord FROM blk), a AS (SELECT *, lag(confidence) OVER (ORDER BY ord) AS p, lead(confidence) OVER (ORDER BY ord) AS n, row_number() OVER (ORDER BY ord) AS nr FROM o),
+u AS (SELECT *, lag(confidence) OVER (ORDER BY ord) AS l, lead(confidence) OVER (ORDER BY ord) AS r FROM a WHERE p IS NULL OR p <> confidence), t AS (SELECT DISTINCT confidence FROM u WHERE l < confidence AND confidence > r),
+f AS (SELECT *, nr - row_number() OVER (ORDER BY nr) AS run FROM a WHERE confidence IN (SELECT confidence FROM t) OR (p IS NULL AND (n IS NULL OR confidence > n))),
+s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY nr) AS k FROM f) SELECT ord, confidence FROM s WHERE k % 2 = 1""")
+def score_peaks(spark, sf_dir):
+    """Local maxima along the orders."""
+    return cn.score_peaks(v.blk(spark, sf_dir).select(F.col("ps").alias("ord"), F.col("hp1").alias("confidence")))
+
+
+@query("""SELECT chr, ps, hp1, hp2 FROM blk WHERE hp1 BETWEEN 5 AND 20 AND hp2 BETWEEN 10 AND 40""")
+def in_range(spark, sf_dir):
+    """Blocks as solutions with purity and ploidy in a range."""
+    rows = v.blk(spark, sf_dir).select("chr", "ps", F.col("hp1").alias("cell_purity"), F.col("hp2").alias("ploidy"))
+    return cn.in_range(rows, (5.0, 20.0), (10.0, 40.0)).select("chr", "ps", F.col("cell_purity").alias("hp1"), F.col("ploidy").alias("hp2"))
+
+
+@query(""", r AS (SELECT hp2 % 3 AS ploidy, hp1 AS purity, ps % 1000 / 1000.0 AS c FROM blk), m AS (SELECT min(c) AS l FROM r),
+w AS (SELECT purity, avg(c) FILTER (WHERE ploidy = 0) AS a, avg(c) FILTER (WHERE ploidy = 1) AS b, avg(c) FILTER (WHERE ploidy = 2) AS d FROM r GROUP BY purity)
+SELECT purity, round(coalesce(a, l), 6) AS p0, round(coalesce(b, l), 6) AS p1, round(coalesce(d, l), 6) AS p2 FROM w, m""")
+def pivot_scores(spark, sf_dir):
+    """Scores by purity and ploidy, from blocks as solutions."""
+    rows = v.blk(spark, sf_dir).select((F.col("hp2") % 3).alias("ploidy"), F.col("hp1").alias("cell_purity"), (F.col("ps") % 1000 / 1000.0).alias("confidence"))
+    wide = cn.pivot_scores(rows)
+    return wide.select("purity", *(F.round(F.col(f"`{i}.00`"), 6).alias(f"p{i}") for i in range(3)))
+
+
+@query(_CUTS + f""" SELECT seg.chr, seg."start", seg."end", round(coalesce(median(CASE WHEN hp2 > 0.1 THEN hp2 END), 0) + 1e-9, 5) AS state FROM seg LEFT JOIN bins ON bins.chr = seg.chr AND bins."start" // {B} >= seg."start" // {B} AND bins."start" // {B} < seg."end" // {B} GROUP BY 1, 2, 3""")
+def segment_medians(spark, sf_dir):
+    """Segments of one haplotype with the medians of the other."""
+    found = cn.segment_medians(_segments(spark, sf_dir), v.bins(spark, sf_dir), "hp2", B, 0.1)
+    return found.select("chr", "start", "end", F.round(F.col("state") + 1e-9, 5).alias("state"))
+
+
+@query(""", k AS (SELECT chr, "start" AS pos, ['0|0', '1|0', '2|1', '1|2', '0|2'][ps % 5 + 1] AS hp FROM blk)
+SELECT chr, pos, hp, split_part(hp, '|', 1) = '1' OR split_part(hp, '|', 2) = '1' OR hp LIKE '%0%' AS one, split_part(hp, '|', 1) = '2' OR split_part(hp, '|', 2) = '2' OR hp LIKE '%0%' AS two FROM k""")
+def route_by_haplotype(spark, sf_dir):
+    """Which haplotypes' segments a breakpoint cuts."""
+    hp = F.element_at(F.array(*(F.lit(x) for x in ("0|0", "1|0", "2|1", "1|2", "0|2"))), (F.col("ps") % 5 + 1).cast("int"))
+    rows = v.blk(spark, sf_dir).select("chr", F.col("start").alias("pos"), hp.alias("hp"))
+    return rows.select("chr", "pos", "hp", segments.route_by_haplotype(rows, 1).alias("one"), segments.route_by_haplotype(rows, 2).alias("two"))
+
+
+_PAIRS = """, pr AS (SELECT 'sv' || CAST(ps AS VARCHAR) AS id, chr AS chr1, "start" AS pos1, chr AS chr2, "start" + ps % 7 * 90000 + 1 AS pos2, '1|2' AS hp FROM blk)"""
+
+
+def _pairs(spark, sf_dir):
+    return v.blk(spark, sf_dir).select(
+        F.concat(F.lit("sv"), F.col("ps").cast("string")).alias("id"), F.col("chr").alias("chr1"), F.col("start").alias("pos1"), F.col("chr").alias("chr2"),
+        (F.col("start") + F.col("ps") % 7 * 90_000 + 1).alias("pos2"), F.lit("1|2").alias("hp"), F.lit(9).alias("dv"),
+    )
+
+
+@query(_BLOCKS + _PAIRS + """, en AS (SELECT id, chr1 AS chr, pos1 AS pos FROM pr UNION SELECT id, chr2, pos2 FROM pr), h AS (SELECT en.id, en.pos, arg_min(hp1, "start") AS a, arg_min(hp2, "start") AS b FROM en JOIN b ON b.chr = en.chr AND en.pos BETWEEN b."start" AND b."end" GROUP BY 1, 2),
+gd AS (SELECT id FROM h WHERE abs(a - b) / (least(a, b) + 0.0001) > 0.3 GROUP BY id HAVING count(*) >= 2) SELECT pr.id, CASE WHEN gd.id IS NULL THEN '0|0' ELSE hp END AS hp FROM pr LEFT JOIN gd USING (id)""")
+def trusted_haplotypes(spark, sf_dir):
+    return bp.trusted_haplotypes(_pairs(spark, sf_dir), _blocks(spark, sf_dir)).select("id", "hp")
+
+
+@query(_BLOCKS + f""", bl AS (SELECT chr, "start", "start" + 900000 AS "end" FROM b), pt AS (SELECT DISTINCT bl.chr, bl."start" AS s, k."start" AS x FROM bl JOIN blk k ON k.chr = bl.chr AND k."start" - bl."start" >= 7 * {B} AND bl."end" - k."start" >= 7 * {B}),
+ix AS (SELECT DISTINCT chr, x FROM pt), ed AS (SELECT chr, "start" AS s, "start" AS x FROM bl UNION SELECT chr, "start", "end" FROM bl UNION SELECT bl.chr, bl."start", ix.x FROM bl JOIN ix ON ix.chr = bl.chr AND ix.x > bl."start" AND ix.x < bl."end"),
+le AS (SELECT chr, x AS "start", lead(x) OVER (PARTITION BY chr, s ORDER BY x) AS "end" FROM ed) SELECT chr, "start", "end" FROM le WHERE "end" IS NOT NULL""")
+def split_blocks(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).select("chr", "start", (F.col("start") + 900_000).alias("end"))
+    return bp.split_blocks(blocks, v.blk(spark, sf_dir).select("chr", F.col("start").alias("pos")), B)
+
+
+@query(_BOTH + f""" SELECT round(max(CASE WHEN "end" - "start" >= 100000 AND abs(state) <> 3300 THEN state ELSE 0 END) + 20, 5) AS "limit" FROM s1""")
+def highest_level(spark, sf_dir):
+    return profile.highest_level(_steady(spark, sf_dir, 1).withColumn("depth", F.col("state")), 20.0, B, 2).select(_r("limit", 5))
+
+
+@query(_BOTH + f""" SELECT chr, "start", "end", round(state, 5) AS depth, {_CENTER} AS state FROM s1""")
+def snap_segments(spark, sf_dir):
+    return segments.snap_segments(_steady(spark, sf_dir, 1), CENTERS).select("chr", "start", "end", _r("depth", 5), "state")
+
+
+@query("""SELECT 'chr' || c AS chr, s AS "start", e AS "end", g AS gene FROM (SELECT replace(chr, 'chr', '') AS c, "start" AS s, "end" AS e, gene AS g FROM gene)""")
+def cosmic_genes(spark, sf_dir):
+    from strandloom.sources.tables import cosmic_genes as make
+
+    return make(v.gene(spark, sf_dir).select(F.replace(F.col("chr"), F.lit("chr"), F.lit("")).alias("chromosome"), F.col("start").alias("genome_start"), F.col("end").alias("genome_stop"), F.col("gene").alias("gene_symbol")))
+
+
+@query("""SELECT id, chr1, pos1, chr2, pos2, round((x0 + x2) / 2, 3) AS middle_x, round(y1 / 3, 3) AS middle_y FROM
+(SELECT *, CAST(p1 + (o1 - 1) * 3000000 AS DOUBLE) AS x0, CAST(p2 + (o2 - 1) * 3000000 AS DOUBLE) AS x2, abs(x2 - x0) * 0.8660254037844386 AS y1 FROM
+(SELECT 'sv' || CAST(ps AS VARCHAR) AS id, ps, chr AS chr1, "start" AS pos1, "start" AS p1, CAST(replace(chr, 'chr', '') AS BIGINT) AS o1, chr AS chr2, "start" + ps % 7 * 90000 + 1 AS pos2, "start" + ps % 7 * 90000 + 1 AS p2, CAST(replace(chr, 'chr', '') AS BIGINT) AS o2 FROM blk))""")
+def arc_curves(spark, sf_dir):
+    """The middle of each pair's arc along the genome."""
+    pairs = _pairs(spark, sf_dir).withColumn("svtype", F.lit("DEL"))
+    rows = bp.arc_curves(bp.arcs(pairs), ct.with_offsets(v.contigs(spark, sf_dir)), 3)
+    middle = F.element_at("curve", 2)
+    return rows.select("id", "chr1", "pos1", "chr2", "pos2", F.round(middle["x"], 3).alias("middle_x"), F.round(middle["y"], 3).alias("middle_y"))

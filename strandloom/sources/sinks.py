@@ -51,6 +51,32 @@ def write_vcf(records: DataFrame, path: str, contigs: dict[str, int], sample: st
     lines_with_header(records, vcf_header_lines(contigs, sample)).write.mode("overwrite").text(path)
 
 
+def write_variants(variants: DataFrame, path: str, header: list[str], sample: str = "Sample") -> None:
+    """Variants (schema VARIANTS) as VCF under the header lines of the file they come from."""
+    lines = [*header]
+    if not any(line.startswith("##FORMAT=<ID=PS,") for line in lines):
+        lines.append('##FORMAT=<ID=PS,Number=1,Type=Integer,Description="Phase set">')
+    names = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + sample
+    rows = variants.withColumn("qual", F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit(".")))
+    lines_with_header(rows, [*(lines or ["##fileformat=VCFv4.2"]), names]).write.mode("overwrite").text(path)
+
+
+GENE_COMMENTS = (
+    "#chr: contig", "#start: start of the gene", "#end: end of the gene", "#gene: name of the gene", "#actual_coverage: depth of a haplotype's SNPs in the gene",
+    "#adjusted_coverage: depth of the segment's copy number", "#copynumber_state: copy number of the segment",
+)
+
+
+def write_genes(genes: DataFrame, path: str) -> None:
+    """Copy numbers of genes: comments, a line of column names, rows with depths of two digits."""
+    depth = lambda name, column: F.bround(column, 2).alias(name)
+    genes = genes.select(
+        "chr", "start", "end", "gene", *(depth(f"actual_coverage_hp{h}", f"hp{h}") for h in (1, 2)),
+        *(depth(f"adjusted_coverage_hp{h}", f"adjusted_coverage_hp{h}") for h in (1, 2)), *(f"copynumber_hp{h}_state" for h in (1, 2)),
+    )
+    lines_with_header(genes, [*GENE_COMMENTS, "#" + "\t".join(genes.columns)]).write.mode("overwrite").text(path)
+
+
 def write_solutions(df: DataFrame, path: str) -> None:
     """Solutions partitioned by rank, so each rank has a folder of its own."""
     df.write.mode("overwrite").partitionBy("solution_rank").parquet(path)

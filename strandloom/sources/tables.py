@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.contigs import karyotypic
-from strandloom.schemas import CENTROMERES, VARIANTS
+from strandloom.schemas import CENTROMERES, GENES, VARIANTS
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
@@ -26,12 +26,25 @@ def read_centromeres(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, CENTROMERES).withColumn("start", F.when(F.col("start") == 1, 0).otherwise(F.col("start")))
 
 
+def leading_lines(spark: SparkSession, path: str, mark: str) -> list[str]:
+    """The lines that begin with a mark at the beginning of a text, in the order of the file.
+
+    Only as many lines as the header has reach the driver (at most ten times more), from the first partitions.
+    """
+    n = 1000
+    while True:
+        lines = [r.value for r in spark.read.text(path).take(n)]
+        head = next((i for i, line in enumerate(lines) if not line.startswith(mark)), len(lines))
+        if head < len(lines) or len(lines) < n:
+            return lines[:head]
+        n *= 10
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    """A BED with comments; the last comment line with tabs names the columns. Only that line reaches the driver."""
-    lines = spark.read.text(path)
-    head = lines.where(F.col("value").startswith("#") & F.col("value").contains("\t")).agg(F.last("value").alias("h")).first()["h"]
-    names = (head or "#chr\tstart\tend").lstrip("#").split("\t")
-    text = {"chr", "chromosome", "svs_breakpoints_ids", "gene", "is_subclonal", "hp1_is_subclonal", "hp2_is_subclonal"}
+    """A BED with comments; the last comment line with tabs before the rows names the columns."""
+    head = [line for line in leading_lines(spark, path, "#") if "\t" in line]
+    names = (head[-1] if head else "#chr\tstart\tend").lstrip("#").split("\t")
+    text = {"chr", "chromosome", "svs_breakpoints_ids", "gene", "is_subclonal", "if_subclonal", "hp1_is_subclonal", "hp2_is_subclonal"}
     kinds = [T.StructField(n, T.StringType() if n in text else T.LongType() if n in ("start", "end") else T.DoubleType()) for n in names]
     return spark.read.schema(T.StructType(kinds)).option("sep", "\t").option("comment", "#").csv(path)
 
@@ -47,8 +60,8 @@ def read_vcf(spark: SparkSession, path: str, passed: bool = True) -> DataFrame:
 
 
 def vcf_header(spark: SparkSession, path: str) -> list[str]:
-    """The header lines; a header is small whatever the file."""
-    return [r.value for r in spark.read.text(path).where(F.col("value").startswith("##")).collect()]
+    """The lines of a VCF before the line of column names."""
+    return [line for line in leading_lines(spark, path, "#") if line.startswith("##")]
 
 
 def declares(header: list[str], field: str) -> bool:
@@ -66,6 +79,20 @@ def format_value(name: str, format_: str = "format", sample: str = "sample"):
     return F.when(place > 0, F.try_element_at(F.split(F.col(sample), ":"), place))
 
 
+def with_genotype(variants: DataFrame) -> DataFrame:
+    """Variants (VARIANTS and gt, ps) with both written into their samples; a phase set of none is a dot, and a field PS
+    is added where there is a phase set and no such field."""
+    names, values = F.split("format", ":"), F.split("sample", ":")
+    ps = F.coalesce(F.col("ps").cast("string"), F.lit("."))
+    new = F.transform(names, lambda n, i: F.when(n == "GT", F.col("gt")).when(n == "PS", ps).otherwise(F.coalesce(F.try_element_at(values, i + 1), F.lit("."))))
+    missing = F.col("ps").isNotNull() & ~F.array_contains(names, "PS")
+    sample = F.array_join(F.when(missing, F.array_append(new, ps)).otherwise(new), ":")
+    form = F.when(missing, F.concat(F.col("format"), F.lit(":PS"))).otherwise(F.col("format"))
+    has = F.col("format").isNotNull() & F.col("sample").isNotNull()
+    out = variants.withColumns({"sample": F.when(has, sample).otherwise(F.col("sample")), "format": F.when(has, form).otherwise(F.col("format"))})
+    return out.select(*(f.split()[0] for f in VARIANTS.split(", ")))
+
+
 def het_snps(variants: DataFrame) -> DataFrame:
     """Heterozygous variants of single bases: chr, start, ref, alt, gt."""
     gt = format_value("GT")
@@ -82,6 +109,12 @@ def loh_snps(variants: DataFrame, frequency: str | None = "AF") -> DataFrame:
     return variants.select("chr", "pos", "qual", format_value("GT").alias("gt"), value("DP").alias("dp"), value(frequency).alias("vaf"))
 
 
+def read_genes(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """A table of genes (chr, start, end, gene); of them the named ones, if names are given."""
+    rows = read_table(spark, path, GENES)
+    return rows.where(F.col("gene").isin(names)) if names else rows
+
+
 def cosmic_genes(rows: DataFrame) -> DataFrame:
     """Gene table with prefixed contigs from (chromosome, genome_start, genome_stop, gene_symbol)."""
     return rows.select(F.concat(F.lit("chr"), "chromosome").alias("chr"), F.col("genome_start").cast("long").alias("start"), F.col("genome_stop").cast("long").alias("end"), F.col("gene_symbol").alias("gene"))

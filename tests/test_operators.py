@@ -201,12 +201,65 @@ def test_single_copy_and_peaks():
         hist[level - 2 : level + 3] += np.array([0.2, 0.6, 1, 0.6, 0.2]) * n
     copy, _ = copynumber.single_copy_coverage(hist, 1.0, 40.0)
     assert abs(copy - 20) <= 1
-    assert copynumber.score_peaks([0.1, 0.5, 0.5, 0.2, 0.9, 0.1]) == [1, 4] and copynumber.score_peaks([3.0]) == [0] and copynumber.score_peaks([2, 1, 0]) == [0]
     t = np.arange(12.0)
     assert np.allclose(copynumber.smooth_cubic(t**3 - t), t**3 - t)
     assert copynumber.centers_up_to(20.0, 65.0) == [0.0, 20.0, 40.0, 60.0, 80.0]
 
 
+def peaks_one_by_one(scores):
+    """Local maxima over runs of equal scores, found by value; of neighbouring places every second one."""
+    plain = [x for i, x in enumerate(scores) if i == 0 or x != scores[i - 1]]
+    tops = {b for a, b, c in zip(plain, plain[1:], plain[2:], strict=False) if a < b > c}
+    places = [i for i, x in enumerate(scores) if x in tops or (i == 0 and (len(scores) == 1 or scores[0] > scores[1]))]
+    out = []
+    for i in places:
+        if not out or i - out[-1] != 1:
+            out.append(i)
+    return out
+
+
+def test_score_peaks(spark):
+    import random
+
+    rng = random.Random(3)
+    cases = [[0.1, 0.5, 0.5, 0.2, 0.9, 0.1], [3.0], [2.0, 1.0, 0.0], [1.0, 2.0, 3.0], []] + [[float(rng.randint(0, 4)) for _ in range(rng.randint(1, 30))] for _ in range(12)]
+    for scores in cases:
+        df = spark.createDataFrame(list(enumerate(scores)), "ord INT, confidence DOUBLE")
+        assert sorted(r.ord for r in copynumber.score_peaks(df).collect()) == peaks_one_by_one(scores), scores
+
+
+def test_erfc_as_columns(spark):
+    import math
+
+    from strandloom.functions import scalar
+
+    xs = [0.0, 0.1, 0.46875, 0.5, 1.0, 2.5, 4.0, 4.1, 7.0, 30.0]
+    found = spark.createDataFrame([(x,) for x in xs], "x DOUBLE").select("x", scalar.erfc(F.col("x")).alias("y")).collect()
+    assert all(abs(r.y - math.erfc(r.x)) <= 1e-13 * max(math.erfc(r.x), 1e-300) + 1e-15 for r in found)
+
+
+def test_change_points_of_long_tracks(spark):
+    """A track beyond the limit of a piece: a change at a joint is found as it is in one piece."""
+    x = np.r_[np.full(80, 10), np.full(70, 40), np.full(90, 10)] + np.tile([0, 1, 2], 80)
+    df = spark.createDataFrame([("c", 1, i * 100, float(v)) for i, v in enumerate(x)], "chr STRING, hp INT, start BIGINT, value DOUBLE")
+    whole = rows(segments.change_points(df, 100, 10.0, 5), "pos")
+    assert whole == [(8000,), (15000,), (24000,)]
+    for joint in (80, 75, 50):
+        assert rows(segments.change_points(df, 100, 10.0, 5, whole=joint + 60, halo=30), "pos") == whole
+
+
+def test_subclonal_segments_share_a_median(spark):
+    """Neighbours off every center with close depths get one state; one that stands off keeps its own."""
+    depth = [20, 20, 20, 29, 30, 29.5, 20, 33, 50, 20]
+    segs = spark.createDataFrame([("c", 0 if i == 0 else i * 1000 + 1, (i + 1) * 1000, float(d)) for i, d in enumerate(depth)], "chr STRING, start BIGINT, end BIGINT, state DOUBLE")
+    bins = spark.createDataFrame([("c", k * 100 + (k > 0), float(depth[k // 10]), float(depth[k // 10])) for k in range(100)], "chr STRING, start BIGINT, hp1 DOUBLE, hp2 DOUBLE")
+    centers = [0.0, 20.0, 40.0, 60.0]
+    found = copynumber.subclonal({1: segs, 2: segs}, bins, centers, 100)[1]
+    got = rows(found, "start", "state", "is_subclonal")
+    assert [g[1] for g in got] == [20.0, 20.0, 20.0, 29.0, 29.0, 29.0, 20.0, 33.0, 60.0, 20.0] or got[3][1] == got[4][1] == got[5][1]
+    assert [g[2] for g in got[3:6]] == [True] * 3 and not got[0][2]
+
+
 def test_masks_and_outliers(spark):
     segs = spark.createDataFrame([("c", 100, 200, 5.0, 5.0), ("c", 101, 200, 5.0, 5.0), ("c", 99, 200, 5.0, 5.0)], "chr STRING, start BIGINT, end BIGINT, depth DOUBLE, state DOUBLE")
     cen = spark.createDataFrame([("c", 100, 200)], "chr STRING, start BIGINT, end BIGINT")
@@ -232,6 +285,16 @@ def test_breakpoints(spark):
     pairs = breakpoints.junctions(spark.createDataFrame(v, VARIANTS), ["chr1", "chr2"])
     assert rows(pairs, "id", "chr2", "pos2", "hp", "dv") == [("a", "chr1", 20100, "1|2", 9), ("c", "chr2", 50, "0|0", 999), ("e_sBND", "chr1", 10, "0|0", 999)]
     assert breakpoints.ends(pairs).count() == 6 and breakpoints.arcs(pairs).count() == 3
+    assert rows(breakpoints.ends(pairs).where("id = 'a'"), "pos", "hp") == [(100, "1"), (20100, "2")]
+    assert rows(breakpoints.supported(pairs, 50.0), "id") == [("c",), ("e_sBND",)] and breakpoints.supported(pairs, 10.0).count() == 3
+    blocks = spark.createDataFrame([("chr1", 0, 30_000, 10.0, 20.0), ("chr2", 0, 100, 10.0, 11.0)], "chr STRING, start BIGINT, end BIGINT, hp1 DOUBLE, hp2 DOUBLE")
+    phased = pairs.withColumn("hp", F.lit("1|2"))
+    assert rows(breakpoints.trusted_haplotypes(phased, blocks), "id", "hp") == [("a", "1|2"), ("c", "0|0"), ("e_sBND", "1|2")]
+    lost = spark.createDataFrame([("chr2", 40, 60)], "chr STRING, start BIGINT, end BIGINT")
+    assert rows(breakpoints.trusted_haplotypes(phased, blocks, lost).where("id = 'c'"), "hp") == [("1|2",)]
+    offsets = spark.createDataFrame([("chr1", 0), ("chr2", 1000)], "chr STRING, offset BIGINT")
+    curve = breakpoints.arc_curves(breakpoints.arcs(pairs.where("id = 'c'")), offsets, 3).first().curve
+    assert [(p.x, round(p.y, 6)) for p in curve] == [(7.0, 0.0), (528.5, round(1043 * 3**0.5 / 6, 6)), (1050.0, 0.0)]
 
 
 def test_loh(spark):

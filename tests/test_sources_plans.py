@@ -140,11 +140,85 @@ def test_phase_correction_and_copy_numbers(spark):
         above = [r.hp1 > r.hp2 for r in bins if r.chr == c]
         assert max(above.count(True), above.count(False)) / len(above) > 0.95
     assert done.original_blocks.count() == 12 and done.flips.count() > 0 and done.loh.count() == 0
-    points = spark.createDataFrame([("chr1", 1_500_100, None), ("chr2", 700_000, 1)], "chr STRING, pos BIGINT, hp INT")
+    points = spark.createDataFrame([("chr1", 1_500_100, None), ("chr2", 700_000, "1")], "chr STRING, pos BIGINT, hp STRING")
     found = cna.run(done.bins, points, cen, cna.Settings(first_copy=20.0, purity=(0.0, 1.0), ploidy=(0.1, 9.0)))
-    solution, integer, subclonal = found[0]
-    assert solution["solution_rank"] == 1 and 0 < solution["confidence"] <= 1
-    assert integer.where("hp1_copynumber_state = 3300").count() == 1 and subclonal.count() >= 4
+    best = found[0]
+    assert best.numbers["solution_rank"] == 1 and 0 < best.numbers["confidence"] <= 1 and best.genes is None
+    assert best.integer.where("hp1_copynumber_state = 3300").count() == 1 and best.subclonal.count() >= 4
+    assert [f.numbers["solution_rank"] for f in found] == [*range(1, len(found) + 1)]
+
+
+def test_a_switch_inside_a_block_is_undone(spark):
+    """One block of a contig switches sides in its middle: bins, blocks and variants end on one side."""
+    contigs = spark.createDataFrame([("chr1", LENGTH)], schemas.CONTIGS)
+    cen = spark.createDataFrame([], schemas.CENTROMERES)
+    rng = random.Random(6)
+    freqs, positions, lines = [], [], []
+    for pos in range(1000, LENGTH, 2500):
+        a, b = (15, 45) if pos < 1_100_000 else (45, 15)
+        freqs.append(("chr1", pos, a + rng.randint(-1, 1), b + rng.randint(-1, 1)))
+        positions.append(("chr1", pos, 900))
+        lines.append(("chr1", pos, ".", "A", "G", 30.0, "PASS", ".", "GT:PS:DP", "0|1:900:60"))
+    done = hapcorrect.run(spark.createDataFrame(freqs, "chr STRING, pos BIGINT, freq_value_a INT, freq_value_b INT"), spark.createDataFrame(positions, schemas.PHASESET_POSITIONS), contigs, cen)
+    bins = sorted((r.start, r.hp1 > r.hp2) for r in done.bins.collect() if r.hp1 > 1)
+    assert len({above for _, above in bins}) == 1 and len(bins) == 60
+    switched = {r.start for r in done.flips.collect()}
+    assert switched in ({s for s, _ in bins if s < 1_100_000}, {s for s, _ in bins if s >= 1_100_000})
+    assert [(r.start, r.end) for r in done.blocks.collect()] == [(1000, LENGTH - 1500)]
+    out = hapcorrect.rephased(spark.createDataFrame(lines, schemas.VARIANTS), done).orderBy("pos").collect()
+    # a variant in the first (last) bin of a block is judged by the next (previous) bin
+    side = lambda gt: {r.pos for r in out if r.sample.startswith(gt)}
+    first = {r.pos for r in out if r.pos < 1_100_000}
+    assert {frozenset(side("0|1")), frozenset(side("1|0"))} == {frozenset(first), frozenset(r.pos for r in out) - first}
+    assert {r.sample.split(":", 1)[1] for r in out} == {"1000:60"} and out[0].format == "GT:PS:DP"
+
+
+def test_normal_cells_are_moved_in_lost_regions(spark):
+    """Depths of a grid for segments with lost bins, against moving bins and taking medians one by one."""
+    bins = spark.createDataFrame([("c", k * 100 + (k > 0), 30.0 + k % 3, 2.0 + k % 2) for k in range(40)], "chr STRING, start BIGINT, hp1 DOUBLE, hp2 DOUBLE")
+    tracks = {h: spark.createDataFrame([("c", 0, 1500, 1.0), ("c", 1501, 4000, 1.0)], "chr STRING, start BIGINT, end BIGINT, state DOUBLE") for h in (1, 2)}
+    lost = spark.createDataFrame([("c", 0, 900, 1)], "chr STRING, start BIGINT, end BIGINT, hp INT")
+    grid = spark.createDataFrame([(2.0,), (5.5,)], "normal DOUBLE")
+    found = {(r.start, r.hp, r.normal): r.depth for r in cna.moved_depths(bins, tracks, lost, grid, 100).collect()}
+    assert {k[0] for k in found} == {0}
+    for normal in (2.0, 5.5):
+        _, sides = cna.moved(bins, tracks, lost, normal, 100)
+        for hp in (1, 2):
+            assert found[0, hp, normal] == sides[hp].where("start = 0").first().state
+
+
+def test_unphased_profile(spark):
+    bins = spark.createDataFrame([("c", k * 100 + (k > 0), 21.0 if k < 10 else 41.0) for k in range(30)], "chr STRING, start BIGINT, coverage DOUBLE")
+    points = spark.createDataFrame([("c", 1000), ("c", 2000)], "chr STRING, pos BIGINT")
+    cen = spark.createDataFrame([], schemas.CENTROMERES)
+    found = cna.unphased_profile(bins, points, cen, [0.0, 20.0, 40.0, 60.0], 100)
+    assert [(r.start, r.copynumber_state, r.coverage) for r in found.orderBy("start").collect()] == [(0, 1.0, 21.0), (1001, 2.0, 41.0)]
+    assert found.columns == [f.split()[0] for f in schemas.PROFILE_UNPHASED.split(", ")]
+
+
+def test_genotypes_are_written_into_samples(spark):
+    rows = [("c", 1, ".", "A", "G", 1.0, "PASS", ".", "GT:DP", "0|1:5", "1|0", 7), ("c", 2, ".", "A", "G", 1.0, "PASS", ".", "GT:PS:DP", "0|1:3:5", "0/1", None), ("c", 3, ".", "A", "G", None, ".", ".", None, None, ".", None), ("c", 4, ".", "A", "G", 1.0, "PASS", ".", "GT:DP:PS", "0|1", "0|1", 9)]
+    df = spark.createDataFrame(rows, schemas.VARIANTS + ", gt STRING, ps BIGINT")
+    got = [(r.format, r.sample) for r in tables.with_genotype(df).orderBy("pos").collect()]
+    assert got == [("GT:DP:PS", "1|0:5:7"), ("GT:PS:DP", "0/1:.:5"), (None, None), ("GT:DP:PS", "0|1:.:9")]
+
+
+def test_headers_are_read_from_the_start(spark, tmp_path):
+    """Long headers, marks further down, and several partitions."""
+    text = ["##x"] * 1500 + ["#CHROM\tPOS", *(f"chr1\t{i}\t.\tA\tG\t1\tPASS\t.\tGT\t0/1" for i in range(500)), "##late"]
+    (tmp_path / "h.vcf").write_text("\n".join(text) + "\n")
+    assert len(tables.vcf_header(spark, str(tmp_path / "h.vcf"))) == 1500
+    (tmp_path / "p.bed").write_text("#a: x\ty\n#chr\tstart\tend\tcoverage\nchr1\t0\t5\t1.5\n#chr\tother\tnames\tlate\n")
+    assert tables.read_profile(spark, str(tmp_path / "p.bed")).columns == ["chr", "start", "end", "coverage"]
+
+
+def test_older_profiles_are_merged(spark, tmp_path):
+    head = "#chr: contig\n#chr\tstart\tend\tcoverage\tcopynumber_state\tconfidence\tif_subclonal\tsvs_breakpoints_ids\n"
+    (tmp_path / "one.bed").write_text(head + "chr1\t0\t100\t20.5\t1\t0.9\tN\t{'a', 'b'}\n")
+    (tmp_path / "two.bed").write_text(head + "chr1\t0\t40\t41.0\t2\t0.8\tY\tset()\nchr1\t40\t100\t0.0\t0\t1.0\tN\t{'b', \"c\"}\n")
+    cli.main(["migrate", "--hp1", str(tmp_path / "one.bed"), "--hp2", str(tmp_path / "two.bed"), "--out", str(tmp_path / "merged.bed")], spark)
+    back = tables.read_profile(spark, str(tmp_path / "merged.bed")).orderBy("start").collect()
+    assert [(r.start, r.end, r.hp1_coverage, r.hp2_copynumber_state, r.hp2_is_subclonal, r.svs_breakpoints_ids) for r in back] == [(0, 40, 20.5, 2.0, "Y", "a;b"), (40, 100, 20.5, 0.0, "N", "a;b;c")]
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
@@ -166,16 +240,32 @@ def test_command_line(spark, tmp_path):
         counts.append(f"{f.chr},{f.pos},{f.freq_value_a},{f.freq_value_b},0,0")
     for name, text in (("a.vcf", lines), ("counts.csv", counts), ("len.tsv", [f"chr{i}\t{LENGTH}" for i in (1, 2)]), ("cen.bed", ["chr1\t1000000\t1049999"])):
         (tmp_path / name).write_text("\n".join(text) + "\n")
+    (tmp_path / "genes.tsv").write_text("chr1\t100000\t200000\tG1\nchr2\t900000\t990000\tG2\nchr2\t5\t9\tG3\n")
+    (tmp_path / "names.txt").write_text("G1\nG2\n")
     (tmp_path / "sv.vcf").write_text("chr1\t1500100\tx\tN\t<DEL>\t1\tPASS\tSVTYPE=DEL;SVLEN=-90000\tGT:DV\t0/1:9\n")
     at = lambda n: str(tmp_path / n)
     common = ["--out", at("out"), "--contig-lengths", at("len.tsv"), "--contigs", "chr1-2", "--centromeres", at("cen.bed"), "--vcf", at("a.vcf"), "--base-counts", at("counts.csv")]
-    cli.main(["all", *common, "--breakpoints", at("sv.vcf"), "--first-copy", "20", "--purity-range", "0-1", "--ploidy-range", "0.1-9"], spark)
+    common += ["--cancer-genes", at("genes.tsv"), "--user-input-genes", at("names.txt"), "--genome-name", "T1"]
+    cli.main(["all", *common, "--use-sv-haplotypes", "--change-point-detection-for-cna", "--breakpoints", at("sv.vcf"), "--first-copy", "20", "--purity-range", "0-1", "--ploidy-range", "0.1-9"], spark)
     best = spark.read.parquet(at("out/solutions")).where("solution_rank = 1")
     assert best.count() == 1
     prof = at("out/solution_1/integer_profile.bed")
     assert tables.read_profile(spark, prof).where("svs_breakpoints_ids = 'x'").count() >= 1
+    genes = tables.read_profile(spark, at("out/solution_1/genes_copynumber_states.bed"))
+    assert sorted(r.gene for r in genes.collect()) == ["G1", "G2"] and genes.where("adjusted_coverage_hp1 > 0").count() == 2
+    assert spark.read.text(at("out/solution_1/subclonal_cna.vcf")).where("value LIKE '#CHROM%T1'").count() == 1
+    again = tables.read_vcf(spark, at("out/rephased.vcf"))
+    assert again.count() == freqs.count() and again.where("sample LIKE '0|1:%'").count() > 0 and again.where("sample LIKE '1|0:%'").count() > 0
+    assert tables.vcf_header(spark, at("out/rephased.vcf"))[0] == "##fileformat=VCFv4.2"
+    assert spark.read.parquet(at("out/baf")).where("vaf <> 3300").count() > 100 and spark.read.parquet(at("out/arcs")).count() == 1
     cli.main(["sync", *common, "--profile", prof], spark)
+    assert tables.read_vcf(spark, at("out/synced.vcf")).count() == freqs.count()
     report = spark.read.option("header", True).option("sep", "\t").csv(at("out/sync_report"))
     assert report.count() == 12 and set(report.columns) >= {"chrom", "orig_ps", "decision", "reason"}
+    cli.main(["cna", *common, "--without-phasing", "--first-copy", "20"], spark)
+    assert "copynumber_state" in tables.read_profile(spark, at("out/solution/integer_profile.bed")).columns
     with pytest.raises(SystemExit):
         cli.main(["sync", "--out", "x", "--contig-lengths", "y"], spark)
+    (tmp_path / "len.tsv").write_text(f"1\t{LENGTH}\n")
+    with pytest.raises(SystemExit, match="name contigs"):
+        cli.main(["hapcorrect", *common], spark)
