@@ -41,6 +41,7 @@ def overlap_join(left: DataFrame, right: DataFrame, closed: bool = True, how: st
     if how == "inner":
         once = F.floor(F.greatest("start", "r_start") / F.lit(bucket)).cast("long") == F.col("l.__bucket")
         return l.alias("l").join(r.alias("r"), at & once).drop("__bucket")
+    # a semi join in the buckets, so that a row which meets many is not multiplied, and one by row content
     hits = l.alias("l").join(r.alias("r"), at, "left_semi").select(*(F.col(c).alias(f"__k_{c}") for c in ("chr", "start", "end"))).distinct()
     same = (F.col("chr") == F.col("__k_chr")) & (F.col("start") == F.col("__k_start")) & (F.col("end") == F.col("__k_end"))
     if how == "left_semi":
@@ -120,14 +121,19 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def split_at(intervals: DataFrame, points: DataFrame, pos: str = "pos") -> DataFrame:
-    """Intervals cut at the points inside them; pieces share the cut."""
-    by_chr = points.groupBy("chr").agg(F.array_sort(F.collect_set(pos)).alias("__points"))
-    joined = intervals.join(by_chr, "chr", "left")
-    inner = F.filter(F.coalesce("__points", F.array().cast("array<bigint>")), lambda p: (p > F.col("start")) & (p < F.col("end")))
-    edges = F.concat(F.array("start"), inner, F.array("end"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct(F.element_at(edges, i).alias("start"), F.element_at(edges, i + 1).alias("end")))
+    """Intervals cut at the points inside them; pieces share the cut.
+
+    Points meet the intervals that hold them by a join on buckets, so an interval carries its own points only.
+    """
     others = [c for c in intervals.columns if c not in ("start", "end")]
-    return joined.select(*others, F.explode(pairs).alias("__piece")).select(*others, "__piece.start", "__piece.end").select(*intervals.columns)
+    own = F.struct(*(F.col(f"r_{c}") for c in intervals.columns)).alias("__own")
+    numbered = intervals.withColumn("__copy", F.row_number().over(Window.partitionBy(*intervals.columns).orderBy("start")))  # equal rows are cut one by one
+    inner = point_join(points.select("chr", F.col(pos).alias("__at")).distinct(), numbered.where("end > start"), "__at", strict=True).select(own, F.col("r___copy").alias("__copy"), "__at")
+    edges = numbered.select(F.struct(*(F.col(c).alias(f"r_{c}") for c in intervals.columns)).alias("__own"), "__copy", F.explode(F.array("start", "end")).alias("__at")).unionByName(inner)
+    cuts = edges.groupBy("__own", "__copy").agg(F.array_sort(F.collect_set("__at")).alias("__cuts"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__cuts") - 1, F.lit(1))), lambda i: F.struct(F.element_at("__cuts", i).alias("start"), F.element_at("__cuts", F.least(i + 1, F.size("__cuts"))).alias("end")))
+    rows = cuts.select(*(F.col(f"__own.r_{c}").alias(c) for c in others), F.explode(pairs).alias("__piece"))
+    return rows.select(*others, "__piece.start", "__piece.end").select(*intervals.columns)
 
 
 def islands(flagged: DataFrame, size: int, bridge: int = 1, trim: int = 1) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +64,22 @@ def segments(alignments: DataFrame, split: int = SPLIT) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for r in batch.to_pylist():
-                length = sum(int(n) for n, op in _OP.findall(r["cigar"]) if op in "MIS=XH")
-                for a, b, c, d, rate, ins in walk(r["cigar"], r["pos"], r["is_reverse"], split):
-                    row = (a, b, c, d, r["read_id"], r["ref_id"], "-" if r["is_reverse"] else "+", length, b - a, r["haplotype"] or 0, r["mapq"], r["genome_id"], rate, ins)
-                    for n, v in zip(names, row, strict=True):
-                        out[n].append(v)
-            kinds = {"haplotype": pa.int8(), "mapq": pa.int32(), "mismatch_rate": pa.float64(), "is_insertion": pa.bool_()} | {n: pa.string() for n in ("read_id", "ref_id", "strand", "genome_id")}
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds.get(n, pa.int64())) for n in names], names)
+            # pieces are columns of numbers; what a read's pieces share is taken from the batch by index
+            of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            cigars, reverse = of["cigar"].to_pylist(), of["is_reverse"].to_pylist()
+            found = [walk(c, p, r, split) for c, p, r in zip(cigars, of["pos"].to_pylist(), reverse, strict=True)]
+            owner = np.repeat(np.arange(len(found)), list(map(len, found)))
+            flat = [x for pieces in found for x in pieces]
+            a, b, c, d = (np.array([x[i] for x in flat], np.int64) for i in range(4))
+            length = np.array([sum(int(n) for n, op in _OP.findall(x) if op in "MIS=XH") for x in cigars], np.int64)
+            take = lambda column: column.take(pa.array(owner))
+            strand = pa.array(np.where(np.array(reverse, bool), "-", "+")[owner], pa.string())
+            columns = {
+                "read_start": a, "read_end": b, "ref_start": c, "ref_end": d, "read_id": take(of["read_id"]), "ref_id": take(of["ref_id"]), "strand": strand, "read_length": length[owner], "segment_length": b - a,
+                "haplotype": pc.fill_null(take(of["haplotype"]).cast(pa.int8()), 0), "mapq": take(of["mapq"]).cast(pa.int32()), "genome_id": take(of["genome_id"]),
+                "mismatch_rate": np.array([x[4] for x in flat], np.float64), "is_insertion": np.array([x[5] for x in flat], bool),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(columns[n]) if isinstance(columns[n], np.ndarray) else columns[n] for n in names], names)
 
     return rows.mapInArrow(run, READ_SEGMENTS)
 

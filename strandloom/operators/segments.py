@@ -172,6 +172,16 @@ def snap_segments(segments: DataFrame, centers: list[float]) -> DataFrame:
     return segments.withColumn("depth", F.col("state")).withColumn("state", center_of(F.col("state"), centers))
 
 
+def without_lost_zeros(segments: DataFrame, *regions: DataFrame) -> DataFrame:
+    """Segments without those of state 0 that overlap a region (chr, start, end): nothing is measured there."""
+    zeros = segments.where("state = 0").select("chr", "start", "end")
+    out = segments
+    for r in regions:
+        hit = iv.overlap_join(zeros, r.select("chr", "start", "end"), closed=False, how="left_semi")
+        out = out.join(hit.distinct(), ["chr", "start", "end"], "left_anti")
+    return out
+
+
 def variable_bins(contigs: DataFrame, junctions: DataFrame, points: DataFrame, size: int) -> DataFrame:
     """Bins cut at structural variants: pieces between boundaries of junctions and single points, each then cut
     into bins of at most ``size``; rows that occur twice are left out altogether.

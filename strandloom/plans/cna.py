@@ -121,10 +121,11 @@ def first_copies(bins: DataFrame, settings: Settings) -> list[float]:
     return [x for x in (one, other) if x]
 
 
-def scored_grid(bins: DataFrame, tracks: dict[int, DataFrame], copy: float, settings: Settings, lost: DataFrame | None = None) -> DataFrame:
+def scored_grid(bins: DataFrame, tracks: dict[int, DataFrame], copy: float, settings: Settings, lost: DataFrame | None = None, centromeres: DataFrame | None = None) -> DataFrame:
     """The grid of normal depths with confidence, ploidy and purities, for one depth of a copy."""
     both = tracks[1].withColumn("hp", F.lit(1)).unionByName(tracks[2].withColumn("hp", F.lit(2))).withColumn("depth", F.col("state"))
-    totals = both.where(~is_masked(F.col("depth"))).agg(weighted_mean(F.col("depth"), F.col("end") - F.col("start")).alias("limit"), F.max("depth").alias("top")).first()
+    measured = segments.without_lost_zeros(both, *(r for r in (centromeres, lost) if r is not None))
+    totals = measured.where(~is_masked(F.col("depth"))).agg(weighted_mean(F.col("depth"), F.col("end") - F.col("start")).alias("limit"), F.max("depth").alias("top")).first()
     tumor = float(bins.agg(F.avg(F.col("hp1") + F.col("hp2")).alias("t")).first()["t"] or 0)
     grid = cn.grid(bins.sparkSession, float(int(totals["limit"] or 0)), settings.step)
     depths = moved_depths(bins, tracks, lost, grid, settings.bin_size) if lost is not None else None
@@ -168,7 +169,7 @@ def run(bins: DataFrame, points: DataFrame, centromeres: DataFrame, settings: Se
     top = max(float(t.agg(F.max("state").alias("m")).first()["m"] or 0) for t in tracks.values())
     found = []
     for copy in copies:
-        chosen = solutions(scored_grid(bins, tracks, copy, settings, lost), settings)
+        chosen = solutions(scored_grid(bins, tracks, copy, settings, lost, centromeres), settings)
         found += [(copy, r.asDict()) for r in chosen.orderBy("ord").collect()]  # a few solutions
     rows = [(i, x["confidence"]) for i, (_, x) in enumerate(found)]
     ranks = {r.ord: r.solution_rank for r in cn.ranked(bins.sparkSession.createDataFrame(rows, "ord INT, confidence DOUBLE")).collect()} if rows else {}

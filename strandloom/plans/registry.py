@@ -29,17 +29,21 @@ def query(sql: str | None = None, recursive: bool = False):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{v.SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {v.SQL.strip()}\n{sql}"
+            head = f"WITH {'RECURSIVE ' if recursive else ''}{v.SQL.strip()}"
+            _SQL[f.__name__] = sql if sql.startswith("WITH ") else f"{head}{sql}" if sql.lstrip().startswith(",") else f"{head}\n{sql}"
         return f
 
     return add
 
 
 def queries() -> dict[str, Query]:
+    from strandloom.plans import records  # noqa: F401  (registers its queries here)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -738,13 +742,13 @@ def single_copy(spark, sf_dir):
 def _track(spark, sf_dir, hp, step):
     """Segments of ``step`` bins with the rounded mean of a haplotype."""
     part = F.floor(F.col("start") / (step * B))
-    rows = v.bins(spark, sf_dir).groupBy("chr", part.alias("k")).agg(F.round(F.avg(hp), 2).alias("coverage"))
+    rows = v.bins(spark, sf_dir).groupBy("chr", part.alias("k")).agg(F.round(F.avg(hp) + 1e-7, 2).alias("coverage"))
     start = F.col("k") * step * B
     return rows.select("chr", start.alias("start"), (start + step * B).alias("end"), "coverage", sc.snap(F.col("coverage"), CENTERS).alias("copynumber_state"), F.lit(1.0).alias("confidence"))
 
 
-@query(f""", a AS (SELECT chr, k * 7 * {B} AS s, (k + 1) * 7 * {B} AS e, c FROM (SELECT chr, "start" // (7 * {B}) AS k, round(avg(hp1), 2) AS c FROM bins GROUP BY 1, 2)),
-b AS (SELECT chr, k * 5 * {B} AS s, (k + 1) * 5 * {B} AS e, c FROM (SELECT chr, "start" // (5 * {B}) AS k, round(avg(hp2), 2) AS c FROM bins GROUP BY 1, 2)),
+@query(f""", a AS (SELECT chr, k * 7 * {B} AS s, (k + 1) * 7 * {B} AS e, c FROM (SELECT chr, "start" // (7 * {B}) AS k, round(avg(hp1) + 1e-7, 2) AS c FROM bins GROUP BY 1, 2)),
+b AS (SELECT chr, k * 5 * {B} AS s, (k + 1) * 5 * {B} AS e, c FROM (SELECT chr, "start" // (5 * {B}) AS k, round(avg(hp2) + 1e-7, 2) AS c FROM bins GROUP BY 1, 2)),
 p AS (SELECT chr, s AS x FROM a UNION SELECT chr, e FROM a UNION SELECT chr, s FROM b UNION SELECT chr, e FROM b), f AS (SELECT chr, x AS s, lead(x) OVER (PARTITION BY chr ORDER BY x) AS e FROM p)
 SELECT f.chr, f.s AS "start", f.e AS "end", coalesce(a.c, 0) AS hp1_coverage, coalesce(b.c, 0) AS hp2_coverage FROM f LEFT JOIN a ON a.chr = f.chr AND a.s <= f.s AND a.e > f.s LEFT JOIN b ON b.chr = f.chr AND b.s <= f.s AND b.e > f.s WHERE f.e IS NOT NULL AND (a.c IS NOT NULL OR b.c IS NOT NULL)""")
 def boundary_fragments(spark, sf_dir):

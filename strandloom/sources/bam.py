@@ -85,8 +85,28 @@ def parse_header(data: bytes) -> tuple[list[tuple[str, int]], int]:
     return out, at
 
 
+def _place(path: str):
+    """The file system and path of a file: local, or any that a URI names and Arrow knows (s3, gs, abfs, hdfs)."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def open_file(path: str):
+    """A file to read from and to seek in."""
+    system, at = _place(path)
+    return system.open_input_file(at)
+
+
+def file_size(path: str) -> int:
+    system, at = _place(path)
+    return system.get_file_info(at).size
+
+
 def read_header(path: str) -> tuple[list[tuple[str, int]], int]:
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         raw, plain, at = f.read(1 << 20), b"", 0
         while True:
             size = block_at(raw, at)
@@ -118,14 +138,12 @@ class BamReader(DataSourceReader):
         self.bases = options.get("bases", "false").lower() == "true"
 
     def partitions(self) -> list[Range]:
-        import os
-
-        return [Range(p, a, min(a + self.step, n)) for p in self.paths for n in [os.path.getsize(p)] for a in range(0, n, self.step)]
+        return [Range(p, a, min(a + self.step, n)) for p in self.paths for n in [file_size(p)] for a in range(0, n, self.step)]
 
     def read(self, part: Range) -> Iterator[tuple]:
         contigs, first = read_header(part.path)
         names = [c for c, _ in contigs]
-        with open(part.path, "rb") as f:
+        with open_file(part.path) as f:
             f.seek(part.start)
             raw, at = f.read(self.step + (1 << 17)), 0
             offset = part.start
@@ -193,7 +211,8 @@ class BamReader(DataSourceReader):
 class BamSource(DataSource):
     """``spark.dataSource.register(BamSource)``; then ``spark.read.format("bam").load("a.bam,b.bam")``.
 
-    Options: rangebytes, genome_id, bases. Files must be readable as files by every executor.
+    Options: rangebytes, genome_id, bases. Paths are local, or URIs of a store that Arrow opens;
+    executors read their ranges themselves.
     """
 
     @classmethod
