@@ -7,8 +7,8 @@ A T-occurrence search merges the short inverted lists of a query and probes the
 finds. Across the cluster this is done so:
 
 1. Equal sets become one record (``fingerprints``). Shingles are ordered by how many documents have their
-   bucket, counted over all documents in an array of a fixed size; a set of n must share one of its
-   n - ceil(0.8 n) + 1 rarest shingles with any partner. Only these short lists are shuffled.
+   bucket, counted over all documents in an array of a fixed size; of its n - ceil(0.8 n) + COMMON rarest shingles a
+   set of n shares COMMON with any partner. Only these short lists are shuffled.
 2. Of each short list the record that shares the largest part of its shingles is the head. A record is compared
    with the head it shares most lists with; links found so make clusters, of which the distance of each record to its root is known.
    A group of thousands of near copies is one cluster after this, at one comparison for each copy.
@@ -48,9 +48,11 @@ SIMILARITY = 80
 #: Buckets of the frequency array, in so many slots; bytes whose words are hashed at once; records compared
 #: with one query at once, and in one block of a cluster's index.
 BUCKET_BITS, SLOTS, PIECE, BLOCK, INDEX = 20, 16, 1 << 17, 64, 256
+#: Elements of short lists that linked sets share at least, unless they share fewer.
+COMMON = 3
 #: Bytes of texts of which a worker holds the sets at once; queries that one task asks of a block; rings of distances
 #: from a root; clashes of 64 bits, of which 10 ** 12 different sets have some 30,000.
-TEXTS, QUERIES, RINGS, MAX_CLASHES = 16 << 20, 1024, 50, 100_000
+TEXTS, QUERIES, RINGS, MAX_CLASHES = 16 << 20, 256, 50, 100_000
 BASE = 0xD1342543DE82EF95
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -174,8 +176,9 @@ def need(a: int, b: int, similarity: float = SIMILARITY / 100) -> int:
 
 
 def prefix_length(n: int) -> int:
-    """Of how many rarest elements a linked partner has at least one."""
-    return n - -(-SIMILARITY * n // 100) + 1
+    """Of how many rarest elements of a set both it and a linked partner have ``COMMON`` (or all that they share) among
+    theirs."""
+    return min(n, n - -(-SIMILARITY * n // 100) + COMMON)
 
 
 def divide_skip(query: np.ndarray, records: list[np.ndarray], needed: list[int]) -> list[int]:
@@ -283,10 +286,12 @@ def distinct_records(sets: DataFrame) -> tuple[DataFrame, frozenset[int]]:
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, clashes: frozenset[int], id_col: str, text_col: str, wanted: np.ndarray | None = None) -> DataFrame:
-    """(token, key, n, room): the short lists; equal sets within a batch are posted once.
+    """(token, key, n, room, share): the short lists; equal sets within a batch are posted once.
 
-    ``room`` is how many elements a set has from the token on, in the order of frequency: if the token is the first
-    one that two sets share, they share no more than the smaller room. Of the tokens a bitmap can name the wanted.
+    ``room`` is how many elements a set has from the token on, in the order of frequency: if the token is among the
+    first COMMON that two sets share, they share no more than the smaller room and COMMON - 1. Of the tokens a bitmap can name the wanted;
+    ``share`` is the part of the set that is among these (or seems to be, as the bitmap has it), and sets with too few of
+    them for any link are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast((classes, clashes, wanted))  # bounded: 2 ** BUCKET_BITS bytes, MAX_CLASHES, a bitmap
 
@@ -313,13 +318,18 @@ def _postings(docs: DataFrame, classes: np.ndarray, clashes: frozenset[int], id_
             np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths),
             np.concatenate([np.arange(n, n - k, -1, dtype=np.int32) for n, k in zip(sizes, lengths, strict=True)]),
         ]
+        columns.append(np.ones(len(columns[0]), np.float32))
         if wanted is not None:
             some = in_bitmap(wanted, columns[0])
-            columns = [c[some] for c in columns]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["token", "key", "n", "room"])
+            owner = np.repeat(np.arange(len(sizes)), lengths)
+            named, n = np.bincount(owner, some, len(sizes)), np.array(sizes)
+            # a set with fewer of them than a link takes links with nothing
+            some &= (named >= np.minimum(COMMON, -(-SIMILARITY * n // 100)))[owner]
+            columns = [c[some] for c in [*columns[:4], (named / n).astype(np.float32)[owner]]]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["token", "key", "n", "room", "share"])
 
     rows = id_and_text(docs, id_col, text_col).where(F.col(ID).isNotNull())
-    return map_batches(rows, run, "token long, key long, n int, room int", rows=None, size=TEXTS)
+    return map_batches(rows, run, "token long, key long, n int, room int, share float", rows=None, size=TEXTS)
 
 
 def _record_texts(docs: DataFrame, wanted: DataFrame, clashes: frozenset[int], id_col: str, text_col: str) -> DataFrame:
@@ -376,8 +386,8 @@ def _linked() -> Column:
 
 
 def _reachable(a: Column, b: Column, room: Column) -> Column:
-    """Whether sets of a and b elements can still link if they share no more than ``room``."""
-    return room * (100 + SIMILARITY) >= SIMILARITY * (a + b)
+    """Whether sets of a and b elements can link if a token with this ``room`` is among the first COMMON they share."""
+    return (room + (COMMON - 1)) * (100 + SIMILARITY) >= SIMILARITY * (a + b)
 
 
 def _distance() -> Column:
@@ -475,7 +485,7 @@ def _lists(docs: DataFrame, classes: np.ndarray, clashes: frozenset[int], id_col
     themselves are then made again with a bitmap of these tokens, and the join that removes what is left of others is
     one that can be split at a hot token.
     """
-    ends = _postings(docs, classes, clashes, id_col, text_col).groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("last"))
+    ends = _postings(docs, classes, clashes, id_col, text_col).select("token", "key").groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("last"))
     several = staged(ends.where("low <> last").select("token"))
     rows = _postings(docs, classes, clashes, id_col, text_col, bitmap_for(several, "token"))
     return staged(rows.join(several, "token"))
@@ -490,13 +500,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # the head of a list is the record with the largest share of its rarest shingles on lists of several records:
     # what others were copied from, rather than a copy with changes of its own
-    shares = lists.groupBy("key", "n").agg((F.count("*") / F.col("n")).alias("share"))
-    ranked = checkpoint(lists.join(shares, ["key", "n"]))
-    heads = ranked.groupBy("token").agg(F.max(F.struct("share", "key", "n", "room")).alias("head"))
-    led = ranked.join(heads, "token").where((F.col("key") != F.col("head.key")) & _reachable(F.col("n"), F.col("head.n"), F.least("room", "head.room")))
+    heads = lists.groupBy("token").agg(F.max(F.struct("share", "key", "n", "room")).alias("head"))
+    led = lists.join(heads, "token").where((F.col("key") != F.col("head.key")) & _reachable(F.col("n"), F.col("head.n"), F.least("room", "head.room")))
     led = led.where(F.struct("share", "key") < F.struct("head.share", "head.key"))
     best = led.groupBy("key", F.col("head.key").alias("head")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "head")).alias("x"))
-    tries = best.select(F.col("x.head").alias("a"), F.col("key").alias("b"), F.lit(SIMILARITY / 100).alias("floor"))
+    # two lists in common at least; of those that are not tried here links are found below
+    tries = best.where("x.c > 1").select(F.col("x.head").alias("a"), F.col("key").alias("b"), F.lit(SIMILARITY / 100).alias("floor"))
     first = checkpoint(compare(docs, records, clashes, checkpoint(tries), id_col, text_col).where(_linked()).select(F.col("b").alias("key"), F.col("a").alias("parent"), _distance().alias("distance")).distinct())
     clusters = roots(first)
 
@@ -509,7 +518,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a, b = units.where(_reachable(F.col("low"), F.col("low"), F.col("room"))).alias("a"), units.alias("b")
     close = (F.col("a.low") * ratio <= F.col("b.high")) & (F.col("b.low") * ratio <= F.col("a.high")) & _reachable(F.col("a.low"), F.col("b.low"), F.least("a.room", "b.room"))
     smaller = F.struct("a.low", "a.root") < F.struct(F.col("b.low").alias("low"), F.col("b.root").alias("root"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & close).select(F.least("a.root", "b.root").alias("a"), F.greatest("a.root", "b.root").alias("b")).distinct()
+    met_at = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & close)
+    met_at = met_at.groupBy(F.least("a.root", "b.root").alias("a"), F.greatest("a.root", "b.root").alias("b")).agg(F.count("*").alias("c"), F.min(F.col("a.low") + F.col("b.low")).alias("low"))
+    fewest = F.ceil(F.col("low") * SIMILARITY / (100 + SIMILARITY) - 1e-9)
+    pairs = met_at.where(F.col("c") >= F.least(F.lit(COMMON), fewest)).select("a", "b")
     radius = clusters.groupBy("root").agg(F.max("distance").alias("radius"))
     reach = lambda c: radius.select(F.col("root").alias(c), F.col("radius").alias(f"radius_{c}"))
     pairs = pairs.join(reach("a"), "a", "left").join(reach("b"), "b", "left").na.fill(0.0, ["radius_a", "radius_b"])
