@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
 from strandloom.functions.scalar import bin_index, median_nonzero
 
 WINDOW = 500
+#: Neighbouring SNPs of one array.
+RUN = 1024
 
 
 def histogram(segments: DataFrame, keys: tuple[str, ...] = ("genome_id", "hp", "chr"), window: int = WINDOW) -> DataFrame:
@@ -44,6 +46,18 @@ def snp_bin_mean(snps: DataFrame, bins: DataFrame, size: int, values: tuple[str,
     return bins.join(means, ["chr", "bin_idx"], "left").na.fill(0.0, list(values))
 
 
+def _array_mean(values: Column) -> Column:
+    known = F.filter(values, lambda x: x.isNotNull())
+    return F.aggregate(known, F.lit(0.0), lambda total, x: total + x) / F.nullif(F.size(known), F.lit(0))
+
+
+def _array_median(values: Column) -> Column:
+    """The median of the values other than 0; 0 without any."""
+    known = F.sort_array(F.filter(values, lambda x: x.isNotNull() & (x != 0)))
+    middle = F.transform(F.array(known), lambda k: F.when(F.size(k) > 0, (F.element_at(k, F.floor((F.size(k) + 1) / 2).cast("int")) + F.element_at(k, F.floor(F.size(k) / 2).cast("int") + 1)) / 2).otherwise(0.0))
+    return F.element_at(middle, 1)
+
+
 def snp_interval_values(snps: DataFrame, intervals: DataFrame, key: str, values: tuple[str, ...], zeros: bool) -> DataFrame:
     """Values over the SNPs from the one nearest to an interval's start up to that nearest to its end (excluded).
 
@@ -53,10 +67,19 @@ def snp_interval_values(snps: DataFrame, intervals: DataFrame, key: str, values:
     ends = intervals.select("chr", key, F.col("start").alias("at"), F.lit(0).alias("side")).union(intervals.select("chr", key, F.col("end").alias("at"), F.lit(1).alias("side")))
     found = iv.nearest(ends, snps, "at", "pos").join(ranked.select("chr", F.col("pos").alias("near"), "rank"), ["chr", "near"])
     spans = found.groupBy("chr", key).agg(F.min(F.when(F.col("side") == 0, F.col("rank"))).cast("long").alias("start"), (F.min(F.when(F.col("side") == 1, F.col("rank"))) - 1).cast("long").alias("end"))
-    # intervals between the same SNPs share one computation
-    pairs = iv.point_join(ranked, spans.where("end >= start").select("chr", "start", "end").distinct(), "rank", bucket=1024)
-    how = (lambda v: F.avg(v)) if zeros else (lambda v: median_nonzero(F.col(v)))
-    found = pairs.groupBy("chr", F.col("r_start").alias("start"), F.col("r_end").alias("end")).agg(*(how(v).alias(v) for v in values))
+    # intervals between the same SNPs share one computation; SNPs travel as arrays of RUN neighbours, of which a span
+    # takes slices, so a pair of a span and a SNP is an element of an array and not a row
+    run = F.floor((F.col("rank") - 1) / RUN).cast("long")
+    arrays = ranked.groupBy("chr", run.alias("run")).agg(F.sort_array(F.collect_list(F.struct("rank", *values))).alias("snps"))
+    runs = F.sequence(F.floor((F.col("start") - 1) / RUN).cast("long"), F.floor((F.col("end") - 1) / RUN).cast("long"))
+    spread = spans.where("end >= start").select("chr", "start", "end").distinct().withColumn("run", F.explode(runs))
+    first = F.greatest(F.col("start") - F.col("run") * RUN, F.lit(1)).cast("int")
+    last = F.least(F.col("end") - F.col("run") * RUN, F.lit(RUN)).cast("int")
+    parts = spread.join(arrays, ["chr", "run"]).select("chr", "start", "end", F.slice("snps", first, last - first + 1).alias("part"))
+    whole = parts.groupBy("chr", "start", "end").agg(F.flatten(F.collect_list("part")).alias("all"))
+    how = _array_mean if zeros else _array_median
+    field = lambda v: F.transform("all", lambda x: x[v].cast("double"))
+    found = whole.select("chr", "start", "end", *(how(field(v)).alias(v) for v in values))
     out = spans.join(found, ["chr", "start", "end"]).select("chr", key, *values)
     return intervals.join(out, ["chr", key], "left").na.fill(0.0, list(values))
 
