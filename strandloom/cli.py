@@ -13,7 +13,7 @@ from strandloom.functions import scalar
 from strandloom.operators import breakpoints, loh, profile, snps, sync
 from strandloom.operators import copynumber as cn
 from strandloom.plans import cna, hapcorrect
-from strandloom.sources import bam, sinks, tables
+from strandloom.sources import bam, plots, sinks, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -107,6 +107,9 @@ def run_hapcorrect(spark: SparkSession, args) -> None:
     sinks.write_table(done.bins, f"{args.out}/phase_corrected_coverage")
     sinks.write_table(done.blocks, f"{args.out}/coverage_ps")
     sinks.write_variants(hapcorrect.rephased(tables.read_vcf(spark, args.vcf, False), done, settings), f"{args.out}/rephased.vcf", header, args.genome_name)
+    offsets = ct.with_offsets(contigs)
+    for name, shown in (("coverage_before", done.raw_bins), ("coverage_after", done.bins)):
+        plots.write_genome(f"{args.out}/{name}.svg", offsets, shown, ("hp1", "hp2"), done.blocks, {"hp1": "hp1", "hp2": "hp2"}, title=f"{args.genome_name}: {name.replace('_', ' ')}")
     lines = done.bins.select("chr", F.col("start").alias("pos"))
     if args.tumor_only:
         shares = zygosity.withColumn("vaf", scalar.parse_vaf(F.col("vaf")))
@@ -124,7 +127,7 @@ def run_cna(spark: SparkSession, args) -> None:
     lost = spark.read.parquet(f"{args.out}/loh")
     lost = None if lost.isEmpty() else lost
     points = spark.createDataFrame([], "chr STRING, pos BIGINT, hp STRING, dv INT, id STRING")
-    ids = None
+    ids = arcs = None
     settings = cna.Settings(
         args.bin_size, _range(args.purity_range), _range(args.ploidy_range), args.dna_purity, args.first_copy, args.confidence_subclonal_score,
         sv_support_rate=args.sv_support_rate, min_support=args.sv_support, change_points=args.change_point_detection_for_cna,
@@ -147,6 +150,7 @@ def run_cna(spark: SparkSession, args) -> None:
         sinks.write_profile(cna.unphased_profile(whole, points, centromeres, [i * copy for i in range(len(cn.centers_up_to(copy, top)))], args.bin_size), f"{args.out}/solution/integer_profile.bed")
         return
     genes = spark.read.parquet(f"{args.out}/genes") if args.cancer_genes else None
+    offsets = ct.with_offsets(_contigs(spark, args))
     rows = []
     for found in cna.run(bins, points, centromeres, settings, ids, lost, genes):
         numbers = found.numbers
@@ -156,6 +160,10 @@ def run_cna(spark: SparkSession, args) -> None:
         sinks.write_vcf(profile.vcf_records(found.integer), f"{folder}/cna.vcf", lengths, args.genome_name)
         sinks.write_vcf(profile.vcf_records(found.subclonal), f"{folder}/subclonal_cna.vcf", lengths, args.genome_name)
         sinks.write_table(found.loh, f"{folder}/loh_regions")
+        title = f"{args.genome_name}: ploidy {numbers['ploidy']:.2f}, purity {numbers['cell_purity']:.2f}, confidence {numbers['confidence']:.2f}"
+        for name, shown in (("integer", found.integer), ("subclonal", found.subclonal)):
+            depth = {f"hp{h}": f"hp{h}_coverage" for h in (1, 2)}
+            plots.write_genome(f"{folder}/{name}_profile.svg", offsets, bins, ("hp1", "hp2"), shown, depth, arcs, title)
         if found.genes is not None:
             sinks.write_genes(found.genes, f"{folder}/genes_copynumber_states.bed")
         rows.append(tuple(numbers[c.split()[0]] for c in schemas.SOLUTIONS.split(", ")))

@@ -251,6 +251,12 @@ def test_command_line(spark, tmp_path):
     assert best.count() == 1
     prof = at("out/solution_1/integer_profile.bed")
     assert tables.read_profile(spark, prof).where("svs_breakpoints_ids = 'x'").count() >= 1
+    from xml.etree import ElementTree
+
+    figure = ElementTree.fromstring("\n".join(r.value for r in spark.read.text(at("out/solution_1/integer_profile.svg")).collect()))
+    kinds = [e.get("class") for e in figure]
+    assert kinds.count("arc") == 1 and kinds.count("segment hp1") >= 2 and 20 < kinds.count("hp1") <= 1600
+    assert len(spark.read.text(at("out/coverage_after.svg")).collect()) > 50
     genes = tables.read_profile(spark, at("out/solution_1/genes_copynumber_states.bed"))
     assert sorted(r.gene for r in genes.collect()) == ["G1", "G2"] and genes.where("adjusted_coverage_hp1 > 0").count() == 2
     assert spark.read.text(at("out/solution_1/subclonal_cna.vcf")).where("value LIKE '#CHROM%T1'").count() == 1
