@@ -729,11 +729,29 @@ def subclonal_states(spark, sf_dir):
     return found[1].withColumn("hp", F.lit(1)).unionByName(found[2].withColumn("hp", F.lit(2))).select("hp", "chr", "start", "end", "depth", "state", "confidence", "is_subclonal")
 
 
-@query()
+@query(_CUTS + """, r AS (SELECT state AS c, "end" - "start" AS l FROM seg WHERE state > 0),
+st AS (SELECT quantile_cont(c, 0.5) * 2 / 100 AS w, sum(round_even(c * l, 3)) / sum(l) AS m FROM r),
+hb AS (SELECT least(CAST(floor(c / w) AS INTEGER), 99) AS b, sum(l) AS l FROM r, st WHERE floor(c / w) BETWEEN 0 AND 100 GROUP BY 1),
+h AS (SELECT i, CASE WHEN i = 0 THEN 0 ELSE coalesce(l, 0) END AS y FROM range(0, 100) g(i) LEFT JOIN hb ON b = i),
+wt AS (SELECT i, i + d AS j, [-3, 12, 17, 12, -3][d + 3] / 35.0 AS w FROM range(2, 98) g(i), range(-2, 3) q(d) UNION ALL SELECT 0, k, [69, 4, -6, 4, -1][k + 1] / 70.0 FROM range(0, 5) q(k) UNION ALL SELECT 1, k, [2, 27, 12, -8, 2][k + 1] / 35.0 FROM range(0, 5) q(k)
+  UNION ALL SELECT 98, 95 + k, [2, -8, 12, 27, 2][k + 1] / 35.0 FROM range(0, 5) q(k) UNION ALL SELECT 99, 95 + k, [-1, 4, -6, 4, 69][k + 1] / 70.0 FROM range(0, 5) q(k)),
+o AS (SELECT wt.i, sum(w * y) AS y FROM wt JOIN h ON h.i = j GROUP BY wt.i),
+rc AS (SELECT b.i - a.i AS i, sum(a.y * b.y) AS y FROM o a JOIN o b ON b.i >= a.i GROUP BY 1), ac AS (SELECT wt.i, sum(w * y) AS y FROM wt JOIN rc ON rc.i = j GROUP BY wt.i),
+n AS (SELECT i, y, lag(y) OVER (ORDER BY i) AS l, lead(y) OVER (ORDER BY i) AS r FROM ac),
+mi AS (SELECT min(i) AS i FROM n WHERE y < l AND y < r), fb AS (SELECT min(i) AS i FROM o WHERE y = (SELECT max(y) FROM o)),
+tp AS (SELECT i, row_number() OVER (ORDER BY y DESC, i) AS k FROM n WHERE y > l AND y > r),
+gr(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT gr.k + 1, CASE WHEN len(list_filter(kept, lambda x: abs(x - tp.i) < 5)) = 0 THEN list_append(kept, tp.i) ELSE kept END FROM gr JOIN tp ON tp.k = gr.k + 1),
+kp AS (SELECT unnest(kept) AS i FROM gr WHERE k = (SELECT max(k) FROM gr)), ky AS (SELECT kp.i, ac.y FROM kp JOIN ac ON ac.i = kp.i),
+lb AS (SELECT ky.i, ky.y, coalesce(max(CASE WHEN q.i < ky.i THEN q.i END), -1) AS a, coalesce(min(CASE WHEN q.i > ky.i THEN q.i END), 100) AS b FROM ky LEFT JOIN ac q ON q.y > ky.y GROUP BY 1, 2),
+pm AS (SELECT lb.i, lb.y, lb.y - greatest(min(CASE WHEN ac.i <= lb.i THEN ac.y END), min(CASE WHEN ac.i >= lb.i THEN ac.y END)) AS p FROM lb JOIN ac ON ac.i > a AND ac.i < b GROUP BY 1, 2),
+tops AS (SELECT pm.i, pm.y FROM pm, mi, fb WHERE pm.i > greatest(mi.i, fb.i * 0.25) AND p / pm.y > 0.25), be AS (SELECT arg_max(i, y) AS i, max(y) AS y FROM tops),
+ru AS (SELECT max(ac.y) AS y FROM ac, mi WHERE ac.i >= mi.i), hi AS (SELECT min(tops.i) AS i FROM tops, be, ru WHERE tops.y > greatest(be.y * 0.5, ru.y * 0.2)),
+ok AS (SELECT mi.i IS NOT NULL AND mi.i * w < m AND hi.i IS NOT NULL AS ok FROM mi, st, hi)
+SELECT round(CASE WHEN ok THEN be.i * w ELSE fb.i * w END, 4) AS cn_one, round(CASE WHEN ok AND hi.i <> be.i THEN hi.i * w END, 4) AS cn_one_alt FROM ok, be, fb, hi, st""", recursive=True)
 def single_copy(spark, sf_dir):
     rows = _segments(spark, sf_dir).select(F.col("state").alias("coverage"), (F.col("end") - F.col("start")).alias("length")).where("coverage > 0")
     one, other = cn.single_copy_coverage(*cn.coverage_histogram(rows))
-    return spark.createDataFrame([(one, other)], "cn_one DOUBLE, cn_one_alt DOUBLE")
+    return spark.createDataFrame([(one, other)], "cn_one DOUBLE, cn_one_alt DOUBLE").select(_r("cn_one", 4), _r("cn_one_alt", 4))
 
 
 # --- profiles, breakpoints, synchronisation -----------------------------------------------------------------

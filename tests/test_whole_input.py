@@ -1,4 +1,4 @@
-"""Registered queries read all rows of their tables, and all but one have SQL."""
+"""Registered queries read all rows of their tables, and all have SQL."""
 
 import inspect
 import re
@@ -7,12 +7,9 @@ from strandloom.plans import registry
 from strandloom.plans import views as v
 from tests.test_queries import FOLDER, database, plain, pytestmark  # noqa: F401
 
-#: The depth of one copy comes from peaks of an autocorrelation; tests/test_operators.py has it on made tracks.
-WITHOUT_SQL = {"single_copy"}
-
 
 def test_all_queries_have_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == WITHOUT_SQL
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 def test_no_query_reads_a_part_of_its_keys():
