@@ -28,7 +28,7 @@ from .common import id_and_text, map_batches, texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 NONE, WAYS = 1 << 62, 16
 #: Pretokens at once, pretokens of a generation that a worker remembers, and characters of the longest one remembered.
-BLOCK, REMEMBERED, LONGEST = 200_000, 350_000, 48
+BLOCK, REMEMBERED, LONGEST = 200_000, 250_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
