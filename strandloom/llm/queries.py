@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, licenses, ngram_join, quality, repeats, urls
+from . import bpe, chat, codes, collocations, decontaminate, exact_dedup, language, licenses, ngram_join, quality, repeats, toxicity, urls
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_urls": urls.op8_urls,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_language": language.op10_language,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_codes": codes.op13_codes,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql():
         "op6_repeats": repeats.OP6_SQL,
         "op7_chat": chat.OP7_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op11_collocations": collocations.OP11_SQL,
+        "op13_codes": codes.OP13_SQL,
     }
