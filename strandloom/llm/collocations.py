@@ -6,8 +6,8 @@ word stands; shifted by one position and ANDed with a word's bitmap it becomes t
 popcount is the phrase's count in the shard. Phrases grow depth-first; places between pieces are positions of their
 own, so no phrase crosses them. Popcounts are summed over all shards.
 
-What may be extended is known before: words are counted first, then pairs and triples of frequent words by hash.
-Hashes of frequent ones reach the shards as bitmaps of at most 16 MB whatever the corpus; one that lets too much
+What may be extended is known before: words are counted first, then pairs, triples and quadruples of frequent words
+by hash. Hashes of frequent ones reach the shards as bitmaps of at most 16 MB whatever the corpus; one that lets too much
 pass costs a few empty ANDs and rows, never a result, as counts of phrases are sums over their own words.
 
 A phrase scores by its worst cut, floor(1000 * f(phrase) * n / (f(left) * f(right))); one that is inside a longer
@@ -21,19 +21,21 @@ that follow, of which no phrase starts twice. An empty table gives no rows. Furt
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bitmap_for, in_bitmap, map_batches, staged
+from .common import LOWER, bitmap, in_bitmap, map_batches, staged
 
 #: Words of a phrase; occurrences of a candidate; rows kept of a language; per cent of occurrences in a longer one.
 LONGEST, LEAST, TOP, COVERED = 5, 100, 2000, 100
+#: Words of the longest phrases that are counted by hash first; bits of a bitmap for each of them, up to 2 to the ``WIDEST``.
+KNOWN, BITS, WIDEST = 4, 256, 27
 #: Bytes of text in a shard.
 SHARD = 8 << 20
 #: Shares into which a language's phrases are dealt before they are ranked together; languages that are broadcast.
@@ -77,17 +79,15 @@ class Shard:
     """Words of a stretch of text of one language, by numbers; -1 stands between pieces."""
 
     def __init__(self, lang: str, own: bytes, tail: bytes):
-        words_ = tokens(own)
-        self.lang, self.own = lang, len(words_)
-        words_ += tokens(tail)
-        numbers: dict[bytes, int] = {}
-        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_), np.int64, len(words_))
-        self.vocabulary = list(numbers)
+        text = pa.array([(own + tail).replace(b"\n", b" \n ")], pa.large_binary())
+        encoded = pc.split_pattern(text, pattern=b" ").flatten().dictionary_encode()
+        ids, self.vocabulary = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_pylist()
+        empty, gap = (pc.index(encoded.dictionary, pa.scalar(w, pa.large_binary())).as_py() for w in (b"", b"\n"))
+        ids = ids[ids != empty]
+        ids[ids == gap] = -1
+        self.lang, self.ids, self.own = lang, ids, len(ids) - len(tokens(tail))
         start = lang.encode() + b"\0"
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(start + w) for w in numbers), np.uint64, len(numbers))
-        if (gap := numbers.get(b"\n")) is not None:
-            ids[ids == gap] = -1
-        self.ids = ids
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(start + w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
 
     def keep(self, frequent: np.ndarray) -> None:
         """Words that are not frequent become gaps."""
@@ -167,16 +167,18 @@ def both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     (few, few_bits), (many, many_bits) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
     if not len(few):
         return few, few_bits
-    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-    bits = np.where(many[at] == few, few_bits & many_bits[at], np.uint64(0))
-    hit = bits != 0
-    return few[hit], bits[hit]
+    at = many.searchsorted(few)
+    hit = many.take(at, mode="clip") == few
+    bits = few_bits[hit] & many_bits[at[hit]]
+    some = bits != 0
+    return few[hit][some], bits[some]
 
 
 def mine(shard: Shard, bitmaps: list[np.ndarray], longest: int = LONGEST) -> Iterator[tuple[bytes, int, int]]:
     """Phrases of 2 and more words, their number of words and their occurrences in a shard.
 
-    ``bitmaps`` hold the hashes of pairs, and of triples where given, that may be extended.
+    ``bitmaps`` hold the hashes of pairs, and of triples and longer ones where given, that may be frequent: a word is
+    tried after a phrase if it makes such a pair, triple and so on with the last words.
     """
     at, _ = runs(shard, bitmaps[:1], 2)
     pairs = np.unique(shard.ids[at] * len(shard.vocabulary) + shard.ids[at + 1])
@@ -188,21 +190,27 @@ def mine(shard: Shard, bitmaps: list[np.ndarray], longest: int = LONGEST) -> Ite
     of = np.searchsorted(ahead, np.arange(len(shard.vocabulary) + 1))
     places, h, names = Bitmaps(shard.ids, len(shard.vocabulary)), shard.hashes, shard.vocabulary
 
-    def grow(words_: tuple[int, ...], blocks: np.ndarray, bits: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+    def grow(words_: tuple[int, ...], ends: list[np.ndarray], blocks: np.ndarray, bits: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+        """``ends``: hashes of the phrase's last word, its last two words and so on."""
         last = words_[-1]
         nexts = behind[of[last] : of[last + 1]]
-        if len(words_) > 1 and len(bitmaps) > 1 and len(nexts):
-            pair = chain(h[words_[-2]][None], h[last][None])
-            nexts = nexts[in_bitmap(bitmaps[1], chain(np.repeat(pair, len(nexts)), h[nexts]).view(np.int64))]
+        longer = [h[nexts]]
+        for k, end in enumerate(ends):
+            if not len(nexts):
+                return
+            longer.append(chain(end, longer[0]))
+            if k:  # pairs are frequent already
+                passes = in_bitmap(bitmaps[k], longer[-1].view(np.int64))
+                nexts, longer = nexts[passes], [x[passes] for x in longer]
         if len(nexts):
             moved = shifted(blocks, bits)
-            for word in nexts.tolist():
+            for i, word in enumerate(nexts.tolist()):
                 found = both(moved, places[word])
                 if len(found[0]):
                     phrase = (*words_, word)
                     yield b" ".join([names[w] for w in phrase]), len(phrase), int(np.bitwise_count(found[1]).sum())
-                    if len(phrase) < longest:
-                        yield from grow(phrase, *found)
+                    if len(phrase) < longest and of[word] < of[word + 1]:
+                        yield from grow(phrase, [x[i : i + 1] for x in longer[: len(bitmaps)]], *found)
 
     for word in np.unique(first).tolist():
         blocks, bits = places[word]
@@ -211,7 +219,7 @@ def mine(shard: Shard, bitmaps: list[np.ndarray], longest: int = LONGEST) -> Ite
             blocks, bits = blocks[:inside], bits[:inside].copy()
             if inside and blocks[-1] == shard.own >> 6:
                 bits[-1] &= (np.uint64(1) << np.uint64(shard.own & 63)) - np.uint64(1)
-        yield from grow((word,), blocks, bits)
+        yield from grow((word,), [h[word : word + 1]], blocks, bits)
 
 
 def _whole(shard: Shard) -> Shard:
@@ -239,14 +247,14 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for shard in shards(batch):
-            seen = Counter(shard.ids[: shard.own].tolist())
-            seen.pop(-1, None)
-            at = np.fromiter(seen, np.int64, len(seen))
-            columns = [pa.array([shard.lang] * len(at)), _strings([shard.vocabulary[i] for i in at]), pa.array(shard.hashes[at].view(np.int64)), pa.array(list(seen.values()), pa.int64())]
+            ids = shard.ids[: shard.own]
+            seen = np.bincount(ids[ids >= 0], minlength=1)
+            at = np.flatnonzero(seen)
+            columns = [pa.array([shard.lang] * len(at)), _strings([shard.vocabulary[i] for i in at]), pa.array(shard.hashes[at].view(np.int64)), pa.array(seen[at], pa.int64())]
             parts.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "h", "f"]))
         return _joined(parts)
 
-    rows = map_batches(_texts(docs, lang_col, text_col), run, "lang string, phrase string, h long, f long", size=SHARD)
+    rows = map_batches(_texts(docs, lang_col, text_col), run, "lang string, phrase string, h long, f long", rows=None, size=2 * SHARD)
     return rows.groupBy("lang", "phrase").agg(F.min("h").alias("h"), F.sum("f").alias("f"))
 
 
@@ -261,8 +269,12 @@ def _frequent_runs(texts_: DataFrame, words_, bitmaps: list, n: int, least: int)
             parts.append(pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "f"]))
         return _joined(parts)
 
-    sums = map_batches(texts_, run, "h long, f long", size=SHARD).groupBy("h").agg(F.sum("f").alias("f"))
-    return bitmap_for(staged(sums.where(F.col("f") >= least).select("h")), "h")
+    sums = map_batches(texts_, run, "h long, f long", rows=None, size=2 * SHARD).groupBy("h").agg(F.sum("f").alias("f"))
+    return _sized(staged(sums.where(F.col("f") >= least).select("h")))
+
+
+def _sized(hashes: DataFrame) -> np.ndarray:
+    return bitmap(hashes, "h", max(16, min(WIDEST, (BITS * hashes.count()).bit_length())))
 
 
 def phrase_counts(docs: DataFrame, words_: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -270,8 +282,8 @@ def phrase_counts(docs: DataFrame, words_: DataFrame, least: int = LEAST, longes
     ``words_`` are the frequent words with their hashes."""
     share = docs.sparkSession.sparkContext.broadcast
     texts_ = _texts(docs, lang_col, text_col)
-    words_, bitmaps = share(bitmap_for(words_, "h")), []
-    for n in range(2, min(3, longest) + 1):
+    words_, bitmaps = share(_sized(words_)), []
+    for n in range(2, min(KNOWN, longest) + 1):
         bitmaps.append(share(_frequent_runs(texts_, words_, bitmaps, n, least)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -283,7 +295,7 @@ def phrase_counts(docs: DataFrame, words_: DataFrame, least: int = LEAST, longes
             parts.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"]))
         return _joined(parts)
 
-    rows = map_batches(texts_, run, "lang string, phrase string, size int, f long", size=SHARD)
+    rows = map_batches(texts_, run, "lang string, phrase string, size int, f long", rows=None, size=2 * SHARD)
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
