@@ -18,7 +18,8 @@ it), so control strings occur only where the template puts them, and removing on
 restores what was written. The loss mask is a list of spans of code points: the texts of assistant messages.
 
 The log is partitioned by conversation and message first, so that a hot conversation is spread over tasks; only its
-final messages meet, where a running sum gives the places of their texts, and then its formatted text.
+final messages meet, where a running sum gives the places of their texts, and then its formatted text. As that is one
+value, a conversation's formatted text is bounded by what a row may hold (2 GB), and by an executor's memory.
 
 Cases: null roles and texts are empty; null conversations and messages are keys of their own. Events that tie in
 sequence are taken in the order of kind, role and text, messages that begin at a tie in the order of their names.
@@ -36,6 +37,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 SETS, KINDS = ("message", "edit", "regenerate"), ("message", "edit", "regenerate", "delta")
 #: Characters of a draft in ``events_of``.
 DRAFT = 8
+#: Code points of a block in ``loss_text``.
+BLOCK = 512
 
 
 def escape(x: Column) -> Column:
@@ -88,8 +91,20 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped.
+
+    A string is found from its start, so the text is cut once into blocks of ``BLOCK`` code points; a span takes the
+    blocks that it touches, and the time is in proportion to the text and the spans.
+    """
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def span(cut: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / BLOCK).cast("int"), F.floor((s["start"] + s["length"]) / BLOCK).cast("int")
+        held = F.array_join(F.slice(cut, first + 1, last - first + 1), "")
+        return F.substr(held, (s["start"] % BLOCK + 1).cast("int"), s["length"].cast("int"))
+
+    # an array of one element holds the blocks, so that they are made once and not for each span
+    return F.element_at(F.transform(F.array(blocks), lambda cut: F.array_join(F.transform(loss, lambda s: unescape(span(cut, s))), "")), 1)
 
 
 def events_of(rows: DataFrame) -> DataFrame:

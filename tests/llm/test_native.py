@@ -231,6 +231,30 @@ def test_a_very_long_conversation(spark):
     assert time.monotonic() - began < 60
 
 
+def test_long_texts_in_a_long_conversation(spark):
+    """Reading back 40,000 turns of 200 characters takes a few times as long as parsing them."""
+    import time
+
+    n = 40_000
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit("é🎉<|a\\"), 33), F.lit("\n"))
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.struct("id").alias("place"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    whole = chat.render(rows).persist()
+    whole.count()
+
+    def took(column):
+        began = time.monotonic()
+        found = whole.select(column.alias("x")).first()["x"]
+        return found, time.monotonic() - began
+
+    took(F.size(chat.parse(F.col("formatted"))))
+    turns, parsing = took(F.size(chat.parse(F.col("formatted"))))
+    said, reading = took(F.sha2(chat.loss_text(F.col("formatted"), F.col("loss")).cast("binary"), 256))
+    want = "".join(f"{i}" + "é🎉<|a\\" * 33 + "\n" for i in range(1, n, 2))
+    whole.unpersist()
+    assert turns == n and said == hashlib.sha256(want.encode()).hexdigest()
+    assert reading < 5 * parsing + 2
+
+
 def test_query_folds_a_log_that_is_not_its_rows(spark, tmp_path):
     """The log begins with drafts, and edits come after later messages; what is left are the rows."""
     rows = [(3, 0, "user", "a question that is long"), (3, 1, "assistant", None), (3, 1, "assistant", "an answer, streamed"), (3, None, "system", "s"), (3, 2, "user", "x"), (3, 2, "user", "x"), (4, 7, None, "no role")]
