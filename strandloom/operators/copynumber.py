@@ -21,6 +21,13 @@ def centromere_rows(segments: DataFrame, centromeres: DataFrame, how: str = "lef
     return segments.join(F.broadcast(c), (F.col("chr") == F.col("__c")) & (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e")), how)
 
 
+def with_centromere_mark(segments: DataFrame, centromeres: DataFrame, name: str) -> DataFrame:
+    """The segments with a column that is true where they are a centromere."""
+    c = centromeres.select(F.col("chr").alias("__c"), F.explode(F.array(F.col("start"), F.col("start") + 1)).alias("__s"), F.col("end").alias("__e")).distinct()
+    same = (F.col("chr") == F.col("__c")) & (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e"))
+    return segments.join(F.broadcast(c), same, "left").withColumn(name, F.col("__c").isNotNull()).drop("__c", "__s", "__e")
+
+
 def mask_centromeres(segments: DataFrame, centromeres: DataFrame) -> DataFrame:
     """Depth and state of centromere segments become the sentinel."""
     hit = centromere_rows(segments, centromeres).select("chr", "start", "end", F.lit(True).alias("__m")).distinct()
@@ -98,9 +105,11 @@ def grid(spark: SparkSession, limit: float, step: float = 0.1) -> DataFrame:
     return spark.range(1, n + 1).select((F.col("id") * step).alias("normal"))
 
 
-def purity_grid(segments: DataFrame, grid_rows: DataFrame, copy: float, n_centers: int, tumor: float, least_length: int = 1_000_000, moved: DataFrame | None = None) -> DataFrame:
+def purity_grid(segments: DataFrame, grid_rows: DataFrame, copy: float, n_centers: int, tumor: float, least_length: int = 1_000_000, moved: DataFrame | None = None, centromeres: DataFrame | None = None) -> DataFrame:
     """Confidence, ploidy, DNA and cell purity for every normal coverage of a grid, in one aggregation.
 
+    Segments that are a centromere have no copy number of their own, so they are left out of the ploidy.
+
     segments: chr, start, end, depth, hp. The grid has at most a few hundred rows of one number, known before the
     plan is made, so it is an array in each row rather than the side of a join. Snapping, p-values and the sums by
     contig need one shuffle of (grid, contig) rows. moved (chr, start, hp, normal, depth): depths that depend on the
@@ -110,6 +119,7 @@ def purity_grid(segments: DataFrame, grid_rows: DataFrame, copy: float, n_center
     rows = segments.withColumn("normal", F.explode(F.array(*(F.lit(p) for p in points)))) if points else segments.withColumn("normal", F.lit(None).cast("double")).where("false")
     if moved is not None:
         rows = rows.join(moved.withColumnRenamed("depth", "__moved"), ["chr", "start", "hp", "normal"], "left").withColumn("depth", F.coalesce("__moved", "depth")).drop("__moved")
+    rows = rows.withColumn("__out", F.lit(False)) if centromeres is None else with_centromere_mark(rows, centromeres, "__out")
     raw = (F.col("depth") - F.col("normal")) / copy
     cn = F.greatest(F.lit(0.0), F.bround(F.abs(raw))) if n_centers > 1 else F.lit(0.0)
     cn = F.when(F.col("depth") < F.col("normal"), 0.0).otherwise(cn)
@@ -117,7 +127,7 @@ def purity_grid(segments: DataFrame, grid_rows: DataFrame, copy: float, n_center
     length = F.col("end") - F.col("start")
     p = two_sided_p(F.col("depth"), near)
     counts = (length > least_length) & (p > 0)
-    rows = rows.select("normal", "chr", "hp", length.alias("w"), cn.alias("cn"), F.when(counts, F.bround(p * length, 3)).otherwise(0.0).alias("pw"), F.when(counts, length).otherwise(0).alias("wp"))
+    rows = rows.select("normal", "chr", F.when(~F.col("__out"), F.col("hp")).alias("hp"), length.alias("w"), cn.alias("cn"), F.when(counts, F.bround(p * length, 3)).otherwise(0.0).alias("pw"), F.when(counts, length).otherwise(0).alias("wp"))
     by_contig = rows.groupBy("normal", "chr").agg(
         F.sum("pw").alias("pw"), F.sum("wp").alias("wp"),
         *(F.sum(F.when(F.col("hp") == h, F.bround(F.col("cn") * F.col("w"), 3))).alias(f"c{h}") for h in (1, 2)),

@@ -129,7 +129,7 @@ def scored_grid(bins: DataFrame, tracks: dict[int, DataFrame], copy: float, sett
     tumor = float(bins.agg(F.avg(F.col("hp1") + F.col("hp2")).alias("t")).first()["t"] or 0)
     grid = cn.grid(bins.sparkSession, float(int(totals["limit"] or 0)), settings.step)
     depths = moved_depths(bins, tracks, lost, grid, settings.bin_size) if lost is not None else None
-    return checkpoint(cn.purity_grid(both, grid, copy, len(cn.centers_up_to(copy, float(totals["top"] or 0))), tumor, moved=depths))
+    return checkpoint(cn.purity_grid(both, grid, copy, len(cn.centers_up_to(copy, float(totals["top"] or 0))), tumor, moved=depths, centromeres=centromeres))
 
 
 def solutions(grid: DataFrame, settings: Settings = Settings()) -> DataFrame:

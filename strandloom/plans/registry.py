@@ -636,16 +636,16 @@ def move_normal(spark, sf_dir):
 _WEIGHTED = "CASE WHEN sum(w) = 0 THEN 0 ELSE sum(round_even(cn * w, 3)) / sum(w) END"
 
 
-@query(_CUTS + f""", n AS (SELECT k * 0.5 AS normal FROM range(1, 20) g(k)), gc AS (SELECT normal, "end" - "start" AS w, CASE WHEN st < normal THEN 0 ELSE round_even((st - normal) / 20, 0) END AS cn FROM n CROSS JOIN (SELECT *, round(state + 1e-9, 4) AS st FROM seg))
+@query(_CUTS + f""", n AS (SELECT k * 0.5 AS normal FROM range(1, 20) g(k)), gc AS (SELECT normal, "end" - "start" AS w, CASE WHEN st < normal THEN 0 ELSE round_even((st - normal) / 20, 0) END AS cn FROM n CROSS JOIN (SELECT *, round(state + 1e-9, 4) AS st FROM seg WHERE NOT EXISTS (SELECT 1 FROM cen WHERE cen.chr = seg.chr AND cen."end" = seg."end" AND seg."start" - cen."start" IN (0, 1))))
 SELECT CAST(normal AS DOUBLE) AS normal, round(2 * {_WEIGHTED}, 6) AS ploidy FROM gc GROUP BY normal HAVING 2 * {_WEIGHTED} >= 0.1""")
 def ploidy_grid(spark, sf_dir):
     segs = _segments(spark, sf_dir).select("chr", "start", "end", F.round(F.col("state") + 1e-9, 4).alias("depth"))
     both = segs.withColumn("hp", F.explode(F.array(F.lit(1), F.lit(2))))
-    return cn.purity_grid(both, cn.grid(spark, 10.0, 0.5), 20.0, 5, 100.0).select("normal", _r("ploidy"))
+    return cn.purity_grid(both, cn.grid(spark, 10.0, 0.5), 20.0, 5, 100.0, centromeres=v.centromeres(spark, sf_dir)).select("normal", _r("ploidy"))
 
 
 @query(_BOTH + f""", tw AS (SELECT 1 AS hp, * FROM s1 UNION ALL SELECT 2, * FROM s2), gr AS (SELECT CAST(i AS DOUBLE) * 0.1 AS normal FROM range(1, 300) r(i)),
-cn AS (SELECT normal, chr, hp, "end" - "start" AS w, state, CASE WHEN state < normal THEN 0 ELSE greatest(0, round_even(abs((state - normal) / 20.0), 0)) END AS cn FROM tw CROSS JOIN gr),
+cn AS (SELECT normal, tw.chr, CASE WHEN EXISTS (SELECT 1 FROM cen WHERE cen.chr = tw.chr AND cen."end" = tw."end" AND tw."start" - cen."start" IN (0, 1)) THEN NULL ELSE hp END AS hp, "end" - "start" AS w, state, CASE WHEN state < normal THEN 0 ELSE greatest(0, round_even(abs((state - normal) / 20.0), 0)) END AS cn FROM tw CROSS JOIN gr),
 zz AS (SELECT *, abs((state - (normal + cn * 20.0)) / 10.0) / 1.4142135623730951 AS z FROM cn),
 pp AS (SELECT *, {_sql_p("z")} AS p FROM zz),
 bc AS (SELECT normal, CAST(replace(chr, 'chr', '') AS INTEGER) AS o, sum(CASE WHEN w > 200000 AND p > 0 THEN round_even(p * w, 3) ELSE 0 END) AS pw, sum(CASE WHEN w > 200000 AND p > 0 THEN w ELSE 0 END) AS wp,
@@ -655,7 +655,7 @@ ag AS (SELECT normal, avg(score) AS confidence, coalesce(sum(c1) / nullif(sum(w1
 SELECT round(normal, 4) AS normal, round(confidence, 6) AS confidence, round(ploidy, 6) AS ploidy, round((100 - 2 * normal) / 100 + 1e-9, 6) AS dna_purity, round(((100 - 2 * normal) / ploidy) / (normal + (100 - 2 * normal) / ploidy) + 1e-9, 6) AS cell_purity FROM ag WHERE ploidy >= 0.1""")
 def purity_grid(spark, sf_dir):
     rows = [_steady(spark, sf_dir, h).select("chr", "start", "end", F.col("state").alias("depth"), F.lit(h).alias("hp")) for h in (1, 2)]
-    out = cn.purity_grid(rows[0].union(rows[1]), cn.grid(spark, 30.0), 20.0, 6, 100.0, 200_000)
+    out = cn.purity_grid(rows[0].union(rows[1]), cn.grid(spark, 30.0), 20.0, 6, 100.0, 200_000, centromeres=v.centromeres(spark, sf_dir))
     return out.select(_r("normal", 4), _r("confidence"), _r("ploidy"), *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("dna_purity", "cell_purity")))
 
 

@@ -311,3 +311,13 @@ def test_sync_reasons(spark):
     counts = spark.createDataFrame([("c", 1, 4, 0, 6, 1)], "chr STRING, start BIGINT, a INT, c INT, g INT, t INT")
     got = sync.haplotype_depths(v.where("pos IN (1, 2)"), counts)
     assert rows(got.where("reason IS NULL"), "hp1_depth", "hp2_depth") == [(4, 6)] and got.where("reason = 'no_pileup_data'").count() == 1
+
+
+def test_centromeres_do_not_count_for_ploidy(spark):
+    """Two copies along 3 Mb but for a centromere of 200 kb are a ploidy of 2, not 1.87."""
+    rows = [("chr1", s, e, d, hp) for hp in (1, 2) for s, e, d in ((0, 1_000_000, 30.0), (1_000_001, 1_200_000, 0.0), (1_200_001, 3_000_000, 30.0))]
+    segments = spark.createDataFrame(rows, "chr STRING, start BIGINT, end BIGINT, depth DOUBLE, hp INT")
+    centromeres = spark.createDataFrame([("chr1", 1_000_000, 1_200_000)] * 2, "chr STRING, start BIGINT, end BIGINT")
+    grid = spark.createDataFrame([(10.0,)], "normal DOUBLE")
+    assert copynumber.purity_grid(segments, grid, 20.0, 3, 60.0, centromeres=centromeres).first().ploidy == 2.0
+    assert copynumber.purity_grid(segments, grid, 20.0, 3, 60.0).first().ploidy < 1.88
