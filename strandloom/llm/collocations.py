@@ -3,8 +3,8 @@
 Texts are cut into shards of a few megabytes of one language. In a shard every frequent word has a compressed bitmap
 of its positions: the blocks of 64 positions that hold any, with their bits. A phrase's bitmap marks where its last
 word stands; shifted by one position and ANDed with a word's bitmap it becomes that of the longer phrase, and its
-popcount is the phrase's count in the shard. Phrases grow depth-first; places between pieces are positions of their
-own, so no phrase crosses them. Popcounts are summed over all shards.
+popcount is the phrase's count in the shard. Phrases grow depth-first, with batches of siblings shifted, ANDed and
+counted at once; places between pieces are positions of their own, so no phrase crosses them. Popcounts are summed over all shards.
 
 What may be extended is known before: words are counted first, then pairs, triples and quadruples of frequent words
 by hash. Hashes of frequent ones reach the shards as bitmaps of at most 16 MB whatever the corpus; one that lets too much
@@ -22,6 +22,7 @@ that follow, of which no phrase starts twice. An empty table gives no rows. Furt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,12 @@ from .common import LOWER, bitmap, in_bitmap, map_batches, staged
 LONGEST, LEAST, TOP, COVERED = 5, 100, 2000, 100
 #: Words of the longest phrases that are counted by hash first; bits of a bitmap for each of them, up to 2 to the ``WIDEST``.
 KNOWN, BITS, WIDEST = 4, 256, 27
+#: Words that are tried at once after the phrases of a batch.
+TRIES = 1 << 20
+#: A bitmap with bits in more than this part of all blocks is kept plain.
+DENSE = 8
 #: Bytes of text in a shard.
-SHARD = 8 << 20
+SHARD = 16 << 20
 #: Shares into which a language's phrases are dealt before they are ranked together; languages that are broadcast.
 SHARES, FEW = 64, 100_000
 #: Bytes as in LOWER; what ends a piece becomes a newline, a tab becomes a blank.
@@ -132,94 +137,147 @@ def runs(shard: Shard, bitmaps: list[np.ndarray], n: int) -> tuple[np.ndarray, n
     return at[at < shard.own], found[at < shard.own]
 
 
-class Bitmaps:
-    """Compressed bitmaps of the positions of every word of a shard."""
-
-    def __init__(self, ids: np.ndarray, n_words: int):
-        at = np.flatnonzero(ids >= 0)
-        order = np.argsort(ids[at], kind="stable")
-        at, word = at[order], ids[at][order]
-        block = at >> 6
-        starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(at) else at
-        self.bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), starts) if len(at) else np.empty(0, np.uint64)
-        self.blocks, self.of = block[starts], np.searchsorted(word[starts], np.arange(n_words + 1))
-
-    def __getitem__(self, word: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.of[word], self.of[word + 1]
-        return self.blocks[a:b], self.bits[a:b]
-
-
-def shifted(blocks: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A bitmap moved on by one position."""
+def shifted(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps moved on by one position."""
     over = bits >> np.uint64(63) != 0
     if not over.any():
-        return blocks, bits << np.uint64(1)
-    both = np.concatenate([blocks, blocks[over] + 1])
+        return keys, bits << np.uint64(1)
+    every = np.concatenate([keys, keys[over] + 1])
     moved = np.concatenate([bits << np.uint64(1), np.ones(int(over.sum()), np.uint64)])
-    order = np.argsort(both, kind="stable")
-    both, moved = both[order], moved[order]
-    starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-    return both[starts], np.bitwise_or.reduceat(moved, starts)
+    order = np.argsort(every, kind="stable")
+    every, moved = every[order], moved[order]
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    return every[starts], np.bitwise_or.reduceat(moved, starts)
 
 
-def both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """AND of two bitmaps; the blocks of the shorter are looked up in the longer."""
-    (few, few_bits), (many, many_bits) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
-    if not len(few):
-        return few, few_bits
-    at = many.searchsorted(few)
-    hit = many.take(at, mode="clip") == few
-    bits = few_bits[hit] & many_bits[at[hit]]
-    some = bits != 0
-    return few[hit][some], bits[some]
+def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of places: the number of the range, and the place, of every place in them."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of] + starts[of]
 
 
-def mine(shard: Shard, bitmaps: list[np.ndarray], longest: int = LONGEST) -> Iterator[tuple[bytes, int, int]]:
-    """Phrases of 2 and more words, their number of words and their occurrences in a shard.
+class Bitmaps:
+    """Compressed bitmaps of the positions of many things, words or phrases: one sorted array of keys, the number of the
+    thing times ``span`` and the block of 64 positions, and the block's bits."""
+
+    def __init__(self, keys: np.ndarray, bits: np.ndarray, span: int, n: int):
+        self.keys, self.bits, self.span = keys, bits, span
+        self.of = np.searchsorted(keys, np.arange(n + 1) * span)
+        # those that have a bit in many blocks as plain bitmaps, found by place: at most DENSE times the size of all
+        sizes = np.diff(self.of)
+        many = np.flatnonzero(sizes * DENSE > span)
+        self.row, self.plain = np.full(n, -1), np.zeros((len(many), span), np.uint64)
+        self.row[many] = np.arange(len(many))
+        of, at = spread(self.of[many], sizes[many])
+        self.plain[of, keys[at] % span] = bits[at]
+
+    def bits_at(self, which: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The bits of blocks of some things, 0 where a thing has no such block."""
+        out, row = np.zeros(len(which), np.uint64), self.row[which]
+        dense = np.flatnonzero(row >= 0)
+        out[dense] = self.plain[row[dense], block[dense]]
+        rest = np.flatnonzero(row < 0)
+        if len(rest) and len(self.keys):
+            keys = which[rest] * self.span + block[rest]
+            at = np.minimum(self.keys.searchsorted(keys), len(self.keys) - 1)
+            out[rest] = np.where(self.keys[at] == keys, self.bits[at], np.uint64(0))
+        return out
+
+    @classmethod
+    def of_words(cls, ids: np.ndarray, n_words: int) -> Bitmaps:
+        span = (len(ids) >> 6) + 2
+        at = np.flatnonzero(ids >= 0)
+        key = ids[at] * span + (at >> 6)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(at) else at
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), starts) if len(at) else np.empty(0, np.uint64)
+        return cls(key[starts], bits, span, n_words)
+
+    def chosen(self, which: np.ndarray, before: int | None = None) -> Bitmaps:
+        """The bitmaps of some things, numbered anew; only of positions before one, if it is given."""
+        of, at = spread(self.of[which], self.of[which + 1] - self.of[which])
+        block, bits = self.keys[at] % self.span, self.bits[at]
+        if before is not None:
+            inside = block << 6 < before
+            of, block, bits = of[inside], block[inside], bits[inside]
+            last = block == before >> 6
+            bits = np.where(last, bits & ((np.uint64(1) << np.uint64(before & 63)) - np.uint64(1)), bits)
+            of, block, bits = of[bits != 0], block[bits != 0], bits[bits != 0]
+        return Bitmaps(of * self.span + block, bits, self.span, len(which))
+
+
+@dataclass
+class Batch:
+    """Phrases of one length: their words, the hashes of their last word, last two words and so on, their bitmaps."""
+
+    words: np.ndarray
+    ends: list[np.ndarray]
+    places: Bitmaps
+
+    def some(self, which: np.ndarray) -> Batch:
+        return Batch(self.words[which], [e[which] for e in self.ends], self.places.chosen(which))
+
+
+def extended(batch: Batch, words_: Bitmaps, hashes: np.ndarray, bitmaps: list[np.ndarray], of: np.ndarray, behind: np.ndarray) -> tuple[Batch, np.ndarray]:
+    """All phrases of a batch with every word that may follow (``of``, ``behind``: followers by word), and their counts."""
+    last, places = batch.words[:, -1], batch.places
+    who, at = spread(of[last], of[last + 1] - of[last])
+    word = behind[at]
+    longer = [hashes[word]]
+    for k, end in enumerate(batch.ends):
+        longer.append(chain(end[who], longer[0]))
+        if k:  # pairs are frequent already
+            passes = np.flatnonzero(in_bitmap(bitmaps[k], longer[-1].view(np.int64)))
+            who, word, longer = who[passes], word[passes], [x[passes] for x in longer]
+    moved = Bitmaps(*shifted(places.keys, places.bits), places.span, len(last))
+    # the blocks of the shorter bitmap are looked up in the longer one
+    own, other = moved.of[who + 1] - moved.of[who], words_.of[word + 1] - words_.of[word]
+    found = []
+    for mine, theirs, number, counterpart, pick in ((moved, words_, who, word, own <= other), (words_, moved, word, who, own > other)):
+        pick = np.flatnonzero(pick)
+        i, place = spread(mine.of[number[pick]], mine.of[number[pick] + 1] - mine.of[number[pick]])
+        block = mine.keys[place] - number[pick][i] * mine.span
+        bits = mine.bits[place] & theirs.bits_at(counterpart[pick][i], block)
+        some = bits != 0
+        found.append((pick[i[some]] * places.span + block[some], bits[some]))
+    keys, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(keys, kind="stable")
+    both = Bitmaps(keys[order], bits[order], places.span, len(who))
+    counts = np.bincount(both.keys // both.span, np.bitwise_count(both.bits), len(who)).astype(np.int64)
+    some = np.flatnonzero(counts)
+    words_of = np.column_stack([batch.words[who[some]], word[some]])
+    return Batch(words_of, [x[some] for x in longer[: len(bitmaps)]], both.chosen(some)), counts[some]
+
+
+def mine(shard: Shard, bitmaps: list[np.ndarray], longest: int = LONGEST, tries: int = TRIES) -> Iterator[tuple[list[bytes], int, np.ndarray]]:
+    """Phrases of 2 and more words, their number of words and their occurrences in a shard, in batches.
 
     ``bitmaps`` hold the hashes of pairs, and of triples and longer ones where given, that may be frequent: a word is
-    tried after a phrase if it makes such a pair, triple and so on with the last words.
+    tried after a phrase if it makes such a pair, triple and so on with the last words. Siblings are extended side
+    by side, as many as have about ``tries`` words to try; what comes of them goes before the rest.
     """
+    n = len(shard.vocabulary)
     at, _ = runs(shard, bitmaps[:1], 2)
-    pairs = np.unique(shard.ids[at] * len(shard.vocabulary) + shard.ids[at + 1])
-    first, second = np.divmod(pairs, max(1, len(shard.vocabulary)))
+    first = np.unique(shard.ids[at])
     # a phrase may end among the words that follow the stretch
     at, _ = runs(_whole(shard), bitmaps[:1], 2)
-    follows = np.unique(shard.ids[at] * len(shard.vocabulary) + shard.ids[at + 1])
-    ahead, behind = np.divmod(follows, max(1, len(shard.vocabulary)))
-    of = np.searchsorted(ahead, np.arange(len(shard.vocabulary) + 1))
-    places, h, names = Bitmaps(shard.ids, len(shard.vocabulary)), shard.hashes, shard.vocabulary
-
-    def grow(words_: tuple[int, ...], ends: list[np.ndarray], blocks: np.ndarray, bits: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
-        """``ends``: hashes of the phrase's last word, its last two words and so on."""
-        last = words_[-1]
-        nexts = behind[of[last] : of[last + 1]]
-        longer = [h[nexts]]
-        for k, end in enumerate(ends):
-            if not len(nexts):
-                return
-            longer.append(chain(end, longer[0]))
-            if k:  # pairs are frequent already
-                passes = in_bitmap(bitmaps[k], longer[-1].view(np.int64))
-                nexts, longer = nexts[passes], [x[passes] for x in longer]
-        if len(nexts):
-            moved = shifted(blocks, bits)
-            for i, word in enumerate(nexts.tolist()):
-                found = both(moved, places[word])
-                if len(found[0]):
-                    phrase = (*words_, word)
-                    yield b" ".join([names[w] for w in phrase]), len(phrase), int(np.bitwise_count(found[1]).sum())
-                    if len(phrase) < longest and of[word] < of[word + 1]:
-                        yield from grow(phrase, [x[i : i + 1] for x in longer[: len(bitmaps)]], *found)
-
-    for word in np.unique(first).tolist():
-        blocks, bits = places[word]
-        if shard.own < len(shard.ids):  # only phrases that start in the stretch itself
-            inside = np.searchsorted(blocks, shard.own >> 6, "right")
-            blocks, bits = blocks[:inside], bits[:inside].copy()
-            if inside and blocks[-1] == shard.own >> 6:
-                bits[-1] &= (np.uint64(1) << np.uint64(shard.own & 63)) - np.uint64(1)
-        yield from grow((word,), [h[word : word + 1]], blocks, bits)
+    ahead, behind = np.divmod(np.unique(shard.ids[at] * n + shard.ids[at + 1]), max(1, n))
+    of = np.searchsorted(ahead, np.arange(n + 1))
+    words_, names = Bitmaps.of_words(shard.ids, n), np.array(shard.vocabulary, object)
+    stack = [Batch(first[:, None], [shard.hashes[first]], words_.chosen(first, shard.own))] if len(first) else []
+    while stack:
+        batch = stack.pop()
+        last = batch.words[:, -1]
+        upto = max(1, int(np.searchsorted(np.cumsum(of[last + 1] - of[last]), tries, "right")))
+        if upto < len(last):
+            stack.append(batch.some(np.arange(upto, len(last))))
+            batch = batch.some(np.arange(upto))
+        found, counts = extended(batch, words_, shard.hashes, bitmaps, of, behind)
+        if len(counts):
+            yield list(map(b" ".join, names[found.words].tolist())), found.words.shape[1], counts
+            if found.words.shape[1] < longest:
+                stack.append(found)
 
 
 def _whole(shard: Shard) -> Shard:
@@ -254,7 +312,7 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
             parts.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "h", "f"]))
         return _joined(parts)
 
-    rows = map_batches(_texts(docs, lang_col, text_col), run, "lang string, phrase string, h long, f long", rows=None, size=2 * SHARD)
+    rows = map_batches(_texts(docs, lang_col, text_col), run, "lang string, phrase string, h long, f long", rows=None, size=SHARD)
     return rows.groupBy("lang", "phrase").agg(F.min("h").alias("h"), F.sum("f").alias("f"))
 
 
@@ -269,7 +327,7 @@ def _frequent_runs(texts_: DataFrame, words_, bitmaps: list, n: int, least: int)
             parts.append(pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "f"]))
         return _joined(parts)
 
-    sums = map_batches(texts_, run, "h long, f long", rows=None, size=2 * SHARD).groupBy("h").agg(F.sum("f").alias("f"))
+    sums = map_batches(texts_, run, "h long, f long", rows=None, size=SHARD).groupBy("h").agg(F.sum("f").alias("f"))
     return _sized(staged(sums.where(F.col("f") >= least).select("h")))
 
 
@@ -290,12 +348,12 @@ def phrase_counts(docs: DataFrame, words_: DataFrame, least: int = LEAST, longes
         parts = []
         for shard in shards(batch):
             shard.keep(words_.value)
-            found = list(mine(shard, [b.value for b in bitmaps], longest))
-            columns = [pa.array([shard.lang] * len(found), pa.string()), _strings([p for p, _, _ in found]), pa.array([k for _, k, _ in found], pa.int32()), pa.array([n for _, _, n in found], pa.int64())]
-            parts.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"]))
+            for names, size, counts in mine(shard, [b.value for b in bitmaps], longest):
+                columns = [pa.array([shard.lang] * len(names), pa.string()), _strings(names), pa.array([size] * len(names), pa.int32()), pa.array(counts)]
+                parts.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"]))
         return _joined(parts)
 
-    rows = map_batches(texts_, run, "lang string, phrase string, size int, f long", rows=None, size=2 * SHARD)
+    rows = map_batches(texts_, run, "lang string, phrase string, size int, f long", rows=None, size=SHARD)
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

@@ -63,14 +63,16 @@ def test_a_hot_phrase_and_a_long_text(spark):
     assert sorted(found) == brute(rows, 100)
 
 
-def counted(text, size, least=1):
+def counted(text, size, tries=50):
     """Phrases of all stretches of a text."""
     total = Counter()
     full = np.full(1 << 10, ~np.uint64(0))
     for own, tail in c.stretches(text.translate(c.PIECES), size):
         shard = c.Shard("en", own, tail)
-        for phrase, _, n in c.mine(shard, [full, full]):
-            total[phrase] += n
+        for phrases, k, counts in c.mine(shard, [full, full], tries=tries):
+            assert all(len(p.split(b" ")) == k for p in phrases)
+            for phrase, n in zip(phrases, counts.tolist(), strict=True):
+                total[phrase] += n
     return total
 
 
@@ -88,12 +90,20 @@ def test_stretches_lose_and_repeat_nothing(size):
 def test_bitmaps():
     rng = np.random.default_rng(1)
     ids = rng.integers(-1, 4, 3000)
-    maps = c.Bitmaps(ids, 4)
-    at = lambda m: [int(b) * 64 + i for b, x in zip(*m, strict=True) for i in range(64) if int(x) >> i & 1]
+    maps = c.Bitmaps.of_words(ids, 4)
+
+    def at(m, w):
+        a, b = m.of[w], m.of[w + 1]
+        return [int(k % m.span) * 64 + i for k, x in zip(m.keys[a:b], m.bits[a:b], strict=True) for i in range(64) if int(x) >> i & 1]
+
+    moved = c.Bitmaps(*c.shifted(maps.keys, maps.bits), maps.span, 4)
+    cut = maps.chosen(np.array([2, 0]), 1000)
     for w in range(4):
-        assert at(maps[w]) == np.flatnonzero(ids == w).tolist()
-        assert at(c.shifted(*maps[w])) == (np.flatnonzero(ids == w) + 1).tolist()
-    assert at(c.both(c.shifted(*maps[0]), maps[1])) == [i for i in range(1, 3000) if ids[i - 1] == 0 and ids[i] == 1]
+        assert at(maps, w) == np.flatnonzero(ids == w).tolist()
+        assert at(moved, w) == (np.flatnonzero(ids == w) + 1).tolist()
+    assert at(cut, 0) == np.flatnonzero(ids[:1000] == 2).tolist() and at(cut, 1) == np.flatnonzero(ids[:1000] == 0).tolist()
+    for m in (maps, c.Bitmaps.of_words(np.where(rng.random(3000) < 0.01, ids, -1), 4)):
+        assert (m.bits_at(m.keys // m.span, m.keys % m.span) == m.bits).all() and (m is maps) == (m.row >= 0).all()
 
 
 def test_prunes_only_what_cannot_be_frequent(spark):
