@@ -2,17 +2,24 @@
 
 A file is cut into byte ranges that tasks read side by side. A range starts at the first block and the first
 record that look right from there on; a reader goes on past its end until the record it has begun is complete.
+
+Where a region is asked for (option ``regions``, or filters on ref_id and pos) and the file has an index (``.bai``), only
+the blocks that may hold its records are read, in pieces that begin at records. Records come in Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
 import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .bgzf import Pushed, Region, block_at, blocks, file_size, inflate, open_file, pieces, read_alignment_index, regions_of
+
 SCHEMA = "read_id STRING, ref_id STRING, pos BIGINT, cigar STRING, is_reverse BOOLEAN, mapq INT, haplotype TINYINT, genome_id STRING, flag INT"
 #: With the option ``bases``: the read's bases and their qualities.
 BASES_SCHEMA = SCHEMA + ", seq STRING, qual BINARY"
@@ -21,25 +28,6 @@ _PAIRS = [a + b for a in "=ACMGRSVTWYHKDBN" for b in "=ACMGRSVTWYHKDBN"]
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 
 
-def block_at(data: bytes, at: int) -> int:
-    """Size of the compressed block that starts here, or 0."""
-    if data[at : at + 4] != b"\x1f\x8b\x08\x04" or at + 18 > len(data):
-        return 0
-    extra = struct.unpack_from("<H", data, at + 10)[0]
-    p, end = at + 12, at + 12 + extra
-    while p + 4 <= end and p + 6 <= len(data):
-        size = struct.unpack_from("<H", data, p + 2)[0]
-        if data[p : p + 2] == b"BC" and size == 2:
-            return struct.unpack_from("<H", data, p + 4)[0] + 1
-        p += 4 + size
-    return 0
-
-
-def inflate(data: bytes, at: int, size: int) -> bytes:
-    extra = struct.unpack_from("<H", data, at + 10)[0]
-    return zlib.decompress(data[at + 12 + extra : at + size - 8], -15)
-
-
 def looks_like_record(data: bytes, at: int, n_refs: int) -> int:
     """The place behind a plausible record, or 0."""
     if at + 36 > len(data):
@@ -85,26 +73,6 @@ def parse_header(data: bytes) -> tuple[list[tuple[str, int]], int]:
     return out, at
 
 
-def _place(path: str):
-    """The file system and path of a file: local, or any that a URI names and Arrow knows (s3, gs, abfs, hdfs)."""
-    from pyarrow import fs
-
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
-
-
-def open_file(path: str):
-    """A file to read from and to seek in."""
-    system, at = _place(path)
-    return system.open_input_file(at)
-
-
-def file_size(path: str) -> int:
-    system, at = _place(path)
-    return system.get_file_info(at).size
-
-
 def read_header(path: str) -> tuple[list[tuple[str, int]], int]:
     with open_file(path) as f:
         raw, plain, at = f.read(1 << 20), b"", 0
@@ -125,9 +93,19 @@ def read_header(path: str) -> tuple[list[tuple[str, int]], int]:
 
 @dataclass
 class Range(InputPartition):
+    """Bytes of a file, or the records between two virtual places; those of some regions where they are given."""
+
     path: str
     start: int
     end: int
+    virtual: bool = False
+    regions: tuple[Region, ...] | None = None
+
+
+#: Records of an Arrow batch.
+BATCH = 4096
+_TYPES = {"STRING": pa.string(), "BIGINT": pa.int64(), "BOOLEAN": pa.bool_(), "INT": pa.int32(), "TINYINT": pa.int8(), "BINARY": pa.binary()}
+_CONSUMES = re.compile(r"(\d+)[MDN=X]")
 
 
 class BamReader(DataSourceReader):
@@ -136,11 +114,91 @@ class BamReader(DataSourceReader):
         self.step = int(options.get("rangebytes", 32 << 20))
         self.genome = options.get("genome_id")
         self.bases = options.get("bases", "false").lower() == "true"
+        self.asked = regions_of(options["regions"]) if options.get("regions") else None
+        self.pushed = Pushed("ref_id", "pos", 0)
 
     def partitions(self) -> list[Range]:
-        return [Range(p, a, min(a + self.step, n)) for p in self.paths for n in [file_size(p)] for a in range(0, n, self.step)]
+        out = []
+        for path in self.paths:
+            names = [c for c, _ in read_header(path)[0]] if self.asked or self.pushed.contigs is not None or self.pushed.start or self.pushed.end < 1 << 29 else []
+            pushed = self.pushed.regions(names)
+            wanted = self.asked if pushed is None else pushed if self.asked is None else [
+                Region(a.contig, max(a.start, b.start), min(a.end, b.end)) for a in self.asked for b in pushed if a.contig == b.contig and max(a.start, b.start) < min(a.end, b.end)
+            ]
+            index = next((p for p in (f"{path}.bai", path.removesuffix(".bam") + ".bai") if file_size(p) is not None), None) if wanted is not None else None
+            asked = tuple(self.asked) if self.asked else None
+            if index is None:
+                size = file_size(path)
+                out += [Range(path, a, min(a + self.step, size), False, asked) for a in range(0, size, self.step)]
+                continue
+            contigs, by = read_alignment_index(index), {}
+            for r in wanted:
+                if r.contig in names:
+                    by.setdefault(names.index(r.contig), []).append(r)
+            for number, regions in by.items():
+                # chunks of several regions may share blocks; each record is read once
+                chunks: list[tuple[int, int]] = []
+                for a, b in sorted(c for r in regions for c in contigs[number].chunks(r.start, r.end)):
+                    if chunks and a <= chunks[-1][1]:
+                        chunks[-1] = (chunks[-1][0], max(b, chunks[-1][1]))
+                    else:
+                        chunks.append((a, b))
+                out += [Range(path, a, b, True, asked) for a, b in pieces(chunks, contigs[number].linear, self.step)]
+        return out
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there is nothing to read
+            return
+        fields = [f.split() for f in (BASES_SCHEMA if self.bases else SCHEMA).split(", ")]
+        rows: list[tuple] = []
+        for row in self._between(part) if part.virtual else self._range(part):
+            if part.regions is None or self._inside(row, part.regions):
+                rows.append(row)
+            if len(rows) == BATCH:
+                yield self._batch(rows, fields)
+                rows = []
+        if rows:
+            yield self._batch(rows, fields)
+
+    @staticmethod
+    def _batch(rows: list[tuple], fields: list[list[str]]) -> pa.RecordBatch:
+        columns = [pa.array(c, _TYPES[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+
+    @staticmethod
+    def _inside(row: tuple, regions: tuple[Region, ...]) -> bool:
+        """Whether an alignment overlaps a region."""
+        contig, start = row[1], row[2]
+        end = start + max(1, sum(map(int, _CONSUMES.findall(row[3]))))
+        return any(contig == r.contig and start < r.end and end > r.start for r in regions)
+
+    def _between(self, part: Range) -> Iterator[tuple]:
+        """Records from one virtual place up to another."""
+        names = [c for c, _ in read_header(part.path)[0]]
+        with open_file(part.path) as f:
+            plain, starts = b"", []  # where the blocks that are held begin: place in plain, offset in the file
+            p = -1
+            for offset, data in blocks(f, part.start >> 16, True):
+                if p < 0:
+                    p = part.start & 0xFFFF
+                else:
+                    plain, starts, p = plain[p:], [(a - p, o) for a, o in starts], 0
+                starts.append((len(plain), offset))
+                plain += data
+                while p + 4 <= len(plain):
+                    at, offset_ = next((a, o) for a, o in reversed(starts) if a <= p)
+                    if offset_ << 16 | p - at >= part.end:
+                        return
+                    length = struct.unpack_from("<i", plain, p)[0]
+                    if p + 4 + length > len(plain):
+                        break
+                    yield self._record(plain[p + 4 : p + 4 + length], names, part.path)
+                    p += 4 + length
+                if offset >= part.end >> 16 and not plain[p:]:
+                    return
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def _range(self, part: Range) -> Iterator[tuple]:
+        """Records that begin in a range of bytes."""
         contigs, first = read_header(part.path)
         names = [c for c, _ in contigs]
         with open_file(part.path) as f:
@@ -208,10 +266,21 @@ class BamReader(DataSourceReader):
         return (r[32 : 31 + name].decode(), names[ref] if ref >= 0 else None, pos, cigar, bool(flag & 16), mapq, haplotype(tags), self.genome or path.rsplit("/", 1)[-1], flag, *more)
 
 
+class PushedBamReader(BamReader):
+    """Takes filters as well; Spark refuses such a reader unless pushing is enabled."""
+
+    def pushFilters(self, filters: list) -> Iterable:  # noqa: N802
+        """Filters narrow what is read; Spark applies them once more, as a piece has records beside those."""
+        for f in filters:
+            self.pushed.take(f)
+            yield f
+
+
 class BamSource(DataSource):
     """``spark.dataSource.register(BamSource)``; then ``spark.read.format("bam").load("a.bam,b.bam")``.
 
-    Options: rangebytes, genome_id, bases. Paths are local, or URIs of a store that Arrow opens;
+    Options: rangebytes, genome_id, bases, regions (``chr1:101-200,chr2``: alignments that overlap them), pushdown (filters
+    on ref_id and pos narrow what is read; needs ``spark.sql.python.filterPushdown.enabled``). Paths are local, or URIs of a store that Arrow opens;
     executors read their ranges themselves.
     """
 
@@ -223,4 +292,13 @@ class BamSource(DataSource):
         return BASES_SCHEMA if dict(self.options).get("bases", "false").lower() == "true" else SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader(dict(self.options))
+        options = dict(self.options)
+        return (PushedBamReader if options.get("pushdown", "false").lower() == "true" else BamReader)(options)
+
+
+def read_bam(spark, paths: str, regions: str | None = None, bases: bool = False, **options) -> DataFrame:
+    """Alignments of files (comma separated), or of some regions of them; filters are pushed where the session allows it."""
+    spark.dataSource.register(BamSource)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    given = {"bases": str(bases).lower(), "pushdown": pushes} | ({"regions": regions} if regions else {}) | {k: str(v) for k, v in options.items()}
+    return spark.read.format("bam").options(**given).load(paths)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,8 @@ from pyspark.sql import types as T
 from strandloom.functions.contigs import karyotypic
 from strandloom.schemas import CENTROMERES, GENES, VARIANTS
 
+from . import vcf
+
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
     """A headerless text table; an empty file is an empty table."""
@@ -49,13 +54,24 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType(kinds)).option("sep", "\t").option("comment", "#").csv(path)
 
 
-def read_vcf(spark: SparkSession, path: str, passed: bool = True) -> DataFrame:
-    """Variants of the first sample; plain text or gzip. The filter column is pushed no further than the split."""
+def read_vcf(spark: SparkSession, path: str, passed: bool = True, regions: str | None = None) -> DataFrame:
+    """Variants of the first sample, of all contigs or of some regions (``chr1:101-200,chr2``).
+
+    A file of compressed blocks is read in ranges side by side, and by its index where there is one; other gzip
+    files are one task, plain text is split as Spark does.
+    """
+    if "," not in path and vcf.bgzf.is_blocks(path):
+        out = vcf.read_blocks(spark, path, regions)
+        return out.where(F.col("filter").isin("PASS", ".")) if passed else out
     cells = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     at = lambda i: F.try_element_at(cells, F.lit(i + 1))
     out = rows.select(at(0).alias("chr"), at(1).cast("long").alias("pos"), at(2).alias("id"), at(3).alias("ref"), at(4).alias("alt"), at(5).try_cast("double").alias("qual"), at(6).alias("filter"), at(7).alias("info"), at(8).alias("format"), at(9).alias("sample"))
     assert [f.split()[0] for f in VARIANTS.split(", ")] == out.columns
+    if regions:
+        end = F.col("pos") - 1 + F.length("ref")
+        spans = [(F.col("chr") == r.contig) & (F.col("pos") <= r.end) & (end > r.start) for r in vcf.bgzf.regions_of(regions)]
+        out = out.where(reduce(or_, spans))
     return out.where(F.col("filter").isin("PASS", ".")) if passed else out
 
 

@@ -275,3 +275,164 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "len.tsv").write_text(f"1\t{LENGTH}\n")
     with pytest.raises(SystemExit, match="name contigs"):
         cli.main(["hapcorrect", *common], spark)
+
+
+def index_bam(path, names=("chr1", "chr2")):
+    """An index made record by record, from the file alone."""
+    from strandloom.sources import bgzf
+
+    contigs = [bgzf.ContigIndex() for _ in names]
+    with open(path, "rb") as f:
+        placed = [(o, i) for o, data in bgzf.blocks(f, 0, True) for i in range(len(data))]
+        f.seek(0)
+        plain = b"".join(data for _, data in bgzf.blocks(f, 0, True))
+    at = bam.parse_header(plain)[1]
+    virtual = lambda i: placed[i][0] << 16 | placed[i][1] if i < len(placed) else (placed[-1][0] + 1 << 16)
+    while at < len(plain):
+        size, ref, pos, name, _, _, ops = struct.unpack_from("<iiiBBHH", plain, at)
+        cigar = struct.unpack_from(f"<{ops}I", plain, at + 36 + name)
+        end = pos + sum(v >> 4 for v in cigar if v & 15 in (0, 2, 3, 7, 8))
+        contigs[ref].add(pos, end, virtual(at), virtual(at + 4 + size))
+        at += 4 + size
+    with open(path + ".bai", "wb") as f:
+        f.write(bgzf.alignment_index(contigs))
+
+
+@pytest.mark.parametrize("step", [1 << 25, 2000])
+def test_a_region_reads_only_its_blocks(spark, tmp_path, monkeypatch, step):
+    rng = random.Random(5)
+    placed = sorted((rng.randrange(2), rng.randrange(2_500_000), rng.randint(50, 40_000)) for _ in range(3000))
+    path = str(tmp_path / "a.bam")
+    write_bam(path, [record(f"r{i}", c, p, [(n // 2, "M"), (n // 2, "N"), (1, "M")]) for i, (c, p, n) in enumerate(placed)])
+    index_bam(path)
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            data = self.f.read(n)
+            read.append(len(data))
+            return data
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    monkeypatch.setattr(bam, "open_file", lambda p: Counted(open(p, "rb")))
+    for region, (c, a, b) in {"chr1:1000001-1050000": (0, 1_000_000, 1_050_000), "chr2:2400001-2500000": (1, 2_400_000, 2_500_000), "chr2:1-10": (1, 0, 10)}.items():
+        want = sorted(f"r{i}" for i, (k, p, n) in enumerate(placed) if k == c and p < b and p + n // 2 * 2 + 1 > a)
+        read.clear()
+        reader = bam.BamReader({"path": path, "regions": region, "rangebytes": str(step)})
+        parts = reader.partitions()
+        got = sorted(x for part in parts for batch in reader.read(part) for x in batch.column(0).to_pylist())
+        assert got == want and all(p.virtual for p in parts)
+        size = (tmp_path / "a.bam").stat().st_size
+        headers = 1 + len(parts)
+        assert sum(read) - headers * (1 << 20) < 0.25 * size + len(parts) * (1 << 18)
+    spark.dataSource.register(bam.BamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = bam.read_bam(spark, path, rangebytes=step).where("ref_id = 'chr2' AND pos >= 1000000 AND pos < 1200000")
+    pushed = bam.PushedBamReader({"path": path, "rangebytes": str(step)})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    assert len(list(pushed.pushFilters([EqualTo(("ref_id",), "chr2"), GreaterThan(("pos",), 2_000_000)]))) == 2 and all(p.virtual for p in pushed.partitions())
+    assert sorted(r.read_id for r in df.collect()) == sorted(f"r{i}" for i, (k, p, _) in enumerate(placed) if k == 1 and 1_000_000 <= p < 1_200_000)
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    both = bam.read_bam(spark, path, "chr1:1-300000,chr1:200001-400000,chr3")
+    assert sorted(r.read_id for r in both.collect()) == sorted(f"r{i}" for i, (k, p, _) in enumerate(placed) if k == 0 and p < 400_000)
+    (tmp_path / "a.bam.bai").unlink()
+    assert both.count() == sum(k == 0 and p < 400_000 for k, p, _ in placed)
+
+
+def test_bins_and_regions():
+    from strandloom.sources import bgzf
+
+    rng = random.Random(2)
+    for _ in range(2000):
+        a = rng.randrange(1 << 28)
+        b = a + rng.choice([1, 100, 20_000, 5_000_000])
+        lo = rng.randrange(1 << 28)
+        hi = lo + rng.choice([1, 50_000, 10_000_000])
+        if a < hi and b > lo:
+            assert bgzf.bin_of(a, b) in bgzf.bins_over(lo, hi)
+    assert bgzf.bin_of(0, 1) == 4681 and bgzf.bin_of(0, 1 << 29) == 0 and bgzf.bins_over(0, 1) == [4681, 585, 73, 9, 1, 0]
+    assert bgzf.regions_of("chr1:101-200,chr2") == [bgzf.Region("chr1", 100, 200), bgzf.Region("chr2")]
+
+
+def variants_of(n, seed=1):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["chr1", "chr2", "chr10", "chrX"]), rng.randint(1, 900_000), ".", "A" * rng.choice([1, 1, 30]), "G", rng.choice([None, 30.0, 7.5]), "PASS", "." if rng.random() < 0.9 else "X" * 70_000 * (rng.random() < 0.02) or "DP=3", "GT:PS:AD", f"0|1:{i}:3") for i in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize("step", [1 << 25, 5000, 700])
+def test_blocks_of_variants_come_back(spark, tmp_path, step):
+    from strandloom.sources import bgzf, vcf
+
+    rows = variants_of(2500)
+    path = str(tmp_path / "a.vcf.gz")
+    df = spark.createDataFrame(rows, schemas.VARIANTS)
+    vcf.write_blocks(df, path, ["##fileformat=VCFv4.2", "##note=" + "y" * 100_000], partitions=5)
+    text = gzip.decompress((tmp_path / "a.vcf.gz").read_bytes()).decode()
+    places = [("chr1 chr2 chr10 chrX".split().index(line.split("\t")[0]), int(line.split("\t")[1])) for line in text.splitlines() if line[0] != "#"]
+    assert places == sorted(places) and len(places) == len(rows) and text.startswith("##fileformat") and sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["a.vcf.gz", "a.vcf.gz.tbi"]
+    back = vcf.read_blocks(spark, path, rangebytes=step)
+    plain = lambda x: sorted(map(repr, map(tuple, x)))
+    assert plain(back.collect()) == plain(rows) and (step > 5000 or back.rdd.getNumPartitions() > 3)
+    assert tables.read_vcf(spark, path).count() == len(rows)
+    # split at any byte of the file, every line is read once
+    with bgzf.open_file(path) as f:
+        size = bgzf.file_size(path)
+        want = text.encode().split(b"\n")[:-1]
+        for cut in random.Random(step).sample(range(1, size), 12):
+            assert [*vcf.lines_from(f, vcf.Lines(path, 0, cut)), *vcf.lines_from(f, vcf.Lines(path, cut, size))] == want, cut
+    for region in ("chr2:1000-200000", "chr10:500000-500100,chr10:500050-900000,chrX", "chr1:1-1", "chr7"):
+        spans = bgzf.regions_of(region)
+        expected = [r for r in rows if any(r[0] == s.contig and r[1] - 1 < s.end and r[1] - 1 + len(r[3]) > s.start for s in spans)]
+        got = vcf.read_blocks(spark, path, region, rangebytes=step)
+        assert plain(got.collect()) == plain(expected)
+        assert plain(tables.read_vcf(spark, path, regions=region).collect()) == plain(expected)
+    reader = vcf.VcfReader({"path": path, "regions": "chr2:1000-2000"})
+    assert all(p.virtual for p in reader.partitions()) and sum((p.end >> 16) - (p.start >> 16) for p in reader.partitions()) < 0.4 * size
+    short = vcf.read_blocks(spark, path, fields="PS,GT", sample="Sample")
+    assert short.columns == [*vcf.FIXED, "PS", "GT"] and {r.PS for r in short.collect()} == {str(i) for i in range(2500)}
+
+
+def test_a_repeated_task_leaves_one_copy(tmp_path):
+    import pyarrow as pa
+
+    from strandloom.sources import bgzf, vcf
+
+    path = str(tmp_path / "a.vcf.gz")
+    writer = vcf.VcfWriter({"path": path, "header": "##x\n"})
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(["chr1"] * (b - a)), pa.array(list(range(a, b))), pa.array([x + 1 for x in range(a, b)]), pa.array([f"chr1\t{x + 1}\t.\tA\tC" for x in range(a, b)])], ["chr", "start", "end", "value"])
+
+    def broken():
+        yield batch(0, 50)
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        writer.write(broken())
+    first, again = writer.write(iter([batch(0, 60), batch(60, 100)])), writer.write(iter([batch(100, 130)]))
+    writer.write(iter([batch(0, 100)]))  # an attempt that nobody reports
+    again.partition = 1
+    writer.commit([again, first, None])
+    lines = gzip.decompress((tmp_path / "a.vcf.gz").read_bytes()).decode().splitlines()
+    assert [int(x.split("\t")[1]) for x in lines[1:]] == list(range(1, 131))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.vcf.gz", "a.vcf.gz.tbi"]
+    index = bgzf.read_text_index(path + ".tbi")["chr1"]
+    assert index.chunks(120, 121) and not bgzf.ContigIndex().chunks(0, 5)
+    other = vcf.VcfWriter({"path": path, "header": ""})
+    other.write(iter([batch(0, 5)]))
+    other.abort([])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.vcf.gz", "a.vcf.gz.tbi"]
+    empty = vcf.VcfWriter({"path": str(tmp_path / "b.vcf.gz"), "header": "##x\n"})
+    empty.commit([empty.write(iter([]))])
+    assert gzip.decompress((tmp_path / "b.vcf.gz").read_bytes()) == b"##x\n"
