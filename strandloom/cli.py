@@ -13,7 +13,7 @@ from strandloom.functions import scalar
 from strandloom.operators import breakpoints, loh, profile, snps, sync
 from strandloom.operators import copynumber as cn
 from strandloom.plans import cna, hapcorrect
-from strandloom.sources import bam, plots, sinks, tables
+from strandloom.sources import bam, plots, sinks, tables, vcf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,6 +26,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--vcf", help="phased variants (plain or gzip)")
     p.add_argument("--base-counts", help="table of chr, start, a, c, g, t at heterozygous SNPs, comma separated")
     p.add_argument("--bam", help="alignments to count bases in, instead of --base-counts; comma separated")
+    p.add_argument("--histogram-coverage", action="store_true", help="depths of bins and blocks from the alignments (--bam), not from SNPs")
+    p.add_argument("--min-mapping-quality", type=int, default=5, help="of reads that count for depths")
+    p.add_argument("--max-read-error", type=float, default=0.1, help="of reads that count for depths")
+    p.add_argument("--min-aligned-length", type=int, default=1000, help="of reads that count for depths")
+    p.add_argument("--regions", help="contigs or spans (chr1:1-1000000,chr2) of variants and alignments to read")
+    p.add_argument("--compress-vcf", action="store_true", help="write re-phased variants in compressed blocks with an index")
     p.add_argument("--tumor-only", action="store_true", help="the variants are the tumor's: look for lost heterozygosity")
     p.add_argument("--breakpoints", help="VCF of structural variants")
     p.add_argument("--profile", help="copy-number profile for sync")
@@ -72,9 +78,7 @@ def base_counts(spark: SparkSession, args, positions: DataFrame) -> DataFrame:
     """Base counts at positions (chr, start): from a table, or from the alignments."""
     if args.base_counts:
         return tables.read_table(spark, args.base_counts, schemas.ACGT_COUNTS, ",")
-    spark.dataSource.register(bam.BamSource)
-    reads = spark.read.format("bam").option("bases", "true").load(args.bam)
-    return snps.count_bases(snps.pileup(reads, positions))
+    return snps.count_bases(snps.pileup(bam.read_bam(spark, args.bam, args.regions, bases=True), positions))
 
 
 def _genes(spark: SparkSession, args) -> DataFrame | None:
@@ -93,20 +97,28 @@ def _check_naming(*frames: DataFrame) -> None:
 
 
 def run_hapcorrect(spark: SparkSession, args) -> None:
-    variants = tables.read_vcf(spark, args.vcf)
+    variants = tables.read_vcf(spark, args.vcf, regions=args.regions)
+    if args.histogram_coverage and not args.bam:
+        raise SystemExit("--histogram-coverage needs --bam")
     contigs, centromeres, genes = _contigs(spark, args), _centromeres(spark, args), _genes(spark, args)
     _check_naming(variants, tables.read_table(spark, args.contig_lengths, schemas.CONTIGS), *([centromeres] if args.centromeres else []), *([genes] if genes is not None else []))
     header = tables.vcf_header(spark, args.vcf)
     het = tables.het_snps(variants)
     freqs = snps.frequencies(het, base_counts(spark, args, het.select("chr", "start")))
     zygosity = tables.loh_snps(variants, tables.frequency_field(header)) if args.tumor_only else None
-    settings = hapcorrect.Settings(args.bin_size, args.bin_size_snps, args.min_phaseblock, args.hets_ratio, args.hets_loh_seg_size)
-    done = hapcorrect.run(freqs, tables.phaseset_positions(variants), contigs, centromeres, zygosity, settings=settings, genes=genes)
+    settings = hapcorrect.Settings(args.bin_size, args.bin_size_snps, args.min_phaseblock, args.hets_ratio, args.hets_loh_seg_size, args.histogram_coverage)
+    # of a tumor alone the depth of lost regions comes from its reads
+    windows = hapcorrect.window_depths(bam.read_bam(spark, args.bam, args.regions), args.min_mapping_quality, args.max_read_error, args.min_aligned_length) if args.bam and (args.histogram_coverage or args.tumor_only) else None
+    done = hapcorrect.run(freqs, tables.phaseset_positions(variants), contigs, centromeres, zygosity, windows, settings, genes)
     for name in ("bins", "blocks", "original_blocks", "loh", "flips", "raw_bins", "genes"):
         getattr(done, name).write.mode("overwrite").parquet(f"{args.out}/{name}")
     sinks.write_table(done.bins, f"{args.out}/phase_corrected_coverage")
     sinks.write_table(done.blocks, f"{args.out}/coverage_ps")
-    sinks.write_variants(hapcorrect.rephased(tables.read_vcf(spark, args.vcf, False), done, settings), f"{args.out}/rephased.vcf", header, args.genome_name)
+    new = hapcorrect.rephased(tables.read_vcf(spark, args.vcf, False, args.regions), done, settings)
+    if args.compress_vcf:
+        vcf.write_blocks(new, f"{args.out}/rephased.vcf.gz", sinks.with_phase_sets(header), args.genome_name)
+    else:
+        sinks.write_variants(new, f"{args.out}/rephased.vcf", header, args.genome_name)
     offsets = ct.with_offsets(contigs)
     for name, shown in (("coverage_before", done.raw_bins), ("coverage_after", done.bins)):
         plots.write_genome(f"{args.out}/{name}.svg", offsets, shown, ("hp1", "hp2"), done.blocks, {"hp1": "hp1", "hp2": "hp2"}, title=f"{args.genome_name}: {name.replace('_', ' ')}")

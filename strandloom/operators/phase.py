@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
+from strandloom.functions.lineage import checkpoint
 from strandloom.functions.scalar import bin_index, has_imbalance
+from strandloom.operators.coverage import index_medians
 
 
 def block_extents(positions: DataFrame) -> DataFrame:
@@ -222,15 +224,46 @@ def align_inside(bins: DataFrame, blocks: DataFrame) -> DataFrame:
     return swapped(rows, F.coalesce(wrong, F.lit(False))).drop("__hp")
 
 
-def align_blockless(bins: DataFrame, blocks: DataFrame, size: int, least: int = 2) -> DataFrame:
-    """Bins in gaps of more than ``least`` bins are swapped if that brings them closer to both neighbouring blocks."""
+def blockless(bins: DataFrame, blocks: DataFrame, size: int, least: int = 2) -> DataFrame:
+    """Stretches of more than ``least`` bins without a block: before the first block of a contig, between two, behind the
+    last one; with the values of the blocks on the left and right (null at the ends) and their own medians.
+
+    A contig with a single block has none at its ends, one without blocks none at all.
+    """
     order = Window.partitionBy("chr").orderBy("start", "end")
-    around = blocks.select("chr", F.col("end").alias("from"), F.lead("start").over(order).alias("to"), F.struct("hp1", "hp2").alias("left"), F.lead(F.struct("hp1", "hp2")).over(order).alias("right"))
-    wide = around.where(F.col("to") - F.col("from") > least * size).select("chr", (F.col("from") + 1).alias("start"), (F.col("to") - 1).alias("end"), "left", "right")
-    far = lambda side, a, b: F.abs(F.col(a) - F.col(f"r_{side}.hp1")) + F.abs(F.col(b) - F.col(f"r_{side}.hp2"))
-    closer = (far("left", "hp2", "hp1") < far("left", "hp1", "hp2")) & (far("right", "hp2", "hp1") < far("right", "hp1", "hp2"))
-    hit = iv.point_join(bins.withColumn("pos", F.col("start")), wide).where(closer).select("chr", "start", F.lit(True).alias("__swap")).distinct()
-    rows = bins.join(hit, ["chr", "start"], "left")
+    value = F.struct("hp1", "hp2")
+    none = F.lit(None).cast("struct<hp1:double,hp2:double>")
+    rows = blocks.select("chr", "start", "end", value.alias("value"), F.lead("start").over(order).alias("next"), F.lead(value).over(order).alias("right"))
+    inner = rows.where(F.col("next") - F.col("end") > least * size).select("chr", (F.col("end") + 1).alias("start"), (F.col("next") - 1).alias("end"), F.col("value").alias("left"), "right")
+    along = F.struct("start", "end", value.alias("value"))
+    ends = blocks.groupBy("chr").agg(F.count("*").alias("n"), F.min(along).alias("first"), F.max(along).alias("last")).where("n > 1")
+    ends = ends.join(bins.groupBy("chr").agg(F.min("start").alias("from"), F.max("start").alias("to")), "chr")
+    head = ends.where((F.col("first.start") > F.col("from") + size) & (F.col("first.start") - F.col("from") > least * size)).select("chr", F.col("from").alias("start"), (F.col("first.start") - 1).alias("end"), none.alias("left"), F.col("first.value").alias("right"))
+    tail = ends.where(F.col("to") - F.col("last.end") > least * size).select("chr", (F.col("last.end") + 1).alias("start"), F.col("to").alias("end"), F.col("last.value").alias("left"), none.alias("right"))
+    gaps = checkpoint(inner.unionByName(head).unionByName(tail))
+    return gaps.join(index_medians(bins, gaps, size), ["chr", "start", "end"])
+
+
+def align_blockless(bins: DataFrame, blocks: DataFrame, size: int, least: int = 2, lost: DataFrame | None = None) -> DataFrame:
+    """Stretches without a block (see ``blockless``) are swapped as a whole where their medians ask for it.
+
+    Between two blocks: the blocks have the same larger haplotype and the stretch the other one, or both blocks' first
+    haplotype is nearer to the stretch's second one than to its first. At a contig's end: the larger haplotype is not
+    that of the only neighbour; there bins in lost regions (chr, start, end) stay.
+    """
+    larger = lambda a, b: F.signum(a - b)
+    left, right, own = (larger(F.col(f"{x}hp1"), F.col(f"{x}hp2")) for x in ("left.", "right.", ""))
+    far = lambda side: F.abs(F.col(f"{side}.hp1") - F.col("hp2")) < F.abs(F.col(f"{side}.hp1") - F.col("hp1"))
+    against = (left == right) & (left != 0) & (own == -left)
+    inner = F.col("left").isNotNull() & F.col("right").isNotNull()
+    only = F.coalesce(left, right)
+    swap = F.when(inner, against | (far("left") & far("right"))).otherwise((only != 0) & (own == -only))
+    turned = blockless(bins, blocks, size, least).where(swap).select("chr", "start", "end", (~inner).alias("outer"))
+    hit = iv.point_join(bins.select("chr", F.col("start").alias("pos")), turned).select("chr", F.col("pos").alias("start"), F.col("r_outer").alias("outer"))
+    if lost is not None:
+        held = iv.point_join(bins.select("chr", F.col("start").alias("pos")), lost.select("chr", "start", "end")).select("chr", F.col("pos").alias("start"), F.lit(True).alias("outer")).distinct()
+        hit = hit.join(held, ["chr", "start", "outer"], "left_anti")
+    rows = bins.join(hit.select("chr", "start", F.lit(True).alias("__swap")).distinct(), ["chr", "start"], "left")
     return swapped(rows, F.coalesce(F.col("__swap"), F.lit(False))).drop("__swap")
 
 

@@ -88,6 +88,15 @@ def bin_coverage(spark, sf_dir):
     return cov.bin_coverage(hist, iv.fixed_bins(v.contigs(spark, sf_dir), B))
 
 
+@query(""", h AS (SELECT hp, chr, win, count(*) AS depth FROM read, unnest(generate_series("start" // 500, "end" // 500)) AS u(win) GROUP BY 1, 2, 3), w AS (SELECT DISTINCT chr, "start" AS s, "end" AS e FROM gene),
+x AS (SELECT w.chr, s, e, hp, sum(depth) AS d FROM w JOIN h ON w.chr = h.chr AND h.win BETWEEN s // 500 AND e // 500 GROUP BY 1, 2, 3, 4)
+SELECT w.chr, w.s AS "start", w.e AS "end", """ + ", ".join(f"round_even(CAST(coalesce(max(CASE WHEN hp = {k} THEN d END), 0) AS DOUBLE) / (w.e // 500 - w.s // 500 + 1), 2) AS {c}" for k, c in ((1, "hp1"), (2, "hp2"), (0, "hp3"))) + " FROM w LEFT JOIN x ON w.chr = x.chr AND w.s = x.s AND w.e = x.e GROUP BY 1, 2, 3")
+def block_coverage(spark, sf_dir):
+    """Depths of blocks (genes stand for them) from the same windows as those of bins."""
+    hist = cov.histogram(v.read(spark, sf_dir), ("hp", "chr"))
+    return cov.bin_coverage(hist, v.gene(spark, sf_dir).select("chr", "start", "end").distinct())
+
+
 @query("""SELECT rid, count(*) AS kept, CAST(sum("end" - "start") AS BIGINT) AS aligned FROM (SELECT *, row_number() OVER (PARTITION BY rid, "start" ORDER BY chr, "end", hp) AS k FROM read) WHERE k = 1 GROUP BY rid HAVING count(*) <= 10""")
 def read_dedup(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("rid", "start").orderBy("chr", "end", "hp"))
@@ -292,9 +301,10 @@ def run_merge(spark, sf_dir):
     return segments.merge_runs(rows).select("chr", "start", "end", _r("depth"), "state")
 
 
-@query("""SELECT chr, ord, len, (ord - 1) * len AS "offset" FROM contigs""")
+@query(""", e AS (SELECT chr, max("end") AS len FROM read GROUP BY chr), n AS (SELECT chr, CAST(replace(chr, 'chr', '') AS BIGINT) AS ord, len FROM e) SELECT chr, ord, len, CAST(sum(len) OVER (ORDER BY ord) - len AS BIGINT) AS "offset" FROM n""")
 def contig_offsets(spark, sf_dir):
-    return ct.with_offsets(v.contigs(spark, sf_dir)).select("chr", F.col("chr_ord").cast("long").alias("ord"), "len", "offset")
+    """Contigs as long as their reads reach."""
+    return ct.with_offsets(v.read(spark, sf_dir).groupBy("chr").agg(F.max("end").alias("len"))).select("chr", F.col("chr_ord").cast("long").alias("ord"), "len", "offset")
 
 
 # --- segments -----------------------------------------------------------------------------------------------
@@ -310,7 +320,7 @@ def first_in_bin(spark, sf_dir):
     return segments.first_in_bin(v.blk(spark, sf_dir).select("chr", F.col("start").alias("pos")), B)
 
 
-_POINTS = f""", p AS (SELECT chr, min("start") AS pos FROM blk WHERE "start" NOT BETWEEN 1000000 AND 1199999 GROUP BY chr, "start" // 300000 UNION SELECT chr, {v.LENGTH} FROM contigs UNION SELECT chr, "start" FROM cen UNION SELECT chr, "end" FROM cen),
+_POINTS = f""", p AS (SELECT chr, "start" AS pos FROM blk WHERE "start" > 0 AND "start" NOT BETWEEN 1000000 AND 1199999 UNION SELECT chr, {v.LENGTH} FROM contigs UNION SELECT chr, "start" FROM cen UNION SELECT chr, "end" FROM cen),
 q AS (SELECT chr, pos, pos - lag(pos) OVER (PARTITION BY chr ORDER BY pos) AS gap FROM p),
 c AS (SELECT chr, coalesce(lag(pos) OVER (PARTITION BY chr ORDER BY pos), 0) AS f, pos AS e FROM q WHERE (gap IS NULL OR gap <> 1) AND pos >= 2)"""
 
@@ -326,8 +336,8 @@ _CUTS = _POINTS + _seg("seg", "hp1")
 
 
 def _segments(spark, sf_dir, value="hp1"):
-    """Segments between the first block start of every 300 kb."""
-    points = v.blk(spark, sf_dir).where("start NOT BETWEEN 1000000 AND 1199999").groupBy("chr", F.floor(F.col("start") / 300_000)).agg(F.min("start").alias("pos")).select("chr", "pos")
+    """Segments between all block starts."""
+    points = v.blk(spark, sf_dir).where("start > 0 AND start NOT BETWEEN 1000000 AND 1199999").select("chr", F.col("start").alias("pos")).distinct()
     cen = v.centromeres(spark, sf_dir)
     points = points.union(v.contigs(spark, sf_dir).select("chr", F.col("len").alias("pos"))).union(cen.select("chr", F.explode(F.array("start", "end"))))
     return segments.cut_segments(v.bins(spark, sf_dir).select("chr", "start", F.col(value).alias("value")), points, B, cen.select("chr", "end"))
@@ -925,13 +935,20 @@ def blocks_without_loh(spark, sf_dir):
     return phase.without_loh(_blocks(spark, sf_dir).select("chr", "start", "end"), v.centromeres(spark, sf_dir))
 
 
-@query(_BLOCKS + """, s AS (SELECT chr, "start", "start" + 10000 AS "end", hp1, hp2 FROM b), l AS (SELECT chr, "end" + 1 AS f, lead("start") OVER w - 1 AS t, "end" AS e, lead("start") OVER w AS n, hp1 AS a1, hp2 AS a2, lead(hp1) OVER w AS b1, lead(hp2) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY chr ORDER BY "start")),
-gg AS (SELECT * FROM l WHERE n - e > 50000)
-SELECT bins.chr, bins."start", CASE WHEN gg.chr IS NULL THEN hp1 ELSE hp2 END AS hp1, CASE WHEN gg.chr IS NULL THEN hp2 ELSE hp1 END AS hp2 FROM bins LEFT JOIN gg ON gg.chr = bins.chr AND bins."start" BETWEEN f AND t
-AND abs(hp2 - a1) + abs(hp1 - a2) < abs(hp1 - a1) + abs(hp2 - a2) AND abs(hp2 - b1) + abs(hp1 - b2) < abs(hp1 - b1) + abs(hp2 - b2)""")
+@query(_BLOCKS + f""", s AS (SELECT chr, "start" + 250000 AS "start", "start" + 260000 AS "end", hp1, hp2 FROM b),
+o AS (SELECT *, lead("start") OVER w AS n, lead(hp1) OVER w AS n1, lead(hp2) OVER w AS n2, row_number() OVER w AS i, count(*) OVER (PARTITION BY chr) AS c FROM s WINDOW w AS (PARTITION BY chr ORDER BY "start")),
+gp AS (SELECT chr, "end" + 1 AS f, n - 1 AS t, hp1 AS l1, hp2 AS l2, n1 AS r1, n2 AS r2 FROM o WHERE n - "end" > {B} UNION ALL SELECT chr, 0, "start" - 1, NULL, NULL, hp1, hp2 FROM o WHERE i = 1 AND c > 1 AND "start" > {B}
+  UNION ALL SELECT chr, "end" + 1, {v.LENGTH - B}, hp1, hp2, NULL, NULL FROM o WHERE i = c AND c > 1 AND {v.LENGTH - B} - "end" > {B}),
+gm AS (SELECT gp.chr, f, t, max(l1) AS l1, max(l2) AS l2, max(r1) AS r1, max(r2) AS r2, coalesce(median(CASE WHEN hp1 <> 0 THEN hp1 END), 0) AS m1, coalesce(median(CASE WHEN hp2 <> 0 THEN hp2 END), 0) AS m2
+  FROM gp LEFT JOIN bins ON bins.chr = gp.chr AND bins."start" // {B} >= f // {B} AND bins."start" // {B} < t // {B} GROUP BY gp.chr, f, t),
+sw AS (SELECT chr, f, t, l1 IS NULL OR r1 IS NULL AS at_end FROM gm WHERE CASE WHEN l1 IS NOT NULL AND r1 IS NOT NULL THEN (sign(l1 - l2) = sign(r1 - r2) AND l1 <> l2 AND sign(m1 - m2) = -sign(l1 - l2)) OR (abs(l1 - m2) < abs(l1 - m1) AND abs(r1 - m2) < abs(r1 - m1))
+  ELSE coalesce(l1, r1) <> coalesce(l2, r2) AND sign(m1 - m2) = -sign(coalesce(l1, r1) - coalesce(l2, r2)) END),
+hit AS (SELECT DISTINCT bins.chr, bins."start" FROM bins JOIN sw ON sw.chr = bins.chr AND bins."start" BETWEEN f AND t WHERE NOT (at_end AND EXISTS (SELECT 1 FROM gene WHERE gene.chr = bins.chr AND bins."start" BETWEEN gene."start" AND gene."end")))
+SELECT bins.chr, bins."start", CASE WHEN hit.chr IS NULL THEN hp1 ELSE hp2 END AS hp1, CASE WHEN hit.chr IS NULL THEN hp2 ELSE hp1 END AS hp2 FROM bins LEFT JOIN hit ON hit.chr = bins.chr AND hit."start" = bins."start\"""")
 def align_blockless(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir).withColumn("end", F.col("start") + 10_000)
-    return phase.align_blockless(v.bins(spark, sf_dir), blocks, B, 1).select("chr", "start", "hp1", "hp2")
+    """Stretches between blocks and at both ends of contigs; genes stand for lost regions."""
+    blocks = _blocks(spark, sf_dir).withColumns({"start": F.col("start") + 250_000, "end": F.col("start") + 260_000})
+    return phase.align_blockless(v.bins(spark, sf_dir), blocks, B, 1, v.gene(spark, sf_dir)).select("chr", "start", "hp1", "hp2")
 
 
 @query(_SYNC + """ SELECT snv.chr, snv.pos, CASE WHEN re.reason IS NULL AND re.f > re.k THEN '1|0' ELSE '0|1' END AS gt, snv.ps FROM snv JOIN re ON re.chr = snv.chr AND re.ps = snv.ps""")

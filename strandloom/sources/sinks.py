@@ -51,11 +51,15 @@ def write_vcf(records: DataFrame, path: str, contigs: dict[str, int], sample: st
     lines_with_header(records, vcf_header_lines(contigs, sample)).write.mode("overwrite").text(path)
 
 
+def with_phase_sets(header: list[str]) -> list[str]:
+    """Header lines that declare phase sets."""
+    declared = any(line.startswith("##FORMAT=<ID=PS,") for line in header)
+    return [*header] if declared else [*header, '##FORMAT=<ID=PS,Number=1,Type=Integer,Description="Phase set">']
+
+
 def write_variants(variants: DataFrame, path: str, header: list[str], sample: str = "Sample") -> None:
     """Variants (schema VARIANTS) as VCF under the header lines of the file they come from."""
-    lines = [*header]
-    if not any(line.startswith("##FORMAT=<ID=PS,") for line in lines):
-        lines.append('##FORMAT=<ID=PS,Number=1,Type=Integer,Description="Phase set">')
+    lines = with_phase_sets(header)
     names = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + sample
     rows = variants.withColumn("qual", F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit(".")))
     lines_with_header(rows, [*(lines or ["##fileformat=VCFv4.2"]), names]).write.mode("overwrite").text(path)
