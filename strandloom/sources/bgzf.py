@@ -146,9 +146,10 @@ class ContigIndex:
         else:
             chunks.append((first, last))
         window = max(start, end - 1) >> WINDOW
-        self.linear += [0] * (window + 1 - len(self.linear))
+        self.linear += [-1] * (window + 1 - len(self.linear))  # -1: no record yet; a part's first record is at 0
         for w in range(start >> WINDOW, window + 1):
-            self.linear[w] = self.linear[w] or first
+            if self.linear[w] < 0:
+                self.linear[w] = first
 
     def chunks(self, start: int, end: int) -> list[tuple[int, int]]:
         """Virtual places that hold all records of these bases, merged where one block ends the one and begins the next."""
@@ -168,9 +169,10 @@ class ContigIndex:
         """Takes in the index of what was written behind, moved on by some bytes."""
         for b, chunks in other.bins.items():
             self.bins.setdefault(b, []).extend((x + (by << 16), y + (by << 16)) for x, y in chunks)
-        self.linear += [0] * (len(other.linear) - len(self.linear))
+        self.linear += [-1] * (len(other.linear) - len(self.linear))
         for w, first in enumerate(other.linear):
-            self.linear[w] = self.linear[w] or (first and first + (by << 16))
+            if self.linear[w] < 0 <= first:
+                self.linear[w] = first + (by << 16)
 
 
 def _read_contigs(data: bytes, at: int, n: int) -> list[ContigIndex]:
@@ -198,8 +200,9 @@ def _written_contigs(contigs: list[ContigIndex]) -> bytes:
         for number, chunks in sorted(c.bins.items()):
             out.append(struct.pack(f"<Ii{2 * len(chunks)}Q", number, len(chunks), *(x for chunk in chunks for x in chunk)))
         linear = list(c.linear)
-        for w in range(1, len(linear)):  # a window without records has the offset of the one before
-            linear[w] = linear[w] or linear[w - 1]
+        for w, first in enumerate(linear):  # a window without records has the offset of the one before
+            if first < 0:
+                linear[w] = linear[w - 1] if w else 0
         out.append(struct.pack(f"<i{len(linear)}Q", len(linear), *linear))
     return b"".join(out)
 

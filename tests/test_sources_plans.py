@@ -1,6 +1,8 @@
 """Sources, sinks, the plans from end to end, streams and the command line, on generated files."""
 
+import bisect
 import gzip
+import itertools
 import random
 import struct
 import zlib
@@ -283,11 +285,15 @@ def index_bam(path, names=("chr1", "chr2")):
 
     contigs = [bgzf.ContigIndex() for _ in names]
     with open(path, "rb") as f:
-        placed = [(o, i) for o, data in bgzf.blocks(f, 0, True) for i in range(len(data))]
-        f.seek(0)
-        plain = b"".join(data for _, data in bgzf.blocks(f, 0, True))
+        found = list(bgzf.blocks(f, 0, True))
+    plain = b"".join(data for _, data in found)
+    begins = list(itertools.accumulate((len(data) for _, data in found), initial=0))
     at = bam.parse_header(plain)[1]
-    virtual = lambda i: placed[i][0] << 16 | placed[i][1] if i < len(placed) else (placed[-1][0] + 1 << 16)
+
+    def virtual(i):
+        k = bisect.bisect_right(begins, i) - 1
+        return found[k][0] << 16 | i - begins[k] if k < len(found) else found[-1][0] + 1 << 16
+
     while at < len(plain):
         size, ref, pos, name, _, _, ops = struct.unpack_from("<iiiBBHH", plain, at)
         cigar = struct.unpack_from(f"<{ops}I", plain, at + 36 + name)
@@ -393,7 +399,8 @@ def test_blocks_of_variants_come_back(spark, tmp_path, step):
         want = text.encode().split(b"\n")[:-1]
         for cut in random.Random(step).sample(range(1, size), 12):
             assert [*vcf.lines_from(f, vcf.Lines(path, 0, cut)), *vcf.lines_from(f, vcf.Lines(path, cut, size))] == want, cut
-    for region in ("chr2:1000-200000", "chr10:500000-500100,chr10:500050-900000,chrX", "chr1:1-1", "chr7"):
+    first = {c: min(r[1] for r in rows if r[0] == c) for c in ("chr1", "chr2", "chr10", "chrX")}
+    for region in (*(f"{c}:1-{p}" for c, p in first.items()), "chr2:1000-200000", "chr10:500000-500100,chr10:500050-900000,chrX", "chr1:1-1", "chr7"):
         spans = bgzf.regions_of(region)
         expected = [r for r in rows if any(r[0] == s.contig and r[1] - 1 < s.end and r[1] - 1 + len(r[3]) > s.start for s in spans)]
         got = vcf.read_blocks(spark, path, region, rangebytes=step)
@@ -436,3 +443,38 @@ def test_a_repeated_task_leaves_one_copy(tmp_path):
     empty = vcf.VcfWriter({"path": str(tmp_path / "b.vcf.gz"), "header": "##x\n"})
     empty.commit([empty.write(iter([]))])
     assert gzip.decompress((tmp_path / "b.vcf.gz").read_bytes()) == b"##x\n"
+
+
+def test_depth_from_alignments_reaches_the_plan(spark, tmp_path):
+    """Reads of both haplotypes and unphased ones give bins, blocks and lost regions their depth."""
+    records, lines, counts = [], ["##fileformat=VCFv4.2", '##FORMAT=<ID=VAF,Number=1,Type=Float,Description="x">'], []
+    spans = [(2000, "M"), *((40, "D"), (40, "M")) * 225]  # deletions below 50 bases do not split: 20,000 bases
+    for start in range(0, 2_900_000, 10_000):
+        for copy, hp in enumerate([1, 1, 2, None]):
+            records.append(record(f"r{start}-{copy}", 0, start, spans, hp=hp))
+        records.append(record(f"bad{start}", 0, start, spans, hp=1, mapq=1))
+    for pos in range(5_001, 2_990_000, 5_000):
+        lost = 1_000_000 <= pos < 2_400_000
+        lines.append(f"chr1\t{pos}\t.\tA\tC\t9\tPASS\t.\tGT:PS:VAF\t" + ("1/1:.:1.0" if lost else f"1|0:{5_001 if pos < 1_500_000 else 2_400_001}:0.5"))
+        counts.append(f"chr1,{pos},8,4,0,0")
+    path = str(tmp_path / "a.bam")
+    write_bam(path, records, 60_000)
+    index_bam(path)
+    for name, text in (("a.vcf", lines), ("counts.csv", counts), ("len.tsv", [f"chr1\t{LENGTH}"])):
+        (tmp_path / name).write_text("\n".join(text) + "\n")
+    at = lambda n: str(tmp_path / n)
+    common = ["hapcorrect", "--contig-lengths", at("len.tsv"), "--contigs", "chr1", "--vcf", at("a.vcf"), "--base-counts", at("counts.csv"), "--bam", path]
+    cli.main([*common, "--out", at("one"), "--histogram-coverage", "--compress-vcf", "--regions", "chr1"], spark)
+    raw = spark.read.parquet(at("one/raw_bins")).where("start BETWEEN 100000 AND 2800000")
+    low = raw.agg(*(F.min(c).alias(c) for c in ("hp1", "hp2", "hp3"))).first()
+    assert low.hp3 > 1.5 and low.hp2 > 1.5 and low.hp1 > 3.5 and raw.agg(F.max("hp1")).first()[0] < 5
+    assert spark.read.parquet(at("one/blocks")).where("hp1 > hp2 AND hp2 > 1").count() >= 1
+    assert tables.read_vcf(spark, at("one/rephased.vcf.gz"), regions="chr1:1-100000").count() == 19
+    # of a tumor alone: the lost region has the whole depth, unphased reads too
+    cli.main([*common, "--out", at("two"), "--tumor-only"], spark)
+    lost = spark.read.parquet(at("two/loh"))
+    assert lost.count() == 1
+    row = spark.read.parquet(at("two/bins")).where("start BETWEEN 1500000 AND 2000000").agg(F.min(F.greatest("hp1", "hp2")).alias("all")).first()
+    assert row["all"] > 7.5
+    with pytest.raises(SystemExit, match="needs --bam"):
+        cli.main([*common[:-2], "--out", at("three"), "--histogram-coverage"], spark)
