@@ -154,11 +154,11 @@ def contig_order(spark, sf_dir):
     return rows.select("chr", ct.chr_ord(F.col("chr")).cast("long").alias("ord"))
 
 
-@query("""SELECT DISTINCT chr, CAST(replace(chr, 'chr', '') AS BIGINT) AS place FROM blk WHERE CAST(replace(chr, 'chr', '') AS BIGINT) BETWEEN 3 AND 21""")
+@query("""SELECT DISTINCT chr, CAST(replace(chr, 'chr', '') AS BIGINT) AS place FROM blk""")
 def contig_list(spark, sf_dir):
     """The contigs of blocks that an expression names, with their places in it."""
-    names = ct.expand("chr3-21,chrX")
-    place = F.array_position(F.array(*map(F.lit, names)), F.col("chr")) + 2
+    names = ct.expand("chr1-22,chrX")
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("chr"))
     return v.blk(spark, sf_dir).where(F.col("chr").isin(names)).select("chr", place.cast("long").alias("place")).distinct()
 
 
