@@ -37,8 +37,8 @@ from .common import LOWER, bitmap, in_bitmap, map_batches, staged
 LONGEST, LEAST, TOP, COVERED = 5, 100, 2000, 100
 #: Words of the longest phrases that are counted by hash first; bits of a bitmap for each of them, up to 2 to the ``WIDEST``.
 KNOWN, BITS, WIDEST = 4, 256, 27
-#: Words that are tried at once after the phrases of a batch.
-TRIES = 1 << 20
+#: Words that are tried at once after the phrases of a batch, and blocks that are looked up at once for them.
+TRIES, LOOKUPS = 1 << 18, 1 << 19
 #: A bitmap with bits in more than this part of all blocks is kept plain.
 DENSE = 8
 #: Bytes of text in a shard.
@@ -234,13 +234,18 @@ def extended(batch: Batch, words_: Bitmaps, hashes: np.ndarray, bitmaps: list[np
     # the blocks of the shorter bitmap are looked up in the longer one
     own, other = moved.of[who + 1] - moved.of[who], words_.of[word + 1] - words_.of[word]
     found = []
-    for mine, theirs, number, counterpart, pick in ((moved, words_, who, word, own <= other), (words_, moved, word, who, own > other)):
-        pick = np.flatnonzero(pick)
-        i, place = spread(mine.of[number[pick]], mine.of[number[pick] + 1] - mine.of[number[pick]])
-        block = mine.keys[place] - number[pick][i] * mine.span
-        bits = mine.bits[place] & theirs.bits_at(counterpart[pick][i], block)
-        some = bits != 0
-        found.append((pick[i[some]] * places.span + block[some], bits[some]))
+    for mine, theirs, number, counterpart, picked in ((moved, words_, who, word, own <= other), (words_, moved, word, who, own > other)):
+        picked = np.flatnonzero(picked)
+        # a word has at most ``span`` blocks, so a slice has at most that many above LOOKUPS; what is found is at most
+        # a place for each word of the shard, as siblings share none
+        blocks = np.cumsum(np.minimum(own, other)[picked])
+        borders = np.searchsorted(blocks, np.arange(0, blocks[-1] if len(blocks) else 0, LOOKUPS), "left")
+        for pick in np.split(picked, borders[1:]):
+            i, place = spread(mine.of[number[pick]], mine.of[number[pick] + 1] - mine.of[number[pick]])
+            block = mine.keys[place] - number[pick][i] * mine.span
+            bits = mine.bits[place] & theirs.bits_at(counterpart[pick][i], block)
+            some = np.flatnonzero(bits)
+            found.append((pick[i[some]] * places.span + block[some], bits[some]))
     keys, bits = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(keys, kind="stable")
     both = Bitmaps(keys[order], bits[order], places.span, len(who))

@@ -87,6 +87,14 @@ def test_stretches_lose_and_repeat_nothing(size):
         assert counted(text, size) == want
 
 
+@pytest.mark.parametrize("lookups", [1, 2, 5, 1 << 19])
+def test_slices_of_lookups(monkeypatch, lookups):
+    text = " ".join(sentences(9, 40)).encode()
+    want = counted(text, 1 << 20)
+    monkeypatch.setattr(c, "LOOKUPS", lookups)
+    assert counted(text, 1 << 20) == want and want
+
+
 def test_bitmaps():
     rng = np.random.default_rng(1)
     ids = rng.integers(-1, 4, 3000)
