@@ -42,7 +42,7 @@ TRIES, LOOKUPS = 1 << 18, 1 << 19
 #: A bitmap with bits in more than this part of all blocks is kept plain.
 DENSE = 8
 #: Bytes of text in a shard.
-SHARD = 16 << 20
+SHARD = 8 << 20
 #: Shares into which a language's phrases are dealt before they are ranked together; languages that are broadcast.
 SHARES, FEW = 64, 100_000
 #: Bytes as in LOWER; what ends a piece becomes a newline, a tab becomes a blank.
@@ -105,7 +105,8 @@ def shards(batch: pa.RecordBatch, size: int = SHARD) -> Iterator[Shard]:
     by: dict[str, list[bytes]] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
         by.setdefault(lang, []).append(text)
-    for lang, rows in by.items():
+    while by:
+        lang, rows = by.popitem()
         for own, tail in stretches(b"\n".join(rows).translate(PIECES), size):
             yield Shard(lang, own, tail)
 
