@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import intervals as iv
 from strandloom.functions.contigs import chr_ord
 from strandloom.functions.lineage import checkpoint
+from strandloom.functions.ordering import beside, numbered
 from strandloom.functions.scalar import SENTINEL, bin_index, center_of, dna_purity, snap, two_sided_p, weighted_mean
 
 
@@ -151,21 +152,21 @@ def score_peaks(solutions: DataFrame) -> DataFrame:
 
     Runs of equal confidence count as one row. A row is a maximum if its confidence is that of any run above both of
     its neighbours; the first row is one if the confidence falls there. Of maxima side by side every second one
-    stays. A grid has a few hundred rows, so one window holds it.
+    stays.
     """
-    along = Window.orderBy("ord")
-    rows = solutions.withColumns({"at": F.row_number().over(along), "before": F.lag("confidence").over(along), "next": F.lead("confidence").over(along)})
-    runs = rows.where("before IS NULL OR before <> confidence")
-    tops = runs.withColumns({"left": F.lag("confidence").over(along), "right": F.lead("confidence").over(along)}).where("left < confidence AND confidence > right").select(F.col("confidence").alias("top")).distinct()
+    rows = checkpoint(beside(numbered(solutions, [F.asc("ord")], "at"), "at", "confidence", "before", "next"))
+    runs = numbered(rows.where("before IS NULL OR before <> confidence").select("at", "confidence"), [F.asc("at")], "place")
+    tops = beside(runs, "place", "confidence", "left", "right").where("left < confidence AND confidence > right").select(F.col("confidence").alias("top")).distinct()
     found = rows.join(tops, F.col("confidence") == F.col("top"), "left").where("top IS NOT NULL OR (before IS NULL AND (next IS NULL OR confidence > next))")
-    side = found.withColumn("run", F.col("at") - F.row_number().over(along))
-    stays = F.row_number().over(Window.partitionBy("run").orderBy("at")) % 2 == 1
-    return side.withColumn("stays", stays).where("stays").select(*solutions.columns)
+    # places side by side differ from their number by the same
+    side = numbered(found, [F.asc("at")], "nth").withColumn("run", F.col("at") - F.col("nth"))
+    first = side.groupBy("run").agg(F.min("at").alias("first"))
+    return side.join(first, "run").where((F.col("at") - F.col("first")) % 2 == 0).select(*solutions.columns)
 
 
 def ranked(solutions: DataFrame) -> DataFrame:
     """Solutions with their rank by confidence; ties keep the order of ``ord``."""
-    return solutions.withColumn("solution_rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "ord")))
+    return numbered(solutions, [F.desc("confidence"), F.asc("ord")], "solution_rank")
 
 
 def pivot_scores(solutions: DataFrame) -> DataFrame:

@@ -222,12 +222,31 @@ def test_score_peaks(spark):
     import random
 
     rng = random.Random(3)
-    cases = [[0.1, 0.5, 0.5, 0.2, 0.9, 0.1], [3.0], [2.0, 1.0, 0.0], [1.0, 2.0, 3.0], []] + [[float(rng.randint(0, 4)) for _ in range(rng.randint(1, 30))] for _ in range(12)]
+    cases = [[0.1, 0.5, 0.5, 0.2, 0.9, 0.1], [3.0], [2.0, 1.0, 0.0], [1.0, 2.0, 3.0], []] + [[float(rng.randint(0, 4)) for _ in range(rng.randint(1, 60))] for _ in range(6)]
     for scores in cases:
         df = spark.createDataFrame(list(enumerate(scores)), "ord INT, confidence DOUBLE")
         assert sorted(r.ord for r in copynumber.score_peaks(df).collect()) == peaks_one_by_one(scores), scores
 
 
+def test_places_and_neighbours_of_many_ranges(spark):
+    import random
+
+    from strandloom.functions.ordering import beside, numbered
+
+    rng = random.Random(5)
+    values = [rng.choice([0.0, 0.0, rng.random(), None]) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(values)), "ord INT, x DOUBLE")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = numbered(df, [F.desc("x"), F.asc("ord")], "at")
+        got = sorted(tuple(r) for r in beside(rows, "at", "ord", "p", "n", width=16).select("at", "ord", "p", "n").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [i for i, _ in sorted(enumerate(values), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    assert got == [(k + 1, i, want[k - 1] if k else None, want[k + 1] if k < 699 else None) for k, i in enumerate(want)]
+    assert numbered(df.where("ord < 0"), [F.asc("ord")], "at").count() == 0
+
+
 def test_erfc_as_columns(spark):
     import math
 
