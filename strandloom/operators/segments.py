@@ -11,42 +11,101 @@ from strandloom.functions import intervals as iv
 from strandloom.functions.scalar import bin_index, center_of, median_nonzero
 
 
-def kernel_cost(signal: np.ndarray, gamma: float | None = None) -> np.ndarray:
-    """Cumulated Gaussian kernel sums; gamma is one over the median squared distance."""
-    d = (signal[:, None] - signal[None, :]) ** 2
-    if gamma is None:
-        off = d[np.triu_indices(len(signal), 1)]
-        m = np.median(off) if len(off) else 0.0
-        gamma = 1.0 / m if m else 1.0
-    return np.pad(np.exp(-np.clip(gamma * d, 1e-2, 1e2)).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-
-
-def pelt(n: int, cost, penalty: float, jump: int, min_size: int) -> list[int]:
-    """Ends of the segments of least total cost plus penalty, on a grid of ``jump``, with pruning."""
-    ends = [t for t in range(0, n, jump) if t >= min_size] + [n]
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    admissible: list[int] = [0]
-    for end in ends:
-        tried = [(best[s][0] + cost(s, end) + penalty, s) for s in admissible if s in best and end - s >= min_size]
-        if not tried:
+def middle_distance(values: np.ndarray) -> int:
+    """Twice the median of the squared distances of all pairs of whole numbers, without making the pairs.
+
+    Distances up to d are counted in the sorted values; bisection finds the smallest d that enough pairs reach.
+    """
+    x = np.sort(np.asarray(values, np.int64))
+    n = len(x)
+    pairs = n * (n - 1) // 2
+    if not pairs:
+        return 0
+
+    def smallest(rank: int) -> int:
+        low, high = 0, int(x[-1] - x[0])
+        while low < high:
+            mid = (low + high) // 2
+            if int(np.searchsorted(x, x + mid, "right").sum()) - n * (n + 1) // 2 > rank:
+                high = mid
+            else:
+                low = mid + 1
+        return low
+
+    return smallest((pairs - 1) // 2) ** 2 + smallest(pairs // 2) ** 2
+
+
+class KernelCosts:
+    """Costs of segments of a track under a Gaussian kernel, in memory proportional to its length.
+
+    The scale is one over the median squared distance of the whole track. Of each open segment the kernel's sum is
+    kept; when the end moves on, only the sums between the new values and those before it are added, by way of the
+    distinct values.
+    """
+
+    #: Kernel values at hand at a time.
+    AT_ONCE = 1 << 20
+
+    def __init__(self, values: np.ndarray):
+        values = np.asarray(values, np.int64)
+        twice = middle_distance(values)
+        self.gamma = 2.0 / twice if twice else 1.0
+        self.distinct, self.code = np.unique(values, return_inverse=True)
+        self.origins, self.sums, self.seen = np.zeros(1, np.int64), np.zeros(1), 0
+
+    def _towards(self, new: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The kernel's sum between each distinct value of the codes and all new values, by code."""
+        out = np.zeros(len(self.distinct))
+        met = np.unique(codes)
+        far, times = np.unique(new, return_counts=True)
+        step = max(1, self.AT_ONCE // max(1, len(far)))
+        for at in range(0, len(met), step):
+            some = met[at : at + step]
+            d = (self.distinct[some][:, None] - self.distinct[far][None, :]).astype(float) ** 2
+            out[some] = np.exp(-np.clip(self.gamma * d, 1e-2, 1e2)) @ times
+        return out
+
+    def __call__(self, origins: np.ndarray, end: int) -> np.ndarray:
+        """Costs of [origin, end); ends rise from call to call, and an origin once left out does not come back."""
+        sums = np.zeros(len(origins))
+        place = np.minimum(np.searchsorted(self.origins, origins), len(self.origins) - 1)
+        known = self.origins[place] == origins
+        sums[known] = self.sums[place[known]]
+        low, new = int(origins[0]), self.code[self.seen : end]
+        towards = self._towards(new, self.code[low:end])
+        before = np.append(np.cumsum(towards[self.code[low : self.seen]][::-1])[::-1], 0.0)
+        sums += 2 * before[origins - low] + towards[new].sum()
+        self.origins, self.sums, self.seen = origins.copy(), sums, end
+        return (end - origins) - sums / (end - origins)
+
+
+def pelt(n: int, costs, penalty: float, jump: int, min_size: int) -> list[int]:
+    """Ends of the segments of least total cost plus penalty, on a grid of ``jump``, with pruning.
+
+    ``costs`` gives the costs of segments from several origins to one end. A total and an origin are kept for each
+    end, and the segments are traced back from the last.
+    """
+    best, origin = {0: 0.0}, {}
+    open_ = np.zeros(1, np.int64)
+    for end in [t for t in range(0, n, jump) if t >= min_size] + [n]:
+        value = np.array([best[s] for s in open_.tolist()]) + costs(open_, end) + penalty
+        tried = end - open_ >= min_size
+        if not tried.any():
             continue
-        total, origin = min(tried)
-        best[end] = (total, [*best[origin][1], end])
-        closed = {s for value, s in tried if value > total + penalty}
-        admissible = [s for s in admissible if s not in closed] + [end]
-    return best[n][1] if n in best else [n]
+        at = int(np.argmin(np.where(tried, value, np.inf)))
+        best[end], origin[end] = float(value[at]), int(open_[at])
+        open_ = np.append(open_[~tried | (value <= best[end] + penalty)], end)
+    out = [n]
+    while origin.get(out[-1], 0):
+        out.append(origin[out[-1]])
+    return out[::-1]
 
 
 def rbf_points(values: np.ndarray, penalty: float = 10.0, jump: int = 25, min_size: int = 2) -> list[int]:
-    """Change points of a track under the Gaussian kernel cost."""
+    """Change points of a track of whole numbers under the Gaussian kernel cost."""
     if len(values) < 2 * min_size:
         return [len(values)]
-    sums = kernel_cost(np.asarray(values, float))
-
-    def cost(a: int, b: int) -> float:
-        return (b - a) - (sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]) / (b - a)
-
-    return pelt(len(values), cost, penalty, jump, min_size)
+    return pelt(len(values), KernelCosts(values), penalty, jump, min_size)
 
 
 def l2_points(values: np.ndarray, penalty: float, jump: int, min_size: int) -> list[int]:
@@ -58,31 +117,20 @@ def l2_points(values: np.ndarray, penalty: float, jump: int, min_size: int) -> l
     return pelt(len(x), lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a), penalty, max(1, jump), max(1, min_size))
 
 
-def change_points(bins: DataFrame, size: int, penalty: float = 10.0, jump: int = 25, whole: int = 6_000, halo: int = 1_000) -> DataFrame:
+def change_points(bins: DataFrame, size: int, penalty: float = 10.0, jump: int = 25) -> DataFrame:
     """(chr, hp, pos): change points of every track (chr, hp, start, value), its end among them.
 
-    The kernel needs the square of a track's length, so a track is taken whole up to ``whole`` bins (a human contig
-    has at most 5,000 of 50 kb). A longer one is cut into pieces that tasks share out; each sees ``halo`` bins to
-    either side and reports the points that begin in it, so a change at a joint is found as any other. Values are
-    taken as whole numbers: the kernel's scale is a median of squared differences, which noise below one must not set.
+    A track is one task, which needs memory for a few numbers a bin: a contig has no more bins than its length over
+    their size, whatever the number of reads or samples. The kernel has one scale for the whole track, so a change is
+    found alike in short and long ones. Values are taken as whole numbers: the kernel's scale is a median of squared
+    differences, which noise below one must not set. A null counts as 0.
     """
-    order = Window.partitionBy("chr", "hp").orderBy("start")
-    rows = bins.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("chr", "hp"))})
-    core = whole - 2 * halo
-    own = F.floor(F.col("i") / core).cast("int")
-    parts = F.array_distinct(F.array(own, F.floor(F.greatest(F.col("i") - halo, F.lit(0)) / core).cast("int"), F.floor(F.least(F.col("i") + halo, F.col("n") - 1) / core).cast("int")))
-    rows = rows.withColumn("part", F.explode(F.when(F.col("n") <= whole, F.array(F.lit(0))).otherwise(parts)))
-
-    def run(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("i")
-        first, n, part = (int(piece[c].iloc[0]) for c in ("i", "n", "part"))
-        points = [first + p for p in rbf_points(piece["value"].fillna(0).astype(int).to_numpy(), penalty, jump)]
-        if n > whole:
-            last = first + len(piece)
-            points = [p for p in points if p == n or (part * core <= p < part * core + core and p != last)]
-        return pd.DataFrame({"chr": piece["chr"].iloc[0], "hp": piece["hp"].iloc[0], "pos": np.array(points, "int64") * size})
-
-    return rows.groupBy("chr", "hp", "part").applyInPandas(run, "chr string, hp int, pos long").distinct()
+
+    def run(track: pd.DataFrame) -> pd.DataFrame:
+        points = rbf_points(track.sort_values("start")["value"].fillna(0).astype(int).to_numpy(), penalty, jump)
+        return pd.DataFrame({"chr": track["chr"].iloc[0], "hp": track["hp"].iloc[0], "pos": np.array(points, "int64") * size})
+
+    return bins.select("chr", "hp", "start", "value").groupBy("chr", "hp").applyInPandas(run, "chr string, hp int, pos long")
 
 
 def coverage_segments(bins: DataFrame, size: int, min_length: int = 5_000_000, jump: int = 1_000_000) -> DataFrame:

@@ -257,14 +257,45 @@ def test_erfc_as_columns(spark):
     assert all(abs(r.y - math.erfc(r.x)) <= 1e-13 * max(math.erfc(r.x), 1e-300) + 1e-15 for r in found)
 
 
+def quadratic_points(x, penalty, jump, min_size=2):
+    """Change points from the whole matrix of the kernel, every origin tried for every end."""
+    d = (x[:, None] - x[None, :]).astype(float) ** 2
+    m = np.median(d[np.triu_indices(len(x), 1)])
+    k = np.exp(-np.clip((1 / m if m else 1.0) * d, 1e-2, 1e2))
+    ends = [t for t in range(0, len(x), jump) if t >= min_size] + [len(x)]
+    best = {0: (0.0, [])}
+    for e in ends:
+        tried = [(best[s][0] + (e - s) - k[s:e, s:e].sum() / (e - s) + penalty, s) for s in best if e - s >= min_size]
+        if tried:
+            total, s = min(tried)
+            best[e] = (total, [*best[s][1], e])
+    return best[len(x)][1]
+
+
+def test_change_points_equal_the_quadratic_search():
+    rng = np.random.default_rng(5)
+    for n, jump in ((4, 1), (37, 1), (200, 5), (611, 25), (900, 7)):
+        for noise in (0, 2, 9):
+            x = np.repeat(rng.integers(0, 60, 6), n // 6 + 1)[:n] + rng.integers(-noise, noise + 1, n)
+            assert segments.rbf_points(x, 4.0, jump) == quadratic_points(x, 4.0, jump), (n, jump, noise)
+    for n in (2, 3, 10, 51):
+        x = rng.integers(-9, 9, n)
+        assert segments.middle_distance(x) == 2 * np.median([(a - b) ** 2 for i, a in enumerate(x.tolist()) for b in x[:i].tolist()])
+    assert segments.middle_distance(np.array([3])) == 0
+
+
 def test_change_points_of_long_tracks(spark):
-    """A track beyond the limit of a piece: a change at a joint is found as it is in one piece."""
-    x = np.r_[np.full(80, 10), np.full(70, 40), np.full(90, 10)] + np.tile([0, 1, 2], 80)
-    df = spark.createDataFrame([("c", 1, i * 100, float(v)) for i, v in enumerate(x)], "chr STRING, hp INT, start BIGINT, value DOUBLE")
-    whole = rows(segments.change_points(df, 100, 10.0, 5), "pos")
-    assert whole == [(8000,), (15000,), (24000,)]
-    for joint in (80, 75, 50):
-        assert rows(segments.change_points(df, 100, 10.0, 5, whole=joint + 60, halo=30), "pos") == whole
+    """A track of any length has one scale and memory for a few numbers a bin."""
+    import tracemalloc
+
+    levels, n = [10, 40, 10, 22, 40], 12_000
+    x = np.repeat(levels, n) + np.tile([0, 1, 2], 5 * n // 3)
+    tracemalloc.start()
+    assert segments.rbf_points(x, 10.0, 25) == [n * (k + 1) for k in range(5)]
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20  # its square would have 28 GB
+    tracemalloc.stop()
+    df = spark.createDataFrame([("c", 1, i * 100, float(v)) for i, v in enumerate(x[::30])] + [("d", 2, 0, None)], "chr STRING, hp INT, start BIGINT, value DOUBLE")
+    assert rows(segments.change_points(df, 100, 10.0, 25), "chr", "pos") == [("c", 100 * 400 * (k + 1)) for k in range(5)] + [("d", 100)]
 
 
 def test_subclonal_segments_share_a_median(spark):
