@@ -188,8 +188,8 @@ def test_long_names_are_segmented_whole(spark):
     assert rows[0].words[-3:] == ["newspaper", "cheap", "pills"] and rows[4].verdict == "block" and len(rows[4].words) == 24_000
 
 
-def brute_bayes(some):
-    """Probability of block of each url, by naive Bayes with counts in plain dictionaries."""
+def brute_bayes(some, texts=()):
+    """Probability of block of each url, by naive Bayes and rounds of expectation-maximisation in plain dictionaries."""
     lexicon = Counter()
     for u in some:
         host, path = urls.split_url(u)
@@ -197,6 +197,8 @@ def brute_bayes(some):
             parts = re.findall(r"[a-z\u0080-\U0010ffff]+", label)
             lexicon.update(parts if len(parts) > 1 else [])
         lexicon.update(re.findall(r"[a-z\u0080-\U0010ffff]+", path.lower()))
+    for text in texts:
+        lexicon.update(re.findall(r"[a-z\u0080-\U0010ffff]+", re.sub("<[^>]*>", " ", (text or "").lower())))
     kinds = {w: k for k, words in urls.SEEDS.items() for w in words}
     share = max(1, sum(lexicon.values()) // 1000)
     for w in kinds:
@@ -215,24 +217,34 @@ def brute_bayes(some):
         out = [w for name in re.findall(r"[a-z\u0080-\U0010ffff]+", host) if name not in urls.COMMON for w in cut(name)]
         return out + [w for w in re.findall(r"[a-z\u0080-\U0010ffff]+", path.lower()) if w not in urls.COMMON]
 
-    counts, n = {k: Counter({w: 1 for w in words_}) for k, words_ in urls.SEEDS.items()}, Counter()
-    for u in some:
-        votes = Counter(kinds[w] for w in words(u) if w in kinds)
-        if votes["block"] != votes["allow"]:
-            kind = "block" if votes["block"] > votes["allow"] else "allow"
-            n[kind] += 1
-            counts[kind].update(words(u))
-    vocabulary = set(counts["block"]) | set(counts["allow"])
-    out = []
-    for u in some:
-        p = {k: (n[k] + 1) / (n["block"] + n["allow"] + 2) for k in counts}
-        log = {k: math.log(p[k]) for k in counts}
-        for w in words(u):
-            if w in vocabulary:
-                for k in counts:
-                    log[k] += math.log((counts[k][w] + 1) / (sum(counts[k].values()) + len(vocabulary) + 1))
-        out.append((1 / (1 + math.exp(log["allow"] - log["block"])), bool(words(u))))
-    return out
+    cuts = [words(u) for u in some]
+    before = None
+    for _ in range(urls.ROUNDS + 1):
+        counts, n = {k: Counter({w: 1 for w in words_}) for k, words_ in urls.SEEDS.items()}, Counter()
+        for i, found in enumerate(cuts):
+            votes = Counter(kinds[w] for w in found if w in kinds)
+            if votes["block"] != votes["allow"]:
+                share = {"block": 1.0} if votes["block"] > votes["allow"] else {"allow": 1.0}
+            elif before is None or not found:
+                continue
+            else:
+                part = round(1024 * before[i]) / 1024
+                share = {"block": part, "allow": 1 - part}
+            for kind, part in share.items():
+                n[kind] += part
+                for w in found:
+                    counts[kind][w] += part
+        vocabulary = {w for c in counts.values() for w in c if c[w] > 0}
+        out = []
+        for found in cuts:
+            log = {k: math.log((n[k] + 1) / (n["block"] + n["allow"] + 2)) for k in counts}
+            for w in found:
+                if w in vocabulary:
+                    for k in counts:
+                        log[k] += math.log((counts[k][w] + 1) / (sum(counts[k].values()) + len(vocabulary) + 1))
+            out.append(1 / (1 + math.exp(log["allow"] - log["block"])))
+        before = out
+    return [(p, bool(found)) for p, found in zip(out, cuts, strict=True)]
 
 
 def test_query_matches_brute_force_bayes(spark, tmp_path):
@@ -241,17 +253,40 @@ def test_query_matches_brute_force_bayes(spark, tmp_path):
     some = URLS + ["http://" + "".join(rng.sample(pool, rng.randint(1, 3))) + rng.choice([".example.net", ".net", "-shop.org", ".com"]) + "/" + "/".join(rng.sample(pool, rng.randint(0, 3))) for _ in range(120)]
     some += [f"http://{a}-{b}.net/" for a in pool for b in pool[:4]]
     pages(spark, some).write.parquet(f"{tmp_path}/pages.parquet")
+    texts = ["The River and the lamp; <b>museum</b> gold", None, "", "gardens of Gold"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.page_id: r for r in urls.op8_urls(spark, str(tmp_path)).collect()}
-    for i, (u, (p, any_)) in enumerate(zip(some, brute_bayes(some), strict=True)):
+    for i, (u, (p, any_)) in enumerate(zip(some, brute_bayes(some, texts), strict=True)):
         rule = brute_rule(rows[i].host, rows[i].path) if u and "://" in u else None
         assert abs(rows[i].p_block - p) < 1e-9, u
         assert rows[i].verdict == (rule[1] if rule else "block" if any_ and p > 0.5 else "allow")
 
 
-def test_fit_on_a_sample(spark):
-    table = pages(spark, [f"http://cheap-w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}.net/" for k in range(1000)])
-    segmenter, _ = urls.train(table, max_urls=50)
-    assert 30 < sum(w.startswith("w") for w in segmenter.counts) < 70
+def test_models_are_bounded_and_count_all_rows(spark):
+    """Words with less than their share of the letters are not held, but count; no url is left out."""
+    letters = "abcdefghij"
+    table = pages(spark, [f"http://cheap-w{letters[k % 10]}{letters[k // 10 % 10]}.net/river" for k in range(1000)])
+    segmenter, bayes = urls.train(table)
+    assert sum(w.startswith("w") and len(w) == 3 and w != "win" for w in segmenter.counts) == 100 and segmenter.counts["river"] == 1000
+    small, few = urls.train(table, letters=30)  # cheap and river have a third of 3,000 occurrences each
+    assert {w for w in small.counts if w not in urls.SEEDS["block"] + urls.SEEDS["allow"]} == {"river"} and small.counts["river"] == 1000
+    assert small.total == segmenter.total and few.weight["cheap"] > 0
+
+
+def test_names_split_by_words_of_pages(spark):
+    """Names that no url spells out are split by words of texts; classes of words without a seed are learned from all urls."""
+    from pyspark.sql import functions as F
+
+    bad, good, open_ = ["veltun", "tuntunvel"], ["kasmora", "moramorakas"], ["velvelvel", "tunveltun", "kaskaskas", "morakasmora"]
+    some = [f"http://{h}.net/casino" for h in bad * 5] + [f"http://{h}.net/library" for h in good * 5] + [f"http://{h}.net/" for h in open_]
+    texts = spark.createDataFrame([("<p class='x'>Vel mora</p> tun " * 4,), ("kas vel",), (None,), ("<" * 5000,)], "text STRING")
+    table = pages(spark, some)
+    segmenter, bayes = urls.train(table, words_of=texts)
+    found = {r.host: r for r in urls.judge(table, segmenter, bayes).collect()}
+    assert found["tuntunvel.net"].words == ["tun", "tun", "vel", "casino"] and found["morakasmora.net"].words == ["mora", "kas", "mora"]
+    assert [found[f"{h}.net"].verdict for h in bad + open_[:2] + good + open_[2:]] == ["block"] * 4 + ["allow"] * 4
+    none, prior = urls.train(table.where(F.lit(False)), words_of=texts.where("false"))
+    assert set(none.counts) == set(urls.SEEDS["block"] + urls.SEEDS["allow"]) and prior.block([]) == 0.5
 
 
 def test_prior_is_learned(spark):
