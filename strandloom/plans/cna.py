@@ -121,15 +121,32 @@ def first_copies(bins: DataFrame, settings: Settings) -> list[float]:
     return [x for x in (one, other) if x]
 
 
-def scored_grid(bins: DataFrame, tracks: dict[int, DataFrame], copy: float, settings: Settings, lost: DataFrame | None = None, centromeres: DataFrame | None = None) -> DataFrame:
-    """The grid of normal depths with confidence, ploidy and purities, for one depth of a copy."""
-    both = tracks[1].withColumn("hp", F.lit(1)).unionByName(tracks[2].withColumn("hp", F.lit(2))).withColumn("depth", F.col("state"))
-    measured = segments.without_lost_zeros(both, *(r for r in (centromeres, lost) if r is not None))
-    totals = measured.where(~is_masked(F.col("depth"))).agg(weighted_mean(F.col("depth"), F.col("end") - F.col("start")).alias("limit"), F.max("depth").alias("top")).first()
+def _both(tracks: dict[int, DataFrame]) -> DataFrame:
+    return tracks[1].withColumn("hp", F.lit(1)).unionByName(tracks[2].withColumn("hp", F.lit(2))).withColumn("depth", F.col("state"))
+
+
+def _totals(tracks: dict[int, DataFrame], lost: DataFrame | None, centromeres: DataFrame | None) -> tuple[float, float]:
+    """The mean depth of the segments by length and the largest one, without what is not measured."""
+    measured = segments.without_lost_zeros(_both(tracks), *(r for r in (centromeres, lost) if r is not None))
+    found = measured.where(~is_masked(F.col("depth"))).agg(weighted_mean(F.col("depth"), F.col("end") - F.col("start")).alias("mean"), F.max("depth").alias("top")).first()
+    return float(found["mean"] or 0), float(found["top"] or 0)
+
+
+def highest_normal(bins: DataFrame, points: DataFrame, centromeres: DataFrame, size: int, lost: DataFrame | None = None, sought: bool = False) -> float:
+    """The highest normal depth to try, as a whole number: the mean depth of segments of a first cut, made before the
+    depth of one copy is known. All breakpoints cut there, and so do the ends of lost regions, where the depth steps.
+    """
+    return float(int(_totals(tracks_of(bins, points, centromeres, size, lost, sought), lost, centromeres)[0]))
+
+
+def scored_grid(bins: DataFrame, tracks: dict[int, DataFrame], copy: float, settings: Settings, lost: DataFrame | None = None, centromeres: DataFrame | None = None, limit: float | None = None) -> DataFrame:
+    """The grid of normal depths up to a limit (else the mean depth of the tracks) with confidence, ploidy and purities, for one depth of a copy."""
+    both = _both(tracks)
+    mean, top = _totals(tracks, lost, centromeres)
     tumor = float(bins.agg(F.avg(F.col("hp1") + F.col("hp2")).alias("t")).first()["t"] or 0)
-    grid = cn.grid(bins.sparkSession, float(int(totals["limit"] or 0)), settings.step)
+    grid = cn.grid(bins.sparkSession, float(int(mean)) if limit is None else limit, settings.step)
     depths = moved_depths(bins, tracks, lost, grid, settings.bin_size) if lost is not None else None
-    return checkpoint(cn.purity_grid(both, grid, copy, len(cn.centers_up_to(copy, float(totals["top"] or 0))), tumor, moved=depths, centromeres=centromeres))
+    return checkpoint(cn.purity_grid(both, grid, copy, len(cn.centers_up_to(copy, top)), tumor, moved=depths, centromeres=centromeres))
 
 
 def solutions(grid: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -157,19 +174,21 @@ def run(bins: DataFrame, points: DataFrame, centromeres: DataFrame, settings: Se
     """points: chr, pos, hp (text of a pair's haplotypes, or null) and dv (support, or null). lost: regions that lost a
     haplotype (chr, start, end, hp). genes: chr, start, end, gene, hp1, hp2.
 
-    Breakpoints cut twice: all of enough support before one copy's depth is known, and then those with a share of it.
+    Tracks are cut twice: at all breakpoints of enough support and at the ends of lost regions before one copy's depth is
+    known, which sets the limit of the grid, and then at the breakpoints whose support is a share of that depth as well.
     """
     size = settings.bin_size
     if "dv" not in points.columns:
         points = points.withColumn("dv", F.lit(None).cast("int"))
     supported = lambda least: points.where(F.col("dv").isNull() | (F.col("dv") >= least))
+    limit = highest_normal(bins, supported(settings.min_support), centromeres, size, lost, settings.change_points)
     copies = first_copies(bins, settings)
     halved = min(copies) if len(copies) > 1 else copies[0]
     tracks = tracks_of(bins, supported(max(halved * settings.sv_support_rate, settings.min_support)), centromeres, size, sought=settings.change_points)
     top = max(float(t.agg(F.max("state").alias("m")).first()["m"] or 0) for t in tracks.values())
     found = []
     for copy in copies:
-        chosen = solutions(scored_grid(bins, tracks, copy, settings, lost, centromeres), settings)
+        chosen = solutions(scored_grid(bins, tracks, copy, settings, lost, centromeres, limit), settings)
         found += [(copy, r.asDict()) for r in chosen.orderBy("ord").collect()]  # a few solutions
     rows = [(i, x["confidence"]) for i, (_, x) in enumerate(found)]
     ranks = {r.ord: r.solution_rank for r in cn.ranked(bins.sparkSession.createDataFrame(rows, "ord INT, confidence DOUBLE")).collect()} if rows else {}

@@ -150,6 +150,18 @@ def test_phase_correction_and_copy_numbers(spark):
     assert [f.numbers["solution_rank"] for f in found] == [*range(1, len(found) + 1)]
 
 
+def test_lost_regions_cut_before_one_copy_is_known(spark):
+    """The grid's limit comes from a first cut at the ends of lost regions, where the depth steps without a breakpoint."""
+    bins = spark.createDataFrame([("chr1", k * 100, 10.0 if k < 30 else 60.0, 20.0) for k in range(100)], "chr STRING, start BIGINT, hp1 DOUBLE, hp2 DOUBLE")
+    none = spark.createDataFrame([], "chr STRING, pos BIGINT, hp STRING")
+    cen = spark.createDataFrame([], schemas.CENTROMERES)
+    lost = spark.createDataFrame([("chr1", 0, 3000, 2)], "chr STRING, start BIGINT, end BIGINT, hp INT")
+    assert cna.highest_normal(bins, none, cen, 100) == 40.0
+    first = ((10 * 3000 + 60 * 6899) / 9899 + 20) / 2
+    assert cna.highest_normal(bins, none, cen, 100, lost) == int(first) == 32
+    assert cna.highest_normal(bins.where("false"), none, cen, 100, lost.where("false")) == 0.0
+
+
 def test_a_switch_inside_a_block_is_undone(spark):
     """One block of a contig switches sides in its middle: bins, blocks and variants end on one side."""
     contigs = spark.createDataFrame([("chr1", LENGTH)], schemas.CONTIGS)
