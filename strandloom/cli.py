@@ -126,6 +126,8 @@ def run_hapcorrect(spark: SparkSession, args) -> None:
     if args.tumor_only:
         shares = zygosity.withColumn("vaf", scalar.parse_vaf(F.col("vaf")))
         snps.baf_from_vcf(shares, lines, args.bin_size).write.mode("overwrite").parquet(f"{args.out}/baf")
+        bands = shares.select("chr", "pos", F.when(scalar.is_hom(F.col("gt")), "hom").otherwise("het").alias("kind"), F.col("vaf").alias("y"))
+        plots.write_snps(f"{args.out}/snps.svg", offsets, bands, f"{args.genome_name}: frequencies of SNPs")
         ratios = snps.zygosity_ratios(snps.zygosity_counts(zygosity, args.bin_size_snps))
         ratios.write.mode("overwrite").parquet(f"{args.out}/snp_ratios")
         loh.region_events(done.loh, "loh").write.mode("overwrite").text(f"{args.out}/loh_events")

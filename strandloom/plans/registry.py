@@ -15,6 +15,7 @@ from strandloom.operators import copynumber as cn
 from strandloom.operators import coverage as cov
 from strandloom.operators import loh, phase, profile, reads, segments, snps, sync
 from strandloom.plans import views as v
+from strandloom.sources import plots
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -925,6 +926,14 @@ def genome_track(spark, sf_dir):
     return snps.with_genome_position(v.bins(spark, sf_dir), ct.with_offsets(v.contigs(spark, sf_dir))).select("chr", "start", "hp1", "start_overall")
 
 
+@query("""SELECT CASE WHEN et = 'view' THEN 'het' ELSE 'hom' END AS kind, CAST(((ord - 1) * len + pos) * 800 // (SELECT sum(len) FROM contigs) AS INTEGER) AS "column",
+CAST(least(floor((value - floor(value)) * 100), 99) AS INTEGER) AS "row", count(*) AS n FROM snp JOIN contigs USING (chr) WHERE value IS NOT NULL GROUP BY 1, 2, 3""")
+def snp_raster(spark, sf_dir):
+    kind = F.when(F.col("et") == "view", "het").otherwise("hom").alias("kind")
+    points = v.snp(spark, sf_dir).select("chr", "pos", kind, (F.col("value") - F.floor("value")).alias("y"))
+    return plots.raster(points, ct.with_offsets(v.contigs(spark, sf_dir)), 22 * v.LENGTH)
+
+
 @query("""SELECT chr, ps % 40 AS phasesets, max("start") - min("start") AS length FROM blk GROUP BY 1, 2 HAVING max("start") - min("start") > 10000 AND count(*) >= 10""")
 def block_lengths(spark, sf_dir):
     return phase.block_lengths(v.blk(spark, sf_dir).select("chr", F.col("start").alias("position"), (F.col("ps") % 40).alias("phasesets")))

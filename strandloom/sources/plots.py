@@ -1,7 +1,7 @@
 """Figures as SVG: tracks of bins, segments and arcs along the genome.
 
-Points are averaged by pixel column before they leave the cluster, so what is drawn is bounded by the width of the
-figure; segments and arcs are as many as a profile and a list of structural variants have.
+Points are averaged by pixel column, or counted by pixel where they lie in several bands, before they leave the cluster, so
+what is drawn is bounded by the size of the figure; segments and arcs are as many as a profile and a list of structural variants have.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from strandloom.functions.scalar import is_masked
 
 WIDTH, HEIGHT, MARGIN = 1600, 420, 50
-COLORS = {"hp1": "#b2502e", "hp2": "#3b6ea5", "coverage": "#555555", "unphased": "#999999"}
+COLORS = {"hp1": "#b2502e", "hp2": "#3b6ea5", "coverage": "#555555", "unphased": "#999999", "het": "#c08a2d", "hom": "#2f6f73"}
+#: Columns and rows of a figure of SNPs.
+ACROSS, UP = 800, 100
 
 
 def columns(bins: DataFrame, offsets: DataFrame, kinds: tuple[str, ...], total: int) -> DataFrame:
@@ -25,6 +27,17 @@ def columns(bins: DataFrame, offsets: DataFrame, kinds: tuple[str, ...], total:
     return rows.select(at.alias("column"), kind).select("column", "v.*").where(F.col("y").isNotNull() & ~is_masked(F.col("y"))).groupBy("kind", "column").agg(F.avg("y").alias("y"))
 
 
+def raster(points: DataFrame, offsets: DataFrame, total: int) -> DataFrame:
+    """kind, column, row, n: points (chr, pos, kind, y from 0 to 1) in each pixel; others and nulls are left out.
+
+    Counts are partial aggregates, at most one row for each pixel and kind, so bands of frequencies stay apart.
+    """
+    rows = points.where("y >= 0 AND y <= 1").join(F.broadcast(offsets.select("chr", "offset")), "chr")
+    column = F.floor((F.col("offset") + F.col("pos")) * ACROSS / F.lit(max(1, total))).cast("int")
+    row = F.least(F.floor(F.col("y") * UP), F.lit(UP - 1)).cast("int")
+    return rows.groupBy("kind", column.alias("column"), row.alias("row")).agg(F.count("*").alias("n"))
+
+
 def bars(segments: DataFrame, offsets: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """kind, x1, x2, y: segments along the genome; ``kinds`` names the column of each kind."""
     rows = segments.join(F.broadcast(offsets.select("chr", "offset")), "chr")
@@ -65,3 +78,17 @@ def write_genome(path: str, offsets: DataFrame, bins: DataFrame, kinds: tuple[st
     curves = arcs.select("curve").collect() if arcs is not None else []
     svg = draw(offsets, points, lines, curves, title)
     bins.sparkSession.createDataFrame([(svg,)], "value STRING").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_snps(path: str, offsets: DataFrame, points: DataFrame, title: str = "") -> None:
+    """A figure of the frequencies of SNPs (chr, pos, kind, y), as a text of one row; a pixel with more of them is darker."""
+    total = offsets.agg(F.max(F.col("offset") + F.col("len")).alias("n")).first()["n"] or 1
+    pixels = raster(points, offsets, total).collect()  # at most ACROSS * UP for each kind
+    most = max((p.n for p in pixels), default=1)
+    wide, high = WIDTH / ACROSS, (HEIGHT - 2 * MARGIN) / UP
+    marks = [
+        f'<rect class="{escape(p.kind)}" x="{MARGIN + p.column * wide:.1f}" y="{HEIGHT - MARGIN - (p.row + 1) * high:.1f}" width="{wide:.1f}" height="{high:.1f}" fill="{COLORS.get(p.kind, "#000000")}" fill-opacity="{0.25 + 0.75 * p.n / most:.2f}"/>'
+        for p in sorted(pixels, key=lambda p: (p.kind, p.column, p.row))
+    ]
+    svg = draw(offsets, [], [], [], title).replace("</svg>", "\n".join([*marks, "</svg>"]))
+    points.sparkSession.createDataFrame([(svg,)], "value STRING").coalesce(1).write.mode("overwrite").text(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandloom import cli, schemas
 from strandloom.operators import coverage, reads, snps
 from strandloom.plans import cna, hapcorrect
-from strandloom.sources import bam, sinks, tables
+from strandloom.sources import bam, plots, sinks, tables
 from strandloom.streaming import coverage as streams
 
 LENGTH = 3_000_000
@@ -150,6 +150,17 @@ def test_phase_correction_and_copy_numbers(spark):
     assert [f.numbers["solution_rank"] for f in found] == [*range(1, len(found) + 1)]
 
 
+def test_figure_of_snps_keeps_bands_apart(spark, tmp_path):
+    offsets = spark.createDataFrame([("chr1", 800, 0), ("chr2", 800, 800)], "chr STRING, len BIGINT, offset BIGINT")
+    snps_ = [("chr1", 10, "het", 0.5)] * 3 + [("chr1", 11, "het", 0.1), ("chr2", 0, "hom", 1.0), ("chr2", 5, "hom", None), ("chr2", 5, "hom", 1.5), ("chrX", 5, "hom", 0.5)]
+    points = spark.createDataFrame(snps_, "chr STRING, pos BIGINT, kind STRING, y DOUBLE")
+    found = sorted(tuple(r) for r in plots.raster(points, offsets, 1600).collect())
+    assert found == [("het", 5, 10, 1), ("het", 5, 50, 3), ("hom", 400, 99, 1)]
+    plots.write_snps(f"{tmp_path}/svg", offsets, points, "a & b")
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/svg").collect())
+    assert text.count("<rect") == 3 and text.rstrip().endswith("</svg>") and "a &amp; b" in text
+
+
 def test_lost_regions_cut_before_one_copy_is_known(spark):
     """The grid's limit comes from a first cut at the ends of lost regions, where the depth steps without a breakpoint."""
     bins = spark.createDataFrame([("chr1", k * 100, 10.0 if k < 30 else 60.0, 20.0) for k in range(100)], "chr STRING, start BIGINT, hp1 DOUBLE, hp2 DOUBLE")
