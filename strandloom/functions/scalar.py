@@ -27,6 +27,13 @@ def sentinel_to_null(x: Column) -> Column:
     return F.when(~is_masked(x), x)
 
 
+def half_even(x: Column, digits: int = 0) -> Column:
+    """A double scaled, rounded half to even and scaled back: ties are those of the scaled double (1.995 is one, as 199.5 is exact),
+    not those of its shortest decimal."""
+    scale = F.lit(10.0**digits)
+    return F.rint(x * scale) / scale
+
+
 def snap(x: Column, centers: list[float], digits: int = 0) -> Column:
     """Coverage to copy number by interpolation between centers of coverage levels 0, 1, 2, ...
 
@@ -35,10 +42,10 @@ def snap(x: Column, centers: list[float], digits: int = 0) -> Column:
     """
     y, n = F.abs(x), len(centers)
     above = F.lit(float(n - 1)) if n < 2 else F.lit(float(n - 1)) + (y - F.lit(centers[-1])) / F.lit(centers[-1] - centers[-2])
-    out = F.bround(above, digits)
+    out = half_even(above, digits)
     for i in reversed(range(n - 1)):
         low, high = centers[i], centers[i + 1]
-        out = F.when(y.between(low, high), F.bround(F.lit(float(i)) + (y - F.lit(low)) / F.lit(high - low), digits)).otherwise(out)
+        out = F.when(y.between(low, high), half_even(F.lit(float(i)) + (y - F.lit(low)) / F.lit(high - low), digits)).otherwise(out)
     if n >= 2:
         out = F.when(y < centers[0], F.lit(0.0)).otherwise(out)
     return F.when(is_masked(x), x.cast("double")).otherwise(out)

@@ -46,6 +46,13 @@ def test_snapping(spark):
     assert (moved[20.0], moved[40.0], moved[75.0], moved[9.9]) == (10.0, 50.0, 70.0, 10.0)
 
 
+def test_snapping_rounds_ties_of_scaled_values_to_even(spark):
+    centers = [0.0, 20.0, 40.0, 60.0, 80.0]
+    expected = {39.9: 2.0, 61.9: 3.1, 58.1: 2.9, 2.3: 0.12, 0.7: 0.03}  # as round_even(x / 20, 2) of the SQL has them
+    df = spark.createDataFrame([(x,) for x in expected], "x DOUBLE")
+    assert {r.x: r.y for r in df.select("x", sc.snap(F.col("x"), centers, 2).alias("y")).collect()} == expected
+
+
 def test_scalars(spark):
     r = one(spark, *(sc.two_sided_p(F.lit(x), F.lit(0.0)).alias(f"p{i}") for i, x in enumerate((0.0, 10.0, -19.6))))
     assert r.p0 == 1.0 and abs(r.p1 - 0.3173105) < 1e-7 and abs(r.p2 - 0.0499958) < 1e-6
