@@ -7,11 +7,15 @@ has to be de-duplicated.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of join buckets in base pairs, unless the caller knows the lengths better.
 BUCKET = 1_000_000
+#: Width of the pieces of a contig in which running aggregates are made.
+PIECE = 4096
 
 
 def fixed_bins(contigs: DataFrame, size: int) -> DataFrame:
@@ -62,10 +66,35 @@ def point_join(points: DataFrame, intervals: DataFrame, pos: str = "pos", strict
 
 
 def first_containing(points: DataFrame, intervals: DataFrame, key: list[str], pos: str = "pos") -> DataFrame:
-    """Of the intervals that hold a point the one that starts first; an aggregation, so no window is sorted."""
-    pairs = point_join(points, intervals, pos)
-    best = F.min(F.struct(*(F.col(f"r_{c}") for c in ("start", "end", *(c for c in intervals.columns if c not in ("chr", "start", "end")))))).alias("hit")
-    return pairs.groupBy(*key).agg(best)
+    """Of the intervals that hold a point the one that starts first.
+
+    An interval can be the first one only behind the largest end of those before it, so each has a range of its own, these
+    ranges don't overlap, and a point meets one interval at most.
+    """
+    hit = F.min(F.struct(*(F.col(c).alias(f"r_{c}") for c in ("start", "end", *(c for c in intervals.columns if c not in ("chr", "start", "end")))))).alias("hit")
+    places = intervals.where("end >= start").groupBy("chr", "start", "end").agg(hit)
+    own = _before(places, {"end": F.max}, ("chr",), "start", ("start", "end")).where("__before_end IS NULL OR end > __before_end")
+    ranges = own.select(F.col("chr").alias("r_chr"), F.greatest("start", "__before_end").alias("__from"), F.col("start").alias("__start"), F.col("end").alias("__to"), F.col("__before_end").alias("__after"), "hit")
+    r = _buckets(ranges, "__from", "__to", PIECE)
+    p = points.withColumn("__bucket", F.floor(F.col(pos) / F.lit(PIECE)).cast("long"))
+    inside = F.col(pos).between(F.col("__start"), F.col("__to")) & (F.col("__after").isNull() | (F.col(pos) > F.col("__after")))
+    pairs = p.alias("p").join(r.alias("r"), (F.col("p.chr") == F.col("r.r_chr")) & (F.col("p.__bucket") == F.col("r.__bucket")) & inside)
+    return pairs.groupBy(*key).agg(F.min("hit").alias("hit"))
+
+
+def _before(rows: DataFrame, how: dict[str, Callable], by: Sequence[str], at: str, order: Sequence[str]) -> DataFrame:
+    """Adds for each column of ``how`` its aggregate (sum or max) over the rows of a contig before this one, ``__before_<column>``.
+
+    A running window in each piece of a contig, and one over the aggregates of the pieces: no task has a whole contig's rows.
+    """
+    rows = rows.withColumn("__piece", F.floor(F.col(at) / F.lit(PIECE)).cast("long"))
+    inside = Window.partitionBy(*by, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy(*by, "__piece").agg(*(f(c).alias(f"__whole_{c}") for c, f in how.items()))
+    whole = whole.select(*by, "__piece", *(f(f"__whole_{c}").over(pieces).alias(f"__whole_{c}") for c, f in how.items()))
+    both = rows.withColumns({f"__before_{c}": f(c).over(inside) for c, f in how.items()}).join(whole, [*by, "__piece"])
+    one = lambda c, f: F.greatest(f"__before_{c}", f"__whole_{c}") if f is F.max else F.coalesce(f"__before_{c}", F.lit(0)) + F.coalesce(f"__whole_{c}", F.lit(0))
+    return both.select(*rows.columns, *(one(c, f).alias(f"__before_{c}") for c, f in how.items())).drop("__piece")
 
 
 def nearest(probes: DataFrame, marks: DataFrame, probe: str = "pos", mark: str = "pos") -> DataFrame:

@@ -378,3 +378,42 @@ def test_centromeres_do_not_count_for_ploidy(spark):
     grid = spark.createDataFrame([(10.0,)], "normal DOUBLE")
     assert copynumber.purity_grid(segments, grid, 20.0, 3, 60.0, centromeres=centromeres).first().ploidy == 2.0
     assert copynumber.purity_grid(segments, grid, 20.0, 3, 60.0).first().ploidy < 1.88
+
+
+def most_rows(df):
+    """Runs the query; the largest number of rows that a step of its plan made."""
+    df.collect()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            yield from walk(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            yield from walk(plan.plan())
+        else:
+            made = plan.metrics().get("numOutputRows")
+            if made.isDefined():
+                yield made.get().value()
+            children = plan.children()
+            for i in range(children.size()):
+                yield from walk(children.apply(i))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def crowd(spark, n=300):
+    """n points at one place and n different intervals that all hold it."""
+    return spark.range(n).selectExpr("'c' AS chr", "5000L AS pos", "id"), spark.range(n).selectExpr("'c' AS chr", "5000 - id - 1 AS start", "5000 + id % 7 + 1 AS end")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_first_containing_makes_no_pairs(spark, seed):
+    rng = random.Random(seed)
+    spans = [("c", a, b, n) for n, (_, a, b) in enumerate(random_intervals(rng, 40, 9000))] + [("c", 700, 690, 98), ("c", 4000, 4000, 99), ("c", None, 5, 97)]
+    spans += [("c", a, a + 2500, 100 + a) for a in (10, 10, 3000)]
+    held = lambda p: min(((a, b, n) for _, a, b, n in spans if a is not None and a <= p <= b), default=None)
+    points = spark.createDataFrame([("c", p) for p in range(0, 9100, 5)] + [("d", 1)], "chr STRING, pos BIGINT")
+    got = iv.first_containing(points, spark.createDataFrame(spans, "chr STRING, start BIGINT, end BIGINT, n BIGINT"), ["chr", "pos"])
+    assert {r.pos: tuple(r.hit) for r in got.collect()} == {p: held(p) for p in range(0, 9100, 5) if held(p)}
+    many, wide = crowd(spark)
+    assert most_rows(iv.first_containing(many, wide, ["chr", "id"])) <= 1000
