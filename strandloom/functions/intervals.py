@@ -2,7 +2,8 @@
 
 Range predicates are never joined on alone: both sides get the numbers of the buckets that they touch, the join is
 on (chr, bucket), and a pair is kept in the bucket where its overlap begins, so no pair comes twice and nothing
-has to be de-duplicated.
+has to be de-duplicated. Where only sums over the other side are asked for, there are no pairs at all: sums up to both
+ends of an interval are subtracted (``with_totals``), so the cost doesn't grow with the number of overlaps.
 """
 
 from __future__ import annotations
@@ -97,6 +98,21 @@ def _before(rows: DataFrame, how: dict[str, Callable], by: Sequence[str], at: st
     return both.select(*rows.columns, *(one(c, f).alias(f"__before_{c}") for c, f in how.items())).drop("__piece")
 
 
+def with_totals(intervals: DataFrame, events: DataFrame, low: Column, high: Column, by: Sequence[str] = ("chr",)) -> DataFrame:
+    """Adds the sums of the columns of ``events`` (by, at and whole numbers) over the events before ``low`` and before ``high``,
+    as lo_<column> and hi_<column>. Differences are what lies from low up to high (excluded).
+    """
+    names = [c for c in events.columns if c not in (*by, "at")]
+    keyed = intervals.withColumns({"__lo": low, "__hi": high})
+    probes = keyed.select(*by, F.explode(F.array("__lo", "__hi")).alias("at")).withColumn("__probe", F.lit(1))
+    rows = events.where("at IS NOT NULL").groupBy(*by, "at").agg(*(F.sum(n).alias(n) for n in names)).unionByName(probes.where("at IS NOT NULL").distinct(), allowMissingColumns=True)
+    places = rows.groupBy(*by, "at").agg(*(F.sum(n).alias(n) for n in names), F.max("__probe").alias("__probe"))
+    sums = _before(places, {n: F.sum for n in names}, by, "at", ("at",)).where("__probe = 1")
+    for side in ("lo", "hi"):
+        keyed = keyed.join(sums.select(*by, F.col("at").alias(f"__{side}"), *(F.col(f"__before_{n}").alias(f"{side}_{n}") for n in names)), [*by, f"__{side}"], "left")
+    return keyed.select(*intervals.columns, *(f"{side}_{n}" for side in ("lo", "hi") for n in names))
+
+
 def nearest(probes: DataFrame, marks: DataFrame, probe: str = "pos", mark: str = "pos") -> DataFrame:
     """Probes with the nearest mark of their contig (``near``); ties take the lower position.
 

@@ -144,11 +144,12 @@ def empty_regions(counts: DataFrame, bins: DataFrame, size: int = SNP_BIN) -> Da
 
 
 def region_counts(snps: DataFrame, regions: DataFrame) -> DataFrame:
-    """Heterozygous and homozygous SNPs strictly inside each region."""
-    pairs = iv.point_join(snps, regions, strict=True)
+    """Heterozygous and homozygous SNPs strictly inside each region, as differences of counts up to its ends."""
     hom = is_hom(F.col("gt"))
-    counts = pairs.groupBy("chr", F.col("r_start").alias("start"), F.col("r_end").alias("end")).agg(F.count_if(~hom).alias("hets_count"), F.count_if(hom).alias("homos_count"))
-    return regions.select("chr", "start", "end").join(counts, ["chr", "start", "end"], "left").na.fill(0, ["hets_count", "homos_count"])
+    events = snps.select("chr", F.col("pos").alias("at"), (~hom).cast("int").alias("hets"), hom.cast("int").alias("homs"))
+    found = iv.with_totals(regions.select("chr", "start", "end"), events, F.col("start") + 1, F.col("end"))
+    inside = lambda c: F.when(F.col("end") > F.col("start"), F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+    return found.select("chr", "start", "end", F.coalesce(inside("hets"), F.lit(0)).cast("long").alias("hets_count"), F.coalesce(inside("homs"), F.lit(0)).cast("long").alias("homos_count"))
 
 
 def with_genome_position(df: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -417,3 +417,13 @@ def test_first_containing_makes_no_pairs(spark, seed):
     assert {r.pos: tuple(r.hit) for r in got.collect()} == {p: held(p) for p in range(0, 9100, 5) if held(p)}
     many, wide = crowd(spark)
     assert most_rows(iv.first_containing(many, wide, ["chr", "id"])) <= 1000
+
+
+def test_region_counts_make_no_pairs(spark):
+    snp_rows = [("c", p, gt) for p, gt in ((1, "0|1"), (4096, "1/1"), (5000, "0|1"), (5000, "1|1"), (9000, None), (9001, "0/1"))] + [("d", 5, "0|1")]
+    regions = [("c", 1, 5000), ("c", 1, 5000), ("c", 4999, 9001), ("c", 5000, 5000), ("c", 5000, 4000), ("c", None, 7), ("e", 0, 9), ("d", 4, 6)]
+    got = snps.region_counts(spark.createDataFrame(snp_rows, "chr STRING, pos BIGINT, gt STRING"), spark.createDataFrame(regions, "chr STRING, start BIGINT, end BIGINT"))
+    hits = lambda c, a, b, hom: sum(x == c and a is not None and a < p < b and (gt in ("1/1", "1|1")) == hom for x, p, gt in snp_rows)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((c, a, b, hits(c, a, b, False), hits(c, a, b, True))) for c, a, b in regions)
+    many, wide = crowd(spark)
+    assert most_rows(snps.region_counts(many.withColumn("gt", F.lit("0|1")), wide)) <= 3000
