@@ -31,13 +31,15 @@ def histogram(segments: DataFrame, keys: tuple[str, ...] = ("genome_id", "hp", "
 def bin_coverage(hist: DataFrame, bins: DataFrame, window: int = WINDOW, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean window depth of each bin as hp1, hp2 and hp3 (unphased): windows of both ends count, missing ones as 0.
 
-    Bins (keys, chr, start, end) are spread over their windows, so this is an equi-join on (keys, chr, win).
+    Depths are summed up to both ends of a bin (keys, chr, start, end), so a long bin costs as much as a short one.
     """
-    wide = bins.select(*keys, "chr", "start", "end", F.explode(F.sequence(bin_index(F.col("start"), window), bin_index(F.col("end"), window))).alias("win"))
+    first, last = bin_index(F.col("start"), window), bin_index(F.col("end"), window)
+    sides = {"hp1": 1, "hp2": 2, "hp3": 0}
+    events = hist.select(*keys, "chr", F.col("win").alias("at"), *(F.when(F.col("hp") == h, F.col("depth")).otherwise(0).cast("long").alias(c) for c, h in sides.items()))
+    sums = iv.with_totals(bins.select(*keys, "chr", "start", "end"), events, first, last + 1, (*keys, "chr"))
     n = F.floor(F.col("end") / window) - F.floor(F.col("start") / window) + 1
-    sums = wide.join(hist, [*keys, "chr", "win"]).groupBy(*keys, "chr", "start", "end").agg(*(F.sum(F.when(F.col("hp") == h, F.col("depth"))).alias(c) for h, c in ((1, "hp1"), (2, "hp2"), (0, "hp3"))))
-    filled = bins.select(*keys, "chr", "start", "end").join(sums, [*keys, "chr", "start", "end"], "left")
-    return filled.select(*keys, "chr", "start", "end", *(F.bround(F.coalesce(F.col(c), F.lit(0)) / n, 2).alias(c) for c in ("hp1", "hp2", "hp3")))
+    inside = lambda c: F.coalesce(F.when(last >= first, F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0))
+    return sums.select(*keys, "chr", "start", "end", *(F.bround(inside(c) / n, 2).alias(c) for c in sides))
 
 
 def snp_bin_mean(snps: DataFrame, bins: DataFrame, size: int, values: tuple[str, ...] = ("hp1", "hp2")) -> DataFrame:

@@ -427,3 +427,13 @@ def test_region_counts_make_no_pairs(spark):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((c, a, b, hits(c, a, b, False), hits(c, a, b, True))) for c, a, b in regions)
     many, wide = crowd(spark)
     assert most_rows(snps.region_counts(many.withColumn("gt", F.lit("0|1")), wide)) <= 3000
+
+
+def test_bin_coverage_makes_no_row_per_window(spark):
+    hist = spark.createDataFrame([("c", 1, w, 2) for w in range(0, 40, 3)] + [("c", 0, 7, 5), ("d", 1, 1, 1)], "chr STRING, hp INT, win BIGINT, depth BIGINT")
+    wide = [("c", 0, 5000), ("c", 0, 5000), ("c", 1200, 1300), ("c", 3500, 3999), ("e", 0, 10)]
+    got = coverage.bin_coverage(hist, spark.createDataFrame(wide, "chr STRING, start BIGINT, end BIGINT"))
+    mean = lambda c, a, b, h: round(sum((2 if h == 1 else 5) for w in range(a // 500, b // 500 + 1) if c == "c" and ((h == 1 and w in range(0, 40, 3)) or (h == 0 and w == 7))) / (b // 500 - a // 500 + 1), 2)
+    assert rows(got, "chr", "start", "end", "hp1", "hp2", "hp3") == sorted((c, a, b, mean(c, a, b, 1), 0.0, mean(c, a, b, 0)) for c, a, b in wide)
+    long = spark.range(50).selectExpr("'c' AS chr", "id AS start", "500000 + id AS end")
+    assert most_rows(coverage.bin_coverage(hist, long)) <= 1000
