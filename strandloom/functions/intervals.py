@@ -113,6 +113,23 @@ def with_totals(intervals: DataFrame, events: DataFrame, low: Column, high: Colu
     return keyed.select(*intervals.columns, *(f"{side}_{n}" for side in ("lo", "hi") for n in names))
 
 
+def overlap_totals(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Adds to the intervals of ``left`` (closed, whole numbers) how many of ``right`` overlap them (n) and the sum of what is shared.
+
+    With starts and ends of ``right`` counted and summed up to a place, this is arithmetic on both ends of an interval. Intervals
+    that end before they start don't fit it; they are joined.
+    """
+    proper = F.col("end") >= F.col("start")
+    event = lambda c, s, e: right.where(proper).select("chr", F.col(c).alias("at"), F.lit(s).alias("s"), (F.col(c) * s).alias("s_at"), F.lit(e).alias("e"), (F.col(c) * e).alias("e_at"))
+    found = with_totals(left.where(proper), event("start", 1, 0).union(event("end", 0, 1)), F.col("start"), F.col("end") + 1)
+    here = lambda c: F.coalesce(F.col(c), F.lit(0))
+    covered = lambda side, x: x * (here(f"{side}_s") - here(f"{side}_e")) - here(f"{side}_s_at") + here(f"{side}_e_at")
+    sums = found.select(*left.columns, (here("hi_s") - here("lo_e")).alias("n"), (covered("hi", F.col("end")) - covered("lo", F.col("start"))).alias("shared"))
+    odd = overlap_join(left.where(proper), right.where(~proper)).unionByName(overlap_join(left.where(~proper), right))
+    pairs = odd.select(*left.columns, F.lit(1).cast("long").alias("n"), (F.least("end", "r_end") - F.greatest("start", "r_start")).alias("shared"))
+    return sums.unionByName(pairs).where("n > 0")
+
+
 def nearest(probes: DataFrame, marks: DataFrame, probe: str = "pos", mark: str = "pos") -> DataFrame:
     """Probes with the nearest mark of their contig (``near``); ties take the lower position.
 

@@ -268,8 +268,8 @@ def overlap_semi(spark, sf_dir):
 
 @query("""SELECT g.chr, g.gene, count(*) AS n, CAST(sum(least(g."end", b."end") - greatest(g."start", b."start")) AS BIGINT) AS shared FROM gene g JOIN blk b ON b.chr = g.chr AND b."end" >= g."start" AND b."start" <= g."end" GROUP BY 1, 2""")
 def overlap_length(spark, sf_dir):
-    pairs = iv.overlap_join(v.gene(spark, sf_dir), v.blk(spark, sf_dir).select("chr", "start", "end"), bucket=100_000)
-    return pairs.groupBy("chr", "gene").agg(F.count("*").alias("n"), F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("shared"))
+    found = iv.overlap_totals(v.gene(spark, sf_dir), v.blk(spark, sf_dir).select("chr", "start", "end"))
+    return found.groupBy("chr", "gene").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
 
 
 @query("""SELECT s.chr, s.pos, min(g."start") AS "start" FROM (SELECT DISTINCT chr, pos FROM snp) s JOIN gene g ON g.chr = s.chr AND s.pos BETWEEN g."start" AND g."end" GROUP BY 1, 2""")

@@ -437,3 +437,20 @@ def test_bin_coverage_makes_no_row_per_window(spark):
     assert rows(got, "chr", "start", "end", "hp1", "hp2", "hp3") == sorted((c, a, b, mean(c, a, b, 1), 0.0, mean(c, a, b, 0)) for c, a, b in wide)
     long = spark.range(50).selectExpr("'c' AS chr", "id AS start", "500000 + id AS end")
     assert most_rows(coverage.bin_coverage(hist, long)) <= 1000
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_overlap_totals_make_no_pairs(spark, seed):
+    rng = random.Random(seed)
+    a, b = random_intervals(rng, 30, 9000), random_intervals(rng, 40, 9000)
+    a, b = a + [("c", 50, 8900), ("c", 50, 8900), ("c", 70, 60), ("d", 1, 9), ("c", None, 4)], b + [("c", 10, 10), ("c", 400, 300), ("c", 8890, 9050), ("c", 3, None)]
+    hit = lambda x, y: None not in (*x, *y) and x[0] == y[0] and y[2] >= x[1] and y[1] <= x[2]
+    expected = [(*x, len(m), sum(min(x[2], y[2]) - max(x[1], y[1]) for y in m)) for x in a if (m := [y for y in b if hit(x, y)])]
+    left, right = (spark.createDataFrame(x, "chr STRING, start BIGINT, end BIGINT") for x in (a, b))
+    found = iv.overlap_totals(left, right).groupBy("chr", "start", "end").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
+    summed = {}
+    for *x, n, shared in expected:
+        summed[tuple(x)] = tuple(map(sum, zip(summed.get(tuple(x), (0, 0)), (n, shared))))
+    assert rows(found) == sorted((*x, *s) for x, s in summed.items())
+    wide = crowd(spark)[1]
+    assert most_rows(iv.overlap_totals(wide, wide)) <= 3000
