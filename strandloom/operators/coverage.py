@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
 from strandloom.functions.scalar import bin_index, median_nonzero
 
 WINDOW = 500
-#: Neighbouring SNPs of one array.
-RUN = 1024
 
 
 def histogram(segments: DataFrame, keys: tuple[str, ...] = ("genome_id", "hp", "chr"), window: int = WINDOW) -> DataFrame:
@@ -48,42 +51,49 @@ def snp_bin_mean(snps: DataFrame, bins: DataFrame, size: int, values: tuple[str,
     return bins.join(means, ["chr", "bin_idx"], "left").na.fill(0.0, list(values))
 
 
-def _array_mean(values: Column) -> Column:
-    known = F.filter(values, lambda x: x.isNotNull())
-    return F.aggregate(known, F.lit(0.0), lambda total, x: total + x) / F.nullif(F.size(known), F.lit(0))
-
-
-def _array_median(values: Column) -> Column:
-    """The median of the values other than 0; 0 without any."""
-    known = F.sort_array(F.filter(values, lambda x: x.isNotNull() & (x != 0)))
-    middle = F.transform(F.array(known), lambda k: F.when(F.size(k) > 0, (F.element_at(k, F.floor((F.size(k) + 1) / 2).cast("int")) + F.element_at(k, F.floor(F.size(k) / 2).cast("int") + 1)) / 2).otherwise(0.0))
-    return F.element_at(middle, 1)
-
-
-def snp_interval_values(snps: DataFrame, intervals: DataFrame, key: str, values: tuple[str, ...], zeros: bool) -> DataFrame:
+def _of_spans(values: tuple[str, ...], zeros: bool) -> Callable:
+    """For a group of ``side_by_side``: the mean or median of a slice of the SNPs by rank for each of its spans."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        spans, snps = t.filter(pc.is_valid(t["start"])), t.filter(pc.is_valid(t["rank"])).sort_by("rank")
+        start, end = (spans[c].to_numpy() for c in ("start", "end"))
+        rank = snps["rank"].to_numpy()
+        low, high = np.searchsorted(rank, start), np.searchsorted(rank, end, side="right")
+        out = []
+        for v in values:
+            x = snps[v].cast(pa.float64())
+            known = pc.is_valid(x).to_numpy()
+            x = x.to_numpy()
+            if not zeros:
+                known &= x != 0
+            before, x = np.concatenate([[0], np.cumsum(known)]), x[known]  # what counts, and how much of it stands before a rank
+            a, b = before[low], before[high]
+            how = np.mean if zeros else np.median
+            out.append(pa.array([how(x[i:j]) if j > i else (None if zeros else 0.0) for i, j in zip(a, b)], pa.float64()))
+        names = ("chr", "start", "end", *values)
+        return pa.Table.from_arrays([pa.repeat(key[0], len(spans)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), *out], names=names)
+
+    return run
+
+
+def snp_interval_values(snps: DataFrame, intervals: DataFrame, values: tuple[str, ...], zeros: bool) -> DataFrame:
     """Values over the SNPs from the one nearest to an interval's start up to that nearest to its end (excluded).
 
-    zeros: mean of all values (genes), else median of values other than 0 (phase blocks); 0 where there are none.
+    zeros: mean of all values (genes), else median of values other than 0 (phase blocks); 0 where there are none. Nearest SNPs
+    are sought once for each place, intervals between the same SNPs share one computation, and SNPs are shuffled beside the
+    spans that hold them, so neither disk nor memory grows with pairs of a span and a SNP.
     """
-    ranked = snps.withColumn("rank", F.row_number().over(Window.partitionBy("chr").orderBy("pos")))
-    ends = intervals.select("chr", key, F.col("start").alias("at"), F.lit(0).alias("side")).union(intervals.select("chr", key, F.col("end").alias("at"), F.lit(1).alias("side")))
-    found = iv.nearest(ends, snps, "at", "pos").join(ranked.select("chr", F.col("pos").alias("near"), "rank"), ["chr", "near"])
-    spans = found.groupBy("chr", key).agg(F.min(F.when(F.col("side") == 0, F.col("rank"))).cast("long").alias("start"), (F.min(F.when(F.col("side") == 1, F.col("rank"))) - 1).cast("long").alias("end"))
-    # intervals between the same SNPs share one computation; SNPs travel as arrays of RUN neighbours, of which a span
-    # takes slices, so a pair of a span and a SNP is an element of an array and not a row
-    run = F.floor((F.col("rank") - 1) / RUN).cast("long")
-    arrays = ranked.groupBy("chr", run.alias("run")).agg(F.sort_array(F.collect_list(F.struct("rank", *values))).alias("snps"))
-    runs = F.sequence(F.floor((F.col("start") - 1) / RUN).cast("long"), F.floor((F.col("end") - 1) / RUN).cast("long"))
-    spread = spans.where("end >= start").select("chr", "start", "end").distinct().withColumn("run", F.explode(runs))
-    first = F.greatest(F.col("start") - F.col("run") * RUN, F.lit(1)).cast("int")
-    last = F.least(F.col("end") - F.col("run") * RUN, F.lit(RUN)).cast("int")
-    parts = spread.join(arrays, ["chr", "run"]).select("chr", "start", "end", F.slice("snps", first, last - first + 1).alias("part"))
-    whole = parts.groupBy("chr", "start", "end").agg(F.flatten(F.collect_list("part")).alias("all"))
-    how = _array_mean if zeros else _array_median
-    field = lambda v: F.transform("all", lambda x: x[v].cast("double"))
-    found = whole.select("chr", "start", "end", *(how(field(v)).alias(v) for v in values))
-    out = spans.join(found, ["chr", "start", "end"]).select("chr", key, *values)
-    return intervals.join(out, ["chr", key], "left").na.fill(0.0, list(values))
+    ranked = snps.withColumn("rank", F.row_number().over(Window.partitionBy("chr").orderBy("pos")).cast("long"))
+    ends = intervals.select("chr", F.explode(F.array("start", "end")).alias("at")).where("at IS NOT NULL").distinct()
+    ranks = iv.nearest(ends, snps, "at", "pos").join(ranked.select("chr", F.col("pos").alias("near"), "rank"), ["chr", "near"]).select("chr", "at", "rank")
+    first, last = ranks.select("chr", F.col("at").alias("start"), F.col("rank").alias("__first")), ranks.select("chr", F.col("at").alias("end"), (F.col("rank") - 1).alias("__last"))
+    rows = intervals.join(first, ["chr", "start"], "left").join(last, ["chr", "end"], "left")
+    spans = rows.where("__last >= __first").select("chr", F.col("__first").alias("start"), F.col("__last").alias("end")).distinct()
+    schema = ", ".join(["chr STRING, start BIGINT, end BIGINT", *(f"{v} DOUBLE" for v in values)])
+    near = iv.side_by_side(ranked.select("chr", "rank", *values), spans, "rank")
+    found = near.groupBy("chr", "__k", "__b").applyInArrow(_of_spans(values, zeros), schema)
+    found = found.select("chr", F.col("start").alias("__first"), F.col("end").alias("__last"), *values)
+    return rows.drop(*values).join(found, ["chr", "__first", "__last"], "left").na.fill(0.0, list(values)).select(*(c for c in intervals.columns if c not in values), *values)
 
 
 def interval_bin_median(bins: DataFrame, intervals: DataFrame, values: tuple[str, ...] = ("hp1", "hp2")) -> DataFrame:

@@ -58,8 +58,7 @@ def window_depths(alignments: DataFrame, min_mapq: int = 5, max_error: float = 0
 
 def block_depths(snp: DataFrame, blocks: DataFrame) -> DataFrame:
     """Blocks (chr, start, end) with the medians of their SNPs."""
-    keyed = blocks.select("chr", "start", "end").withColumn("block", F.struct("start", "end"))
-    return coverage.snp_interval_values(snp, keyed, "block", ("hp1", "hp2"), False).select("chr", "start", "end", "hp1", "hp2")
+    return coverage.snp_interval_values(snp, blocks.select("chr", "start", "end"), ("hp1", "hp2"), False)
 
 
 def run(frequencies: DataFrame, positions: DataFrame, contigs: DataFrame, centromeres: DataFrame, zygosity: DataFrame | None = None, windows: DataFrame | None = None, settings: Settings = Settings(), genes: DataFrame | None = None) -> Corrected:
@@ -108,7 +107,7 @@ def run(frequencies: DataFrame, positions: DataFrame, contigs: DataFrame, centro
         final = iv.subtract(final, lost)
         lost = checkpoint(loh.assign_haplotype(lost, bins, size))
     blocks = values_of(checkpoint(phase.add_missing(final, original).distinct()))
-    at_genes = coverage.snp_interval_values(snp, genes, "gene", ("hp1", "hp2"), True) if genes is not None else contigs.selectExpr("chr", "0L AS start", "0L AS end", "'' AS gene", "0D AS hp1", "0D AS hp2").where("false")
+    at_genes = coverage.snp_interval_values(snp, genes, ("hp1", "hp2"), True) if genes is not None else contigs.selectExpr("chr", "0L AS start", "0L AS end", "'' AS gene", "0D AS hp1", "0D AS hp2").where("false")
     changed = bins.where("swaps % 2 = 1").select("chr", "start", "end")
     return Corrected(bins.select("chr", "start", "end", "hp1", "hp2", "hp3"), blocks, original, lost, changed, raw, at_genes)
 

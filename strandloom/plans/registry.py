@@ -235,13 +235,13 @@ def _one_per_place(spark, sf_dir):
 
 @query(_RANKED.format(t="(SELECT *, gene AS key FROM gene)", key="gene", agg="avg(rr.value)"))
 def gene_snp_mean(spark, sf_dir):
-    return cov.snp_interval_values(_one_per_place(spark, sf_dir), v.gene(spark, sf_dir), "gene", ("value",), True).select("chr", "gene", _r("value"))
+    return cov.snp_interval_values(_one_per_place(spark, sf_dir), v.gene(spark, sf_dir), ("value",), True).select("chr", "gene", _r("value"))
 
 
 @query(_RANKED.format(t="(SELECT chr, ps AS key, \"start\", \"start\" + 100000 AS \"end\" FROM blk)", key="ps", agg="median(CASE WHEN rr.value <> 0 THEN rr.value END)"))
 def block_snp_median(spark, sf_dir):
     blocks = v.blk(spark, sf_dir).select("chr", "ps", "start", (F.col("start") + 100_000).alias("end"))
-    return cov.snp_interval_values(_one_per_place(spark, sf_dir), blocks, "ps", ("value",), False).select("chr", "ps", _r("value"))
+    return cov.snp_interval_values(_one_per_place(spark, sf_dir), blocks, ("value",), False).select("chr", "ps", _r("value"))
 
 
 @query(""", a AS (SELECT chr, "start", "end" FROM blk WHERE ps % 2 = 0), b AS (SELECT chr, "start", "end" FROM blk WHERE ps % 2 = 1),

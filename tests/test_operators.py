@@ -454,3 +454,21 @@ def test_overlap_totals_make_no_pairs(spark, seed):
     assert rows(found) == sorted((*x, *s) for x, s in summed.items())
     wide = crowd(spark)[1]
     assert most_rows(iv.overlap_totals(wide, wide)) <= 3000
+
+
+def test_values_of_spans_shuffle_each_snp_a_bounded_number_of_times(spark):
+    rng = random.Random(5)
+    at = sorted(rng.sample(range(10_000), 300))
+    depth = {p: rng.choice([None, 0.0, 1.5, 2.25, 40.0, 7.0]) for p in at}
+    spans = [(a, a + rng.randint(0, 4000)) for a in rng.sample(range(11_000), 60)] + [(0, 10_000), (0, 10_000), (5, 5)]
+    rank = lambda x: min(range(300), key=lambda i: (abs(at[i] - x), at[i]))
+    of = {s: [depth[p] for p in at[rank(s[0]) : rank(s[1])] if depth[p] is not None] for s in spans}
+    table = spark.createDataFrame([("c", *x) for x in depth.items()], "chr STRING, pos BIGINT, value DOUBLE")
+    intervals = spark.createDataFrame([("c", *s) for s in spans] + [("d", 1, 5)], "chr STRING, start BIGINT, end BIGINT")
+    for zeros in (True, False):
+        value = lambda x: (np.mean(x) if zeros else np.median([y for y in x if y] or [0.0])) if x else 0.0  # noqa: B023, E731
+        got = rows(coverage.snp_interval_values(table, intervals, ("value",), zeros), "chr", "start", "end", "value")
+        assert [r[:3] for r in got] == sorted([("c", *s) for s in spans] + [("d", 1, 5)])
+        assert all(math.isclose(r[3], value(of.get(r[1:3], [])) if r[0] == "c" else 0.0, abs_tol=1e-9) for r in got)
+    plan = coverage.snp_interval_values(table, intervals, ("value",), False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and "collect_list" not in plan
