@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions.scalar import cna_alt, cna_genotype, cna_type
 
@@ -45,13 +51,51 @@ def align(one: DataFrame, two: DataFrame, optional: tuple[str, ...] = ()) -> Dat
     return rows.select(*out)
 
 
+#: Ids in a batch of rows.
+BATCH = 1 << 20
+
+
+def _ids_of_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a group of ``side_by_side``: the ids of the points of each span. Points are sorted by id once, so what a span takes is sorted."""
+    t = pa.Table.from_batches(list(batches))
+    spans, points = t.filter(pc.is_valid(t["start"])), t.filter(pc.and_(pc.is_valid(t["pos"]), pc.is_valid(t["id"]))).sort_by("id")
+    start, end, pos, ids = spans["start"].to_numpy(), spans["end"].to_numpy(), points["pos"].to_numpy(), points["id"].combine_chunks()
+    number = pc.rank(ids, tiebreaker="dense").to_numpy() if len(ids) else np.empty(0, "uint64")  # equal ids are neighbours
+    twice = len(number) > 0 and number[-1] < len(number)
+
+    segments = spans["__row"].combine_chunks()
+
+    def batch(first: int, last: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype("int32")
+        taken = pa.ListArray.from_arrays(pa.array(offsets), ids.take(pa.array(np.concatenate(found))))
+        return pa.RecordBatch.from_arrays([segments.slice(first, last - first), taken], names=["__row", "svs_breakpoints_ids"])
+
+    found, first, size = [], 0, 0
+    for i in range(len(start)):
+        at = np.flatnonzero((pos >= start[i]) & (pos <= end[i]))
+        if twice and len(at):
+            at = at[np.concatenate([[True], number[at[1:]] != number[at[:-1]]])]
+        found.append(at)
+        size += len(at)
+        if size >= BATCH or i + 1 == len(start):
+            yield batch(first, i + 1, found)
+            found, first, size = [], i + 1, 0
+
+
 def with_breakpoint_ids(segments: DataFrame, points: DataFrame) -> DataFrame:
-    """Adds svs_breakpoints_ids: sorted ids of the breakpoints (chr, pos, id) from start to end, both included."""
-    from strandloom.functions.intervals import point_join
+    """Adds svs_breakpoints_ids: sorted ids of the breakpoints (chr, pos, id) from start to end, both included.
 
-    ids = point_join(points, segments.select("chr", "start", "end")).groupBy("chr", F.col("r_start").alias("start"), F.col("r_end").alias("end")).agg(F.array_sort(F.collect_set("id")).alias("svs_breakpoints_ids"))
-    out = segments.join(ids, ["chr", "start", "end"], "left")
-    return out.withColumn("svs_breakpoints_ids", F.coalesce("svs_breakpoints_ids", F.array().cast("array<string>")))
+    Only the result has a row or element for each pair of a segment and a breakpoint; nothing of that size is shuffled.
+    """
+    from strandloom.functions.intervals import side_by_side
+
+    proper = F.coalesce((F.col("end") >= F.col("start")) & F.col("chr").isNotNull(), F.lit(False))
+    row = F.struct(*segments.columns)
+    spans = segments.where(proper).select("chr", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), row.alias("__row"))
+    near = side_by_side(points.select("chr", F.col("pos").cast("long").alias("pos"), "id").where("pos IS NOT NULL"), spans, "pos")
+    kind = T.StructType([spans.schema["__row"], T.StructField("svs_breakpoints_ids", T.ArrayType(T.StringType()))])
+    held = near.groupBy("chr", "__k", "__b").applyInArrow(_ids_of_spans, kind).select("__row.*", "svs_breakpoints_ids")
+    return held.unionByName(segments.where(~proper).withColumn("svs_breakpoints_ids", F.array().cast("array<string>")))
 
 
 def merged_old(one: DataFrame, two: DataFrame) -> DataFrame:

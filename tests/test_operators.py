@@ -472,3 +472,16 @@ def test_values_of_spans_shuffle_each_snp_a_bounded_number_of_times(spark):
         assert all(math.isclose(r[3], value(of.get(r[1:3], [])) if r[0] == "c" else 0.0, abs_tol=1e-9) for r in got)
     plan = coverage.snp_interval_values(table, intervals, ("value",), False)._jdf.queryExecution().optimizedPlan().toString()
     assert "flatten" not in plan and "collect_list" not in plan
+
+
+def test_breakpoint_ids_shuffle_no_pairs(spark):
+    rng = random.Random(3)
+    marks = [("c", rng.randrange(200_000), str(rng.randrange(60))) for _ in range(200)] + [("c", 10, None), ("c", None, "7"), ("d", 5, "x")]
+    spans = [("c", a, a + rng.randint(0, 90_000), 0.5) for a in rng.sample(range(190_000), 40)] + [("c", 0, 10, None)] * 2 + [("c", 9, 3, 1.0), ("c", None, 3, 1.0), ("e", 1, 9, 1.0)]
+    held = lambda c, a, b: sorted({i for x, p, i in marks if x == c and None not in (a, b, p, i) and a <= p <= b})
+    segs, points = spark.createDataFrame(spans, "chr STRING, start BIGINT, end BIGINT, depth DOUBLE"), spark.createDataFrame(marks, "chr STRING, pos BIGINT, id STRING")
+    got = profile.with_breakpoint_ids(segs, points)
+    assert got.columns == ["chr", "start", "end", "depth", "svs_breakpoints_ids"]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((c, a, b, d, held(c, a, b))) for c, a, b, d in spans)
+    many, wide = crowd(spark)
+    assert most_rows(profile.with_breakpoint_ids(wide, many.withColumn("id", F.col("id").cast("string")))) <= 3000
