@@ -1,14 +1,18 @@
 """Phrase collocation mining over compressed position bitmaps (SPAM).
 
-Texts are cut into shards of a few megabytes of one language. In a shard every frequent word has a compressed bitmap
+In a shard of text of one language every frequent word has a compressed bitmap
 of its positions: the blocks of 64 positions that hold any, with their bits. A phrase's bitmap marks where its last
 word stands; shifted by one position and ANDed with a word's bitmap it becomes that of the longer phrase, and its
 popcount is the phrase's count in the shard. Phrases grow depth-first, with batches of siblings shifted, ANDed and
 counted at once; places between pieces are positions of their own, so no phrase crosses them. Popcounts are summed over all shards.
 
 What may be extended is known before: words are counted first, then pairs, triples and quadruples of frequent words
-by hash. Hashes of frequent ones reach the shards as bitmaps of at most 16 MB whatever the corpus; one that lets too much
-pass costs a few empty ANDs and rows, never a result, as counts of phrases are sums over their own words.
+by hash, in shards of a few megabytes of a task's text. Hashes of frequent ones reach the shards as bitmaps of at most 16 MB whatever the
+corpus; one that lets too much pass costs a few empty ANDs and rows, never a result, as counts of phrases are sums over their own words.
+
+Shards in which phrases grow are not stretches of text, as every frequent phrase has places in most of these and would be counted in each. The
+text is projected on pairs first: of each place where a pair passes, the words as far as longer phrases pass go to the
+group of that pair. A phrase grows in its pair's group alone, in one shard or, where the group is large, in a few.
 
 A phrase scores by its worst cut, floor(1000 * f(phrase) * n / (f(left) * f(right))); one that is inside a longer
 candidate with ``covered`` per cent of its occurrences goes. (If any longer one covers it, so does one with a single
@@ -21,7 +25,7 @@ that follow, of which no phrase starts twice. An empty table gives no rows. Furt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bitmap, in_bitmap, map_batches, staged
+from .common import LOWER, bitmap, in_bitmap, pieces, staged
 
 #: Words of a phrase; occurrences of a candidate; rows kept of a language; per cent of occurrences in a longer one.
 LONGEST, LEAST, TOP, COVERED = 5, 100, 2000, 100
@@ -41,8 +45,10 @@ KNOWN, BITS, WIDEST = 4, 256, 27
 TRIES, LOOKUPS = 1 << 18, 1 << 19
 #: A bitmap with bits in more than this part of all blocks is kept plain.
 DENSE = 8
-#: Bytes of text in a shard.
-SHARD = 8 << 20
+#: Bytes of text in a shard, and of all languages' texts that wait for one.
+SHARD, WAITING = 8 << 20, 32 << 20
+#: Words of text for which there is a group of pairs; most groups; positions in a shard of one.
+GROUP, GROUPS, POSITIONS = 1 << 20, 1 << 12, 1 << 20
 #: Shares into which a language's phrases are dealt before they are ranked together; languages that are broadcast.
 SHARES, FEW = 64, 100_000
 #: Bytes as in LOWER; what ends a piece becomes a newline, a tab becomes a blank.
@@ -80,6 +86,11 @@ def stretches(text: bytes, size: int = SHARD) -> Iterator[tuple[bytes, bytes]]:
     yield text[at:], b""
 
 
+def hashes_of(lang: str, words_: list[bytes]) -> np.ndarray:
+    start = lang.encode() + b"\0"
+    return np.fromiter((xxhash.xxh64_intdigest(start + w) for w in words_), np.uint64, len(words_))
+
+
 class Shard:
     """Words of a stretch of text of one language, by numbers; -1 stands between pieces."""
 
@@ -91,8 +102,8 @@ class Shard:
         ids = ids[ids != empty]
         ids[ids == gap] = -1
         self.lang, self.ids, self.own = lang, ids, len(ids) - len(tokens(tail))
-        start = lang.encode() + b"\0"
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(start + w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        self.hashes = hashes_of(lang, self.vocabulary)
+        self.starts = np.arange(len(ids)) < self.own  # where phrases start
 
     def keep(self, frequent: np.ndarray) -> None:
         """Words that are not frequent become gaps."""
@@ -100,16 +111,29 @@ class Shard:
         self.ids = np.where(known[self.ids], self.ids, -1)
 
 
-def shards(batch: pa.RecordBatch, size: int = SHARD) -> Iterator[Shard]:
-    """The shards of a batch of (language, text)."""
+def shards(batches: Iterable[pa.RecordBatch], size: int = SHARD, waiting: int = WAITING) -> Iterator[Shard]:
+    """The shards of a task's batches of (language, text). Texts of a language are gathered until they fill a shard; of too
+    many languages those go first that have most."""
     by: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-        by.setdefault(lang, []).append(text)
-    while by:
-        lang, rows = by.popitem()
-        for own, tail in stretches(b"\n".join(rows).translate(PIECES), size):
+    held: dict[str, int] = {}
+
+    def cut(lang: str) -> Iterator[Shard]:
+        del held[lang]
+        for own, tail in stretches(b"\n".join(by.pop(lang)).translate(PIECES), size):
             yield Shard(lang, own, tail)
 
+    for batch in batches:
+        for piece in pieces(batch, max(1, batch.num_rows), size):
+            for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                if lang in by and held[lang] + len(text) >= size:
+                    yield from cut(lang)
+                by.setdefault(lang, []).append(text)
+                held[lang] = held.get(lang, 0) + len(text) + 1
+            while sum(held.values()) > waiting:
+                yield from cut(max(held, key=held.get))
+    for lang in list(by):
+        yield from cut(lang)
+
 
 def chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of phrases from those of their first words and of the last."""
@@ -117,9 +141,9 @@ def chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def runs(shard: Shard, bitmaps: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases of n frequent words start whose shorter parts pass the bitmaps (of pairs, triples and so on), and
-    their hashes."""
+def steps(shard: Shard, bitmaps: list[np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 2 to n frequent words: where phrases of so many start that pass the bitmaps (of pairs, triples and so on), as do
+    their shorter parts, and their hashes."""
     ids, h = shard.ids, np.append(shard.hashes, np.uint64(0))
     at, found = np.flatnonzero(ids >= 0), h[ids[ids >= 0]]
     for k in range(2, n + 1):
@@ -130,14 +154,62 @@ def runs(shard: Shard, bitmaps: list[np.ndarray], n: int) -> tuple[np.ndarray, n
         found = chain(found, h[ids[at + k - 1]])
         if k - 2 < len(bitmaps):
             passes = in_bitmap(bitmaps[k - 2], found.view(np.int64))
-            starts = np.zeros(len(ids) + 1, bool)
-            starts[at[passes]] = True
-            # the last words of the next longer phrase have to pass as well
-            keep = passes & starts[at + 1] if k < n else passes
-            at, found = at[keep], found[keep]
+            at, found = at[passes], found[passes]
+        yield at, found
+        starts = np.zeros(len(ids) + 1, bool)
+        starts[at] = True
+        # the last words of the next longer phrase have to pass as well
+        keep = starts[at + 1]
+        at, found = at[keep], found[keep]
+
+
+def runs(shard: Shard, bitmaps: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of n frequent words start in a shard that pass the bitmaps, as do their shorter parts, and their hashes."""
+    *_, (at, found) = steps(shard, bitmaps, n)
     return at[at < shard.own], found[at < shard.own]
 
 
+def projected(shard: Shard, bitmaps: list[np.ndarray], longest: int, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """For each group of pairs in a shard: its number, its words joined by blanks, and the numbers of these words (int32) for each place where
+    such a pair starts, as far as longer phrases pass, with -1 behind each."""
+    reach = np.zeros(len(shard.ids), np.int64)
+    for k, (at, found) in enumerate(steps(shard, bitmaps, longest), 2):
+        if k == 2:
+            pairs, hashes = at[at < shard.own], found[at < shard.own]
+        reach[at] = k
+    if not len(pairs):
+        return
+    order = np.argsort(hashes)
+    pairs, size = pairs[order], reach[pairs[order]] + 1
+    group = ((hashes[order] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    ends = np.cumsum(size)
+    _, at = spread(pairs, size)
+    ids = np.append(shard.ids, -1)[at]
+    ids[ends - 1] = -1
+    names, number = np.array(shard.vocabulary, object), np.empty(len(shard.vocabulary) + 1, np.int32)
+    borders = np.flatnonzero(np.diff(group, prepend=-1))
+    for i, j in zip(borders, [*borders[1:], len(group)], strict=True):
+        own = ids[ends[i] - size[i] : ends[j - 1]]
+        used = np.flatnonzero(np.bincount(own + 1, minlength=len(number))[1:])
+        number[used], number[-1] = np.arange(len(used)), -1
+        yield int(group[i]), b" ".join(names[used].tolist()), number[own].tobytes()
+
+
+def gathered(lang: str, parts: list[tuple[bytes, bytes]]) -> Shard:
+    """A shard of parts of groups of pairs, in which phrases start only where these pairs do."""
+    vocabularies = pc.split_pattern(pa.array([names for names, _ in parts], pa.large_binary()), pattern=b" ")
+    encoded, of = vocabularies.flatten().dictionary_encode(), vocabularies.offsets.to_pylist()
+    number = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = [np.array([-1])]
+    for a, b, (_, numbers) in zip(of, of[1:], parts, strict=False):
+        ids.append(np.append(number[a:b], -1)[np.frombuffer(numbers, np.int32)])
+    shard = object.__new__(Shard)
+    shard.lang, shard.ids, shard.vocabulary = lang, np.concatenate(ids), encoded.dictionary.to_pylist()
+    shard.own, shard.hashes = len(shard.ids), hashes_of(lang, shard.vocabulary)
+    shard.starts = np.append(False, shard.ids[:-1] < 0) & (shard.ids >= 0)
+    return shard
+
+
 def shifted(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps moved on by one position."""
     over = bits >> np.uint64(63) != 0
@@ -264,17 +336,22 @@ def mine(shard: Shard, bitmaps: list[np.ndarray], longest: int = LONGEST, tries:
     by side, as many as have about ``tries`` words to try; what comes of them goes before the rest.
     """
     n = len(shard.vocabulary)
-    at, _ = runs(shard, bitmaps[:1], 2)
-    first = np.unique(shard.ids[at])
-    # a phrase may end among the words that follow the stretch
-    at, _ = runs(_whole(shard), bitmaps[:1], 2)
-    ahead, behind = np.divmod(np.unique(shard.ids[at] * n + shard.ids[at + 1]), max(1, n))
-    of = np.searchsorted(ahead, np.arange(n + 1))
+    # a phrase may end among the words that follow a stretch
+    at, _ = next(steps(shard, bitmaps[:1], 2))
+    pairs = shard.ids[at] * n + shard.ids[at + 1]
+
+    def followers(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ahead, behind = np.divmod(np.unique(pairs), max(1, n))
+        return np.searchsorted(ahead, np.arange(n + 1)), behind
+
+    begin, inner = followers(pairs[shard.starts[at]]), followers(pairs)
     words_, names = Bitmaps.of_words(shard.ids, n), np.array(shard.vocabulary, object)
-    stack = [Batch(first[:, None], [shard.hashes[first]], words_.chosen(first, shard.own))] if len(first) else []
+    first = np.flatnonzero(np.diff(begin[0]))
+    starting = Bitmaps.of_words(np.where(shard.starts, shard.ids, -1), n)
+    stack = [Batch(first[:, None], [shard.hashes[first]], starting.chosen(first))] if len(first) else []
     while stack:
         batch = stack.pop()
-        last = batch.words[:, -1]
+        last, (of, behind) = batch.words[:, -1], begin if batch.words.shape[1] == 1 else inner
         upto = max(1, int(np.searchsorted(np.cumsum(of[last + 1] - of[last]), tries, "right")))
         if upto < len(last):
             stack.append(batch.some(np.arange(upto, len(last))))
@@ -286,12 +363,6 @@ def mine(shard: Shard, bitmaps: list[np.ndarray], longest: int = LONGEST, tries:
                 stack.append(found)
 
 
-def _whole(shard: Shard) -> Shard:
-    other = object.__new__(Shard)
-    other.__dict__ = shard.__dict__ | {"own": len(shard.ids)}
-    return other
-
-
 def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     text = lambda c: docs[c].cast("string")
     return docs.select(F.coalesce(text(lang_col), F.lit("und")).alias("lang"), F.coalesce(text(text_col), F.lit("")).alias("text"))
@@ -301,39 +372,31 @@ def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else None
-
-
 def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, phrase (a word), h (its hash) and f of every word."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for shard in shards(batch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches):
             ids = shard.ids[: shard.own]
             seen = np.bincount(ids[ids >= 0], minlength=1)
             at = np.flatnonzero(seen)
-            columns = [pa.array([shard.lang] * len(at)), _strings([shard.vocabulary[i] for i in at]), pa.array(shard.hashes[at].view(np.int64)), pa.array(seen[at], pa.int64())]
-            parts.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "h", "f"]))
-        return _joined(parts)
+            columns = [pa.array([shard.lang] * len(at), pa.string()), _strings([shard.vocabulary[i] for i in at]), pa.array(shard.hashes[at].view(np.int64)), pa.array(seen[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "h", "f"])
 
-    rows = map_batches(_texts(docs, lang_col, text_col), run, "lang string, phrase string, h long, f long", rows=None, size=SHARD)
+    rows = _texts(docs, lang_col, text_col).mapInArrow(run, "lang string, phrase string, h long, f long")
     return rows.groupBy("lang", "phrase").agg(F.min("h").alias("h"), F.sum("f").alias("f"))
 
 
 def _frequent_runs(texts_: DataFrame, words_, bitmaps: list, n: int, least: int) -> np.ndarray:
     """A bitmap of the hashes of phrases of n frequent words that occur often enough."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for shard in shards(batch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches):
             shard.keep(words_.value)
             found, counts = np.unique(runs(shard, [b.value for b in bitmaps], n)[1], return_counts=True)
-            parts.append(pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "f"]))
-        return _joined(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "f"])
 
-    sums = map_batches(texts_, run, "h long, f long", rows=None, size=SHARD).groupBy("h").agg(F.sum("f").alias("f"))
+    sums = texts_.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
     return _sized(staged(sums.where(F.col("f") >= least).select("h")))
 
 
@@ -346,23 +409,47 @@ def phrase_counts(docs: DataFrame, words_: DataFrame, least: int = LEAST, longes
     ``words_`` are the frequent words with their hashes."""
     share = docs.sparkSession.sparkContext.broadcast
     texts_ = _texts(docs, lang_col, text_col)
+    groups = min(GROUPS, (words_.agg(F.sum("f")).first()[0] or 0) // GROUP + 1)
     words_, bitmaps = share(_sized(words_)), []
     for n in range(2, min(KNOWN, longest) + 1):
         bitmaps.append(share(_frequent_runs(texts_, words_, bitmaps, n, least)))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for shard in shards(batch):
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches):
             shard.keep(words_.value)
+            if rows := list(projected(shard, [b.value for b in bitmaps], longest, groups)):
+                group, names, numbers = zip(*rows, strict=True)
+                columns = [pa.array([shard.lang] * len(rows)), pa.array(group, pa.int32()), pa.array(names, pa.binary()), pa.array(numbers, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "group", "names", "numbers"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _by_language(batches):
             for names, size, counts in mine(shard, [b.value for b in bitmaps], longest):
                 columns = [pa.array([shard.lang] * len(names), pa.string()), _strings(names), pa.array([size] * len(names), pa.int32()), pa.array(counts)]
-                parts.append(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"]))
-        return _joined(parts)
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"])
 
-    rows = map_batches(texts_, run, "lang string, phrase string, size int, f long", rows=None, size=SHARD)
+    places = texts_.mapInArrow(project, "lang string, group int, names binary, numbers binary")
+    # any dealing gives the same sums; by groups, a phrase is in few shards
+    places = places.repartition(max(groups, docs.sparkSession.sparkContext.defaultParallelism), "lang", "group").sortWithinPartitions("lang", "group")
+    rows = places.mapInArrow(grow, "lang string, phrase string, size int, f long")
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
+def _by_language(batches: Iterable[pa.RecordBatch], size: int = POSITIONS) -> Iterator[Shard]:
+    """The shards of a task's rows of ``project``, sorted by language and group."""
+    lang, parts, held = None, [], 0
+    for batch in batches:
+        for at in range(batch.num_rows):
+            its, _, names, numbers = (column[at].as_py() for column in batch.columns)
+            if parts and (its != lang or held + len(numbers) // 4 > size):
+                yield gathered(lang, parts)
+                parts, held = [], 0
+            lang, held = its, held + len(numbers) // 4
+            parts.append((names, numbers))
+    if parts:
+        yield gathered(lang, parts)
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, covered: int = COVERED, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
     every = staged(word_counts(docs, lang_col, text_col))

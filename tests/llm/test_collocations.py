@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandloom.llm import collocations as c
@@ -121,3 +122,32 @@ def test_prunes_only_what_cannot_be_frequent(spark):
     words = c.word_counts(df).where("f >= 4")
     found = {r.phrase: r.f for r in c.phrase_counts(df, words, 4).collect()}
     assert found == {p.decode(): n for p, n in sum((counted(t.encode(), 1 << 20) for _, t in rows), Counter()).items() if n >= 4}
+
+
+@pytest.mark.parametrize(("size", "groups", "positions"), [(7, 1, 1 << 20), (50, 3, 1 << 20), (400, 9, 60)])
+def test_phrases_grow_in_their_pairs_groups(size, groups, positions):
+    """A phrase that has places in every stretch is counted in one shard, or in a few of a large group."""
+    text = " ".join(sentences(3, 40)).encode()
+    full = np.full(1 << 10, ~np.uint64(0))
+    rows = []
+    for own, tail in c.stretches(text.translate(c.PIECES), size):
+        shard = c.Shard("en", own, tail)
+        rows += [("en", group, names, numbers) for group, names, numbers in c.projected(shard, [full, full], 5, groups)]
+    rows.sort(key=lambda r: r[1])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 5], strict=True)], ["lang", "group", "names", "numbers"]) for i in range(0, len(rows), 5)]
+    total, times = Counter(), Counter()
+    for shard in c._by_language(batches, positions):
+        for phrases, _, counts in c.mine(shard, [full, full], tries=50):
+            times.update(phrases)
+            total.update(dict(zip(phrases, counts.tolist(), strict=True)))
+    assert total == counted(text, 1 << 20) and total
+    assert positions == 60 or set(times.values()) == {1}
+
+
+def test_texts_of_a_language_share_shards():
+    rows = [("en", "a b"), ("fr", "c d"), ("en", "e f"), ("de", "g"), ("fr", "h")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 2], strict=True)], ["lang", "text"]) for i in range(0, 5, 2)]
+    found = lambda **how: sorted((s.lang, sorted(set(s.vocabulary) - {b"\n"})) for s in c.shards(batches, **how))
+    assert found() == [("de", [b"g"]), ("en", [b"a", b"b", b"e", b"f"]), ("fr", [b"c", b"d", b"h"])]
+    every = sum((words for _, words in found(size=5, waiting=6)), [])
+    assert sorted(every) == [b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"]
