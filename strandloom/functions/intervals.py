@@ -130,18 +130,27 @@ def overlap_totals(left: DataFrame, right: DataFrame) -> DataFrame:
     return sums.unionByName(pairs).where("n > 0")
 
 
-def side_by_side(points: DataFrame, spans: DataFrame, pos: str, least: int = 16) -> DataFrame:
+def span_blocks(spans: DataFrame, least: int = 16, wide: int = 1) -> DataFrame:
+    """Adds to spans (chr, start, end; closed) the class of their length and the block in which they start (__k, __b); see ``side_by_side``."""
+    spans = spans.where("end >= start")
+    spans = spans.withColumn("__k", F.greatest(F.length(F.bin(F.col("end") - F.col("start"))), F.lit(least)))
+    return spans.withColumn("__b", F.floor(F.col("start") / (F.pow(F.lit(2.0), "__k") * wide)).cast("long"))
+
+
+def side_by_side(points: DataFrame, spans: DataFrame, pos: str, least: int = 16, wide: int = 1) -> DataFrame:
     """Points (chr, pos, ...) and the spans (chr, start, end; closed) that hold them, in common groups (chr, __k, __b).
 
-    Spans of up to 2^k places start in block b of 2^k places, and points come to their own block and the one before, so
-    a span's points are all in its group and no pair of a span and a point is ever a row. Spans have a null ``pos``, points a null start.
+    Spans of up to 2^k places start in block b of ``wide`` times 2^k places, and points come to their own block and, if they are among
+    the first 2^k places of it, to the one before, so a span's points are all in its group and no pair of a span and a point is
+    ever a row. Spans have a null ``pos``, points a null start.
     """
-    spans = spans.where("end >= start")
-    spans = spans.withColumn("__k", F.greatest(F.length(F.bin(F.col("end") - F.col("start"))), F.lit(least)))
-    block = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "__k")).cast("long")
+    spans = span_blocks(spans, least, wide)
+    width = F.pow(F.lit(2.0), "__k")
+    own = F.floor(F.col(pos) / (width * wide)).cast("long")
     classes = spans.select("__k").distinct()  # at most 64 rows
-    near = points.crossJoin(F.broadcast(classes)).withColumn("__b", F.explode(F.array(block(pos), block(pos) - 1)))
-    return near.unionByName(spans.withColumn("__b", block("start")), allowMissingColumns=True)
+    both = F.when(F.col(pos) - own * wide * width < width, F.array(own, own - 1)).otherwise(F.array(own)) if wide > 1 else F.array(own, own - 1)
+    near = points.crossJoin(F.broadcast(classes)).withColumn("__b", F.explode(both))
+    return near.unionByName(spans, allowMissingColumns=True)
 
 
 def nearest(probes: DataFrame, marks: DataFrame, probe: str = "pos", mark: str = "pos") -> DataFrame:

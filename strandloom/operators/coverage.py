@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
+from strandloom.functions.lineage import checkpoint
 from strandloom.functions.scalar import bin_index, median_nonzero
 
 WINDOW = 500
+#: Blocks of SNPs in spans, as times the width of the spans; different spans of which the values are broadcast.
+WIDE, FEW = 4, 100_000
 
 
 def histogram(segments: DataFrame, keys: tuple[str, ...] = ("genome_id", "hp", "chr"), window: int = WINDOW) -> DataFrame:
@@ -51,14 +54,21 @@ def snp_bin_mean(snps: DataFrame, bins: DataFrame, size: int, values: tuple[str,
     return bins.join(means, ["chr", "bin_idx"], "left").na.fill(0.0, list(values))
 
 
+def _nearest(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The index of the place nearest to each of others in a sorted array, ties to the lower one."""
+    up = np.searchsorted(pos, at)
+    low, high = np.maximum(up - 1, 0), np.minimum(up, len(pos) - 1)
+    return np.where((up < len(pos)) & ((up == 0) | (pos[high] - at < at - pos[low])), up, low)
+
+
 def _of_spans(values: tuple[str, ...], zeros: bool) -> Callable:
-    """For a group of ``side_by_side``: the mean or median of a slice of the SNPs by rank for each of its spans."""
+    """For a group of ``side_by_side`` and the SNPs around it: the mean or median of a slice of the SNPs for each of its spans."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        spans, snps = t.filter(pc.is_valid(t["start"])), t.filter(pc.is_valid(t["rank"])).sort_by("rank")
+        spans, snps = t.filter(pc.is_valid(t["start"])), t.filter(pc.is_valid(t["pos"])).sort_by("pos")
         start, end = (spans[c].to_numpy() for c in ("start", "end"))
-        rank = snps["rank"].to_numpy()
-        low, high = np.searchsorted(rank, start), np.searchsorted(rank, end, side="right")
+        pos = snps["pos"].to_numpy()
+        low, high = (_nearest(pos, at) if len(pos) else np.zeros(len(at), np.int64) for at in (start, end))
         out = []
         for v in values:
             x = snps[v].cast(pa.float64())
@@ -66,7 +76,7 @@ def _of_spans(values: tuple[str, ...], zeros: bool) -> Callable:
             x = x.to_numpy()
             if not zeros:
                 known &= x != 0
-            before, x = np.concatenate([[0], np.cumsum(known)]), x[known]  # what counts, and how much of it stands before a rank
+            before, x = np.concatenate([[0], np.cumsum(known)]), x[known]  # what counts, and how much of it stands before an SNP
             a, b = before[low], before[high]
             how = np.mean if zeros else np.median
             out.append(pa.array([how(x[i:j]) if j > i else (None if zeros else 0.0) for i, j in zip(a, b)], pa.float64()))
@@ -76,24 +86,39 @@ def _of_spans(values: tuple[str, ...], zeros: bool) -> Callable:
     return run
 
 
+def _around(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """The last point before and the first one behind those in each group of ``side_by_side``, as further points of the group.
+
+    Blocks of groups are whole pieces of 2^16 places, so the first and the last point of each piece are all that is sorted.
+    """
+    piece = 1 << 16
+    point = F.struct(*(c for c in points.columns if c != "chr"))
+    ends = points.groupBy("chr", (F.floor(F.col("pos") / piece) * piece).cast("long").alias("at")).agg(F.max(point).alias("last"), F.min(point).alias("first"))
+    width = F.pow(F.lit(2.0), "__k").cast("long")
+    sides = F.array(F.struct((F.col("__b") * WIDE * width).alias("at"), F.lit(True).alias("low")), F.struct(((F.col("__b") + 1) * WIDE * width + width).alias("at"), F.lit(False).alias("low")))
+    groups = spans.select("chr", "__k", "__b").distinct().select("chr", "__k", "__b", F.explode(sides).alias("s")).select("chr", "__k", "__b", "s.*")
+    along = Window.partitionBy("chr").orderBy("at")
+    before, behind = F.max("last").over(along.rangeBetween(Window.unboundedPreceding, -1)), F.min("first").over(along.rangeBetween(0, Window.unboundedFollowing))
+    rows = groups.unionByName(ends, allowMissingColumns=True).withColumn("p", F.when(F.col("low"), before).otherwise(behind))
+    return rows.where("__b IS NOT NULL AND p IS NOT NULL").select("chr", "p.*", "__k", "__b")
+
+
 def snp_interval_values(snps: DataFrame, intervals: DataFrame, values: tuple[str, ...], zeros: bool) -> DataFrame:
     """Values over the SNPs from the one nearest to an interval's start up to that nearest to its end (excluded).
 
-    zeros: mean of all values (genes), else median of values other than 0 (phase blocks); 0 where there are none. Nearest SNPs
-    are sought once for each place, intervals between the same SNPs share one computation, and SNPs are shuffled beside the
-    spans that hold them, so neither disk nor memory grows with pairs of a span and a SNP.
+    zeros: mean of all values (genes), else median of values other than 0 (phase blocks); 0 where there are none. Equal intervals
+    share one computation. SNPs are shuffled once beside the spans that hold them, with a quarter of them twice; the nearest
+    ones are sought there. So neither disk nor memory grows with pairs of a span and a SNP, and intervals are shuffled
+    for one join, or not at all where few of them differ.
     """
-    ranked = snps.withColumn("rank", F.row_number().over(Window.partitionBy("chr").orderBy("pos")).cast("long"))
-    ends = intervals.select("chr", F.explode(F.array("start", "end")).alias("at")).where("at IS NOT NULL").distinct()
-    ranks = iv.nearest(ends, snps, "at", "pos").join(ranked.select("chr", F.col("pos").alias("near"), "rank"), ["chr", "near"]).select("chr", "at", "rank")
-    first, last = ranks.select("chr", F.col("at").alias("start"), F.col("rank").alias("__first")), ranks.select("chr", F.col("at").alias("end"), (F.col("rank") - 1).alias("__last"))
-    rows = intervals.join(first, ["chr", "start"], "left").join(last, ["chr", "end"], "left")
-    spans = rows.where("__last >= __first").select("chr", F.col("__first").alias("start"), F.col("__last").alias("end")).distinct()
+    points = snps.select("chr", F.col("pos").cast("long").alias("pos"), *values).where("chr IS NOT NULL AND pos IS NOT NULL")
+    spans = intervals.select("chr", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("chr IS NOT NULL AND end > start").distinct()
     schema = ", ".join(["chr STRING, start BIGINT, end BIGINT", *(f"{v} DOUBLE" for v in values)])
-    near = iv.side_by_side(ranked.select("chr", "rank", *values), spans, "rank")
-    found = near.groupBy("chr", "__k", "__b").applyInArrow(_of_spans(values, zeros), schema)
-    found = found.select("chr", F.col("start").alias("__first"), F.col("end").alias("__last"), *values)
-    return rows.drop(*values).join(found, ["chr", "__first", "__last"], "left").na.fill(0.0, list(values)).select(*(c for c in intervals.columns if c not in values), *values)
+    near = iv.side_by_side(points, spans, "pos", wide=WIDE)
+    near = near.unionByName(_around(points, iv.span_blocks(spans, wide=WIDE)), allowMissingColumns=True)
+    found = checkpoint(near.groupBy("chr", "__k", "__b").applyInArrow(_of_spans(values, zeros), schema))
+    rows = intervals.drop(*values).join(F.broadcast(found) if found.count() <= FEW else found, ["chr", "start", "end"], "left")
+    return rows.na.fill(0.0, list(values)).select(*(c for c in intervals.columns if c not in values), *values)
 
 
 def interval_bin_median(bins: DataFrame, intervals: DataFrame, values: tuple[str, ...] = ("hp1", "hp2")) -> DataFrame:

@@ -474,6 +474,23 @@ def test_values_of_spans_shuffle_each_snp_a_bounded_number_of_times(spark):
     assert "flatten" not in plan and "collect_list" not in plan
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_values_of_spans_take_nearest_snps_of_other_blocks(spark, seed):
+    """Few SNPs on a long contig, so that the nearest ones are far from a span's group; no interval is shuffled."""
+    rng = random.Random(seed)
+    at = sorted(rng.sample(range(3_000_000), [3, 25, 400][seed]) + [262_144, 262_143, 524_288 + 65_536])
+    depth = {p: rng.choice([None, 0.0, 1.5, 2.25, 40.0, 7.0]) for p in at}
+    spans = [(a, a + rng.choice([1, 500, 65_535, 65_536, 100_000, 900_000])) for a in [*rng.sample(range(3_200_000), 60), 0, 262_144, 196_608]] + [(9, 3), (None, 5), (5, None)]
+    near = lambda x: min(range(len(at)), key=lambda i: (abs(at[i] - x), at[i]))
+    held = lambda s: [y for p in at[near(s[0]) : near(s[1])] if (y := depth[p])] if None not in s else []
+    table = spark.createDataFrame([("c", *x) for x in depth.items()] + [(None, 7, 1.0), ("c", None, 1.0)], "chr STRING, pos BIGINT, value DOUBLE")
+    intervals = spark.createDataFrame([("c", *s) for s in spans] + [(None, 1, 5)], "chr STRING, start BIGINT, end BIGINT")
+    found = coverage.snp_interval_values(table, intervals, ("value",), False)
+    got = sorted(map(str, (tuple(r) for r in found.collect())))
+    assert got == sorted(str((*r, float(np.median(held(r[1:]) or [0.0])) if r[0] else 0.0)) for r in [("c", *s) for s in spans] + [(None, 1, 5)])
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_breakpoint_ids_shuffle_no_pairs(spark):
     rng = random.Random(3)
     marks = [("c", rng.randrange(200_000), str(rng.randrange(60))) for _ in range(200)] + [("c", 10, None), ("c", None, "7"), ("d", 5, "x")]
